@@ -74,3 +74,176 @@ SELECT path, rule, line_number, match_idx, hit FROM {O.rule_hits_sql(SCAN_RULES)
 def rule_scan_lines(spark, sf_dir):
     from ..operators.rules import rule_scan
     return rule_scan(files(spark, sf_dir), SCAN_RULES).select("path", "rule", "line_number", "match_idx", "hit")
+
+
+# ---------------------------------------------------------------- entities (ENT-*)
+
+from ..functions.text import line_count as _line_count, slice_lines as _slice_lines  # noqa: E402
+from ..operators import entities as ent  # noqa: E402
+
+
+def doc_entities(spark, sf_dir):
+    """Stand-in entity table: one whole-file chunk entity per document
+    (ENT-12 -> ENT-13), its first line standing in for the docstring."""
+    e = ent.chunks_to_entities(ent.file_chunks(files(spark, sf_dir)))
+    return e.withColumn("docstring", F.split_part(F.col("content"), F.lit("\n"), F.lit(1)))
+
+
+def doc_blocks(spark, sf_dir):
+    """Paragraph blocks: non-blank lines merged into islands (ENT-14 -> ENT-08)."""
+    lines = ent.explode_lines(files(spark, sf_dir))
+    iv = lines.filter(ent.py_strip(F.col("line")) != "").select(
+        "path", F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"))
+    return ent.merge_intervals(iv, "path")
+
+
+_WF = f"WITH {O.FILES_CTE}"
+
+
+@register("line_table", f"{_WF}, {O.LINES_CTE} SELECT path, line_no, line FROM lines")
+def line_table(spark, sf_dir):
+    return ent.explode_lines(files(spark, sf_dir))
+
+
+@register("line_counts", f"""{_WF} SELECT path, CAST({O.nl('content')} + 1 AS INTEGER) AS line_count,
+  CAST(length(content) AS INTEGER) AS n_chars FROM files""")
+def line_counts(spark, sf_dir):
+    return files(spark, sf_dir).select("path", _line_count("content").alias("line_count"),
+                                       F.length("content").alias("n_chars"))
+
+
+@register("slice_lines", f"""{_WF} SELECT path,
+  {O.slice_lines('content', '2', f"greatest(2, {O.nl('content')})")} AS middle FROM files""")
+def slice_lines_q(spark, sf_dir):
+    f = files(spark, sf_dir)
+    return f.select("path", _slice_lines("content", F.lit(2), F.greatest(F.lit(2), _line_count("content") - 1)).alias("middle"))
+
+
+@register("text_blocks", f"{_WF}, {O.LINES_CTE}, {O.BLOCKS_CTE} SELECT path, block, start_line, end_line FROM blocks")
+def text_blocks(spark, sf_dir):
+    return doc_blocks(spark, sf_dir)
+
+
+@register("name_blocks", f"""{_WF}, {O.LINES_CTE}, {O.BLOCKS_CTE}
+SELECT b.path, b.block, {O.name_block(O.slice_lines('f.content', 'b.start_line', 'b.end_line'))} AS name
+FROM blocks b JOIN files f ON f.path = b.path""")
+def name_blocks(spark, sf_dir):
+    b = doc_blocks(spark, sf_dir)
+    f = files(spark, sf_dir).select("path", "content")
+    return b.join(f, "path").select("path", "block", ent.name_block(
+        _slice_lines("content", F.col("start_line"), F.col("end_line"))).alias("name"))
+
+
+@register("chunk_entities", f"""{_WF} SELECT 'STANDALONE' AS entity_type, file_name AS name, path AS file_path,
+  1 AS start_line, CAST({O.nl('content')} + 1 AS INTEGER) AS end_line FROM files""")
+def chunk_entities(spark, sf_dir):
+    return ent.chunks_to_entities(ent.file_chunks(files(spark, sf_dir))).select(
+        "entity_type", "name", "file_path", "start_line", "end_line")
+
+
+@register("derived_columns", f"""{_WF}, {O.DOC_ENTITIES_CTE}
+SELECT file_path, CASE WHEN coalesce(parent, '') <> '' THEN parent || '.' || name ELSE name END AS qualified_name,
+  file_path || ':' || CAST(start_line AS VARCHAR) || '-' || CAST(end_line AS VARCHAR) AS location,
+  CAST(end_line - start_line + 1 AS INTEGER) AS line_count,
+  entity_type IN ('FUNCTION', 'METHOD', 'NESTED_FUNCTION', 'CLASS') AS is_callable FROM ents""")
+def derived_columns(spark, sf_dir):
+    return ent.add_derived(doc_entities(spark, sf_dir)).select(
+        "file_path", "qualified_name", "location", "line_count", "is_callable")
+
+
+@register("validate_ranges", f"""{_WF}, {O.LINES_CTE}, {O.BLOCKS_CTE}
+SELECT path AS file_path, start_line, CAST(end_line - 2 AS INTEGER) AS end_line,
+  CASE WHEN start_line < 1 THEN 'start_line must be >= 1, got ' || CAST(start_line AS VARCHAR)
+       WHEN end_line - 2 < start_line THEN 'end_line (' || CAST(end_line - 2 AS VARCHAR) || ') must be >= start_line ('
+            || CAST(start_line AS VARCHAR) || ')' END AS reason
+FROM blocks""")
+def validate_ranges_q(spark, sf_dir):
+    """Block ranges trimmed by two lines: one-line blocks become invalid;
+    valid and quarantined rows are both returned, tagged by ``reason``."""
+    b = doc_blocks(spark, sf_dir).select(F.col("path").alias("file_path"), "start_line",
+                                         (F.col("end_line") - 2).cast("int").alias("end_line"),
+                                         F.lit("x").alias("name"))
+    good, bad = ent.validate_ranges(b)
+    bad_rows = bad.select(F.get_json_object("payload", "$.file_path").alias("file_path"),
+                          F.get_json_object("payload", "$.start_line").cast("int").alias("start_line"),
+                          F.get_json_object("payload", "$.end_line").cast("int").alias("end_line"), "reason")
+    return good.select("file_path", "start_line", "end_line", F.lit(None).cast("string").alias("reason")) \
+        .unionByName(bad_rows)
+
+
+_HEADER_SQL = """concat_ws(chr(10), '# ' || entity_type || ': ' || CASE WHEN coalesce(parent, '') <> '' THEN parent || '.' || name ELSE name END,
+  CASE WHEN coalesce(signature, '') <> '' THEN '# Signature: ' || signature END,
+  '# Location: ' || file_path || ':' || CAST(start_line AS VARCHAR) || '-' || CAST(end_line AS VARCHAR),
+  CASE WHEN coalesce(docstring, '') <> '' THEN '# Docstring: ' || """ + O.preview("docstring", 100) + """ END)"""
+
+
+@register("context_headers", f"{_WF}, {O.DOC_ENTITIES_CTE} SELECT file_path, {_HEADER_SQL} AS header FROM ents")
+def context_headers(spark, sf_dir):
+    return doc_entities(spark, sf_dir).select("file_path", ent.context_header().alias("header"))
+
+
+@register("render_documents", f"""{_WF}, {O.DOC_ENTITIES_CTE}
+SELECT file_path, {_HEADER_SQL} || chr(10) || chr(10) || '```python' || chr(10) || content || chr(10) || '```' AS document FROM ents""")
+def render_documents(spark, sf_dir):
+    return doc_entities(spark, sf_dir).select("file_path", ent.render_document().alias("document"))
+
+
+@register("document_code", f"""{_WF}, {O.DOC_ENTITIES_CTE},
+docs AS (SELECT file_path, {_HEADER_SQL} || chr(10) || chr(10) || '```python' || chr(10) || content || chr(10) || '```' AS document FROM ents)
+SELECT file_path, CASE WHEN contains(document, '```python')
+  THEN {O.py_strip("split_part(split_part(document, '```python', 2), '```', 1)")} ELSE document END AS code FROM docs""")
+def document_code(spark, sf_dir):
+    d = doc_entities(spark, sf_dir).select("file_path", ent.render_document().alias("document"))
+    return d.select("file_path", ent.document_code("document").alias("code"))
+
+
+@register("entity_ids", f"""{_WF}, {O.LINES_CTE}, {O.BLOCKS_CTE}
+SELECT path || ':' || CAST(start_line AS VARCHAR) || ':' || CAST(end_line AS VARCHAR) || ':' || 'block_' || CAST(block AS VARCHAR) AS id
+FROM blocks""")
+def entity_ids(spark, sf_dir):
+    b = doc_blocks(spark, sf_dir).select(F.col("path").alias("file_path"), "start_line", "end_line",
+                                         F.concat(F.lit("block_"), F.col("block").cast("string")).alias("name"))
+    return b.select(ent.entity_id().alias("id"))
+
+
+@register("dedup_entities", f"""{_WF}, {O.DOC_ENTITIES_CTE},
+k AS (SELECT *, row_number() OVER (PARTITION BY CAST(NULL AS VARCHAR), start_line, end_line, name ORDER BY entity_type, content) AS rn
+      FROM (SELECT entity_type, md5(content) AS name, content, file_path, start_line, end_line FROM ents))
+SELECT name AS text_md5, start_line, end_line FROM k WHERE rn = 1""")
+def dedup_entities_q(spark, sf_dir):
+    """Exact-copy documents collapse: key (path, start, end, name) with the path
+    blanked and the content hash as the name."""
+    e = doc_entities(spark, sf_dir).select(
+        "entity_type", F.md5("content").alias("name"), "content",
+        F.lit(None).cast("string").alias("file_path"), "start_line", "end_line")
+    return ent.dedup_entities(e).select(F.col("name").alias("text_md5"), "start_line", "end_line")
+
+
+@register("type_breakdown", f"""{_WF}, {O.LINES_CTE}, {O.BLOCKS_CTE},
+e AS (SELECT 'STANDALONE' AS entity_type FROM files UNION ALL SELECT 'BLOCK' FROM blocks)
+SELECT entity_type, count(*) AS n FROM e GROUP BY entity_type""")
+def type_breakdown_q(spark, sf_dir):
+    e = doc_entities(spark, sf_dir).select("entity_type").unionByName(
+        doc_blocks(spark, sf_dir).select(F.lit("BLOCK").alias("entity_type")))
+    return ent.type_breakdown(e)
+
+
+@register("ingest_summary", f"""{_WF}, {O.DOC_ENTITIES_CTE}
+SELECT count(DISTINCT file_path) AS files_processed, count(*) AS entities_extracted,
+  count_if(entity_type = 'FUNCTION') AS function, count_if(entity_type = 'CLASS') AS class,
+  count_if(entity_type = 'METHOD') AS method, count_if(entity_type = 'NESTED_FUNCTION') AS nested_function,
+  count_if(entity_type = 'MODULE') AS module, count_if(entity_type = 'STANDALONE') AS standalone FROM ents""")
+def ingest_summary_q(spark, sf_dir):
+    return ent.ingest_summary(doc_entities(spark, sf_dir))
+
+
+@register("metadata_projection", f"""{_WF}, {O.DOC_ENTITIES_CTE}
+SELECT file_path, '{{"entity_type":' || to_json(entity_type) || ',"name":' || to_json(name)
+  || ',"qualified_name":' || to_json(name) || ',"file_path":' || to_json(file_path)
+  || ',"start_line":' || CAST(start_line AS VARCHAR) || ',"end_line":' || CAST(end_line AS VARCHAR)
+  || ',"line_count":' || CAST(end_line - start_line + 1 AS VARCHAR) || ',"parent":"","is_callable":false'
+  || CASE WHEN coalesce(docstring, '') <> '' THEN ',"docstring":' || to_json(substr(docstring, 1, 1000)) ELSE '' END
+  || '}}' AS metadata FROM ents""")
+def metadata_projection(spark, sf_dir):
+    e = doc_entities(spark, sf_dir)
+    return e.select("file_path", ent.to_metadata().alias("metadata"))

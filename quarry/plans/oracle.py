@@ -61,3 +61,51 @@ SELECT * EXCLUDE (_rn) FROM (
                                ORDER BY detector_ord, emit_ord, id) AS _rn
   FROM {src}) WHERE _rn = 1
 )"""
+
+
+PY_SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+WORD = r"[\p{L}\p{N}_]"
+
+
+def py_strip(expr: str) -> str:
+    return f"regexp_replace({expr}, '^{PY_SPACE}+|{PY_SPACE}+$', '', 'g')"
+
+
+LINES_CTE = ("lines AS (SELECT path, CAST(unnest(range(1, len(string_split(content, chr(10))) + 1)) AS INTEGER) AS line_no, "
+             "unnest(string_split(content, chr(10))) AS line FROM files)")
+
+BLOCKS_CTE = """iv AS (SELECT path, line_no AS s, line_no AS e FROM lines WHERE """ + py_strip("line") + """ <> ''),
+fl AS (SELECT *, CASE WHEN max(e) OVER w IS NULL OR s > max(e) OVER w + 1 THEN 1 ELSE 0 END AS nw
+       FROM iv WINDOW w AS (PARTITION BY path ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+bl AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY path ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS block FROM fl),
+blocks AS (SELECT path, block, CAST(min(s) AS INTEGER) AS start_line, CAST(max(e) AS INTEGER) AS end_line FROM bl GROUP BY path, block)"""
+
+
+def slice_lines(text: str, s: str, e: str) -> str:
+    return f"array_to_string(string_split({text}, chr(10))[{s}:{e}], chr(10))"
+
+
+def preview(expr: str, n: int) -> str:
+    t = f"replace({expr}, chr(10), ' ')"
+    return f"CASE WHEN length({t}) > {n} THEN substr({t}, 1, {n}) || '...' ELSE {t} END"
+
+
+def name_block(content: str) -> str:
+    """SQL twin of quarry.operators.entities.name_block."""
+    ls = f"list_transform(string_split({py_strip(content)}, chr(10)), lambda x: {py_strip('x')})"
+    is_assign = "(contains(x, '=') AND NOT starts_with(x, '#'))"
+    names = (f"list_filter(list_transform({ls}, lambda x: CASE WHEN {is_assign} THEN "
+             f"regexp_extract(x, '^({WORD}+)\\s*=', 1) END), lambda x: x IS NOT NULL AND x <> '')")
+    others = f"list_filter({ls}, lambda x: x <> '' AND NOT {is_assign})"
+    first_word = f"regexp_extract({others}[1], '^({WORD}+)', 1)"
+    return f"""CASE WHEN len(list_filter({ls}, lambda x: regexp_matches(x, '^(import|from)\\s+(.+)$'))) > 0 THEN 'imports'
+ WHEN len({names}) > 0 THEN 'assignments_' || array_to_string({names}[1:3], '_')
+ WHEN len({others}) > 0 AND {first_word} <> '' THEN 'code_' || {first_word}
+ ELSE 'standalone_block' END"""
+
+
+# stand-in entity table over documents: whole-file chunks, first line as docstring
+DOC_ENTITIES_CTE = ("ents AS (SELECT 'STANDALONE' AS entity_type, file_name AS name, content, path AS file_path, "
+                    "1 AS start_line, CAST(" + nl("content") + " + 1 AS INTEGER) AS end_line, "
+                    "CAST(NULL AS VARCHAR) AS parent, string_split(content, chr(10))[1] AS docstring, "
+                    "CAST(NULL AS VARCHAR) AS signature FROM files)")

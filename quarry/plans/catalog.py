@@ -247,3 +247,173 @@ SELECT file_path, '{{"entity_type":' || to_json(entity_type) || ',"name":' || to
 def metadata_projection(spark, sf_dir):
     e = doc_entities(spark, sf_dir)
     return e.select("file_path", ent.to_metadata().alias("metadata"))
+
+
+# ---------------------------------------------------------------- findings over events (DET-06, FND-*)
+
+from ..operators.detect import map_severity  # noqa: E402
+
+
+def event_findings(spark, sf_dir):
+    """Stand-in findings: one per event. The event type is the tool's level text
+    (DET-06 maps it to a severity), ``user_id`` the file, ``props.k`` the line,
+    ``value`` the tool (MYPY/PYLINT/RUFF = detector order), ``event_id`` the emit order."""
+    ev = load(spark, sf_dir, "events")
+    level = (F.when(F.col("event_type") == "view", "note").when(F.col("event_type") == "click", "warning")
+             .otherwise(F.col("event_type")))
+    source = F.when(F.col("value") >= 30, "MYPY").when(F.col("value") >= 10, "PYLINT").otherwise("RUFF")
+    msg_type = F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type"))
+    return fnd.to_findings(ev.select(
+        source.alias("source"),
+        map_severity(level).alias("severity"),
+        F.concat(F.lit("user_"), F.col("user_id").cast("string"), F.lit("/events.log")).alias("file_path"),
+        F.get_json_object("props", "$.k").cast("int").alias("line_number"),
+        (F.floor(F.col("value")).cast("int") % 3).alias("col"),
+        F.concat(msg_type, F.lit(" event observed")).alias("message"),
+        F.when(F.col("event_type") != "purchase", F.concat(F.lit("E-"), F.col("event_type"))).alias("error_code"),
+        F.when(F.col("event_type") == "signup", F.lit("")).when(F.col("event_type") == "click", F.lit("retry")).alias("suggested_fix"),
+        F.col("props").alias("code_snippet"),
+        F.when(F.col("value") >= 30, 0).when(F.col("value") >= 10, 1).otherwise(2).alias("detector_ord"),
+        F.col("event_id").alias("emit_ord"),
+        "user_id", "ts", "event_id", "value", "event_type"))
+
+
+EV_FINDINGS_CTE = """evf0 AS (SELECT
+  CASE WHEN value >= 30 THEN 'MYPY' WHEN value >= 10 THEN 'PYLINT' ELSE 'RUFF' END AS source,
+  CASE (CASE event_type WHEN 'view' THEN 'note' WHEN 'click' THEN 'warning' ELSE event_type END)
+       WHEN 'error' THEN 'ERROR' WHEN 'warning' THEN 'WARNING' WHEN 'note' THEN 'INFO' ELSE 'WARNING' END AS severity,
+  'user_' || CAST(user_id AS VARCHAR) || '/events.log' AS file_path,
+  CAST(json_extract_string(props, '$.k') AS INTEGER) AS line_number,
+  CAST(floor(value) AS INTEGER) % 3 AS col,
+  (CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END) || ' event observed' AS message,
+  CASE WHEN event_type <> 'purchase' THEN 'E-' || event_type END AS error_code,
+  CASE WHEN event_type = 'signup' THEN '' WHEN event_type = 'click' THEN 'retry' END AS suggested_fix,
+  props AS code_snippet,
+  CASE WHEN value >= 30 THEN 0 WHEN value >= 10 THEN 1 ELSE 2 END AS detector_ord,
+  event_id AS emit_ord, user_id, ts, event_id, value, event_type FROM events),
+evf AS (SELECT substr(md5(file_path || ':' || CAST(line_number AS VARCHAR) || CASE WHEN col IS NOT NULL AND col <> 0 THEN ':' || CAST(col AS VARCHAR) ELSE '' END || ':' || message), 1, 12) AS id,
+  CASE severity WHEN 'ERROR' THEN 0 WHEN 'WARNING' THEN 1 WHEN 'INFO' THEN 2 ELSE 3 END AS sev_rank, * FROM evf0)"""
+_WE = f"WITH {EV_FINDINGS_CTE}"
+_LOC_SQL = "file_path || ':' || CAST(line_number AS VARCHAR) || CASE WHEN col IS NOT NULL AND col <> 0 THEN ':' || CAST(col AS VARCHAR) ELSE '' END"
+
+
+@register("severity_map", f"{_WE} SELECT event_id, severity, sev_rank FROM evf")
+def severity_map(spark, sf_dir):
+    return event_findings(spark, sf_dir).select("event_id", "severity", "sev_rank")
+
+
+@register("event_severity_counts", f"""{_WE} SELECT source, count_if(severity = 'ERROR') AS errors,
+  count_if(severity = 'WARNING') AS warnings, count_if(severity = 'INFO') AS infos,
+  count_if(suggested_fix IS NOT NULL) AS auto_fixable, count(*) AS total FROM evf GROUP BY source""")
+def event_severity_counts(spark, sf_dir):
+    return fnd.severity_counts(event_findings(spark, sf_dir), by=["source"])
+
+
+@register("severity_rollup", f"""{_WE} SELECT source, severity, count(*) AS n FROM evf GROUP BY ROLLUP (source, severity)""")
+def severity_rollup(spark, sf_dir):
+    """FND-14 per source with subtotals (rollup)."""
+    return event_findings(spark, sf_dir).rollup("source", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("finding_ids", f"{_WE} SELECT event_id, id FROM evf")
+def finding_ids(spark, sf_dir):
+    return event_findings(spark, sf_dir).select("event_id", "id")
+
+
+@register("location_text", f"{_WE} SELECT event_id, {_LOC_SQL} AS location FROM evf")
+def location_text_q(spark, sf_dir):
+    return event_findings(spark, sf_dir).select("event_id", fnd.location_text().alias("location"))
+
+
+@register("short_names", f"""{_WE} SELECT event_id, regexp_extract(file_path, '([^/]*)$', 1) AS name,
+  split_part(regexp_extract(file_path, '([^/]*)$', 1), '.', 1) || ':' || CAST(line_number AS VARCHAR) || ':'
+  || coalesce(nullif(error_code, ''), 'BUG') AS short_name, suggested_fix IS NOT NULL AS is_auto_fixable FROM evf""")
+def short_names(spark, sf_dir):
+    from ..functions.text import path_name
+    f = event_findings(spark, sf_dir)
+    return f.select("event_id", path_name("file_path").alias("name"), fnd.short_name(f).alias("short_name"),
+                    fnd.is_fixable().alias("is_auto_fixable"))
+
+
+@register("goal_text", f"""{_WE} SELECT event_id, concat_ws(' ', 'Fix ' || lower(severity),
+  'in ' || regexp_extract(file_path, '([^/]*)$', 1), 'at line ' || CAST(line_number AS VARCHAR),
+  CASE WHEN coalesce(error_code, '') <> '' THEN '(' || error_code || ')' END, ': ' || message) AS goal FROM evf""")
+def goal_text_q(spark, sf_dir):
+    return event_findings(spark, sf_dir).select("event_id", fnd.goal_text().alias("goal"))
+
+
+@register("findings_json", f"""{_WE} SELECT event_id, '{{"id":' || to_json(id) || ',"source":' || to_json(source)
+  || ',"severity":' || to_json(severity) || ',"location":{{"file_path":' || to_json(file_path)
+  || ',"line_number":' || CAST(line_number AS VARCHAR) || ',"column":' || CAST(col AS VARCHAR) || ',"end_line":null}}'
+  || ',"message":' || to_json(message) || ',"error_code":' || coalesce(to_json(error_code), 'null')
+  || ',"suggested_fix":' || coalesce(to_json(suggested_fix), 'null') || ',"code_snippet":' || coalesce(to_json(code_snippet), 'null')
+  || ',"is_auto_fixable":' || CASE WHEN suggested_fix IS NOT NULL THEN 'true' ELSE 'false' END || '}}' AS json FROM evf""")
+def findings_json_q(spark, sf_dir):
+    return event_findings(spark, sf_dir).select("event_id", fnd.findings_json().alias("json"))
+
+
+@register("display_lines", f"""{_WE} SELECT event_id, CASE severity WHEN 'ERROR' THEN '❌' WHEN 'WARNING' THEN '⚠️'
+  WHEN 'INFO' THEN 'ℹ️' ELSE '❓' END || ' [' || source || '] ' || {_LOC_SQL} || ' - ' || message AS display FROM evf""")
+def display_lines(spark, sf_dir):
+    return event_findings(spark, sf_dir).select("event_id", fnd.display_line().alias("display"))
+
+
+@register("threshold", f"{_WE} SELECT event_id, severity FROM evf WHERE sev_rank <= 1")
+def threshold(spark, sf_dir):
+    return fnd.at_least(event_findings(spark, sf_dir), "warning").select("event_id", "severity")
+
+
+@register("severity_sort", f"{_WE} SELECT event_id, sev_rank, detector_ord FROM evf ORDER BY sev_rank, detector_ord, emit_ord")
+def severity_sort(spark, sf_dir):
+    return fnd.sort_findings(event_findings(spark, sf_dir)).select("event_id", "sev_rank", "detector_ord")
+
+
+@register("by_source", f"{_WE} SELECT event_id, source, severity FROM evf WHERE source = 'MYPY' AND severity = 'ERROR'")
+def by_source_q(spark, sf_dir):
+    return fnd.by_severity(fnd.by_source(event_findings(spark, sf_dir), "MYPY"), "error").select(
+        "event_id", "source", "severity")
+
+
+@register("run_summary", f"""{_WE} SELECT (SELECT count(*) FROM documents) AS files_analyzed,
+  (SELECT string_agg(source, ', ' ORDER BY source) FROM (SELECT DISTINCT source FROM evf)) AS tools,
+  count(*) AS total, count_if(severity = 'ERROR') AS errors, count_if(severity = 'WARNING') AS warnings,
+  count_if(severity = 'INFO') AS infos, count_if(suggested_fix IS NOT NULL) AS auto_fixable FROM evf""")
+def run_summary_q(spark, sf_dir):
+    return fnd.run_summary(event_findings(spark, sf_dir), load(spark, sf_dir, "documents"))
+
+
+@register("tools_used", f"""{_WE} SELECT user_id, string_agg(DISTINCT source, ', ' ORDER BY source) AS tools FROM evf GROUP BY user_id""")
+def tools_used_q(spark, sf_dir):
+    return fnd.tools_used(event_findings(spark, sf_dir), by=["user_id"])
+
+
+@register("cap_findings", f"""{_WE} SELECT event_id, severity FROM evf
+  ORDER BY sev_rank, detector_ord, emit_ord, file_path, id LIMIT 100""")
+def cap_findings_q(spark, sf_dir):
+    return fnd.cap_findings(event_findings(spark, sf_dir), 100).select("event_id", "severity")
+
+
+@register("top_listing", f"""{_WE}, t AS (SELECT * FROM evf ORDER BY sev_rank, detector_ord, emit_ord, file_path, id LIMIT 20)
+SELECT CAST(row_number() OVER (ORDER BY sev_rank, detector_ord, emit_ord, file_path, id) AS INTEGER) AS pos,
+  CAST(row_number() OVER (ORDER BY sev_rank, detector_ord, emit_ord, file_path, id) AS VARCHAR) || '. ' ||
+  CASE severity WHEN 'ERROR' THEN '❌' WHEN 'WARNING' THEN '⚠️' WHEN 'INFO' THEN 'ℹ️' ELSE '❓' END || ' [' || source || '] '
+  || {_LOC_SQL} || ' - ' || message || CASE WHEN suggested_fix IS NOT NULL THEN ' [AUTO-FIXABLE]' ELSE '' END AS listing FROM t""")
+def top_listing_q(spark, sf_dir):
+    return fnd.top_listing(event_findings(spark, sf_dir), 20)
+
+
+@register("match_finding", f"""{_WE}, req AS (SELECT DISTINCT user_id AS req_id, file_path, 'Error' AS description FROM evf),
+j AS (SELECT r.req_id, f.id, f.message, row_number() OVER (PARTITION BY r.req_id ORDER BY f.detector_ord, f.emit_ord, f.id) AS rn
+      FROM req r JOIN evf f ON f.file_path = r.file_path AND contains(lower(f.message), lower(r.description)))
+SELECT req_id, id, message FROM j WHERE rn = 1""")
+def match_finding_q(spark, sf_dir):
+    f = event_findings(spark, sf_dir)
+    req = f.select(F.col("user_id").alias("req_id"), "file_path").distinct().withColumn("description", F.lit("Error"))
+    return fnd.match_finding(f, req).select("req_id", "id", "message")
+
+
+@register("snippet_preview", f"""WITH d AS (SELECT doc_id, text AS code_snippet FROM documents)
+SELECT doc_id, {O.preview('code_snippet', 100)} AS preview FROM d""")
+def snippet_preview_q(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("code_snippet"))
+    return d.select("doc_id", fnd.snippet_preview().alias("preview"))

@@ -20,3 +20,56 @@ def fixable_severity(has_fix) -> Column:
     """DET-06, nested linter: a finding with a fix is INFO, otherwise WARNING."""
     c = F.col(has_fix) if isinstance(has_fix, str) else has_fix
     return F.when(c, F.lit("INFO")).otherwise(F.lit("WARNING"))
+
+
+# --- fixed values: traceback frame pattern (file, line, function)
+FRAME_PATTERN = r'File "([^"]+)", line (\d+), in (\w+)'
+
+
+def stack_frame(text, n: int = 0, pattern: str = FRAME_PATTERN) -> Column:
+    """DET-08: the ``n``-th frame (0 = first in the text) as
+    ``STRUCT<file, line, function>``; null when there are fewer frames."""
+    from ..functions.regex import unicode_classes
+    t = F.col(text) if isinstance(text, str) else text
+    p = F.lit(unicode_classes(pattern))
+    files_, lines_, funcs = (F.regexp_extract_all(t, p, g) for g in (1, 2, 3))
+    return F.when(F.size(files_) > n, F.struct(
+        F.get(files_, n).alias("file"), F.get(lines_, n).cast("int").alias("line"),
+        F.get(funcs, n).alias("function")))
+
+
+def import_lines(text, limit: int = 10) -> Column:
+    """DET-12: first ``limit`` stripped lines that start with ``import `` or ``from ``."""
+    from .entities import py_strip
+    t = F.col(text) if isinstance(text, str) else text
+    stripped = F.transform(F.split(t, "\n", -1), py_strip)
+    hits = F.filter(stripped, lambda x: F.startswith(x, F.lit("import ")) | F.startswith(x, F.lit("from ")))
+    return F.array_join(F.slice(hits, 1, limit), "\n")
+
+
+# --- fixed values: review size window and accessor markers
+MIN_REVIEW_LINES, MAX_REVIEW_LINES = 3, 100
+GETTER_MARKERS = ("return self.", "return self._")
+ACCESSOR_PREFIXES = ("get_", "set_")
+
+
+def is_trivial(content="content", name="name") -> Column:
+    """DET-11: at most 3 non-blank lines and (returns a self attribute, or the
+    name starts with get_/set_)."""
+    from .entities import py_strip
+    low = F.lower(F.col(content))
+    non_blank = F.size(F.filter(F.split(low, "\n", -1), lambda x: py_strip(x) != ""))
+    getter = F.lit(False)
+    for p in GETTER_MARKERS:
+        getter = getter | F.contains(low, F.lit(p))
+    prefix = F.lit(False)
+    for p in ACCESSOR_PREFIXES:
+        prefix = prefix | F.startswith(F.col(name), F.lit(p))
+    return (non_blank <= 3) & (getter | prefix)
+
+
+def review_candidates(entities):
+    """DET-10: functions and methods of 3..100 lines that are not trivial accessors."""
+    n = F.col("end_line") - F.col("start_line") + 1
+    return entities.filter(F.col("entity_type").isin("FUNCTION", "METHOD") &
+                           n.between(MIN_REVIEW_LINES, MAX_REVIEW_LINES) & ~is_trivial())

@@ -128,7 +128,7 @@ def snippet_preview() -> Column:
 
 def union_findings(*dfs: DataFrame) -> DataFrame:
     """FND-08: union in registration order; each input's position is its ``detector_ord``."""
-    parts = [to_findings(d.withColumn("detector_ord", F.lit(i))) for i, d in enumerate(dfs)]
+    parts = [to_findings(d.withColumn("detector_ord", F.lit(i))).select(*FINDING_COLUMNS) for i, d in enumerate(dfs)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -246,7 +246,7 @@ def attach_entity(findings: DataFrame, entities: DataFrame) -> DataFrame:
     cond = ((findings["file_path"] == e["e_path"]) &
             (findings["line_number"] >= e["e_start"]) & (findings["line_number"] <= e["e_end"]))
     j = findings.join(e, cond, "left")
-    w = Window.partitionBy("id").orderBy((F.col("e_end") - F.col("e_start")).asc_nulls_last(),
+    w = Window.partitionBy("id", "detector_ord", "emit_ord").orderBy((F.col("e_end") - F.col("e_start")).asc_nulls_last(),
                                          F.col("e_start").desc(), F.col("entity_id"))
     return j.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "e_path")
 

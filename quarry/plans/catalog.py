@@ -417,3 +417,150 @@ SELECT doc_id, {O.preview('code_snippet', 100)} AS preview FROM d""")
 def snippet_preview_q(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("code_snippet"))
     return d.select("doc_id", fnd.snippet_preview().alias("preview"))
+
+
+# ---------------------------------------------------------------- detection helpers (DET-08, 10-12)
+
+from ..operators import detect as det  # noqa: E402
+
+# Frame pattern for prose: "<name>.<number>@<host>" stands for file, line, function.
+PROSE_FRAME = r"(\w+)\.(\d+)@(\w+)"
+
+
+@register("frame_nth", f"""WITH d AS (SELECT doc_id,
+  regexp_extract_all(text, '({O.WORD}+)\\.(\\p{{Nd}}+)@({O.WORD}+)', 1) AS f,
+  regexp_extract_all(text, '({O.WORD}+)\\.(\\p{{Nd}}+)@({O.WORD}+)', 2) AS l,
+  regexp_extract_all(text, '({O.WORD}+)\\.(\\p{{Nd}}+)@({O.WORD}+)', 3) AS fn FROM documents)
+SELECT doc_id, CASE WHEN len(f) > 0 THEN f[1] END AS file0, CASE WHEN len(f) > 0 THEN CAST(l[1] AS INTEGER) END AS line0,
+  CASE WHEN len(f) > 0 THEN fn[1] END AS function0, CASE WHEN len(f) > 1 THEN f[2] END AS file1 FROM d""")
+def frame_nth(spark, sf_dir):
+    d = load(spark, sf_dir, "documents")
+    f0 = det.stack_frame("text", 0, PROSE_FRAME)
+    f1 = det.stack_frame("text", 1, PROSE_FRAME)
+    return d.select("doc_id", f0["file"].alias("file0"), f0["line"].alias("line0"),
+                    f0["function"].alias("function0"), f1["file"].alias("file1"))
+
+
+@register("import_lines", f"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)),
+  lambda x: {O.py_strip('x')}), lambda x: starts_with(x, 'import ') OR starts_with(x, 'from '))[1:10], chr(10)) AS imports FROM documents""")
+def import_lines_q(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", det.import_lines("text").alias("imports"))
+
+
+_TRIVIAL_SQL = ("(len(list_filter(string_split(lower(content), chr(10)), lambda x: " + O.py_strip("x") + " <> '')) <= 3 "
+                "AND (contains(lower(content), 'return self.') OR contains(lower(content), 'return self._') "
+                "OR starts_with(name, 'get_') OR starts_with(name, 'set_')))")
+_DOC_FUNCS_CTE = ("fe AS (SELECT 'FUNCTION' AS entity_type, lower(split_part(text, ' ', 1)) || '_' || CAST(doc_id AS VARCHAR) AS name, "
+                  "text AS content, doc_id, 1 AS start_line, CAST(" + O.nl("text") + " + 1 AS INTEGER) AS end_line FROM documents)")
+
+
+def _doc_functions(spark, sf_dir):
+    """Each document as a FUNCTION stand-in named after its first word."""
+    d = load(spark, sf_dir, "documents")
+    from ..functions.text import line_count
+    return d.select(F.lit("FUNCTION").alias("entity_type"),
+                    F.concat(F.lower(F.split_part("text", F.lit(" "), F.lit(1))), F.lit("_"), F.col("doc_id").cast("string")).alias("name"),
+                    F.col("text").alias("content"), "doc_id", F.lit(1).alias("start_line"),
+                    line_count("text").alias("end_line"))
+
+
+@register("trivial_filter", f"WITH {_DOC_FUNCS_CTE} SELECT doc_id, {_TRIVIAL_SQL} AS trivial FROM fe")
+def trivial_filter(spark, sf_dir):
+    return _doc_functions(spark, sf_dir).select("doc_id", det.is_trivial().alias("trivial"))
+
+
+@register("review_candidates", f"""WITH {_DOC_FUNCS_CTE} SELECT doc_id, name FROM fe
+WHERE entity_type IN ('FUNCTION', 'METHOD') AND end_line - start_line + 1 BETWEEN 3 AND 100 AND NOT {_TRIVIAL_SQL}""")
+def review_candidates_q(spark, sf_dir):
+    return det.review_candidates(_doc_functions(spark, sf_dir)).select("doc_id", "name")
+
+
+# ---------------------------------------------------------------- union / dedup over documents (FND-08..11, 22)
+
+def doc_findings(spark, sf_dir):
+    """Each document as one finding of a review detector: all in one file, line 1,
+    message = the text, emitted in doc_id order (copies collapse under dedup)."""
+    d = load(spark, sf_dir, "documents")
+    return fnd.to_findings(d.select(
+        F.lit("LLM_DISCOVERY").alias("source"), F.lit("INFO").alias("severity"),
+        F.lit("corpus").alias("file_path"), F.lit(1).alias("line_number"), F.col("text").alias("message"),
+        F.lit(1).alias("detector_ord"), F.col("doc_id").alias("emit_ord")))
+
+
+_DOC_FINDINGS_SQL = """(SELECT substr(md5('corpus:1:' || text), 1, 12) AS id, 'LLM_DISCOVERY' AS source, 'INFO' AS severity,
+  'corpus' AS file_path, 1 AS line_number, text AS message, 1 AS detector_ord, doc_id AS emit_ord FROM documents)"""
+
+
+@register("union_findings", f"""{_WF}, {EV_FINDINGS_CTE},
+u AS (SELECT 0 AS detector_ord, source FROM {O.rule_findings_sql(SCAN_RULES)}
+      UNION ALL SELECT 1, source FROM {_DOC_FINDINGS_SQL} UNION ALL SELECT 2, source FROM evf)
+SELECT detector_ord, source, count(*) AS n FROM u GROUP BY ALL""")
+def union_findings_q(spark, sf_dir):
+    u = fnd.union_findings(_findings(spark, sf_dir), doc_findings(spark, sf_dir), event_findings(spark, sf_dir))
+    return u.groupBy("detector_ord", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("dedup_ci", f"SELECT emit_ord AS doc_id FROM {O.dedup_sql(_DOC_FINDINGS_SQL)}")
+def dedup_ci(spark, sf_dir):
+    return fnd.dedup_findings(doc_findings(spark, sf_dir)).select(F.col("emit_ord").alias("doc_id"))
+
+
+@register("dedup_cs", f"SELECT emit_ord AS doc_id FROM {O.dedup_sql(_DOC_FINDINGS_SQL, lower=False)}")
+def dedup_cs(spark, sf_dir):
+    return fnd.dedup_findings(doc_findings(spark, sf_dir), lower=False).select(F.col("emit_ord").alias("doc_id"))
+
+
+@register("distinct_ids", f"""SELECT id, emit_ord AS doc_id FROM (SELECT *, row_number() OVER (PARTITION BY id
+  ORDER BY detector_ord, emit_ord, id) AS rn FROM {_DOC_FINDINGS_SQL}) WHERE rn = 1""")
+def distinct_ids(spark, sf_dir):
+    return fnd.distinct_findings(doc_findings(spark, sf_dir)).select("id", F.col("emit_ord").alias("doc_id"))
+
+
+@register("attach_block", f"""{_WF}, {O.LINES_CTE}, {O.BLOCKS_CTE},
+ents AS (SELECT path AS e_path, path || ':' || CAST(start_line AS VARCHAR) || ':' || CAST(end_line AS VARCHAR) || ':block_'
+         || CAST(block AS VARCHAR) AS entity_id, start_line AS e_start, end_line AS e_end FROM blocks),
+f AS {O.rule_findings_sql(SCAN_RULES)},
+j AS (SELECT f.id, f.emit_ord, f.line_number, e.entity_id, row_number() OVER (PARTITION BY f.id, f.detector_ord, f.emit_ord
+      ORDER BY e.e_end - e.e_start ASC NULLS LAST, e.e_start DESC, e.entity_id) AS rn
+      FROM f LEFT JOIN ents e ON f.file_path = e.e_path AND f.line_number BETWEEN e.e_start AND e.e_end)
+SELECT id, emit_ord, line_number, entity_id FROM j WHERE rn = 1""")
+def attach_block(spark, sf_dir):
+    b = doc_blocks(spark, sf_dir)
+    ents = b.select(F.col("path").alias("file_path"), "start_line", "end_line",
+                    F.concat(F.lit("block_"), F.col("block").cast("string")).alias("name"))
+    ents = ents.withColumn("id", ent.entity_id())
+    return fnd.attach_entity(_findings(spark, sf_dir), ents).select("id", "emit_ord", "line_number", "entity_id")
+
+
+# ---------------------------------------------------------------- work-list gate and counters (FIX-22, FND-23)
+
+from ..operators import workflow as wf  # noqa: E402
+
+
+def _decisions(spark, sf_dir):
+    """Decisions table: label rows keyed by event id; quality 1 = process."""
+    lab = load(spark, sf_dir, "labels")
+    return lab.select(F.col("doc_id").alias("event_id"), (F.col("quality") == 1).alias("approve"),
+                      (F.col("toxic") == 1).alias("fails"))
+
+
+@register("gate", f"""{_WE}, w AS (SELECT * FROM evf WHERE sev_rank <= 1)
+SELECT event_id, CASE WHEN event_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'process' ELSE 'skip' END AS decision FROM w""")
+def gate_q(spark, sf_dir):
+    work = fnd.at_least(event_findings(spark, sf_dir), "WARNING")
+    dec = _decisions(spark, sf_dir)
+    go, skip = wf.gate(work, dec.filter("approve").select("event_id"), "event_id")
+    return go.select("event_id", F.lit("process").alias("decision")).unionByName(
+        skip.select("event_id", F.lit("skip").alias("decision")))
+
+
+@register("fix_counters", f"""{_WE}, w AS (SELECT e.event_id, l.quality, l.toxic FROM evf e LEFT JOIN labels l ON l.doc_id = e.event_id WHERE e.sev_rank <= 1),
+o AS (SELECT CASE WHEN quality = 1 AND toxic = 0 THEN 'fixed' WHEN quality = 1 THEN 'failed' ELSE 'skipped' END AS outcome FROM w)
+SELECT count(*) AS total, count_if(outcome = 'fixed') AS fixed, count_if(outcome = 'failed') AS failed,
+  count_if(outcome = 'skipped') AS skipped FROM o""")
+def fix_counters_q(spark, sf_dir):
+    work = fnd.at_least(event_findings(spark, sf_dir), "WARNING").select("event_id")
+    o = work.join(_decisions(spark, sf_dir), "event_id", "left").select(
+        F.when(F.col("approve") & ~F.col("fails"), "fixed").when(F.col("approve"), "failed")
+        .otherwise("skipped").alias("outcome"))
+    return fnd.fix_counters(o)

@@ -131,7 +131,7 @@ def retry_rows(df: DataFrame) -> DataFrame:
 
 # ---- prompt context ----------------------------------------------------------
 
-def context_summary(ctx="context") -> Column:
+def context_summary(ctx="context", count=None) -> Column:
     """FIX-06: ``Retrieved N code entities:`` then up to 5 ranked entities with
     location and an 80-character doc preview; fixed text when empty.
     ``ctx`` is ``ARRAY<STRUCT<qualified_name, location, docstring>>`` in rank order."""
@@ -144,8 +144,10 @@ def context_summary(ctx="context") -> Column:
                         x["location"], doc)
 
     body = F.array_join(F.transform(F.slice(c, 1, 5), item), "\n")
-    return F.when(F.coalesce(F.size(c), F.lit(0)) <= 0, F.lit("No context retrieved yet.")).otherwise(
-        F.concat(F.lit("Retrieved "), F.size(c).cast("string"), F.lit(" code entities:\n"), body))
+    # ``count``: total context size when only the top rows were collected
+    n = F.size(c) if count is None else _c(count)
+    return F.when(F.coalesce(n, F.lit(0)) <= 0, F.lit("No context retrieved yet.")).otherwise(
+        F.concat(F.lit("Retrieved "), n.cast("string"), F.lit(" code entities:\n"), body))
 
 
 def context_code(ctx="context", heading: str = "Code Entity") -> Column:

@@ -564,3 +564,197 @@ def fix_counters_q(spark, sf_dir):
         F.when(F.col("approve") & ~F.col("fails"), "fixed").when(F.col("approve"), "failed")
         .otherwise("skipped").alias("outcome"))
     return fnd.fix_counters(o)
+
+
+# ---------------------------------------------------------------- workflow (FIX-*)
+
+from ..functions.text import preview as _preview  # noqa: E402
+
+
+@register("validate_goals", """SELECT item_id AS goal_id,
+  CASE WHEN length(trim(text)) < 10 THEN 'User goal must be at least 10 characters'
+       WHEN CAST(length(text) % 13 AS INTEGER) - 1 NOT BETWEEN 0 AND 10 THEN 'max_retries must be between 0 and 10' END AS reason
+FROM benchmark""")
+def validate_goals_q(spark, sf_dir):
+    b = load(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("goal_id"), F.col("text").alias("user_goal"),
+        ((F.length("text") % 13) - 1).cast("int").alias("max_retries"))
+    good, bad = wf.validate_goals(b)
+    return good.select("goal_id", F.lit(None).cast("string").alias("reason")).unionByName(
+        bad.select(F.col("key").cast("long").alias("goal_id"), "reason"))
+
+
+@register("goals_from_findings", f"""{_WE} SELECT id AS goal_id, concat_ws(' ', 'Fix ' || lower(severity),
+  'in ' || regexp_extract(file_path, '([^/]*)$', 1), 'at line ' || CAST(line_number AS VARCHAR),
+  CASE WHEN coalesce(error_code, '') <> '' THEN '(' || error_code || ')' END, ': ' || message) AS user_goal,
+  3 AS max_retries FROM evf WHERE sev_rank <= 1""")
+def goals_from_findings_q(spark, sf_dir):
+    return wf.goals_from_findings(event_findings(spark, sf_dir))
+
+
+def _review_log(spark, sf_dir):
+    """Review log stand-in: purchase = approved review, error = rejected review,
+    one goal per user, reviews in time order."""
+    ev = load(spark, sf_dir, "events").filter(F.col("event_type").isin("purchase", "error"))
+    return ev.select(F.col("user_id").alias("goal_id"), "ts", (F.col("event_type") == "purchase").alias("approved"),
+                     "event_id", "event_type", "value", "props")
+
+
+_REVIEWS_CTE = """rv AS (SELECT user_id AS goal_id, ts, event_type = 'purchase' AS approved, event_id, event_type, value, props
+  FROM events WHERE event_type IN ('purchase', 'error'))"""
+
+
+@register("outcomes_from_log", f"""WITH {_REVIEWS_CTE},
+f AS (SELECT goal_id, min(CASE WHEN approved THEN ts END) AS first_ok, count(*) AS n FROM rv GROUP BY goal_id),
+b AS (SELECT rv.goal_id, count_if(f.first_ok IS NOT NULL AND rv.ts < f.first_ok) AS n_before FROM rv JOIN f USING (goal_id) GROUP BY rv.goal_id),
+g AS (SELECT DISTINCT user_id AS goal_id, 3 AS max_retries FROM events),
+j AS (SELECT g.goal_id, g.max_retries, f.first_ok, coalesce(f.n, 0) AS n, b.n_before FROM g LEFT JOIN f USING (goal_id) LEFT JOIN b USING (goal_id)),
+s AS (SELECT *, CASE WHEN first_ok IS NOT NULL AND n_before + 1 <= max_retries + 1 THEN 'approved'
+                     WHEN n >= max_retries + 1 THEN 'rejected' ELSE 'open' END AS final_status FROM j)
+SELECT goal_id, final_status, CAST(CASE final_status WHEN 'approved' THEN n_before WHEN 'rejected' THEN max_retries
+  ELSE greatest(n - 1, 0) END AS INTEGER) AS retry_count, CAST(least(n, max_retries + 1) AS INTEGER) AS reviews_used FROM s""")
+def outcomes_from_log_q(spark, sf_dir):
+    goals = load(spark, sf_dir, "events").select(F.col("user_id").alias("goal_id")).distinct() \
+        .withColumn("max_retries", F.lit(3))
+    return wf.outcomes_from_log(_review_log(spark, sf_dir), goals)
+
+
+def _attempts(spark, sf_dir):
+    """Attempt rows: reviews numbered per goal by time (retry_count = number - 1)."""
+    from pyspark.sql.window import Window
+    r = _review_log(spark, sf_dir)
+    w = Window.partitionBy("goal_id").orderBy("ts", "event_id")
+    return r.withColumns({
+        "retry_count": (F.row_number().over(w) - 1).cast("int"),
+        "max_retries": F.lit(3),
+        "proposed_fix": F.when(F.col("value") >= 5, F.col("props")),
+        "is_approved": F.col("approved"),
+        "feedback": F.when(~F.col("approved"), F.concat(F.lit("Rejected at value "), F.floor("value").cast("string"))),
+        "issues": F.when(~F.col("approved"), F.array(F.col("props"), F.lit("check the bounds"))).otherwise(F.array().cast("array<string>")),
+        "failed": F.col("value") >= 49,
+    })
+
+
+_ATTEMPTS_CTE = _REVIEWS_CTE + """, att AS (SELECT *, CAST(row_number() OVER (PARTITION BY goal_id ORDER BY ts, event_id) - 1 AS INTEGER) AS retry_count,
+  3 AS max_retries, CASE WHEN value >= 5 THEN props END AS proposed_fix, approved AS is_approved,
+  CASE WHEN NOT approved THEN 'Rejected at value ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END AS feedback,
+  CASE WHEN NOT approved THEN [props, 'check the bounds'] ELSE [] END AS issues, value >= 49 AS failed FROM rv)"""
+_NEXT_SQL = """CASE WHEN failed THEN 'failed' WHEN coalesce(proposed_fix, '') = '' THEN 'rejected' WHEN is_approved THEN 'approved'
+  WHEN retry_count < max_retries THEN 'coding' ELSE 'rejected' END"""
+
+
+@register("next_status", f"WITH {_ATTEMPTS_CTE} SELECT event_id, retry_count, {_NEXT_SQL} AS next_status FROM att")
+def next_status_q(spark, sf_dir):
+    a = _attempts(spark, sf_dir)
+    return a.select("event_id", "retry_count", wf.next_status().alias("next_status"))
+
+
+@register("retry_rows", f"""WITH {_ATTEMPTS_CTE} SELECT event_id, retry_count + 1 AS retry_count, 'coding' AS status,
+  CAST(NULL AS VARCHAR) AS proposed_fix, feedback FROM att WHERE ({_NEXT_SQL}) = 'coding'""")
+def retry_rows_q(spark, sf_dir):
+    a = _attempts(spark, sf_dir)
+    r = wf.retry_rows(a.filter(wf.next_status() == "coding"))
+    return r.select("event_id", "retry_count", "status", "proposed_fix", "feedback")
+
+
+def _results(spark, sf_dir):
+    a = _attempts(spark, sf_dir).withColumn("status", wf.next_status())
+    return wf.result_rows(a.withColumn("goal_id", F.col("event_id")))
+
+
+_RESULTS_CTE = _ATTEMPTS_CTE + f""", res AS (SELECT event_id AS goal_id, ({_NEXT_SQL}) = 'approved' AS success,
+  ({_NEXT_SQL}) = 'approved' AS is_approved, proposed_fix AS fix, feedback, issues, retry_count, ({_NEXT_SQL}) AS final_status,
+  0 AS retrieved_context_count FROM att)"""
+
+
+@register("result_rows", f"""WITH {_RESULTS_CTE} SELECT goal_id, success, fix, feedback, len(issues) AS n_issues,
+  retry_count, final_status, retrieved_context_count FROM res""")
+def result_rows_q(spark, sf_dir):
+    return _results(spark, sf_dir).select("goal_id", "success", "fix", "feedback", F.size("issues").alias("n_issues"),
+                                          "retry_count", "final_status", "retrieved_context_count")
+
+
+@register("result_preview", f"""WITH {_RESULTS_CTE} SELECT goal_id,
+  CASE WHEN success THEN '✅ APPROVED' ELSE '❌ REJECTED' END || ' (retries: ' || CAST(retry_count AS VARCHAR) || ')' || chr(10)
+  || CASE WHEN coalesce(fix, '') <> '' THEN chr(10) || 'Proposed Fix (' || CAST(length(fix) AS VARCHAR) || ' chars):' || chr(10)
+     || '```python' || chr(10) || substr(fix, 1, 500) || CASE WHEN length(fix) > 500 THEN chr(10) || '... (truncated)' ELSE '' END
+     || chr(10) || '```' || chr(10) ELSE '' END
+  || CASE WHEN coalesce(feedback, '') <> '' THEN chr(10) || 'Feedback: ' || substr(feedback, 1, 200)
+     || CASE WHEN length(feedback) > 200 THEN '...' ELSE '' END || chr(10) ELSE '' END
+  || CASE WHEN len(issues) > 0 THEN chr(10) || 'Issues (' || CAST(len(issues) AS VARCHAR) || '):' || chr(10)
+     || array_to_string(list_transform(issues[1:3], lambda x: '  - ' || substr(x, 1, 80) || chr(10)), '') ELSE '' END AS preview
+FROM res""")
+def result_preview_q(spark, sf_dir):
+    r = _results(spark, sf_dir)
+    return r.select("goal_id", wf.result_preview(r).alias("preview"))
+
+
+@register("report_md", f"""WITH {_RESULTS_CTE} SELECT goal_id, chr(10) || '# Fix Result Report' || chr(10) || '## Summary' || chr(10)
+  || '- **Success**: ' || CASE WHEN success THEN 'True' ELSE 'False' END || chr(10)
+  || '- **Approved**: ' || CASE WHEN is_approved THEN 'True' ELSE 'False' END || chr(10)
+  || '- **Retries**: ' || CAST(retry_count AS VARCHAR) || chr(10) || '- **Timestamp**: 2024-01-01 00:00:00' || chr(10)
+  || '## Proposed Fix' || chr(10) || CASE WHEN coalesce(fix, '') <> '' THEN '```python' || chr(10) || fix || chr(10) || '```' ELSE 'No fix generated' END
+  || chr(10) || '## Feedback' || chr(10) || coalesce(feedback, 'None') || chr(10) || '## Issues Found' || chr(10)
+  || CASE WHEN len(issues) > 0 THEN array_to_string(list_transform(issues, lambda x, i: CAST(i - 1 AS VARCHAR) || '. ' || x || chr(10)), '')
+     ELSE 'No issues reported' END AS report FROM res""")
+def report_md_q(spark, sf_dir):
+    r = _results(spark, sf_dir)
+    return r.select("goal_id", wf.report_md(r, "2024-01-01 00:00:00").alias("report"))
+
+
+@register("retry_context", f"""WITH {_ATTEMPTS_CTE} SELECT event_id, CASE WHEN retry_count = 0 THEN ''
+  WHEN coalesce(feedback, '') = '' AND len(issues) = 0 THEN ''
+  ELSE concat_ws(chr(10), chr(10) || '## Previous Attempt Feedback' || chr(10),
+    'The previous fix was rejected with this feedback:' || chr(10) || coalesce(feedback, 'None'),
+    CASE WHEN len(issues) > 0 THEN chr(10) || 'Specific issues to address:' || chr(10)
+      || array_to_string(list_transform(issues, lambda x: '  - ' || x), chr(10)) END) END AS retry_context FROM att""")
+def retry_context_q(spark, sf_dir):
+    return _attempts(spark, sf_dir).select("event_id", wf.retry_context().alias("retry_context"))
+
+
+def _dir_context(spark, sf_dir, k: int = 5):
+    """Per directory (goal): its top-k documents by id as the retrieved context,
+    plus the full count. Only k rows per group are collected (WindowGroupLimit)."""
+    from pyspark.sql.window import Window
+    e = ent.add_derived(doc_entities(spark, sf_dir)).withColumn("source", F.split_part("file_path", F.lit("/"), F.lit(1)))
+    e = e.withColumn("doc_key", F.regexp_extract("name", r"doc_(\d+)", 1).cast("long"))
+    w = Window.partitionBy("source").orderBy("doc_key")
+    top = e.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ctx = top.groupBy("source").agg(F.array_sort(F.collect_list(F.struct(
+        "rank", "qualified_name", "location", "docstring", ent.render_document().alias("document")))).alias("context"))
+    n = e.groupBy("source").agg(F.count(F.lit(1)).alias("n_context"))
+    return ctx.join(n, "source")
+
+
+_DIR_CTX_CTE = f"""{O.FILES_CTE}, {O.DOC_ENTITIES_CTE},
+e AS (SELECT *, split_part(file_path, '/', 1) AS source, CAST(regexp_extract(name, 'doc_([0-9]+)', 1) AS BIGINT) AS doc_key FROM ents),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_key) AS rank FROM e),
+ctx AS (SELECT source, list({{'qualified_name': name, 'location': file_path || ':' || CAST(start_line AS VARCHAR) || '-' || CAST(end_line AS VARCHAR),
+  'docstring': docstring, 'document': {_HEADER_SQL} || chr(10) || chr(10) || '```python' || chr(10) || content || chr(10) || '```'}} ORDER BY rank) AS context
+  FROM r WHERE rank <= 5 GROUP BY source),
+n AS (SELECT source, count(*) AS n_context FROM e GROUP BY source)"""
+
+
+@register("context_summary", f"""WITH {_DIR_CTX_CTE} SELECT ctx.source, 'Retrieved ' || CAST(n.n_context AS VARCHAR) || ' code entities:' || chr(10)
+  || array_to_string(list_transform(context, lambda x, i: '  ' || CAST(i AS VARCHAR) || '. ' || x.qualified_name || ' at ' || x.location
+     || CASE WHEN coalesce(x.docstring, '') <> '' THEN chr(10) || '     Doc: ' || {O.preview('x.docstring', 80)} ELSE '' END), chr(10)) AS summary
+FROM ctx JOIN n USING (source)""")
+def context_summary_q(spark, sf_dir):
+    c = _dir_context(spark, sf_dir)
+    return c.select("source", wf.context_summary("context", "n_context").alias("summary"))
+
+
+@register("context_code", f"""WITH {_DIR_CTX_CTE} SELECT source, array_to_string(list_transform(context, lambda x, i:
+  chr(10) || '--- Original Code Entity ' || CAST(i AS VARCHAR) || ' ---' || chr(10) || x.document || chr(10)), chr(10)) AS code FROM ctx""")
+def context_code_q(spark, sf_dir):
+    c = _dir_context(spark, sf_dir)
+    return c.select("source", wf.context_code("context", "Original Code Entity").alias("code"))
+
+
+@register("fix_context", f"""WITH {_DIR_CTX_CTE} SELECT source, concat_ws(chr(10), '## Relevant Code' || chr(10) || chr(10)
+  || array_to_string(list_transform(context, lambda x: x.document || chr(10) || chr(10) || '---' || chr(10)), chr(10)),
+  '## Proposed Fix' || chr(10) || chr(10) || 'use ' || source) AS fix_context FROM ctx""")
+def fix_context_q(spark, sf_dir):
+    c = _dir_context(spark, sf_dir).withColumn("proposed_fix", F.concat(F.lit("use "), F.col("source"))) \
+        .withColumn("feedback", F.lit(None).cast("string"))
+    return c.select("source", wf.fix_context().alias("fix_context"))

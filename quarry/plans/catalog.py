@@ -758,3 +758,205 @@ def fix_context_q(spark, sf_dir):
     c = _dir_context(spark, sf_dir).withColumn("proposed_fix", F.concat(F.lit("use "), F.col("source"))) \
         .withColumn("feedback", F.lit(None).cast("string"))
     return c.select("source", wf.fix_context().alias("fix_context"))
+
+
+# ---------------------------------------------------------------- retrieval (RET-*)
+
+from ..operators import retrieval as ret  # noqa: E402
+from ..functions.regex import sql_literal as _sql_lit  # noqa: E402
+
+_DIST_SQL = ("round(list_sum(list_transform(range(1, len(q.qv) + 1), lambda i: "
+             "(CAST(q.qv[i] AS DOUBLE) - CAST(e.embedding[i] AS DOUBLE)) * (CAST(q.qv[i] AS DOUBLE) - CAST(e.embedding[i] AS DOUBLE)))), 6)")
+
+
+def _vec_sql(where: str = "TRUE", k: int = 5) -> str:
+    return f"""WITH q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings),
+d AS (SELECT q.qid, e.vec_id AS id, {_DIST_SQL} AS distance FROM q, embeddings e WHERE {where}),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS INTEGER) AS rank FROM d)
+SELECT qid, id, distance, 1.0 - distance AS score, rank FROM r WHERE rank <= {k}"""
+
+
+def _embeddings(spark, sf_dir):
+    return load(spark, sf_dir, "embeddings")
+
+
+@register("vector_topk", _vec_sql())
+def vector_topk_q(spark, sf_dir):
+    e = _embeddings(spark, sf_dir)
+    return ret.vector_topk(e.select(F.col("vec_id").alias("qid"), "embedding"), e, 5, id_col="vec_id") \
+        .withColumnRenamed("vec_id", "id")
+
+
+@register("vector_topk_filtered", _vec_sql("e.label = 3"))
+def vector_topk_filtered(spark, sf_dir):
+    e = _embeddings(spark, sf_dir)
+    return ret.vector_topk(e.select(F.col("vec_id").alias("qid"), "embedding"), e, 5, id_col="vec_id",
+                           where=F.col("label") == 3).withColumnRenamed("vec_id", "id")
+
+
+@register("index_stats", "SELECT CAST(label AS VARCHAR) AS entity_type, count(*) AS n FROM embeddings GROUP BY 1")
+def index_stats_q(spark, sf_dir):
+    return ret.index_stats(_embeddings(spark, sf_dir), "label")
+
+
+@register("upsert_index", """WITH old AS (SELECT vec_id, label FROM embeddings WHERE label < 5),
+u AS (SELECT * FROM old UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM old))
+SELECT label, count(*) AS n, count(DISTINCT vec_id) AS ids FROM u GROUP BY label""")
+def upsert_index_q(spark, sf_dir):
+    e = _embeddings(spark, sf_dir).select("vec_id", "label")
+    u = ret.upsert_index(e.filter(F.col("label") < 5), e.unionByName(e), id_col="vec_id")
+    return u.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("vec_id").alias("ids"))
+
+
+_TOK = r"[^\p{L}\p{N}_]+"
+_KW_CTE = f"""qt AS (SELECT DISTINCT item_id AS qid, unnest(list_filter(regexp_split_to_array(lower(text), '{_TOK}'), lambda x: x <> '')) AS term FROM benchmark),
+qn AS (SELECT qid, count(*) AS nq FROM qt GROUP BY qid),
+dt AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '{_TOK}'), lambda x: x <> '')) AS term FROM documents),
+kw AS (SELECT qt.qid, dt.doc_id, count(*) / max(qn.nq) AS keyword_score FROM qt JOIN dt USING (term) JOIN qn USING (qid) GROUP BY qt.qid, dt.doc_id)"""
+
+
+@register("keyword_score", f"WITH {_KW_CTE} SELECT qid, doc_id, round(keyword_score, 6) AS keyword_score FROM kw")
+def keyword_score_q(spark, sf_dir):
+    q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    kw = ret.keyword_score(q, load(spark, sf_dir, "documents"))
+    return kw.withColumn("keyword_score", F.round("keyword_score", 6))
+
+
+_TFIDF_CTE = f"""dtf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '{_TOK}'), lambda x: x <> '')) AS term FROM documents) GROUP BY ALL),
+nd AS (SELECT count(*) AS n FROM documents),
+idf AS (SELECT term, ln((1 + (SELECT n FROM nd)) / (1 + count(*))) + 1 AS idf FROM dtf GROUP BY term),
+dw0 AS (SELECT doc_id, term, tf * idf AS w FROM dtf JOIN idf USING (term)),
+dw AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM dw0),
+qtf AS (SELECT qid, term, count(*) AS tf FROM (SELECT item_id AS qid, unnest(list_filter(regexp_split_to_array(lower(text), '{_TOK}'), lambda x: x <> '')) AS term FROM benchmark) GROUP BY ALL),
+qw0 AS (SELECT qid, term, tf * coalesce(idf, ln(1 + (SELECT n FROM nd)) + 1) AS qw FROM qtf LEFT JOIN idf USING (term)),
+qw AS (SELECT qid, term, qw / sqrt(sum(qw * qw) OVER (PARTITION BY qid)) AS qw FROM qw0),
+sim AS (SELECT qid, doc_id, sum(w * qw) AS similarity FROM dw JOIN qw USING (term) GROUP BY qid, doc_id)"""
+
+
+def _sim(spark, sf_dir):
+    q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return ret.tfidf_cosine(q, load(spark, sf_dir, "documents"))
+
+
+@register("tfidf_topk", f"""WITH {_TFIDF_CTE}, r AS (SELECT qid, doc_id, round(similarity, 6) AS similarity FROM sim),
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, doc_id) AS INTEGER) AS rank FROM r)
+SELECT qid, doc_id, similarity, rank FROM t WHERE rank <= 5""")
+def tfidf_topk(spark, sf_dir):
+    from pyspark.sql.window import Window
+    s = _sim(spark, sf_dir).withColumn("similarity", F.round("similarity", 6))
+    w = Window.partitionBy("qid").orderBy(F.col("similarity").desc(), "doc_id")
+    return s.withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
+
+
+@register("hybrid_topk", f"""WITH {_TFIDF_CTE}, {_KW_CTE},
+j AS (SELECT coalesce(sim.qid, kw.qid) AS qid, coalesce(sim.doc_id, kw.doc_id) AS doc_id,
+  coalesce(similarity, 0.0) AS similarity, coalesce(keyword_score, 0.0) AS keyword_score
+  FROM sim FULL OUTER JOIN kw ON sim.qid = kw.qid AND sim.doc_id = kw.doc_id),
+s AS (SELECT qid, doc_id, round(0.7 * similarity + 0.3 * keyword_score, 6) AS score FROM j),
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s)
+SELECT qid, doc_id, score, rank FROM t WHERE rank <= 5""")
+def hybrid_topk_q(spark, sf_dir):
+    q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    kw = ret.keyword_score(q, load(spark, sf_dir, "documents"))
+    return ret.hybrid_topk(_sim(spark, sf_dir), kw).select("qid", "doc_id", "score", "rank")
+
+
+_GLOB = "http*://*.example.com/en/*"
+
+
+@register("glob_filter", f"SELECT page_id, url FROM pages WHERE regexp_matches(url, {_sql_lit(ret.glob_regex(_GLOB))})")
+def glob_filter_q(spark, sf_dir):
+    return ret.glob_filter(load(spark, sf_dir, "pages").select("page_id", "url"), "url", _GLOB)
+
+
+@register("retrieve_batch", _vec_sql().replace("SELECT qid, id, distance, 1.0 - distance AS score, rank FROM r WHERE rank <= 5",
+          """, top AS (SELECT * FROM r WHERE rank <= 5)
+SELECT q.qid, CAST(count(top.id) AS INTEGER) AS n_context, string_agg(CAST(top.id AS VARCHAR), ',' ORDER BY top.rank) AS ids
+FROM (SELECT DISTINCT vec_id AS qid FROM embeddings) q LEFT JOIN top ON top.qid = q.qid AND top.id IN
+  (SELECT vec_id FROM embeddings WHERE label = 3) GROUP BY q.qid""").replace("WHERE TRUE", "WHERE e.label = 3"))
+def retrieve_batch(spark, sf_dir):
+    """RET-12: top-5 per query collected in rank order; a query whose search
+    found nothing keeps a row with an empty context."""
+    e = _embeddings(spark, sf_dir)
+    hits = ret.vector_topk(e.select(F.col("vec_id").alias("qid"), "embedding"), e, 5, id_col="vec_id",
+                           where=F.col("label") == 3)
+    goals = e.select(F.col("vec_id").alias("qid"))
+    r = ret.retrieve(goals, hits, "qid", ("vec_id", "score"))
+    return r.select("qid", F.size("context").cast("int").alias("n_context"),
+                    F.when(F.size("context") > 0, F.array_join(F.transform("context", lambda x: x["vec_id"].cast("string")), ","))
+                    .alias("ids"))
+
+
+@register("retrieve_fallback", f"""WITH g AS (SELECT item_id AS qid, text AS user_goal, CAST(NULL AS VARCHAR) AS search_query FROM benchmark),
+qt AS (SELECT DISTINCT qid, unnest(list_filter(regexp_split_to_array(lower(coalesce(nullif(search_query, ''), user_goal)), '{_TOK}'), lambda x: x <> '')) AS term FROM g),
+qn AS (SELECT qid, count(*) AS nq FROM qt GROUP BY qid),
+dt AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '{_TOK}'), lambda x: x <> '')) AS term FROM documents WHERE lang = 'de'),
+kw AS (SELECT qt.qid, dt.doc_id, count(*) / max(qn.nq) AS ks FROM qt JOIN dt USING (term) JOIN qn USING (qid) GROUP BY qt.qid, dt.doc_id),
+t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(ks, 6) DESC, doc_id) AS rank FROM kw)
+SELECT g.qid, CAST(count(t.doc_id) AS INTEGER) AS n_context FROM g LEFT JOIN t ON t.qid = g.qid AND t.rank <= 5 GROUP BY g.qid""")
+def retrieve_fallback(spark, sf_dir):
+    """RET-11: a missing plan query falls back to the goal text; goals whose
+    search finds nothing (German documents only) keep an empty context."""
+    from pyspark.sql.window import Window
+    g = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("user_goal"),
+                                                 F.lit(None).cast("string").alias("search_query"))
+    q = g.select("qid", ret.search_query().alias("text"))
+    docs = load(spark, sf_dir, "documents").filter(F.col("lang") == "de")
+    kw = ret.keyword_score(q, docs).withColumn("keyword_score", F.round("keyword_score", 6))
+    w = Window.partitionBy("qid").orderBy(F.col("keyword_score").desc(), "doc_id")
+    top = kw.withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
+    r = ret.retrieve(g, top, "qid", ("doc_id",))
+    return r.select("qid", F.size("context").cast("int").alias("n_context"))
+
+
+# ---------------------------------------------------------------- traces (TRC-*)
+
+from ..operators import traces as trc  # noqa: E402
+
+
+def _calls(spark, sf_dir):
+    """Call log stand-in: event type = agent, value = latency, props.k = tokens."""
+    ev = load(spark, sf_dir, "events")
+    return ev.select(F.col("event_id").alias("call_id"), "ts", F.col("event_type").alias("agent"),
+                     F.when(F.col("user_id") % 2 == 0, "openai").otherwise("ollama").alias("provider"),
+                     F.get_json_object("props", "$.k").cast("int").alias("tokens"),
+                     F.col("value").alias("latency_ms"))
+
+
+@register("call_metrics", """SELECT event_type AS agent, count(*) AS calls, CAST(sum(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS BIGINT) AS tokens,
+  round(avg(value), 6) AS mean_latency_ms, round(quantile_cont(value, 0.95), 6) AS p95_latency_ms FROM events GROUP BY event_type""")
+def call_metrics_q(spark, sf_dir):
+    return trc.call_metrics(_calls(spark, sf_dir), ["agent"])
+
+
+@register("call_metrics_rollup", """SELECT event_type AS agent, CASE WHEN user_id % 2 = 0 THEN 'openai' ELSE 'ollama' END AS provider,
+  count(*) AS calls FROM events GROUP BY ROLLUP (event_type, CASE WHEN user_id % 2 = 0 THEN 'openai' ELSE 'ollama' END)""")
+def call_metrics_rollup(spark, sf_dir):
+    return _calls(spark, sf_dir).rollup("agent", "provider").agg(F.count(F.lit(1)).alias("calls"))
+
+
+@register("workflow_metrics")
+def workflow_metrics_q(spark, sf_dir):
+    o = outcomes_from_log_q(spark, sf_dir)
+    return trc.workflow_metrics(o, ["final_status", "retry_count"])
+
+
+@register("transition_matrix", """WITH p AS (SELECT role AS from_status, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS to_status FROM conversations)
+SELECT from_status, to_status, count(*) AS n FROM p WHERE to_status IS NOT NULL GROUP BY ALL""")
+def transition_matrix_q(spark, sf_dir):
+    return trc.transition_matrix(load(spark, sf_dir, "conversations"), "conv_id", "turn", "role")
+
+
+@register("assemble_messages", "SELECT conv_id, string_agg(text, '' ORDER BY turn) AS message FROM conversations GROUP BY conv_id")
+def assemble_messages_q(spark, sf_dir):
+    return trc.assemble_messages(load(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+@register("by_agent", "SELECT event_type AS agent, count(*) AS spans, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY event_type")
+def by_agent_q(spark, sf_dir):
+    return trc.by_agent(_calls(spark, sf_dir))
+
+
+@register("event_rates", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_rates_q(spark, sf_dir):
+    return trc.event_rates(load(spark, sf_dir, "events"))

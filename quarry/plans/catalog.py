@@ -258,7 +258,8 @@ def event_findings(spark, sf_dir):
     """Stand-in findings: one per event. The event type is the tool's level text
     (DET-06 maps it to a severity), ``user_id`` the file, ``props.k`` the line,
     ``value`` the tool (MYPY/PYLINT/RUFF = detector order), ``event_id`` the emit order."""
-    ev = load(spark, sf_dir, "events")
+    from ..sources.tables import spread
+    ev = spread(load(spark, sf_dir, "events"))
     level = (F.when(F.col("event_type") == "view", "note").when(F.col("event_type") == "click", "warning")
              .otherwise(F.col("event_type")))
     source = F.when(F.col("value") >= 30, "MYPY").when(F.col("value") >= 10, "PYLINT").otherwise("RUFF")
@@ -818,7 +819,7 @@ kw AS (SELECT qt.qid, dt.doc_id, count(*) / max(qn.nq) AS keyword_score FROM qt
 @register("keyword_score", f"WITH {_KW_CTE} SELECT qid, doc_id, round(keyword_score, 6) AS keyword_score FROM kw")
 def keyword_score_q(spark, sf_dir):
     q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    kw = ret.keyword_score(q, load(spark, sf_dir, "documents"))
+    kw = ret.keyword_score(q, _docs(spark, sf_dir))
     return kw.withColumn("keyword_score", F.round("keyword_score", 6))
 
 
@@ -833,9 +834,14 @@ qw AS (SELECT qid, term, qw / sqrt(sum(qw * qw) OVER (PARTITION BY qid)) AS qw F
 sim AS (SELECT qid, doc_id, sum(w * qw) AS similarity FROM dw JOIN qw USING (term) GROUP BY qid, doc_id)"""
 
 
+def _docs(spark, sf_dir):
+    from ..sources.tables import spread
+    return spread(load(spark, sf_dir, "documents"))
+
+
 def _sim(spark, sf_dir):
     q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return ret.tfidf_cosine(q, load(spark, sf_dir, "documents"))
+    return ret.tfidf_cosine(q, _docs(spark, sf_dir))
 
 
 @register("tfidf_topk", f"""WITH {_TFIDF_CTE}, r AS (SELECT qid, doc_id, round(similarity, 6) AS similarity FROM sim),
@@ -857,7 +863,7 @@ t AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, do
 SELECT qid, doc_id, score, rank FROM t WHERE rank <= 5""")
 def hybrid_topk_q(spark, sf_dir):
     q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    kw = ret.keyword_score(q, load(spark, sf_dir, "documents"))
+    kw = ret.keyword_score(q, _docs(spark, sf_dir))
     return ret.hybrid_topk(_sim(spark, sf_dir), kw).select("qid", "doc_id", "score", "rank")
 
 

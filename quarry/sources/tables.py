@@ -45,7 +45,8 @@ def files_from_documents(docs: DataFrame) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files_from_documents(load(spark, sf_dir, "documents"))
+    """Documents as files, spread over the task slots (text work is CPU-bound)."""
+    return spread(files_from_documents(load(spark, sf_dir, "documents")))
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:

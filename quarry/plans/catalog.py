@@ -966,3 +966,30 @@ def by_agent_q(spark, sf_dir):
 @register("event_rates", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_rates_q(spark, sf_dir):
     return trc.event_rates(load(spark, sf_dir, "events"))
+
+
+# ---------------------------------------------------------------- file names (SRC-03/04)
+
+def _page_files(spark, sf_dir):
+    from ..functions.text import path_name
+    p = load(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)", 1).alias("path"))
+    return p.withColumn("file_name", path_name("path"))
+
+
+_PAGE_SQL = """pf AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path FROM pages),
+pn AS (SELECT page_id, path, regexp_extract(path, '([^/]*)$', 1) AS file_name FROM pf)"""
+
+
+@register("drop_tests", f"WITH {_PAGE_SQL} SELECT page_id, file_name FROM pn WHERE NOT contains(lower(file_name), '2')")
+def drop_tests_q(spark, sf_dir):
+    """Names containing the marker are dropped (``2`` for page names, ``test`` for code)."""
+    from ..sources.files import drop_tests as _dt
+    return _dt(_page_files(spark, sf_dir), marker="2").select("page_id", "file_name")
+
+
+@register("file_count", f"""WITH {_PAGE_SQL} SELECT count(*) AS files,
+  count_if(NOT contains(lower(file_name), '2')) AS files_without_marker FROM pn""")
+def file_count_q(spark, sf_dir):
+    f = _page_files(spark, sf_dir)
+    return f.agg(F.count(F.lit(1)).alias("files"),
+                 F.count_if(~F.contains(F.lower(F.col("file_name")), F.lit("2"))).alias("files_without_marker"))

@@ -941,7 +941,20 @@ def call_metrics_rollup(spark, sf_dir):
     return _calls(spark, sf_dir).rollup("agent", "provider").agg(F.count(F.lit(1)).alias("calls"))
 
 
-@register("workflow_metrics")
+_OUTCOMES_SQL = f"""WITH {_REVIEWS_CTE},
+f AS (SELECT goal_id, min(CASE WHEN approved THEN ts END) AS first_ok, count(*) AS n FROM rv GROUP BY goal_id),
+b AS (SELECT rv.goal_id, count_if(f.first_ok IS NOT NULL AND rv.ts < f.first_ok) AS n_before FROM rv JOIN f USING (goal_id) GROUP BY rv.goal_id),
+g AS (SELECT DISTINCT user_id AS goal_id, 3 AS max_retries FROM events),
+j AS (SELECT g.goal_id, g.max_retries, f.first_ok, coalesce(f.n, 0) AS n, b.n_before FROM g LEFT JOIN f USING (goal_id) LEFT JOIN b USING (goal_id)),
+s AS (SELECT *, CASE WHEN first_ok IS NOT NULL AND n_before + 1 <= max_retries + 1 THEN 'approved'
+                     WHEN n >= max_retries + 1 THEN 'rejected' ELSE 'open' END AS final_status FROM j)
+SELECT goal_id, final_status, CAST(CASE final_status WHEN 'approved' THEN n_before WHEN 'rejected' THEN max_retries
+  ELSE greatest(n - 1, 0) END AS INTEGER) AS retry_count, CAST(least(n, max_retries + 1) AS INTEGER) AS reviews_used FROM s"""
+
+
+@register("workflow_metrics", "WITH o AS (" + _OUTCOMES_SQL + ") SELECT final_status, retry_count, count(*) AS goals, "
+          "count_if(final_status = 'approved') AS successes, "
+          "round(avg(CASE WHEN final_status = 'approved' THEN 1.0 ELSE 0.0 END), 6) AS success_rate FROM o GROUP BY ALL")
 def workflow_metrics_q(spark, sf_dir):
     o = outcomes_from_log_q(spark, sf_dir)
     return trc.workflow_metrics(o, ["final_status", "retry_count"])
@@ -993,3 +1006,13 @@ def file_count_q(spark, sf_dir):
     f = _page_files(spark, sf_dir)
     return f.agg(F.count(F.lit(1)).alias("files"),
                  F.count_if(~F.contains(F.lower(F.col("file_name")), F.lit("2"))).alias("files_without_marker"))
+
+
+# ---------------------------------------------------------------- Python entities (ENT-01, 11) over documents
+
+@register("python_entities")
+def python_entities(spark, sf_dir):
+    """The Arrow parse job over every document; prose does not parse, so each
+    file takes the whole-file fall-back path (ENT-11). Rows-only check."""
+    from ..operators.extract import extract_entities
+    return extract_entities(files(spark, sf_dir)).select("entity_type", "name", "file_path", "start_line", "end_line")

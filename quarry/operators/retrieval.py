@@ -140,11 +140,11 @@ def keyword_score(queries: DataFrame, docs: DataFrame, qid: str = "qid", qtext:
         F.col("_q").alias(qid), F.col("_d").alias(did), (F.col("_hit") / F.col("_nq")).alias("keyword_score"))
 
 
-def tfidf(docs: DataFrame, did: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def tfidf(docs: DataFrame, did: str = "doc_id", text: str = "text", n: int | None = None) -> tuple[DataFrame, DataFrame]:
     """RET-13: TF-IDF weights ``(doc, term, w)`` L2-normalised per document, and
     the ``(term, idf)`` table; idf = ln((1 + N) / (1 + df)) + 1."""
     tf = term_table(docs, did, text)
-    n = docs.count()  # one number; the corpus size in the idf
+    n = docs.count() if n is None else n  # one number; the corpus size in the idf
     df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     idf = df_.select("term", (F.log(F.lit(float(1 + n)) / (1 + F.col("_df"))) + 1).alias("idf"))
     w = tf.join(idf, "term").select(did, "term", (F.col("tf") * F.col("idf")).alias("w"))
@@ -155,8 +155,8 @@ def tfidf(docs: DataFrame, did: str = "doc_id", text: str = "text") -> tuple[Dat
 def tfidf_cosine(queries: DataFrame, docs: DataFrame, qid: str = "qid", qtext: str = "text",
                  did: str = "doc_id", dtext: str = "text") -> DataFrame:
     """Cosine similarity of query and document TF-IDF vectors (pairs sharing a term)."""
-    dw, idf = tfidf(docs, did, dtext)
     n = docs.count()
+    dw, idf = tfidf(docs, did, dtext, n)
     qtf = term_table(queries, qid, qtext)
     # query terms missing from the corpus still count in the query norm
     qw = qtf.join(idf, "term", "left").select(

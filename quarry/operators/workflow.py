@@ -213,9 +213,9 @@ def result_rows(df: DataFrame) -> DataFrame:
         else F.lit(0).alias("retrieved_context_count"))
 
 
-def compact(df: DataFrame) -> DataFrame:
+def compact(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """FIX-19: prompt view; the retrieved context replaced by its size."""
-    return df.select("user_goal", "search_query", "retry_count", "max_retries",
+    return df.select(*keep, "user_goal", "search_query", "retry_count", "max_retries",
                      F.coalesce(F.size("context"), F.lit(0)).alias("retrieved_count"),
                      "proposed_fix", "is_approved", "feedback", "issues")
 

@@ -22,11 +22,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _bigint_count_if(sql: str) -> str:
+    """DuckDB's ``count_if`` is HUGEINT; Spark's is BIGINT. Cast every call."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            if depth == 0:
+                break
+            k += 1
+        out.append(sql[i:j] + "CAST(" + sql[j:k + 1] + " AS BIGINT)")
+        i = k + 1
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = _bigint_count_if(sql)
         return fn
     return deco
 
@@ -668,7 +686,7 @@ _RESULTS_CTE = _ATTEMPTS_CTE + f""", res AS (SELECT event_id AS goal_id, ({_NEXT
   0 AS retrieved_context_count FROM att)"""
 
 
-@register("result_rows", f"""WITH {_RESULTS_CTE} SELECT goal_id, success, fix, feedback, len(issues) AS n_issues,
+@register("result_rows", f"""WITH {_RESULTS_CTE} SELECT goal_id, success, fix, feedback, CAST(len(issues) AS INTEGER) AS n_issues,
   retry_count, final_status, retrieved_context_count FROM res""")
 def result_rows_q(spark, sf_dir):
     return _results(spark, sf_dir).select("goal_id", "success", "fix", "feedback", F.size("issues").alias("n_issues"),
@@ -1016,3 +1034,60 @@ def python_entities(spark, sf_dir):
     file takes the whole-file fall-back path (ENT-11). Rows-only check."""
     from ..operators.extract import extract_entities
     return extract_entities(files(spark, sf_dir)).select("entity_type", "name", "file_path", "start_line", "end_line")
+
+
+# ---------------------------------------------------------------- more keys of SURVEY §7.3
+
+# User rules that replace a default by name and add one (DET-03 / UDF-02).
+OVERRIDE_RULES: tuple[Rule, ...] = (
+    Rule("debug_print", r"\bprint\b", "Word 'print' in text", None, "INFO"),
+    Rule("hardcoded_secret", r"""(password|secret|api_key|token)\s*=\s*"[0-9a-f]{40}\"""",
+         "Potential hardcoded secret (40 hex)", "Use environment variables or secret management", "ERROR"),
+    Rule("quoted_phrase", r"\"[^\"\n]{1,40}\"", "Quoted phrase", None, "INFO"),
+)
+
+
+def _merged_rules(spark):
+    from ..operators.rules import collect_rules, rules_df, with_rules
+    base = rules_df(spark, SCAN_RULES)
+    extra = rules_df(spark, OVERRIDE_RULES)
+    return collect_rules(with_rules(base, extra))
+
+
+def _merged_rules_static() -> list[Rule]:
+    """The same dict-update merge, for writing the oracle SQL."""
+    merged = {r.rule: r for r in SCAN_RULES}
+    for r in OVERRIDE_RULES:
+        merged[r.rule] = r
+    return list(merged.values())
+
+
+@register("rule_overrides", _WITH_FILES + f"""
+SELECT path, rule, severity, line_number, hit FROM {O.rule_hits_sql(_merged_rules_static())}""")
+def rule_overrides(spark, sf_dir):
+    from ..operators.rules import rule_scan
+    return rule_scan(files(spark, sf_dir), _merged_rules(spark)).select("path", "rule", "severity", "line_number", "hit")
+
+
+@register("score_convert", _vec_sql("e.label = 7", 2).replace(
+    "SELECT qid, id, distance, 1.0 - distance AS score, rank FROM r WHERE rank <= 2",
+    "SELECT qid, id, 1.0 - distance AS score FROM r WHERE rank <= 2"))
+def score_convert(spark, sf_dir):
+    """RET-03: similarity = 1 - distance for the two nearest label-7 records."""
+    e = _embeddings(spark, sf_dir)
+    t = ret.vector_topk(e.select(F.col("vec_id").alias("qid"), "embedding"), e, 2, id_col="vec_id",
+                        where=F.col("label") == 7)
+    return t.select("qid", F.col("vec_id").alias("id"), "score")
+
+
+@register("compact", f"""WITH {_ATTEMPTS_CTE} SELECT event_id, 'goal ' || CAST(goal_id AS VARCHAR) AS user_goal,
+  CAST(NULL AS VARCHAR) AS search_query, retry_count, max_retries, 0 AS retrieved_count, proposed_fix,
+  is_approved, feedback, CAST(len(issues) AS INTEGER) AS n_issues FROM att""")
+def compact_q(spark, sf_dir):
+    """FIX-19: prompt view of attempt rows, the context replaced by its size."""
+    a = _attempts(spark, sf_dir).withColumns({
+        "user_goal": F.concat(F.lit("goal "), F.col("goal_id").cast("string")),
+        "search_query": F.lit(None).cast("string"),
+        "context": F.array().cast("array<string>")})
+    c = wf.compact(a, keep=("event_id",))
+    return c.withColumn("n_issues", F.size("issues")).drop("issues")

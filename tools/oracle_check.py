@@ -79,6 +79,14 @@ def main():
             print(f"COLS {name}: spark={cols} duck={dcols}")
             bad += 1
             continue
+        tmap = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE",
+                "float": "FLOAT", "smallint": "SMALLINT"}
+        stypes = {f.name: tmap.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+        dtypes = {d[0]: str(d[1]) for d in cur.description}
+        tdiff = {c: (stypes[c], dtypes[c]) for c in cols if stypes[c] != dtypes[c]}
+        if tdiff:
+            print(f"TYPES {name}: {tdiff}")
         order = [cols.index(c) for c in sorted(cols)]
         dorder = [dcols.index(c) for c in sorted(cols)]
         a = Counter(tuple(r[i] for i in order) for r in srows)

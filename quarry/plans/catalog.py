@@ -1091,3 +1091,68 @@ def compact_q(spark, sf_dir):
         "context": F.array().cast("array<string>")})
     c = wf.compact(a, keep=("event_id",))
     return c.withColumn("n_issues", F.size("issues")).drop("issues")
+
+
+@register("stack_frames_all", f"""WITH d AS (SELECT doc_id,
+  regexp_extract_all(text, '({O.WORD}+)\\.(\\p{{Nd}}+)@({O.WORD}+)', 1) AS f,
+  regexp_extract_all(text, '({O.WORD}+)\\.(\\p{{Nd}}+)@({O.WORD}+)', 2) AS l,
+  regexp_extract_all(text, '({O.WORD}+)\\.(\\p{{Nd}}+)@({O.WORD}+)', 3) AS fn FROM documents),
+u AS (SELECT doc_id, unnest(range(0, len(f))) AS frame, f, l, fn FROM d WHERE len(f) > 0)
+SELECT doc_id, CAST(frame AS INTEGER) AS frame, f[frame + 1] AS file, CAST(l[frame + 1] AS INTEGER) AS line,
+  fn[frame + 1] AS function FROM u""")
+def stack_frames_all(spark, sf_dir):
+    """DET-08, every frame: one row per "<name>.<n>@<host>" frame of each document."""
+    from ..sources.reports import stack_frames
+    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return stack_frames(d, "text", PROSE_FRAME).select("doc_id", "frame", "file", "line", "function")
+
+
+# Prompt templates per role (our wording; the roles' real texts are user data).
+TEMPLATES = (("planner", "Plan a search for: {user_goal} (budget {max_retries})"),
+             ("coder", "Write a fix for: {user_goal}"),
+             ("reviewer", "Review the fix for: {user_goal}"))
+
+
+@register("render_prompts", f"""{_WE}, g AS (SELECT id AS goal_id, concat_ws(' ', 'Fix ' || lower(severity),
+  'in ' || regexp_extract(file_path, '([^/]*)$', 1), 'at line ' || CAST(line_number AS VARCHAR),
+  CASE WHEN coalesce(error_code, '') <> '' THEN '(' || error_code || ')' END, ': ' || message) AS user_goal,
+  3 AS max_retries, CASE severity WHEN 'ERROR' THEN 'coder' WHEN 'WARNING' THEN 'planner' ELSE 'writer' END AS role FROM evf),
+t AS (SELECT * FROM (VALUES {", ".join(f"({_sql_lit(r)}, {_sql_lit(t)})" for r, t in TEMPLATES)}) v(role, template))
+SELECT goal_id, g.role, replace(replace(template, '{{user_goal}}', user_goal), '{{max_retries}}', CAST(max_retries AS VARCHAR)) AS prompt,
+  CASE WHEN template IS NULL THEN 'unknown role: ' || g.role END AS prompt_error
+FROM g LEFT JOIN t ON t.role = g.role""")
+def render_prompts(spark, sf_dir):
+    """FIX-05: fill each goal's role template; an unknown role is flagged, not dropped."""
+    f = event_findings(spark, sf_dir)
+    g = f.select(F.col("id").alias("goal_id"), fnd.goal_text().alias("user_goal"), F.lit(3).alias("max_retries"),
+                 F.when(F.col("severity") == "ERROR", "coder").when(F.col("severity") == "WARNING", "planner")
+                 .otherwise("writer").alias("role"))
+    t = spark.createDataFrame(list(TEMPLATES), "role string, template string")
+    r = wf.render_prompt(g, t, "role", ("user_goal", "max_retries"))
+    return r.select("goal_id", "role", "prompt", "prompt_error")
+
+
+@register("fix_rounds")
+def fix_rounds(spark, sf_dir):
+    """FIX-14/16/17 end to end on the driver tables: goals are labelled documents,
+    the writer's replies are the document texts (not JSON: the raw text is the
+    fix), the first review verdict comes from the label (quality 1 approves),
+    later reviews are missing replies (approved with the parse-failure marker).
+    Rows-only check: the rounds are iterative."""
+    lab = load(spark, sf_dir, "labels")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    goals = lab.join(docs, "doc_id").select(F.col("doc_id").alias("goal_id"),
+                                             F.concat(F.lit("Review document "), F.col("doc_id").cast("string")).alias("user_goal"),
+                                             F.lit(2).alias("max_retries"))
+    code = lab.join(docs, "doc_id").select(F.col("doc_id").cast("string").alias("prompt_key"), F.lit("code").alias("stage"),
+                                           F.lit(0).alias("attempt"), F.col("text").alias("content"))
+    code = code.unionByName(code.withColumn("attempt", F.lit(1)))
+    review = lab.select(F.col("doc_id").cast("string").alias("prompt_key"), F.lit("review").alias("stage"),
+                        F.lit(0).alias("attempt"),
+                        F.to_json(F.struct((F.col("quality") == 1).alias("is_approved"),
+                                           F.lit("low quality").alias("feedback"),
+                                           F.array(F.concat(F.lit("toxic="), F.col("toxic").cast("string"))).alias("issues"))
+                                  ).alias("content"))
+    rp = wf.replay(code.unionByName(review))
+    done, tr = wf.run_rounds(goals, lambda d: rp(d, "code"), lambda d: rp(d, "review"))
+    return done.select("goal_id", "status", "retry_count", "feedback")

@@ -228,9 +228,9 @@ def read_test_reports(spark: SparkSession, directory: str) -> DataFrame:
     return out
 
 
-def stack_frames(df: DataFrame, text: str = "text") -> DataFrame:
-    """DET-08, all frames: one row per traceback frame with its index."""
-    p = F.lit(unicode_classes(FRAME_PATTERN))
+def stack_frames(df: DataFrame, text: str = "text", pattern: str = FRAME_PATTERN) -> DataFrame:
+    """DET-08, all frames: one row per traceback frame with its index (0 = first in text)."""
+    p = F.lit(unicode_classes(pattern))
     t = F.col(text)
     fs = F.arrays_zip(F.regexp_extract_all(t, p, 1).alias("file"), F.regexp_extract_all(t, p, 2).alias("line"),
                       F.regexp_extract_all(t, p, 3).alias("function"))

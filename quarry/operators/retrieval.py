@@ -25,6 +25,7 @@ DEFAULT_K, MAX_K = 5, 20
 # Query vectors broadcast per pass (64-dim doubles: ~25 MB per 50k queries).
 MAX_QUERY_BATCH = 50_000
 TOKEN = r"[^\p{L}\p{N}_]+"
+WORD_RUN = r"[\p{L}\p{N}_]+"
 
 
 def _passes(queries: DataFrame, key: str, limit: int) -> list[DataFrame]:
@@ -116,8 +117,11 @@ def upsert_index(index: DataFrame, new: DataFrame, id_col: str = "id", order: st
 # ---- keyword and TF-IDF ----------------------------------------------------
 
 def tokens(text) -> Column:
+    """Lower-cased runs of letters, digits and ``_`` (Unicode). Extracting the
+    runs gives the same list as splitting on the complement and dropping
+    empties, without an interpreted lambda over every token."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(c), TOKEN, -1), lambda x: x != "")
+    return F.regexp_extract_all(F.lower(c), F.lit(WORD_RUN), 0)
 
 
 def term_table(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -126,37 +130,54 @@ def term_table(df: DataFrame, key: str, text: str) -> DataFrame:
         F.count(F.lit(1)).alias("tf"))
 
 
-def keyword_score(queries: DataFrame, docs: DataFrame, qid: str = "qid", qtext: str = "text",
-                  did: str = "doc_id", dtext: str = "text") -> DataFrame:
+def term_index(docs: DataFrame, did: str = "doc_id", text: str = "text") -> DataFrame:
+    """The inverted index ``(doc, term, tf)``, built once and cut from its lineage
+    with a reliable checkpoint into the cluster's shared checkpoint folder, so
+    document frequencies, weights, norms and keyword hits all read it instead
+    of re-tokenising the corpus."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(docs.sparkSession)
+    return term_table(docs, did, text).checkpoint(eager=True)
+
+
+def keyword_score(queries: DataFrame, docs: DataFrame | None = None, qid: str = "qid", qtext: str = "text",
+                  did: str = "doc_id", dtext: str = "text", terms: DataFrame | None = None) -> DataFrame:
     """RET-08: share of a query's distinct keywords present among a document's
     tokens (only pairs sharing a keyword). Inverted-index equi-join on the
     token with the (bounded, broadcast) query side; partial counts per
-    (doc, query) are combined map-side."""
+    (doc, query) are combined map-side. ``terms`` (from :func:`term_index`)
+    replaces tokenising ``docs``."""
     qt = queries.select(F.col(qid).alias("_q"), F.explode(F.array_distinct(tokens(qtext))).alias("term"))
     qn = qt.groupBy("_q").agg(F.count(F.lit(1)).alias("_nq"))
-    dt = docs.select(F.col(did).alias("_d"), F.explode(F.array_distinct(tokens(dtext))).alias("term"))
+    if terms is not None:
+        dt = terms.select(F.col(did).alias("_d"), "term")
+    else:
+        dt = docs.select(F.col(did).alias("_d"), F.explode(F.array_distinct(tokens(dtext))).alias("term"))
     hits = dt.join(F.broadcast(qt), "term").groupBy("_q", "_d").agg(F.count(F.lit(1)).alias("_hit"))
     return hits.join(F.broadcast(qn), "_q").select(
         F.col("_q").alias(qid), F.col("_d").alias(did), (F.col("_hit") / F.col("_nq")).alias("keyword_score"))
 
 
-def tfidf(docs: DataFrame, did: str = "doc_id", text: str = "text", n: int | None = None) -> tuple[DataFrame, DataFrame]:
+def tfidf(terms: DataFrame, n: int, did: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """RET-13: TF-IDF weights ``(doc, term, w)`` L2-normalised per document, and
-    the ``(term, idf)`` table; idf = ln((1 + N) / (1 + df)) + 1."""
-    tf = term_table(docs, did, text)
-    n = docs.count() if n is None else n  # one number; the corpus size in the idf
-    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    the ``(term, idf)`` table; idf = ln((1 + N) / (1 + df)) + 1. ``terms`` is
+    the term index, ``n`` the number of documents."""
+    df_ = terms.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     idf = df_.select("term", (F.log(F.lit(float(1 + n)) / (1 + F.col("_df"))) + 1).alias("idf"))
-    w = tf.join(idf, "term").select(did, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    w = terms.join(idf, "term").select(did, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = w.groupBy(did).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return w.join(norm, did).select(did, "term", (F.col("w") / F.col("_norm")).alias("w")), idf.select("term", "idf")
+    return w.join(norm, did).select(did, "term", (F.col("w") / F.col("_norm")).alias("w")), idf
 
 
-def tfidf_cosine(queries: DataFrame, docs: DataFrame, qid: str = "qid", qtext: str = "text",
-                 did: str = "doc_id", dtext: str = "text") -> DataFrame:
+def tfidf_cosine(queries: DataFrame, docs: DataFrame | None = None, qid: str = "qid", qtext: str = "text",
+                 did: str = "doc_id", dtext: str = "text", terms: DataFrame | None = None,
+                 n: int | None = None) -> DataFrame:
     """Cosine similarity of query and document TF-IDF vectors (pairs sharing a term)."""
-    n = docs.count()
-    dw, idf = tfidf(docs, did, dtext, n)
+    if terms is None:
+        terms = term_index(docs, did, dtext)
+    if n is None:
+        n = docs.count() if docs is not None else terms.select(did).distinct().count()
+    dw, idf = tfidf(terms, n, did)
     qtf = term_table(queries, qid, qtext)
     # query terms missing from the corpus still count in the query norm
     qw = qtf.join(idf, "term", "left").select(

@@ -28,6 +28,9 @@ class Rule:
     message: str
     suggestion: str | None
     severity: str
+    # Optional exact pre-check: lower-case literals of which every match
+    # contains at least one. Texts holding none of them skip the regex.
+    must_contain: tuple[str, ...] | None = None
 
 
 # --- fixed values: the default rule set (name, pattern, message, suggestion,
@@ -36,34 +39,34 @@ class Rule:
 DEFAULT_RULES: tuple[Rule, ...] = (
     Rule("dict_direct_access", r"""\['\"](\w+)['\"]""",
          "Direct dictionary access without .get() - may raise KeyError",
-         "Use .get() method or check if key exists first", "WARNING"),
+         "Use .get() method or check if key exists first", "WARNING", ("['\"]",)),
     Rule("list_modify_while_iterating", r"for\s+\w+\s+in\s+(\w+):.*?\1\.(remove|append|insert)",
          "Modifying list while iterating over it",
-         "Create a new list instead of modifying during iteration", "ERROR"),
+         "Create a new list instead of modifying during iteration", "ERROR", ("for",)),
     Rule("division_no_check", r"return\s+.*/\s*\w+",
          "Division operation without zero check",
-         "Add check: if denominator == 0: raise ValueError(...)", "WARNING"),
+         "Add check: if denominator == 0: raise ValueError(...)", "WARNING", ("return",)),
     Rule("len_no_empty_check", r"len\(\w+\)",
          "Using len() without checking if empty first",
-         "Check if list is empty before using len() in division", "WARNING"),
+         "Check if list is empty before using len() in division", "WARNING", ("len(",)),
     Rule("bare_except", r"except\s*:\s*$",
          "Bare 'except:' clause catches SystemExit and KeyboardInterrupt",
-         "Use 'except Exception:' or be more specific", "WARNING"),
+         "Use 'except Exception:' or be more specific", "WARNING", ("except",)),
     Rule("mutable_default", r"def\s+\w+\s*\([^)]*=(?<!,)\s*(\[|{)",
          "Mutable default argument (list or dict)",
-         "Use None as default and initialize mutable in function body", "ERROR"),
+         "Use None as default and initialize mutable in function body", "ERROR", ("def",)),
     Rule("hardcoded_secret", r"""(password|secret|api_key|token)\s*[=:]\s*['\"][^'\"]+['\"]""",
          "Potential hardcoded secret",
-         "Use environment variables or secret management", "WARNING"),
+         "Use environment variables or secret management", "WARNING", ("password", "secret", "api_key", "token")),
     Rule("debug_print", r"print\s*\(",
          "Debug print statement found",
-         "Use logging instead of print", "INFO"),
+         "Use logging instead of print", "INFO", ("print",)),
     Rule("sql_string_format", r"""(execute|query)\s*\(\s*['\"].*%s""",
          "Potential SQL injection via string formatting",
-         "Use parameterized queries", "ERROR"),
+         "Use parameterized queries", "ERROR", ("%s",)),
     Rule("broad_exception", r"except\s+(Exception|BaseException)\s*:",
          "Overly broad exception handling",
-         "Catch specific exceptions", "WARNING"),
+         "Catch specific exceptions", "WARNING", ("except",)),
 )
 
 # Severity order used by thresholds and sorts; anything else ranks 3.
@@ -76,6 +79,7 @@ RULE_SCHEMA = T.StructType([
     T.StructField("suggestion", T.StringType(), True),
     T.StructField("severity", T.StringType(), False),
     T.StructField("ord", T.IntegerType(), False),
+    T.StructField("must_contain", T.ArrayType(T.StringType()), True),
 ])
 
 # Rules inlined per projection; larger rule sets are split into several
@@ -97,7 +101,8 @@ def default_rules(spark: SparkSession) -> DataFrame:
 
 
 def rules_df(spark: SparkSession, rules) -> DataFrame:
-    rows = [(r.rule, r.pattern, r.message, r.suggestion, r.severity.upper(), i)
+    rows = [(r.rule, r.pattern, r.message, r.suggestion, r.severity.upper(), i,
+             list(r.must_contain) if r.must_contain else None)
             for i, r in enumerate(rules)]
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
@@ -108,14 +113,16 @@ def with_rules(rules: DataFrame, extra: DataFrame) -> DataFrame:
     Like a dict update: a replaced rule keeps its position, new rules follow
     in their own order. Returns a new table; ``rules`` itself is unchanged.
     """
-    e = extra.select("rule", *[F.col(c).alias("e_" + c) for c in ("pattern", "message", "suggestion", "severity", "ord")])
+    e = extra.select("rule", *[F.col(c).alias("e_" + c) for c in ("pattern", "message", "suggestion", "severity", "ord",
+                                                                   "must_contain")])
     j = rules.join(e, "rule", "full_outer")
     has_e = F.col("e_ord").isNotNull()
     pick = lambda c: F.when(has_e, F.col("e_" + c)).otherwise(F.col(c)).alias(c)
     return j.select(
         "rule", pick("pattern"), pick("message"), pick("suggestion"),
         F.upper(pick("severity")).alias("severity"),
-        F.coalesce(F.col("ord"), F.lit(1 << 20) + F.col("e_ord")).cast("int").alias("ord"))
+        F.coalesce(F.col("ord"), F.lit(1 << 20) + F.col("e_ord")).cast("int").alias("ord"),
+        pick("must_contain"))
 
 
 def collect_rules(rules) -> list[Rule]:
@@ -125,7 +132,9 @@ def collect_rules(rules) -> list[Rule]:
         if n > MAX_RULES:
             raise ValueError(f"rule table has {n} rows; more than {MAX_RULES} is not a rule set")
         rows = rules.orderBy("ord").collect()
-        return [Rule(r["rule"], r["pattern"], r["message"], r["suggestion"], r["severity"]) for r in rows]
+        return [Rule(r["rule"], r["pattern"], r["message"], r["suggestion"], r["severity"],
+                     tuple(r["must_contain"]) if "must_contain" in r and r["must_contain"] else None)
+                for r in rows]
     return list(rules)
 
 
@@ -159,6 +168,16 @@ def match_lines(text: Column, java_pattern: str) -> Column:
     return F.when(F.size(m) > 0, F.aggregate(pairs, init, step, lambda acc: acc["out"])).otherwise(F.array().cast(_HIT))
 
 
+def _gated(hits: Column, low: Column, must: tuple[str, ...] | None) -> Column:
+    """Skip the regex passes for texts that hold none of the rule's literals."""
+    if not must:
+        return hits
+    cond = F.lit(False)
+    for m in must:
+        cond = cond | F.contains(low, F.lit(m.lower()))
+    return F.when(cond, hits).otherwise(F.array().cast(_HIT))
+
+
 def _tag(k: int):
     def f(x, i):
         return F.struct(F.lit(k).alias("rule_ord"), x["line"].alias("line"),
@@ -181,7 +200,9 @@ def rule_scan(files: DataFrame, rules, path_col: str = "path", text_col: str = "
     passes = []
     for start in range(0, len(rule_list), RULES_PER_PASS):
         chunk = list(enumerate(rule_list))[start:start + RULES_PER_PASS]
-        per_rule = [F.transform(match_lines(F.col(text_col), to_java(r.pattern)), _tag(k)) for k, r in chunk]
+        low = F.lower(F.col(text_col))
+        per_rule = [F.transform(_gated(match_lines(F.col(text_col), to_java(r.pattern)), low, r.must_contain), _tag(k))
+                    for k, r in chunk]
         hits = F.concat(*per_rule) if len(per_rule) > 1 else per_rule[0]
         passes.append(files.select(F.col(path_col).alias("path"), *keep, F.inline(hits)))
     out = passes[0]

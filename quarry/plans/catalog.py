@@ -52,9 +52,9 @@ def register(name: str, sql: str | None = None):
 # User rules for prose texts (our wording), registered next to the defaults.
 PROSE_RULES: tuple[Rule, ...] = (
     Rule("license_line", r"(licensed|released) under [^\n.]+",
-         "License statement in text", None, "INFO"),
+         "License statement in text", None, "INFO", ("licensed under", "released under")),
     Rule("email_address", r"[\w.+-]+@[\w-]+(\.[\w-]+)+",
-         "Personal data: e-mail address", "Mask or remove the address", "WARNING"),
+         "Personal data: e-mail address", "Mask or remove the address", "WARNING", ("@",)),
     Rule("ipv4_address", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}",
          "Personal data: IP address", "Mask or remove the address", "WARNING"),
 )
@@ -857,9 +857,10 @@ def _docs(spark, sf_dir):
     return spread(load(spark, sf_dir, "documents"))
 
 
-def _sim(spark, sf_dir):
+def _sim(spark, sf_dir, terms=None):
     q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return ret.tfidf_cosine(q, _docs(spark, sf_dir))
+    d = _docs(spark, sf_dir)
+    return ret.tfidf_cosine(q, d, terms=terms if terms is not None else ret.term_index(d))
 
 
 @register("tfidf_topk", f"""WITH {_TFIDF_CTE}, r AS (SELECT qid, doc_id, round(similarity, 6) AS similarity FROM sim),
@@ -881,8 +882,9 @@ t AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, do
 SELECT qid, doc_id, score, rank FROM t WHERE rank <= 5""")
 def hybrid_topk_q(spark, sf_dir):
     q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    kw = ret.keyword_score(q, _docs(spark, sf_dir))
-    return ret.hybrid_topk(_sim(spark, sf_dir), kw).select("qid", "doc_id", "score", "rank")
+    terms = ret.term_index(_docs(spark, sf_dir))  # one tokenisation for both scores
+    kw = ret.keyword_score(q, terms=terms)
+    return ret.hybrid_topk(_sim(spark, sf_dir, terms), kw).select("qid", "doc_id", "score", "rank")
 
 
 _GLOB = "http*://*.example.com/en/*"
@@ -1040,7 +1042,7 @@ def python_entities(spark, sf_dir):
 
 # User rules that replace a default by name and add one (DET-03 / UDF-02).
 OVERRIDE_RULES: tuple[Rule, ...] = (
-    Rule("debug_print", r"\bprint\b", "Word 'print' in text", None, "INFO"),
+    Rule("debug_print", r"\bprint\b", "Word 'print' in text", None, "INFO", ("print",)),
     Rule("hardcoded_secret", r"""(password|secret|api_key|token)\s*=\s*"[0-9a-f]{40}\"""",
          "Potential hardcoded secret (40 hex)", "Use environment variables or secret management", "ERROR"),
     Rule("quoted_phrase", r"\"[^\"\n]{1,40}\"", "Quoted phrase", None, "INFO"),

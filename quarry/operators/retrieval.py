@@ -241,3 +241,84 @@ def retrieve(goals: DataFrame, hits: DataFrame, qid: str = "qid", fields: tuple[
 def search_query() -> Column:
     """RET-11: the plan's query, or the goal text when it is missing or empty."""
     return F.coalesce(F.nullif(F.col("search_query"), F.lit("")), F.col("user_goal"))
+
+
+# ---- pruned top-k (RET-14) ----------------------------------------------------
+
+def ivf_build(index: DataFrame, id_col: str = "id", vec: str = "embedding", cells: int | None = None,
+              seed: int = 42, max_iter: int = 10):
+    """Coarse cells for pruned search: distributed k-means (``pyspark.ml``) over
+    the whole index, each record tagged with its nearest centroid. Returns
+    ``(index with a cell column, centroid matrix)``; the centroid matrix is
+    ``cells x dim`` (small, it is the model). Write the tagged index
+    ``partitionBy("cell")`` to make a probe read only its cells' files."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+    n = index.count()
+    k = cells or max(1, int(round(math.sqrt(n))))
+    feats = index.select(id_col, vec, array_to_vector(F.col(vec)).alias("features"))
+    model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(feats)
+    tagged = model.transform(feats).select(id_col, vec, F.col("prediction").cast("int").alias("cell"))
+    return tagged, np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()], dtype=np.float64)
+
+
+def ivf_topk(queries: DataFrame, tagged: DataFrame, centroids, k: int = DEFAULT_K, probes: int = 4,
+             qid: str = "qid", id_col: str = "id", vec: str = "embedding") -> DataFrame:
+    """RET-14: approximate top-k: each query scores only records in its
+    ``probes`` nearest cells. The probed cells are pushed into the scan as a
+    filter (partition pruning on a cell-partitioned index); inside a task a
+    per-query cell mask keeps the rest out. Same output as :func:`vector_topk`."""
+    spark = tagged.sparkSession
+    C = np.asarray(centroids, dtype=np.float64)
+    outs = []
+    for batch in _passes(queries.select(F.col(qid).alias("_q"), F.col(vec).alias("_v")), "_q", MAX_QUERY_BATCH):
+        ids, Q = _collect_batch(batch, "_q", "_v")
+        if not ids:
+            continue
+        dc = (Q * Q).sum(1)[:, None] + (C * C).sum(1)[None, :] - 2.0 * Q @ C.T
+        p = min(probes, C.shape[0])
+        P = np.argsort(dc, axis=1, kind="stable")[:, :p].astype(np.int32)
+        cells = sorted({int(c) for c in P.ravel()})
+        bc = spark.sparkContext.broadcast((ids, Q, P))
+        src = tagged.filter(F.col("cell").isin(cells)).select(F.col(id_col).alias("_id"), F.col(vec).alias("_v"), "cell")
+        outs.append(src.mapInPandas(_masked_topk(bc, k), "qid long, id long, distance double"))
+    if not outs:
+        return spark.createDataFrame([], f"{qid} long, {id_col} long, distance double, score double, rank int")
+    cand = outs[0]
+    for o in outs[1:]:
+        cand = cand.unionByName(o)
+    w = Window.partitionBy("qid").orderBy("distance", "id")
+    top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return top.select(F.col("qid").alias(qid), F.col("id").alias(id_col), "distance",
+                      (F.lit(1.0) - F.col("distance")).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+def _masked_topk(bc, k: int):
+    def run(it):
+        import pandas as pd
+        qids, Q, P = bc.value
+        qids = np.asarray(qids, dtype=np.int64)
+        qn = (Q * Q).sum(axis=1)
+        for pdf in it:
+            if pdf.empty:
+                continue
+            X = np.stack(pdf["_v"].to_numpy()).astype(np.float64)
+            xid = pdf["_id"].to_numpy(dtype=np.int64)
+            cell = pdf["cell"].to_numpy(dtype=np.int32)
+            allowed = (P[:, :, None] == cell[None, None, :]).any(axis=1)      # queries x rows
+            D = qn[:, None] + (X * X).sum(axis=1)[None, :] - 2.0 * (Q @ X.T)
+            D = np.where(allowed, np.round(np.maximum(D, 0.0), 6), np.inf)
+            kk = min(k, D.shape[1])
+            part = np.partition(D, kk - 1, axis=1)[:, kk - 1]
+            rows_q, rows_x = np.nonzero((D <= part[:, None]) & np.isfinite(D))
+            yield pd.DataFrame({"qid": qids[rows_q], "id": xid[rows_x], "distance": D[rows_q, rows_x]})
+    return run
+
+
+def recall_at_k(approx: DataFrame, exact: DataFrame, qid: str = "qid", id_col: str = "id") -> DataFrame:
+    """Share of the exact top-k found by the approximate search, per query and overall."""
+    e = exact.select(qid, id_col, F.lit(1).alias("_e"))
+    a = approx.select(qid, id_col, F.lit(1).alias("_a"))
+    j = e.join(a, [qid, id_col], "left")
+    per_q = j.groupBy(qid).agg((F.count("_a") / F.count("_e")).alias("recall"))
+    return per_q

@@ -1158,3 +1158,27 @@ def fix_rounds(spark, sf_dir):
     rp = wf.replay(code.unionByName(review))
     done, tr = wf.run_rounds(goals, lambda d: rp(d, "code"), lambda d: rp(d, "review"))
     return done.select("goal_id", "status", "retry_count", "feedback")
+
+
+@register("ivf_topk")
+def ivf_topk_q(spark, sf_dir):
+    """RET-14: pruned top-5 over the whole index: k-means cells (sqrt(n)), a
+    fifth of the cells probed (at least 4); every embedding is a query.
+    Approximate by design, so rows-only; recall is in ``ivf_recall``."""
+    e = _embeddings(spark, sf_dir)
+    tagged, cents = ret.ivf_build(e, "vec_id")
+    q = e.select(F.col("vec_id").alias("qid"), "embedding")
+    probes = max(4, len(cents) // 5)
+    return ret.ivf_topk(q, tagged, cents, 5, probes, id_col="vec_id").withColumnRenamed("vec_id", "id")
+
+
+@register("ivf_recall")
+def ivf_recall(spark, sf_dir):
+    """Recall@5 of the pruned search against the exact one, per label of the
+    query vector (rows-only: it measures an approximation)."""
+    e = _embeddings(spark, sf_dir)
+    exact = vector_topk_q(spark, sf_dir)
+    approx = ivf_topk_q(spark, sf_dir)
+    r = ret.recall_at_k(approx, exact)
+    return r.join(e.select(F.col("vec_id").alias("qid"), "label"), "qid").groupBy("label").agg(
+        F.round(F.avg("recall"), 4).alias("recall_at_5"), F.count(F.lit(1)).alias("queries"))

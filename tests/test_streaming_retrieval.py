@@ -67,3 +67,20 @@ def test_upsert_and_stats(spark):
     assert sorted((r.id, r.entity_type) for r in u.collect()) == [(1, "A"), (2, None), (3, "C")]
     st = {r.entity_type: r.n for r in ret.index_stats(u).collect()}
     assert st == {"A": 1, "UNKNOWN": 1, "C": 1}
+
+
+def test_ivf_finds_clustered_neighbours(spark):
+    import numpy as np
+    rng = np.random.default_rng(0)
+    centers = np.eye(8)[:4] * 10
+    rows, qid = [], []
+    for c in range(4):
+        for j in range(25):
+            rows.append((c * 100 + j, (centers[c] + rng.normal(0, 0.1, 8)).astype(float).tolist()))
+    idx = spark.createDataFrame(rows, "id long, embedding array<float>")
+    q = idx.select(F.col("id").alias("qid"), "embedding")
+    tagged, cents = ret.ivf_build(idx, "id", cells=4)
+    approx = ret.ivf_topk(q, tagged, cents, 5, 1)
+    exact = ret.vector_topk(q, idx, 5)
+    rec = ret.recall_at_k(approx, exact).agg(F.avg("recall")).first()[0]
+    assert rec == 1.0

@@ -233,22 +233,28 @@ def match_finding(findings: DataFrame, requests: DataFrame) -> DataFrame:
     return j.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def attach_entity(findings: DataFrame, entities: DataFrame) -> DataFrame:
+def attach_entity(findings: DataFrame, entities: DataFrame, bucket: int = 128) -> DataFrame:
     """FND-22: innermost entity whose line range holds the finding.
 
-    Range join *with* the equi key ``file_path`` so the planner hashes on the
-    path and only tests the range inside a file; the innermost (smallest span,
-    then latest start) wins.
+    Range join made skew-proof: each entity range is spread over the
+    ``bucket``-line buckets it covers and the join key is (path, bucket), so a
+    file holding a third of all rows is split into many small join groups
+    instead of one task testing every finding against every entity. The
+    innermost (smallest span, then latest start) wins per finding.
     """
+    b = F.lit(bucket)
     e = entities.select(F.col("file_path").alias("e_path"), F.col("id").alias("entity_id"),
                         F.col("name").alias("entity_name"), F.col("start_line").alias("e_start"),
                         F.col("end_line").alias("e_end"))
-    cond = ((findings["file_path"] == e["e_path"]) &
-            (findings["line_number"] >= e["e_start"]) & (findings["line_number"] <= e["e_end"]))
-    j = findings.join(e, cond, "left")
-    w = Window.partitionBy("id", "detector_ord", "emit_ord").orderBy((F.col("e_end") - F.col("e_start")).asc_nulls_last(),
-                                         F.col("e_start").desc(), F.col("entity_id"))
-    return j.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "e_path")
+    e = e.withColumn("_eb", F.explode(F.sequence(F.floor(F.col("e_start") / b).cast("long"),
+                                                 F.floor(F.col("e_end") / b).cast("long"))))
+    f = findings.withColumn("_fb", F.floor(F.col("line_number") / b).cast("long"))
+    cond = ((f["file_path"] == e["e_path"]) & (f["_fb"] == e["_eb"]) &
+            (f["line_number"] >= e["e_start"]) & (f["line_number"] <= e["e_end"]))
+    j = f.join(e, cond, "left")
+    w = Window.partitionBy("id", "detector_ord", "emit_ord").orderBy(
+        (F.col("e_end") - F.col("e_start")).asc_nulls_last(), F.col("e_start").desc(), F.col("entity_id"))
+    return j.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "e_path", "_fb", "_eb")
 
 
 def fix_counters(outcomes: DataFrame) -> DataFrame:

@@ -31,18 +31,38 @@ def workflow_metrics(outcomes: DataFrame, by: list[str] | None = None) -> DataFr
         F.round(F.avg((F.col("final_status") == "approved").cast("double")), 6).alias("success_rate"))
 
 
-def transition_matrix(log: DataFrame, run: str, order: str, state: str) -> DataFrame:
-    """TRC-04: counts of (state -> next state) pairs along each run."""
-    w = Window.partitionBy(run).orderBy(order)
-    pairs = log.select(F.col(state).alias("from_status"), F.lead(state).over(w).alias("to_status"))
-    return pairs.filter(F.col("to_status").isNotNull()).groupBy("from_status", "to_status").agg(
-        F.count(F.lit(1)).alias("n"))
-
-
-def assemble_messages(chunks: DataFrame, key: str, seq: str, text: str) -> DataFrame:
-    """TRC-07: concatenate chunks of each message in sequence order."""
-    parts = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(text).alias("t"))))
-    return chunks.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("message"))
+def transition_matrix(log: DataFrame, run: str, order: str, state: str, dense: bool = True) -> DataFrame:
+    """TRC-04: counts of (state -> next state) pairs along each run.
+
+    ``dense=True`` (the order key is 0, 1, 2, ... within a run): the next row is
+    found by an equi-join on (run, order + 1), so no run is sorted in one task
+    however long it is. Otherwise ``lead`` over a window per run.
+    """
+    if dense:
+        a = log.select(F.col(run).alias("_r"), F.col(order).alias("_o"), F.col(state).alias("from_status"))
+        b = log.select(F.col(run).alias("_r"), (F.col(order) - 1).alias("_o"), F.col(state).alias("to_status"))
+        pairs = a.join(b, ["_r", "_o"]).select("from_status", "to_status")
+    else:
+        w = Window.partitionBy(run).orderBy(order)
+        pairs = log.select(F.col(state).alias("from_status"), F.lead(state).over(w).alias("to_status")) \
+            .filter(F.col("to_status").isNotNull())
+    return pairs.groupBy("from_status", "to_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def assemble_messages(chunks: DataFrame, key: str, seq: str, text: str, block: int = 1024) -> DataFrame:
+    """TRC-07: concatenate the chunks of each message in sequence order.
+
+    Two levels: chunks are first joined per (message, seq block) in parallel,
+    then the blocks per message; a message with very many chunks never has all
+    of them collected as separate rows into one task.
+    """
+    blk = F.floor(F.col(seq) / F.lit(block))
+    part = chunks.groupBy(key, blk.alias("_blk")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(text).alias("t")))),
+                                 lambda x: x["t"]), "").alias("_part"))
+    return part.groupBy(key).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_blk").alias("b"), F.col("_part").alias("t")))),
+                                 lambda x: x["t"]), "").alias("message"))
 
 
 def by_agent(calls: DataFrame, agent: str = "agent") -> DataFrame:

@@ -55,14 +55,24 @@ def chunks_to_entities(chunks: DataFrame) -> DataFrame:
 
 
 def merge_intervals(df: DataFrame, key: str, start: str = "start_line", end: str = "end_line",
-                    gap: int = 1) -> DataFrame:
+                    gap: int = 1, method: str = "auto") -> DataFrame:
     """ENT-08: merge ranges into islands: a range joins the current block when it
     starts at most ``gap`` after the furthest end seen so far.
 
-    Gaps-and-islands with windows partitioned by ``key`` (one file): running
-    max of earlier ends, a new-block flag, a running sum as block number.
-    Output: ``key, block, start_line, end_line`` (ranges are inclusive).
+    ``method="ranged"``: range-partitioned scan that stays parallel when one
+    file holds a large share of all ranges (:func:`quarry.operators.scan.islands`).
+    ``method="window"``: running max of earlier ends / new-block flag / running
+    sum with windows partitioned by ``key`` (one sort per file, fewer stages).
+    ``method="auto"`` (default): measure the largest file first (one partial
+    aggregate) and take the window plan only while it is below
+    :data:`quarry.operators.scan.HOT_KEY_ROWS` rows.
+    Output: ``key, block, start_line, end_line`` (ranges inclusive, blocks from 1).
     """
+    from .scan import HOT_KEY_ROWS, islands, max_group_rows
+    if method == "auto":
+        method = "window" if max_group_rows(df, key) <= HOT_KEY_ROWS else "ranged"
+    if method == "ranged":
+        return islands(df, key, start, end, gap)
     w = Window.partitionBy(key).orderBy("_s", "_e")
     prev_max = F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1))
     flagged = df.select(key, F.col(start).alias("_s"), F.col(end).alias("_e")).withColumn(

@@ -1,0 +1,136 @@
+"""Per-key ordered scans that stay parallel when one key holds a third of the rows.
+
+A window ``partitionBy(key).orderBy(...)`` sorts every key in one task. Here
+the rows are range-partitioned on ``(key, order...)`` instead, so a hot key
+is cut into many ordered slices; each slice is scanned locally (one Arrow
+pass per partition, rows already sorted), and only the keys that cross a
+partition boundary get a carry-in computed from a summary table whose size is
+bounded by the number of partitions (windows over it are cheap even for the
+hot key). The result is then joined back by a broadcast of that summary.
+
+* :func:`rank_within` — ``row_number`` per key.
+* :func:`islands` — gaps-and-islands merge of line ranges (ENT-08).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+
+def _slices(df: DataFrame, key: str, order: list[str], partitions: int | None) -> DataFrame:
+    spark = df.sparkSession
+    n = partitions or max(spark.sparkContext.defaultParallelism,
+                          int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
+    r = df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
+    return r.withColumn("_pid", F.spark_partition_id())
+
+
+def rank_within(df: DataFrame, key: str, order: list[str], out: str = "rn",
+                partitions: int | None = None) -> DataFrame:
+    """``row_number() over (partition by key order by order)``; ``order`` must be
+    a total order within a key (add a unique column to break ties)."""
+    r = _slices(df, key, order, partitions)
+    schema = T.StructType(list(r.schema.fields) + [T.StructField("_local", T.LongType())])
+
+    def local(it):
+        last, run = None, 0
+        for pdf in it:
+            if pdf.empty:
+                yield pdf.assign(_local=pdf.index.astype("int64"))
+                continue
+            k = pdf[key]
+            grp = (k != k.shift()).cumsum()
+            c = pdf.groupby(grp).cumcount().astype("int64") + 1
+            if last is not None and k.iloc[0] == last:   # same key continues from the previous batch
+                c = c + (grp == grp.iloc[0]).astype("int64") * run
+            last = k.iloc[-1]
+            run = int(c.iloc[-1])
+            yield pdf.assign(_local=c.values)
+
+    loc = r.mapInPandas(local, schema)
+    counts = loc.groupBy("_pid", key).agg(F.max("_local").alias("_cnt"))
+    # keys present in more than one slice: at most one per slice boundary
+    span = counts.groupBy(key).agg(F.count(F.lit(1)).alias("_np")).filter("_np > 1").select(key)
+    w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = counts.join(span, key, "left_semi").withColumn("_carry", F.coalesce(F.sum("_cnt").over(w), F.lit(0))) \
+        .select("_pid", key, "_carry")
+    j = loc.join(F.broadcast(carry), ["_pid", key], "left")
+    return j.withColumn(out, (F.col("_local") + F.coalesce("_carry", F.lit(0))).cast("int")) \
+        .drop("_pid", "_local", "_carry")
+
+
+# Rows per key up to which one task sorting a key is fine (the window plan).
+HOT_KEY_ROWS = 2_000_000
+
+
+def max_group_rows(df: DataFrame, key: str) -> int:
+    """Largest number of rows under one key: one partial+final aggregate."""
+    r = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return int(r or 0)
+
+
+def islands(df: DataFrame, key: str, start: str = "start_line", end: str = "end_line", gap: int = 1,
+            partitions: int | None = None) -> DataFrame:
+    """ENT-08 at any skew: ``key, block, start_line, end_line`` where a range joins
+    the current block when it starts at most ``gap`` after the furthest end
+    seen so far (in (start, end) order). ``block`` numbers blocks from 1 per key."""
+    iv = df.select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"))
+    r = _slices(iv, "_k", ["_s", "_e"], partitions)
+    schema = T.StructType(list(r.schema.fields) + [T.StructField("_lbs", T.LongType())])
+
+    def local(it):
+        import numpy as np
+        last, run_max, blk = None, None, None
+        for pdf in it:
+            if pdf.empty:
+                yield pdf.assign(_lbs=pdf["_s"].astype("int64"))
+                continue
+            k, st, en = pdf["_k"], pdf["_s"].astype("float64"), pdf["_e"].astype("float64")
+            grp = (k != k.shift()).cumsum()
+            prev = en.groupby(grp).cummax().groupby(grp).shift(1)      # max end before each row
+            first = (grp == grp.iloc[0]).to_numpy()
+            cont = last is not None and k.iloc[0] == last               # key continues from last batch
+            if cont:
+                prev = prev.where(~first | prev.notna(), run_max)
+                prev = prev.where(~first, np.maximum(prev.fillna(run_max), run_max))
+            new = prev.isna() | (st > prev + gap)
+            lbs = st.where(new).groupby(grp).ffill()
+            if cont:
+                lbs = lbs.where(~first | lbs.notna(), blk)
+            last = k.iloc[-1]
+            tail = grp == grp.iloc[-1]
+            run_max = float(max(en[tail].max(), run_max if cont and bool(first[-1]) else -np.inf))
+            blk = float(lbs.iloc[-1])
+            yield pdf.assign(_lbs=lbs.astype("int64").to_numpy())
+
+    loc = r.mapInPandas(local, schema)
+    summ = loc.groupBy("_pid", "_k").agg(F.max("_e").alias("_maxe"), F.max("_lbs").alias("_slast"))
+    span = summ.groupBy("_k").agg(F.count(F.lit(1)).alias("_np")).filter("_np > 1").select("_k")
+    s = summ.join(span, "_k", "left_semi")
+    before = Window.partitionBy("_k").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("_k").orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("_in", F.max("_maxe").over(before))
+    s = s.withColumn("_fresh", F.col("_in").isNull() | (F.col("_slast") > F.col("_in") + gap))
+    s = s.withColumn("_open_end", F.last(F.when(F.col("_fresh"), F.col("_slast")), ignorenulls=True).over(upto))
+    s = s.withColumn("_open_in", F.lag("_open_end").over(Window.partitionBy("_k").orderBy("_pid")))
+    carry = s.filter(F.col("_in").isNotNull()).select("_pid", "_k", "_in", "_open_in")
+    j = loc.join(F.broadcast(carry), ["_pid", "_k"], "left")
+    gstart = F.when(F.col("_in").isNotNull() & (F.col("_lbs") <= F.col("_in") + gap), F.col("_open_in")) \
+        .otherwise(F.col("_lbs"))
+    blocks = j.groupBy("_k", gstart.alias("_g")).agg(F.min("_s").alias("start_line"), F.max("_e").alias("end_line"))
+    ranked = rank_within(blocks, "_k", ["_g"], "block", partitions)
+    return ranked.select(F.col("_k").alias(key), "block", "start_line", "end_line")
+
+
+def row_number_within(df: DataFrame, key: str, order: list[str], out: str = "rn", method: str = "auto") -> DataFrame:
+    """``row_number`` per key: the window plan while the largest key has at most
+    :data:`HOT_KEY_ROWS` rows (checked with one aggregate), else :func:`rank_within`."""
+    if method == "auto":
+        method = "window" if max_group_rows(df, key) <= HOT_KEY_ROWS else "ranged"
+    if method == "ranged":
+        return rank_within(df, key, order, out)
+    w = Window.partitionBy(key).orderBy(*order)
+    return df.withColumn(out, F.row_number().over(w))

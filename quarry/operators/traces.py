@@ -34,18 +34,18 @@ def workflow_metrics(outcomes: DataFrame, by: list[str] | None = None) -> DataFr
 def transition_matrix(log: DataFrame, run: str, order: str, state: str, dense: bool = True) -> DataFrame:
     """TRC-04: counts of (state -> next state) pairs along each run.
 
-    ``dense=True`` (the order key is 0, 1, 2, ... within a run): the next row is
-    found by an equi-join on (run, order + 1), so no run is sorted in one task
-    however long it is. Otherwise ``lead`` over a window per run.
+    The next row is found by an equi-join on (run, position + 1), so no run is
+    sorted in one task however long it is. ``dense=True``: the order key already
+    is 0, 1, 2, ... within a run; otherwise positions are numbered first
+    (:func:`quarry.operators.scan.row_number_within`).
     """
-    if dense:
-        a = log.select(F.col(run).alias("_r"), F.col(order).alias("_o"), F.col(state).alias("from_status"))
-        b = log.select(F.col(run).alias("_r"), (F.col(order) - 1).alias("_o"), F.col(state).alias("to_status"))
-        pairs = a.join(b, ["_r", "_o"]).select("from_status", "to_status")
-    else:
-        w = Window.partitionBy(run).orderBy(order)
-        pairs = log.select(F.col(state).alias("from_status"), F.lead(state).over(w).alias("to_status")) \
-            .filter(F.col("to_status").isNotNull())
+    if not dense:
+        from .scan import row_number_within
+        log = row_number_within(log, run, [order], "_seq")
+        order = "_seq"
+    a = log.select(F.col(run).alias("_r"), F.col(order).alias("_o"), F.col(state).alias("from_status"))
+    b = log.select(F.col(run).alias("_r"), (F.col(order) - 1).alias("_o"), F.col(state).alias("to_status"))
+    pairs = a.join(b, ["_r", "_o"]).select("from_status", "to_status")
     return pairs.groupBy("from_status", "to_status").agg(F.count(F.lit(1)).alias("n"))
 
 

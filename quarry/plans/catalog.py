@@ -640,18 +640,17 @@ def outcomes_from_log_q(spark, sf_dir):
 
 def _attempts(spark, sf_dir):
     """Attempt rows: reviews numbered per goal by time (retry_count = number - 1)."""
-    from pyspark.sql.window import Window
-    r = _review_log(spark, sf_dir)
-    w = Window.partitionBy("goal_id").orderBy("ts", "event_id")
+    from ..operators.scan import row_number_within
+    r = row_number_within(_review_log(spark, sf_dir), "goal_id", ["ts", "event_id"], "_attempt")
     return r.withColumns({
-        "retry_count": (F.row_number().over(w) - 1).cast("int"),
+        "retry_count": (F.col("_attempt") - 1).cast("int"),
         "max_retries": F.lit(3),
         "proposed_fix": F.when(F.col("value") >= 5, F.col("props")),
         "is_approved": F.col("approved"),
         "feedback": F.when(~F.col("approved"), F.concat(F.lit("Rejected at value "), F.floor("value").cast("string"))),
         "issues": F.when(~F.col("approved"), F.array(F.col("props"), F.lit("check the bounds"))).otherwise(F.array().cast("array<string>")),
         "failed": F.col("value") >= 49,
-    })
+    }).drop("_attempt")
 
 
 _ATTEMPTS_CTE = _REVIEWS_CTE + """, att AS (SELECT *, CAST(row_number() OVER (PARTITION BY goal_id ORDER BY ts, event_id) - 1 AS INTEGER) AS retry_count,

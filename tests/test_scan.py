@@ -1,0 +1,60 @@
+import random
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quarry.operators.entities import merge_intervals
+from quarry.operators.scan import islands, rank_within
+
+
+def _random_intervals(seed=7):
+    rnd = random.Random(seed)
+    rows = []
+    # one hot key with most rows, several small keys
+    for i in range(3000):
+        s = rnd.randint(1, 20000)
+        rows.append(("hot", s, s + rnd.choice([0, 0, 1, 2, 5, 40])))
+    for k in range(30):
+        for i in range(rnd.randint(1, 40)):
+            s = rnd.randint(1, 300)
+            rows.append((f"k{k}", s, s + rnd.randint(0, 3)))
+    return rows
+
+
+def test_islands_match_window_version_under_skew(spark):
+    df = spark.createDataFrame(_random_intervals(), "k string, start_line int, end_line int")
+    want = sorted(tuple(r) for r in merge_intervals(df, "k", method="window").select("k", "block", "start_line", "end_line").collect())
+    for parts in (3, 16):
+        got = sorted(tuple(r) for r in islands(df, "k", partitions=parts).collect())
+        assert got == want
+
+
+def test_rank_within_matches_row_number(spark):
+    rnd = random.Random(3)
+    rows = [("hot" if rnd.random() < 0.6 else f"u{rnd.randint(0, 50)}", rnd.random(), i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, ts double, id long")
+    w = Window.partitionBy("g").orderBy("ts", "id")
+    want = sorted((r.id, r.rn) for r in df.withColumn("rn", F.row_number().over(w)).collect())
+    for parts in (5, 13):
+        got = sorted((r.id, r.rn) for r in rank_within(df, "g", ["ts", "id"], "rn", partitions=parts).collect())
+        assert got == want
+
+
+def test_scans_across_small_arrow_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "100")
+    try:
+        df = spark.createDataFrame(_random_intervals(11), "k string, start_line int, end_line int")
+        want = sorted(tuple(r) for r in merge_intervals(df, "k", method="window")
+                      .select("k", "block", "start_line", "end_line").collect())
+        got = sorted(tuple(r) for r in islands(df, "k", partitions=4).collect())
+        assert got == want
+        rows = [("hot" if i % 3 else f"u{i % 7}", float(i % 97), i) for i in range(3000)]
+        d2 = spark.createDataFrame(rows, "g string, ts double, id long")
+        w = Window.partitionBy("g").orderBy("ts", "id")
+        want2 = sorted((r.id, r.rn) for r in d2.withColumn("rn", F.row_number().over(w)).collect())
+        got2 = sorted((r.id, r.rn) for r in rank_within(d2, "g", ["ts", "id"], "rn", partitions=3).collect())
+        assert got2 == want2
+    finally:
+        spark.conf.set(key, old)

@@ -62,3 +62,19 @@ def path_suffix(path) -> Column:
 
 def path_parent(path) -> Column:
     return F.regexp_extract(_c(path), r"^(.*)/[^/]*$", 1)
+
+
+def fill_template(template: str, values: dict) -> Column:
+    """``template`` with ``{name}`` placeholders filled from ``values`` (name ->
+    column), like ``str.format``: values are inserted once, never re-scanned."""
+    import re
+    parts, pos = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        if m.group(1) not in values:
+            continue
+        parts.append(F.lit(template[pos:m.start()]))
+        v = values[m.group(1)]
+        parts.append(F.coalesce((F.col(v) if isinstance(v, str) else v).cast("string"), F.lit("")))
+        pos = m.end()
+    parts.append(F.lit(template[pos:]))
+    return F.concat(*parts)

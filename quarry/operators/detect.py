@@ -73,3 +73,59 @@ def review_candidates(entities):
     n = F.col("end_line") - F.col("start_line") + 1
     return entities.filter(F.col("entity_type").isin("FUNCTION", "METHOD") &
                            n.between(MIN_REVIEW_LINES, MAX_REVIEW_LINES) & ~is_trivial())
+
+
+# Review prompt (our wording; the reference's prompt texts are user data).
+REVIEW_TEMPLATE = ("Review this function for bugs.\n\nFunction: {qualified_name}\nLocation: {location}\n\n"
+                   "```python\n{content}\n```\n\nImports of the file:\n{imports}\n")
+
+
+def review_prompts(candidates, files, template: str = REVIEW_TEMPLATE):
+    """DET-13: one prompt per review candidate: the entity joined to its file on
+    the path (hash join) for the file's first import lines (DET-12)."""
+    from .entities import add_derived
+    f = files.select(F.col("path").alias("file_path"), import_lines("content").alias("imports"))
+    from ..functions.text import fill_template
+    e = add_derived(candidates).join(f, "file_path", "left")
+    return e.withColumn("prompt", fill_template(template, {n: n for n in ("qualified_name", "location", "content",
+                                                                          "imports")}))
+
+
+# --- fixed values: review reply defaults
+REVIEW_DEFAULT_MESSAGE = "Issue found"
+REVIEW_CODE = "llm-discovery"
+
+
+def parse_reviews(replies, entities, reply: str = "reply"):
+    """DET-14: model replies -> findings. The JSON is the span from the first
+    ``{`` to the last ``}`` (the whole reply when either is missing); each item
+    of ``issues`` is one finding: line (default: entity start), severity
+    (ERROR / INFO, anything else WARNING), message (default text), suggestion;
+    snippet = first 200 characters of the entity; the entity in metadata.
+    ``replies(entity_id, reply)``; ``entities(id, ...)``."""
+    from ..functions.jsonx import json_field
+    from .entities import qualified_name
+    from .findings import to_findings
+    t = F.col(reply)
+    start, end = F.instr(t, "{"), F.length(t) - F.instr(F.reverse(t), "}") + 1
+    has_both = (start > 0) & (F.instr(t, "}") > 0)
+    body = F.when(has_both, F.when(end >= start, F.substr(t, start, end - start + 1)).otherwise(F.lit(""))).otherwise(t)
+    obj = F.when(F.startswith(F.trim(body), F.lit("{")), F.try_parse_json(body))
+    e = entities.select(F.col("id").alias("entity_id"), "file_path", "start_line", "content",
+                        qualified_name().alias("qualified_name"))
+    r = replies.join(e, "entity_id").withColumn("_issues", F.try_variant_get(obj, "$.issues", "array<variant>"))
+    x = r.select("*", F.posexplode("_issues").alias("_i", "_issue"))
+    sev = F.upper(json_field("_issue", "severity", "string", "WARNING"))
+    return to_findings(x.select(
+        F.lit("LLM_DISCOVERY").alias("source"),
+        F.when(sev == "ERROR", "ERROR").when(sev == "INFO", "INFO").otherwise("WARNING").alias("severity"),
+        "file_path",
+        json_field("_issue", "line", "int", F.col("start_line")).alias("line_number"),
+        json_field("_issue", "message", "string", REVIEW_DEFAULT_MESSAGE).alias("message"),
+        F.lit(REVIEW_CODE).alias("error_code"),
+        json_field("_issue", "suggestion", "string").alias("suggested_fix"),
+        F.substring("content", 1, 200).alias("code_snippet"),
+        F.create_map(F.lit("function"), F.col("qualified_name"), F.lit("analyzed_by"), F.lit("LLM")).alias("metadata"),
+        F.lit(5).alias("detector_ord"),
+        F.col("_i").cast("long").alias("emit_ord"),
+        "entity_id"))

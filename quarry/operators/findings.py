@@ -284,3 +284,31 @@ def run_summary(findings: DataFrame, files: DataFrame) -> DataFrame:
         F.count_if(F.col("severity") == "WARNING").alias("warnings"),
         F.count_if(F.col("severity") == "INFO").alias("infos"),
         F.count_if(F.col("_fx")).alias("auto_fixable"))
+
+
+class DetectorRegistry:
+    """UDF-01: detectors are plain ``files -> findings`` DataFrame functions.
+    Registration order is detector order (first wins in dedup); a detector that
+    cannot be built is left out of the plan and reported, never failing the run."""
+
+    def __init__(self):
+        self._detectors: list[tuple[str, object]] = []
+
+    def register(self, name: str, fn) -> "DetectorRegistry":
+        self._detectors.append((name, fn))
+        return self
+
+    @property
+    def names(self) -> list[str]:
+        return [n for n, _ in self._detectors]
+
+    def run(self, files: DataFrame) -> tuple[DataFrame, list[str]]:
+        outs, errors = [], []
+        for name, fn in self._detectors:
+            try:
+                outs.append(fn(files))
+            except Exception as e:  # noqa: BLE001 - plan-time failure of one detector
+                errors.append(f"{name}: {type(e).__name__}: {e}")
+        if not outs:
+            return files.sparkSession.createDataFrame([], FINDING_SCHEMA), errors
+        return union_findings(*outs), errors

@@ -322,3 +322,44 @@ def recall_at_k(approx: DataFrame, exact: DataFrame, qid: str = "qid", id_col: s
     j = e.join(a, [qid, id_col], "left")
     per_q = j.groupBy(qid).agg((F.count("_a") / F.count("_e")).alias("recall"))
     return per_q
+
+
+# ---- index records <-> entities (RET-04, RET-07) --------------------------------
+
+_REHYDRATED_KEYS = ("entity_type", "name", "file_path", "start_line", "end_line", "parent", "docstring",
+                    "signature", "imports")
+
+
+def rehydrate(records: DataFrame, metadata: str = "metadata", document: str = "document",
+              distance: str | None = "distance") -> DataFrame:
+    """RET-04: index record -> entity row. Every missing key gets its default
+    (STANDALONE, ``unknown``, ``unknown.py``, line 1, no parent/doc/signature,
+    no imports); the code is cut out of the document (ENT-20); other metadata
+    keys are kept in ``extra``; ``similarity_score = 1 - distance``."""
+    from .entities import document_code
+    m = F.col(metadata)
+    g = lambda k, t="string": F.get_json_object(m, f"$.{k}") if t == "string" else F.get_json_object(m, f"$.{k}").try_cast(t)
+    extra = F.map_filter(F.from_json(m, "map<string,string>"), lambda k, v: ~k.isin(*_REHYDRATED_KEYS))
+    out = records.select(
+        "*",
+        F.coalesce(g("entity_type"), F.lit("STANDALONE")).alias("entity_type"),
+        F.coalesce(g("name"), F.lit("unknown")).alias("name"),
+        document_code(F.col(document)).alias("content"),
+        F.coalesce(g("file_path"), F.lit("unknown.py")).alias("file_path"),
+        F.coalesce(g("start_line", "int"), F.lit(1)).alias("start_line"),
+        F.coalesce(g("end_line", "int"), F.lit(1)).alias("end_line"),
+        F.nullif(g("parent"), F.lit("")).alias("parent"),
+        F.nullif(g("docstring"), F.lit("")).alias("docstring"),
+        F.nullif(g("signature"), F.lit("")).alias("signature"),
+        F.coalesce(F.from_json(F.get_json_object(m, "$.imports"), "array<string>"), F.array().cast("array<string>")).alias("imports"),
+        extra.alias("extra"))
+    if distance and distance in records.columns:
+        out = out.withColumn("similarity_score", F.lit(1.0) - F.col(distance))
+    return out.drop(metadata)
+
+
+def add_chunks(index: DataFrame, chunks: DataFrame) -> DataFrame:
+    """RET-07: legacy whole-file chunks -> entities (ENT-13) -> added by id (RET-06)."""
+    from .entities import chunks_to_entities, entity_id
+    ents = chunks_to_entities(chunks).withColumn("id", entity_id())
+    return upsert_index(index, ents.select(*index.columns))

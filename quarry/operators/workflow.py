@@ -185,19 +185,23 @@ def retry_context(retry="retry_count", feedback="feedback", issues="issues") ->
             .otherwise(body))
 
 
-def render_prompt(df: DataFrame, templates: DataFrame, role_col: str = "role",
+def render_prompt(df: DataFrame, templates, role_col: str = "role",
                   fields: tuple[str, ...] = ()) -> DataFrame:
-    """FIX-05: fill ``{field}`` placeholders of the role's template. ``templates``
-    is a tiny ``(role, template)`` table (broadcast); an unknown role gives a
-    ``bad_rows``-style null prompt with ``prompt_error`` set."""
-    t = F.broadcast(templates.select(F.col("role").alias("_role"), "template"))
-    j = df.join(t, df[role_col] == t["_role"], "left")
-    p = F.col("template")
-    for f in fields:
-        p = F.replace(p, F.lit("{" + f + "}"), F.coalesce(F.col(f).cast("string"), F.lit("")))
-    return j.withColumn("prompt", p).withColumn(
-        "prompt_error", F.when(F.col("template").isNull(), F.concat(F.lit("unknown role: "), F.col(role_col)))
-    ).drop("_role", "template")
+    """FIX-05: fill the role's template (``{field}`` placeholders, values
+    inserted once like ``str.format``). ``templates`` is a tiny ``(role,
+    template)`` table or list (configuration, size-checked); an unknown role
+    gives a null prompt and ``prompt_error``, never a failed task."""
+    from ..functions.text import fill_template
+    if isinstance(templates, DataFrame):
+        if templates.count() > 1000:
+            raise ValueError("template table too large: it is configuration")
+        templates = [(r[0], r[1]) for r in templates.select("role", "template").collect()]
+    prompt = F.lit(None).cast("string")
+    for role, tpl in reversed(list(templates)):
+        prompt = F.when(F.col(role_col) == role, fill_template(tpl, {f: f for f in fields})).otherwise(prompt)
+    known = F.col(role_col).isin(*[r for r, _ in templates])
+    return df.withColumn("prompt", prompt).withColumn(
+        "prompt_error", F.when(~known | F.col(role_col).isNull(), F.concat(F.lit("unknown role: "), F.coalesce(F.col(role_col), F.lit("null")))))
 
 
 # ---- results ----------------------------------------------------------------

@@ -1181,3 +1181,88 @@ def ivf_recall(spark, sf_dir):
     r = ret.recall_at_k(approx, exact)
     return r.join(e.select(F.col("vec_id").alias("qid"), "label"), "qid").groupBy("label").agg(
         F.round(F.avg("recall"), 4).alias("recall_at_5"), F.count(F.lit(1)).alias("queries"))
+
+
+# ---------------------------------------------------------------- review prompts and replies (DET-13/14), records (RET-04)
+
+def _doc_candidates(spark, sf_dir):
+    fe = _doc_functions(spark, sf_dir)
+    d = load(spark, sf_dir, "documents").select("doc_id", _doc_path_col().alias("file_path"))
+    return det.review_candidates(fe).join(d, "doc_id").withColumn("parent", F.lit(None).cast("string"))
+
+
+def _doc_path_col():
+    from ..sources.tables import doc_path
+    return doc_path()
+
+
+@register("review_prompts", f"""WITH {O.FILES_CTE}, {_DOC_FUNCS_CTE},
+c AS (SELECT fe.*, f.path AS file_path FROM fe JOIN (SELECT doc_id, path FROM files) f USING (doc_id)
+      WHERE entity_type IN ('FUNCTION', 'METHOD') AND end_line - start_line + 1 BETWEEN 3 AND 100 AND NOT {_TRIVIAL_SQL}),
+im AS (SELECT path, array_to_string(list_filter(list_transform(string_split(content, chr(10)), lambda x: {O.py_strip('x')}),
+         lambda x: starts_with(x, 'import ') OR starts_with(x, 'from '))[1:10], chr(10)) AS imports FROM files)
+SELECT c.doc_id, 'Review this function for bugs.' || chr(10) || chr(10) || 'Function: ' || c.name || chr(10) || 'Location: '
+  || c.file_path || ':' || CAST(c.start_line AS VARCHAR) || '-' || CAST(c.end_line AS VARCHAR) || chr(10) || chr(10)
+  || '```python' || chr(10) || c.content || chr(10) || '```' || chr(10) || chr(10) || 'Imports of the file:' || chr(10)
+  || coalesce(im.imports, '') || chr(10) AS prompt FROM c LEFT JOIN im ON im.path = c.file_path""")
+def review_prompts_q(spark, sf_dir):
+    p = det.review_prompts(_doc_candidates(spark, sf_dir), files(spark, sf_dir))
+    return p.select("doc_id", "prompt")
+
+
+def _review_replies(spark, sf_dir):
+    """Replayed review replies built from the event log: user u's events become
+    issues on document u (line = props.k, omitted when k >= 90; severity = event
+    type; message omitted for views)."""
+    ev = load(spark, sf_dir, "events")
+    issue = F.struct(F.when(F.get_json_object("props", "$.k").cast("int") < 90,
+                            F.get_json_object("props", "$.k").cast("int")).alias("line"),
+                     F.col("event_type").alias("severity"),
+                     F.when(F.col("event_type") != "view", F.concat(F.lit("event "), F.col("event_id").cast("string"))).alias("message"))
+    per_user = ev.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", issue.alias("i")))).alias("xs"))
+    return per_user.select(F.col("user_id").alias("doc_id"), F.concat(
+        F.lit("Here is my review: "), F.to_json(F.struct(F.transform("xs", lambda x: x["i"]).alias("issues"))),
+        F.lit(" Thanks.")).alias("reply"))
+
+
+@register("parse_reviews", f"""WITH {O.FILES_CTE}, {_DOC_FUNCS_CTE},
+x AS (SELECT user_id AS doc_id, event_id, CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) < 90
+        THEN CAST(json_extract_string(props, '$.k') AS INTEGER) END AS line, event_type AS severity,
+        CASE WHEN event_type <> 'view' THEN 'event ' || CAST(event_id AS VARCHAR) END AS message FROM events),
+r AS (SELECT x.doc_id, x.event_id, row_number() OVER (PARTITION BY x.doc_id ORDER BY x.event_id) - 1 AS i, x.line, x.severity, x.message,
+        f.path AS file_path, fe.start_line, fe.content, fe.name FROM x JOIN fe USING (doc_id) JOIN files f USING (doc_id))
+SELECT file_path, coalesce(line, start_line) AS line_number,
+  CASE upper(severity) WHEN 'ERROR' THEN 'ERROR' WHEN 'INFO' THEN 'INFO' ELSE 'WARNING' END AS severity,
+  coalesce(message, 'Issue found') AS message, substr(content, 1, 200) AS code_snippet, CAST(i AS BIGINT) AS emit_ord FROM r""")
+def parse_reviews_q(spark, sf_dir):
+    from ..operators.entities import entity_id
+    ents = _doc_functions(spark, sf_dir).join(
+        load(spark, sf_dir, "documents").select("doc_id", _doc_path_col().alias("file_path")), "doc_id"
+    ).withColumn("parent", F.lit(None).cast("string"))
+    ents = ents.withColumn("id", F.col("doc_id").cast("string"))
+    rep = _review_replies(spark, sf_dir).select(F.col("doc_id").cast("string").alias("entity_id"), "reply")
+    f = det.parse_reviews(rep, ents)
+    return f.select("file_path", "line_number", "severity", "message", "code_snippet", "emit_ord")
+
+
+@register("rehydrate", f"""{_WF}, {O.DOC_ENTITIES_CTE},
+rec AS (SELECT file_path AS id, {_HEADER_SQL} || chr(10) || chr(10) || '```python' || chr(10) || content || chr(10) || '```' AS document,
+        CASE WHEN length(content) % 3 = 0 THEN NULL ELSE name END AS m_name,
+        CASE WHEN length(content) % 5 = 0 THEN NULL ELSE end_line END AS m_end, file_path, start_line, docstring FROM ents)
+SELECT id, 'STANDALONE' AS entity_type, coalesce(m_name, 'unknown') AS name, file_path, start_line,
+  coalesce(m_end, 1) AS end_line, nullif(substr(docstring, 1, 1000), '') AS docstring,
+  CASE WHEN contains(document, '```python') THEN {O.py_strip("split_part(split_part(document, '```python', 2), '```', 1)")}
+       ELSE document END AS content FROM rec""")
+def rehydrate_q(spark, sf_dir):
+    """RET-04 round trip: documents + metadata JSON of the stand-in entities, with
+    some keys removed (by text length) to exercise the defaults."""
+    e = doc_entities(spark, sf_dir)
+    meta = F.to_json(F.struct(
+        F.col("entity_type"),
+        F.when(F.length("content") % 3 != 0, F.col("name")).alias("name"),
+        F.col("file_path"), F.col("start_line"),
+        F.when(F.length("content") % 5 != 0, F.col("end_line")).alias("end_line"),
+        F.substring(F.nullif(F.col("docstring"), F.lit("")), 1, 1000).alias("docstring")))
+    rec = e.select(F.col("file_path").alias("id"), ent.render_document().alias("document"), meta.alias("metadata"))
+    r = ret.rehydrate(rec, distance=None)
+    return r.select("id", "entity_type", "name", "file_path", "start_line", "end_line", "docstring", "content")

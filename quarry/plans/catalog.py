@@ -453,7 +453,7 @@ PROSE_FRAME = r"(\w+)\.(\d+)@(\w+)"
 SELECT doc_id, CASE WHEN len(f) > 0 THEN f[1] END AS file0, CASE WHEN len(f) > 0 THEN CAST(l[1] AS INTEGER) END AS line0,
   CASE WHEN len(f) > 0 THEN fn[1] END AS function0, CASE WHEN len(f) > 1 THEN f[2] END AS file1 FROM d""")
 def frame_nth(spark, sf_dir):
-    d = load(spark, sf_dir, "documents")
+    d = _docs(spark, sf_dir)
     f0 = det.stack_frame("text", 0, PROSE_FRAME)
     f1 = det.stack_frame("text", 1, PROSE_FRAME)
     return d.select("doc_id", f0["file"].alias("file0"), f0["line"].alias("line0"),
@@ -463,7 +463,7 @@ def frame_nth(spark, sf_dir):
 @register("import_lines", f"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)),
   lambda x: {O.py_strip('x')}), lambda x: starts_with(x, 'import ') OR starts_with(x, 'from '))[1:10], chr(10)) AS imports FROM documents""")
 def import_lines_q(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", det.import_lines("text").alias("imports"))
+    return _docs(spark, sf_dir).select("doc_id", det.import_lines("text").alias("imports"))
 
 
 _TRIVIAL_SQL = ("(len(list_filter(string_split(lower(content), chr(10)), lambda x: " + O.py_strip("x") + " <> '')) <= 3 "
@@ -475,7 +475,7 @@ _DOC_FUNCS_CTE = ("fe AS (SELECT 'FUNCTION' AS entity_type, lower(split_part(tex
 
 def _doc_functions(spark, sf_dir):
     """Each document as a FUNCTION stand-in named after its first word."""
-    d = load(spark, sf_dir, "documents")
+    d = _docs(spark, sf_dir)
     from ..functions.text import line_count
     return d.select(F.lit("FUNCTION").alias("entity_type"),
                     F.concat(F.lower(F.split_part("text", F.lit(" "), F.lit(1))), F.lit("_"), F.col("doc_id").cast("string")).alias("name"),
@@ -926,7 +926,7 @@ def retrieve_fallback(spark, sf_dir):
     g = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("user_goal"),
                                                  F.lit(None).cast("string").alias("search_query"))
     q = g.select("qid", ret.search_query().alias("text"))
-    docs = load(spark, sf_dir, "documents").filter(F.col("lang") == "de")
+    docs = _docs(spark, sf_dir).filter(F.col("lang") == "de")
     kw = ret.keyword_score(q, docs).withColumn("keyword_score", F.round("keyword_score", 6))
     w = Window.partitionBy("qid").orderBy(F.col("keyword_score").desc(), "doc_id")
     top = kw.withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
@@ -1104,7 +1104,7 @@ SELECT doc_id, CAST(frame AS INTEGER) AS frame, f[frame + 1] AS file, CAST(l[fra
 def stack_frames_all(spark, sf_dir):
     """DET-08, every frame: one row per "<name>.<n>@<host>" frame of each document."""
     from ..sources.reports import stack_frames
-    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    d = _docs(spark, sf_dir).select("doc_id", "text")
     return stack_frames(d, "text", PROSE_FRAME).select("doc_id", "frame", "file", "line", "function")
 
 

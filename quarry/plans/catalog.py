@@ -1266,3 +1266,20 @@ def rehydrate_q(spark, sf_dir):
     rec = e.select(F.col("file_path").alias("id"), ent.render_document().alias("document"), meta.alias("metadata"))
     r = ret.rehydrate(rec, distance=None)
     return r.select("id", "entity_type", "name", "file_path", "start_line", "end_line", "docstring", "content")
+
+
+@register("event_rates_stream", """SELECT * FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n
+  FROM events GROUP BY 1, 2) WHERE window_start + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)""")
+def event_rates_stream(spark, sf_dir):
+    """TRC-05 as a real stream over the events table: file source, 1-hour
+    tumbling windows, 1-hour watermark, append mode to Parquet (availableNow).
+    Only windows the watermark has closed are emitted; checkpoint and output
+    live under the cluster's checkpoint folder, so a restarted job resumes."""
+    import uuid
+    from ..session import checkpoint_dir
+    from ..streaming.jobs import run_rates_to_table
+    base = f"{checkpoint_dir(spark).rstrip('/')}/event_rates_stream/{uuid.uuid4().hex}"
+    schema = load(spark, sf_dir, "events").schema
+    run_rates_to_table(spark, sf_dir.rstrip("/"), schema, f"{base}/out", f"{base}/ckpt", glob="events.parquet")
+    out = spark.read.parquet(f"{base}/out")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")

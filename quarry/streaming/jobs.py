@@ -22,11 +22,14 @@ def stream_rates(events: DataFrame, ts: str = "ts", by: str = "event_type", widt
 
 
 def run_rates_to_table(spark: SparkSession, source_dir: str, schema, table_path: str, checkpoint: str,
-                       width: str = "1 hour", watermark: str = "1 hour"):
+                       width: str = "1 hour", watermark: str = "1 hour", glob: str | None = None):
     """Parquet files in ``source_dir`` -> closed windows appended to ``table_path``.
     ``availableNow`` processes what is there and stops; the checkpoint makes
     the job restartable after a lost driver or executor."""
-    src = spark.readStream.schema(schema).parquet(source_dir)
+    reader = spark.readStream.schema(schema)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    src = reader.parquet(source_dir)
     q = (stream_rates(src, width=width, watermark=watermark).writeStream.outputMode("append")
          .format("parquet").option("path", table_path).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

@@ -246,7 +246,7 @@ def search_query() -> Column:
 # ---- pruned top-k (RET-14) ----------------------------------------------------
 
 def ivf_build(index: DataFrame, id_col: str = "id", vec: str = "embedding", cells: int | None = None,
-              seed: int = 42, max_iter: int = 10):
+              seed: int = 42, max_iter: int = 10, path: str | None = None):
     """Coarse cells for pruned search: distributed k-means (``pyspark.ml``) over
     the whole index, each record tagged with its nearest centroid. Returns
     ``(index with a cell column, centroid matrix)``; the centroid matrix is
@@ -259,7 +259,12 @@ def ivf_build(index: DataFrame, id_col: str = "id", vec: str = "embedding", cell
     feats = index.select(id_col, vec, array_to_vector(F.col(vec)).alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(feats)
     tagged = model.transform(feats).select(id_col, vec, F.col("prediction").cast("int").alias("cell"))
-    return tagged, np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()], dtype=np.float64)
+    cents = np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()], dtype=np.float64)
+    if path:
+        # one folder per cell: a probe's `cell IN (...)` filter prunes whole folders
+        tagged.write.mode("overwrite").partitionBy("cell").parquet(path)
+        tagged = index.sparkSession.read.parquet(path)
+    return tagged, cents
 
 
 def ivf_topk(queries: DataFrame, tagged: DataFrame, centroids, k: int = DEFAULT_K, probes: int = 4,

@@ -1164,8 +1164,11 @@ def ivf_topk_q(spark, sf_dir):
     """RET-14: pruned top-5 over the whole index: k-means cells (sqrt(n)), a
     fifth of the cells probed (at least 4); every embedding is a query.
     Approximate by design, so rows-only; recall is in ``ivf_recall``."""
+    import uuid
+    from ..session import checkpoint_dir
     e = _embeddings(spark, sf_dir)
-    tagged, cents = ret.ivf_build(e, "vec_id")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/ivf_index/{uuid.uuid4().hex}"
+    tagged, cents = ret.ivf_build(e, "vec_id", path=path)
     q = e.select(F.col("vec_id").alias("qid"), "embedding")
     probes = max(4, len(cents) // 5)
     return ret.ivf_topk(q, tagged, cents, 5, probes, id_col="vec_id").withColumnRenamed("vec_id", "id")

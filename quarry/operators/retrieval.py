@@ -169,6 +169,38 @@ def tfidf(terms: DataFrame, n: int, did: str = "doc_id") -> tuple[DataFrame, Dat
     return w.join(norm, did).select(did, "term", (F.col("w") / F.col("_norm")).alias("w")), idf
 
 
+def text_scores(queries: DataFrame, terms: DataFrame, n: int, qid: str = "qid", qtext: str = "text",
+                did: str = "doc_id") -> DataFrame:
+    """TF-IDF cosine and keyword share for every (query, document) pair that
+    shares a term, in one pass over the term index.
+
+    The query side (bounded batch: its terms with idf-weighted, normalised
+    weights) is broadcast; each index row that holds a query term yields
+    ``tf * idf * qw`` and a hit; per (query, doc) the sums are combined
+    map-side. Document norms (a query-independent pass over the index) are
+    applied to the aggregated pairs only. Output: ``qid, doc, similarity,
+    keyword_score``.
+    """
+    df_ = terms.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    idf = df_.select("term", (F.log(F.lit(float(1 + n)) / (1 + F.col("_df"))) + 1).alias("idf"))
+    norm = terms.join(idf, "term").groupBy(did).agg(
+        F.sqrt(F.sum((F.col("tf") * F.col("idf")) * (F.col("tf") * F.col("idf")))).alias("_norm"))
+    qtf = term_table(queries, qid, qtext)
+    # query terms missing from the corpus still count in the query norm
+    qw = qtf.join(idf, "term", "left").select(
+        qid, "term", F.coalesce(F.col("idf"), F.log(F.lit(float(1 + n))) + 1).alias("qidf"),
+        (F.col("tf") * F.coalesce(F.col("idf"), F.log(F.lit(float(1 + n))) + 1)).alias("qw"))
+    qn = qw.groupBy(qid).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("_qn"),
+                             F.count(F.lit(1)).alias("_nq"))
+    qv = qw.join(qn, qid).select(F.col(qid).alias("_q"), "term", "qidf", (F.col("qw") / F.col("_qn")).alias("qw"), "_nq")
+    hits = terms.join(F.broadcast(qv), "term").groupBy("_q", did).agg(
+        F.sum(F.col("tf") * F.col("qidf") * F.col("qw")).alias("_dot"), F.count(F.lit(1)).alias("_hit"),
+        F.first("_nq").alias("_nq"))
+    return hits.join(norm, did).select(
+        F.col("_q").alias(qid), did, (F.col("_dot") / F.col("_norm")).alias("similarity"),
+        (F.col("_hit") / F.col("_nq")).alias("keyword_score"))
+
+
 def tfidf_cosine(queries: DataFrame, docs: DataFrame | None = None, qid: str = "qid", qtext: str = "text",
                  did: str = "doc_id", dtext: str = "text", terms: DataFrame | None = None,
                  n: int | None = None) -> DataFrame:
@@ -177,23 +209,21 @@ def tfidf_cosine(queries: DataFrame, docs: DataFrame | None = None, qid: str = "
         terms = term_index(docs, did, dtext)
     if n is None:
         n = docs.count() if docs is not None else terms.select(did).distinct().count()
-    dw, idf = tfidf(terms, n, did)
-    qtf = term_table(queries, qid, qtext)
-    # query terms missing from the corpus still count in the query norm
-    qw = qtf.join(idf, "term", "left").select(
-        qid, "term", (F.col("tf") * F.coalesce(F.col("idf"), F.log(F.lit(float(1 + n))) + 1)).alias("qw"))
-    qn = qw.groupBy(qid).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("_qn"))
-    qv = qw.join(qn, qid).select(F.col(qid).alias("_q"), "term", (F.col("qw") / F.col("_qn")).alias("qw"))
-    dot = dw.join(F.broadcast(qv), "term").groupBy("_q", did).agg(F.sum(F.col("w") * F.col("qw")).alias("similarity"))
-    return dot.select(F.col("_q").alias(qid), did, "similarity")
+    return text_scores(queries, terms, n, qid, qtext, did).select(qid, did, "similarity")
 
 
-def hybrid_topk(sim: DataFrame, kw: DataFrame, k: int = DEFAULT_K, qid: str = "qid", did: str = "doc_id") -> DataFrame:
+def hybrid_topk(sim: DataFrame, kw: DataFrame | None = None, k: int = DEFAULT_K, qid: str = "qid",
+                did: str = "doc_id") -> DataFrame:
     """RET-09: ``0.7 * similarity + 0.3 * keyword`` over the union of both
-    candidate sets (a missing side scores 0), top ``k`` per query."""
-    j = sim.join(kw, [qid, did], "full_outer").select(
-        qid, did, F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
-        F.coalesce("keyword_score", F.lit(0.0)).alias("keyword_score"))
+    candidate sets (a missing side scores 0), top ``k`` per query. With
+    ``kw=None``, ``sim`` already carries both scores (:func:`text_scores`)."""
+    if kw is None:
+        j = sim.select(qid, did, F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
+                       F.coalesce("keyword_score", F.lit(0.0)).alias("keyword_score"))
+    else:
+        j = sim.join(kw, [qid, did], "full_outer").select(
+            qid, did, F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
+            F.coalesce("keyword_score", F.lit(0.0)).alias("keyword_score"))
     j = j.withColumn("score", F.round(F.lit(SIM_WEIGHT) * F.col("similarity") + F.lit(KW_WEIGHT) * F.col("keyword_score"), 6))
     w = Window.partitionBy(qid).orderBy(F.col("score").desc(), F.col(did))
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -881,9 +881,9 @@ t AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, do
 SELECT qid, doc_id, score, rank FROM t WHERE rank <= 5""")
 def hybrid_topk_q(spark, sf_dir):
     q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    terms = ret.term_index(_docs(spark, sf_dir))  # one tokenisation for both scores
-    kw = ret.keyword_score(q, terms=terms)
-    return ret.hybrid_topk(_sim(spark, sf_dir, terms), kw).select("qid", "doc_id", "score", "rank")
+    d = _docs(spark, sf_dir)
+    sc = ret.text_scores(q, ret.term_index(d), d.count())  # both scores from one pass
+    return ret.hybrid_topk(sc).select("qid", "doc_id", "score", "rank")
 
 
 _GLOB = "http*://*.example.com/en/*"

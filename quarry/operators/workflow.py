@@ -335,14 +335,17 @@ def replay(replies: DataFrame) -> Callable[[DataFrame, str], DataFrame]:
 
 def run_rounds(goals: DataFrame, propose: Callable[[DataFrame], DataFrame],
                review: Callable[[DataFrame], DataFrame], max_rounds: int | None = None,
-               checkpoint: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+               checkpoint: Callable[[DataFrame], DataFrame] | None = None,
+               stamp: str = "1970-01-01 00:00:00") -> tuple[DataFrame, DataFrame]:
     """FIX-14: propose -> review rounds until no item is open.
 
     ``goals`` has ``goal_id, user_goal, max_retries`` (+ any context columns).
     ``propose(df)`` must add a ``reply`` for the writer stage; ``review(df)`` a
     ``reply`` for the reviewer stage (see :func:`replay`). Each round is cut
     from the lineage with ``checkpoint`` (default: reliable ``DataFrame.checkpoint``
-    into the cluster's shared checkpoint folder). Returns ``(finished, transitions)``.
+    into the cluster's shared checkpoint folder). Returns ``(finished, transitions)``;
+    transitions (FIX-16) carry ``ts`` = ``stamp`` + round seconds, passed in so
+    reruns give the same rows.
     """
     from ..session import checkpoint_dir
     spark = goals.sparkSession
@@ -354,12 +357,13 @@ def run_rounds(goals: DataFrame, propose: Callable[[DataFrame], DataFrame],
                                "proposed_fix": F.lit(None).cast("string"), "feedback": F.lit(None).cast("string"),
                                "issues": F.array().cast("array<string>")})
     finished, transitions = [], []
-    for _ in range(limit):
+    for rnd in range(limit):
         drafted = parse_proposals(propose(open_.drop("reply") if "reply" in open_.columns else open_)).drop("reply")
         reviewed = parse_verdicts(review(drafted)).drop("reply")
         st = next_status(F.lit(False))
         stepped = checkpoint(reviewed.withColumn("next", st).withColumn("note", transition_note(F.col("next"))))
-        transitions.append(stepped.select("goal_id", F.lit("reviewing").alias("from_status"),
+        ts = (F.to_timestamp(F.lit(stamp)) + F.make_interval(secs=F.lit(rnd))).alias("ts")
+        transitions.append(stepped.select("goal_id", ts, F.lit("reviewing").alias("from_status"),
                                           F.col("next").alias("to_status"), "note", "retry_count"))
         done = stepped.filter(F.col("next") != "coding").withColumn("status", F.col("next")).drop("next", "note")
         finished.append(done)

@@ -146,3 +146,32 @@ def test_score_hook_reports_failures(spark):
         raise RuntimeError("model down")
     bad = wf.score(df, boom).collect()
     assert all(r.reply is None and "model down" in r.error for r in bad)
+
+
+def test_parse_plans_fallbacks(spark):
+    df = spark.createDataFrame([
+        (1, "fix the thing here", '{"search_query": "q1", "target_file": "a.py"}'),
+        (2, "fix the thing here", "{}"),
+        (3, "fix the thing here", "no json at all"),
+        (4, "fix the thing here", '```json\n{"search_query": "q4", "keywords": ["k1", "k2"]}\n```')],
+        "goal_id long, user_goal string, reply string")
+    rows = {r.goal_id: r for r in wf.parse_plans(df).collect()}
+    assert (rows[1].search_query, rows[1].keywords, rows[1].target_file) == ("q1", [], "a.py")
+    assert (rows[2].search_query, rows[2].keywords) == ("fix the thing here", [])
+    assert (rows[3].search_query, rows[3].keywords, rows[3].status) == ("fix the thing here", [], "retrieving")
+    assert rows[4].keywords == ["k1", "k2"]
+
+
+def test_transition_log_has_stamps(spark):
+    goals = spark.createDataFrame([(1, "goal number one here", 1)], "goal_id long, user_goal string, max_retries int")
+    replies = spark.createDataFrame(
+        [("1", "code", 0, '{"proposed_fix": "a"}'), ("1", "review", 0, '{"is_approved": false, "feedback": "no"}'),
+         ("1", "code", 1, '{"proposed_fix": "b"}'), ("1", "review", 1, '{"is_approved": false}')],
+        "prompt_key string, stage string, attempt int, content string")
+    rp = wf.replay(replies)
+    done, tr = wf.run_rounds(goals, lambda d: rp(d, "code"), lambda d: rp(d, "review"), stamp="2024-05-01 10:00:00")
+    log = sorted(tr.collect(), key=lambda r: r.ts)
+    assert [(str(r.ts), r.to_status, r.note) for r in log] == [
+        ("2024-05-01 10:00:00", "coding", "Rejected, preparing retry #1"),
+        ("2024-05-01 10:00:01", "rejected", "Max retries (1) exceeded")]
+    assert done.first().status == "rejected"

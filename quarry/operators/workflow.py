@@ -307,17 +307,27 @@ REPLY_SCHEMA = "prompt_key string, reply string, error string"
 
 def score(df: DataFrame, fn: Callable, key: str = "prompt_key", prompt: str = "prompt") -> DataFrame:
     """FIX-17 / UDF-03: prompt -> reply through a user function, one Arrow batch
-    at a time (``fn(pandas.Series[str]) -> pandas.Series[str]``). A failing batch
-    does not fail the task: its rows get ``error`` set and a null reply."""
+    at a time (``fn(pandas.Series[str]) -> pandas.Series[str]``). A failing
+    batch never fails the task: it is retried row by row, and only the rows
+    that still fail get ``error`` set (and a null reply)."""
+    def call(fn_, s):
+        import pandas as pd
+        return pd.Series(fn_(s), index=s.index).astype(object)
+
     def run(it):
         import pandas as pd
         for pdf in it:
+            prompts = pdf[prompt].astype(object)
+            replies = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
+            err = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
             try:
-                replies = pd.Series(fn(pdf[prompt].astype(object)), index=pdf.index).astype(object)
-                err = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-            except Exception as e:  # noqa: BLE001 - one batch, reported as rows
-                replies = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-                err = pd.Series([f"{type(e).__name__}: {e}"] * len(pdf), index=pdf.index, dtype=object)
+                replies = call(fn, prompts)
+            except Exception:  # noqa: BLE001 - isolate the failing rows
+                for i in pdf.index:
+                    try:
+                        replies.loc[i] = call(fn, prompts.loc[[i]]).iloc[0]
+                    except Exception as e:  # noqa: BLE001 - reported as a row
+                        err.loc[i] = f"{type(e).__name__}: {e}"
             yield pd.DataFrame({"prompt_key": pdf[key].astype(str), "reply": replies, "error": err})
     return df.select(F.col(key).cast("string").alias(key), F.col(prompt)).mapInPandas(run, REPLY_SCHEMA)
 

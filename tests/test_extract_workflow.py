@@ -175,3 +175,15 @@ def test_transition_log_has_stamps(spark):
         ("2024-05-01 10:00:00", "coding", "Rejected, preparing retry #1"),
         ("2024-05-01 10:00:01", "rejected", "Max retries (1) exceeded")]
     assert done.first().status == "rejected"
+
+
+def test_score_isolates_failing_rows(spark):
+    df = spark.createDataFrame([(1, "ok"), (2, "bad"), (3, "fine")], "prompt_key long, prompt string")
+
+    def picky(s):
+        if (s == "bad").any():
+            raise ValueError("cannot score 'bad'")
+        return s + "!"
+    rows = {r.prompt_key: r for r in wf.score(df.coalesce(1), picky).collect()}
+    assert rows["1"].reply == "ok!" and rows["3"].reply == "fine!" and rows["1"].error is None
+    assert rows["2"].reply is None and "cannot score" in rows["2"].error

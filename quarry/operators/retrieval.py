@@ -75,12 +75,21 @@ def vector_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K, qid: s
                       (F.lit(1.0) - F.col("distance")).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
+def _keep_k(frames, k: int):
+    """k best per query under (distance, id): exact for the global order, since
+    every global top-k row is in its task's top-k."""
+    import pandas as pd
+    c = pd.concat(frames, ignore_index=True)
+    return c.sort_values(["qid", "distance", "id"], kind="stable").groupby("qid", sort=False).head(k)
+
+
 def _local_topk(bc, k: int):
     def run(it):
         import pandas as pd
         qids, Q = bc.value
         qids = np.asarray(qids, dtype=np.int64)
         qn = (Q * Q).sum(axis=1)
+        kept, held = [], 0
         for pdf in it:
             if pdf.empty:
                 continue
@@ -89,12 +98,17 @@ def _local_topk(bc, k: int):
             D = qn[:, None] + (X * X).sum(axis=1)[None, :] - 2.0 * (Q @ X.T)
             D = np.round(np.maximum(D, 0.0), 6)
             kk = min(k, D.shape[1])
-            # k smallest per query (ties broken by id): lexsort on (id, distance)
             cand = np.argpartition(D, kk - 1, axis=1)[:, :kk] if kk < D.shape[1] else np.tile(np.arange(D.shape[1]), (len(qids), 1))
             # widen to all columns tied with the k-th value so id tie-breaks stay exact
             kth = np.take_along_axis(D, cand, axis=1).max(axis=1)
             rows_q, rows_x = np.nonzero(D <= kth[:, None])
-            yield pd.DataFrame({"qid": qids[rows_q], "id": xid[rows_x], "distance": D[rows_q, rows_x]})
+            kept.append(pd.DataFrame({"qid": qids[rows_q], "id": xid[rows_x], "distance": D[rows_q, rows_x]}))
+            held += len(rows_q)
+            if held > 4 * k * len(qids):          # bound the task's memory: reduce as it goes
+                kept = [_keep_k(kept, k)]
+                held = len(kept[0])
+        if kept:
+            yield _keep_k(kept, k)                # one top-k per query per task
     return run
 
 
@@ -334,6 +348,7 @@ def _masked_topk(bc, k: int):
         qids, Q, P = bc.value
         qids = np.asarray(qids, dtype=np.int64)
         qn = (Q * Q).sum(axis=1)
+        kept, held = [], 0
         for pdf in it:
             if pdf.empty:
                 continue
@@ -346,7 +361,13 @@ def _masked_topk(bc, k: int):
             kk = min(k, D.shape[1])
             part = np.partition(D, kk - 1, axis=1)[:, kk - 1]
             rows_q, rows_x = np.nonzero((D <= part[:, None]) & np.isfinite(D))
-            yield pd.DataFrame({"qid": qids[rows_q], "id": xid[rows_x], "distance": D[rows_q, rows_x]})
+            kept.append(pd.DataFrame({"qid": qids[rows_q], "id": xid[rows_x], "distance": D[rows_q, rows_x]}))
+            held += len(rows_q)
+            if held > 4 * k * len(qids):
+                kept = [_keep_k(kept, k)]
+                held = len(kept[0])
+        if kept:
+            yield _keep_k(kept, k)
     return run
 
 

@@ -84,3 +84,23 @@ def test_ivf_finds_clustered_neighbours(spark):
     exact = ret.vector_topk(q, idx, 5)
     rec = ret.recall_at_k(approx, exact).agg(F.avg("recall")).first()[0]
     assert rec == 1.0
+
+
+def test_vector_topk_exact_across_batches(spark):
+    import numpy as np
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "37")
+    try:
+        rng = np.random.default_rng(5)
+        X = rng.integers(0, 4, size=(400, 3)).astype(float)       # many exact ties
+        idx = spark.createDataFrame([(i, X[i].tolist()) for i in range(400)], "id long, embedding array<float>")
+        Q = X[:25]
+        q = spark.createDataFrame([(i, Q[i].tolist()) for i in range(25)], "qid long, embedding array<float>")
+        got = {(r.qid, r.rank): r.id for r in ret.vector_topk(q, idx.coalesce(2), 5).collect()}
+        for i in range(25):
+            d = ((X - Q[i]) ** 2).sum(1)
+            want = sorted(range(400), key=lambda j: (d[j], j))[:5]
+            assert [got[(i, r)] for r in range(1, 6)] == want
+    finally:
+        spark.conf.set(key, old)

@@ -332,9 +332,16 @@ def score(df: DataFrame, fn: Callable, key: str = "prompt_key", prompt: str = "p
     return df.select(F.col(key).cast("string").alias(key), F.col(prompt)).mapInPandas(run, REPLY_SCHEMA)
 
 
-def replay(replies: DataFrame) -> Callable[[DataFrame, str], DataFrame]:
+def replay(replies: DataFrame, store: bool = False) -> Callable[[DataFrame, str], DataFrame]:
     """Default scoring: replay a logged reply table ``(prompt_key, stage, attempt,
-    content)`` by equi-join instead of calling a model."""
+    content)`` by equi-join instead of calling a model. ``store=True`` writes
+    the log once to the shared checkpoint folder (reliable checkpoint), so the
+    rounds join a stored table instead of recomputing how it was derived."""
+    if store:
+        from ..session import checkpoint_dir
+        checkpoint_dir(replies.sparkSession)
+        replies = replies.checkpoint(eager=True)
+
     def fn(df: DataFrame, stage: str) -> DataFrame:
         r = replies.filter(F.col("stage") == stage).select(
             F.col("prompt_key").alias("_k"), F.col("attempt").alias("_a"), F.col("content").alias("reply"))

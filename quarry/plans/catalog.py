@@ -1154,7 +1154,7 @@ def fix_rounds(spark, sf_dir):
                                            F.lit("low quality").alias("feedback"),
                                            F.array(F.concat(F.lit("toxic="), F.col("toxic").cast("string"))).alias("issues"))
                                   ).alias("content"))
-    rp = wf.replay(code.unionByName(review))
+    rp = wf.replay(code.unionByName(review), store=True)
     done, tr = wf.run_rounds(goals, lambda d: rp(d, "code"), lambda d: rp(d, "review"))
     return done.select("goal_id", "status", "retry_count", "feedback")
 

@@ -37,6 +37,13 @@ def _passes(queries: DataFrame, key: str, limit: int) -> list[DataFrame]:
     return [tagged.filter(F.col("_pass") == p).drop("_pass") for p in range(parts)]
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _collect_batch(queries: DataFrame, qid: str, vec: str):
     rows = queries.select(qid, vec).collect()  # bounded by MAX_QUERY_BATCH (checked in _passes)
     ids = [r[0] for r in rows]
@@ -161,6 +168,9 @@ def keyword_score(queries: DataFrame, docs: DataFrame | None = None, qid: str =
     token with the (bounded, broadcast) query side; partial counts per
     (doc, query) are combined map-side. ``terms`` (from :func:`term_index`)
     replaces tokenising ``docs``."""
+    passes = _passes(queries, qid, MAX_QUERY_BATCH)         # broadcast side: size-checked
+    if len(passes) > 1:
+        return _union([keyword_score(p, docs, qid, qtext, did, dtext, terms) for p in passes])
     qt = queries.select(F.col(qid).alias("_q"), F.explode(F.array_distinct(tokens(qtext))).alias("term"))
     qn = qt.groupBy("_q").agg(F.count(F.lit(1)).alias("_nq"))
     if terms is not None:
@@ -195,6 +205,9 @@ def text_scores(queries: DataFrame, terms: DataFrame, n: int, qid: str = "qid",
     applied to the aggregated pairs only. Output: ``qid, doc, similarity,
     keyword_score``.
     """
+    passes = _passes(queries, qid, MAX_QUERY_BATCH)         # broadcast side: size-checked
+    if len(passes) > 1:
+        return _union([text_scores(p, terms, n, qid, qtext, did) for p in passes])
     df_ = terms.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     idf = df_.select("term", (F.log(F.lit(float(1 + n)) / (1 + F.col("_df"))) + 1).alias("idf"))
     norm = terms.join(idf, "term").groupBy(did).agg(

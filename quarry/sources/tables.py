@@ -57,7 +57,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     because a file happens to hold one row group. At scale the scan already
     has thousands of splits and this is a no-op, so texts are not shuffled.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Spark Connect session): leave as is
+        return df
+    if current < target:
         return df.repartition(target)
     return df

@@ -70,3 +70,24 @@ def test_transitions_and_messages(spark):
     chunks = spark.createDataFrame([(1, 2, "c"), (1, 0, "a"), (1, 1, "b"), (2, 0, "z")], "m long, s long, t string")
     msgs = {r.m: r.message for r in trc.assemble_messages(chunks, "m", "s", "t", block=2).collect()}
     assert msgs == {1: "abc", 2: "z"}
+
+
+def test_order_entities_and_result_sinks(spark, tmpdir_path):
+    from quarry.operators.entities import order_entities
+    ents = spark.createDataFrame([("b.py", 5, 9), ("a.py", 3, 4), ("a.py", 1, 10), ("a.py", 1, 2), ("b.py", 1, 1)],
+                                 "file_path string, start_line int, end_line int")
+    parts = order_entities(ents, 2).rdd.glom().collect()
+    for part in parts:
+        for path in {r.file_path for r in part}:
+            seq = [(r.start_line, r.end_line) for r in part if r.file_path == path]
+            assert seq == sorted(seq)
+    assert sum(len({r.file_path for r in p}) for p in parts) == 2     # each file in one partition
+    res = spark.createDataFrame([(1, True, "fix", None, ["i"], 0)],
+                                "goal_id long, success boolean, fix string, feedback string, issues array<string>, retry_count int")
+    out_json = os.path.join(tmpdir_path, "results_json")
+    fs.write_results_json(res, out_json, "20240101_000000")
+    back = spark.read.json(out_json).first()
+    assert back.timestamp == "20240101_000000" and back.fix == "fix"
+    out_md = os.path.join(tmpdir_path, "results_md")
+    fs.write_results_md(res.select(F.lit("# Report").alias("report")), out_md)
+    assert spark.read.text(out_md).first().value == "# Report"

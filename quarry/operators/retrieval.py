@@ -432,3 +432,93 @@ def add_chunks(index: DataFrame, chunks: DataFrame) -> DataFrame:
     from .entities import chunks_to_entities, entity_id
     ents = chunks_to_entities(chunks).withColumn("id", entity_id())
     return upsert_index(index, ents.select(*index.columns))
+
+
+# ---- top-k text ranking without pair shuffles (RET-09/13 at scale) ------------------
+
+MAX_VOCAB_BROADCAST = 2_000_000   # vocabulary (term -> idf) entries broadcast to the tasks
+
+
+def text_topk(queries: DataFrame, docs: DataFrame, k: int = DEFAULT_K, rank_by: str = "score",
+              qid: str = "qid", qtext: str = "text", did: str = "doc_id", dtext: str = "text") -> DataFrame | None:
+    """Top-k documents per query by TF-IDF cosine (``rank_by="similarity"``) or
+    by the hybrid score (``"score"``), scoring each document inside its task.
+
+    Tokens come from the JVM; each task counts its documents' terms, computes
+    their norms with the broadcast vocabulary (term -> idf) and their dot
+    products with the broadcast query weights, and keeps only its k best per
+    query, so no (query, document) pair is ever shuffled, whatever a hot term
+    does. Returns ``None`` when the vocabulary exceeds
+    :data:`MAX_VOCAB_BROADCAST` (callers then use :func:`text_scores`).
+    Output: ``qid, doc, similarity, keyword_score, score, rank`` (values rounded to 6).
+    """
+    spark = docs.sparkSession
+    n = docs.count()
+    vocab = docs.select(did, F.explode(F.array_distinct(tokens(dtext))).alias("term")) \
+        .groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    if vocab.count() > MAX_VOCAB_BROADCAST:
+        return None
+    idf = {r[0]: math.log((1 + n) / (1 + r[1])) + 1 for r in vocab.collect()}   # bounded by the check
+    missing = math.log(1 + n) + 1
+    outs = []
+    for batch in _passes(queries.select(F.col(qid).alias("_q"), tokens(qtext).alias("_t")), "_q", MAX_QUERY_BATCH):
+        qrows = batch.collect()                                                   # bounded batch
+        qids = [r[0] for r in qrows]
+        inv, nq = {}, []
+        from collections import Counter
+        for i, r in enumerate(qrows):
+            tf = Counter(r[1] or [])
+            w = {t: c * idf.get(t, missing) for t, c in tf.items()}
+            norm = math.sqrt(sum(v * v for v in w.values())) or 1.0
+            for t, c in tf.items():
+                inv.setdefault(t, []).append((i, idf.get(t, missing), w[t] / norm))
+            nq.append(len(tf))
+        if not qids:
+            continue
+        bc = spark.sparkContext.broadcast((idf, inv, qids, nq))
+        src = docs.select(F.col(did).alias("_d"), tokens(dtext).alias("_t"))
+        outs.append(src.mapInPandas(_score_docs(bc, k, rank_by),
+                                    "qid long, doc long, similarity double, keyword_score double, score double"))
+    if not outs:
+        return None
+    cand = _union(outs)
+    order = F.col(rank_by).desc()
+    w = Window.partitionBy("qid").orderBy(order, F.col("doc"))
+    top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return top.select(F.col("qid").alias(qid), F.col("doc").alias(did), "similarity", "keyword_score", "score",
+                      F.col("rank").cast("int").alias("rank"))
+
+
+def _score_docs(bc, k: int, rank_by: str):
+    def run(it):
+        import heapq
+        from collections import Counter
+        import pandas as pd
+        idf, inv, qids, nq = bc.value
+        best = {}                                   # query index -> heap of (key, doc, sim, kw, score)
+        for pdf in it:
+            for d, toks in zip(pdf["_d"].tolist(), pdf["_t"].tolist()):
+                if toks is None or len(toks) == 0:
+                    continue
+                tf = Counter(toks)
+                norm = math.sqrt(sum((c * idf[t]) ** 2 for t, c in tf.items()))
+                dots, hits = {}, {}
+                for t, c in tf.items():
+                    for qi, qidf, qw in inv.get(t, ()):
+                        dots[qi] = dots.get(qi, 0.0) + c * qidf * qw
+                        hits[qi] = hits.get(qi, 0) + 1
+                for qi, dot in dots.items():
+                    sim = round(dot / norm, 6)
+                    kw = hits[qi] / nq[qi]
+                    score = round(SIM_WEIGHT * (dot / norm) + KW_WEIGHT * kw, 6)
+                    key = (sim if rank_by == "similarity" else score, -d)
+                    h = best.setdefault(qi, [])
+                    item = (key, d, sim, round(kw, 6), score)
+                    if len(h) < k:
+                        heapq.heappush(h, item)
+                    elif item[0] > h[0][0]:
+                        heapq.heapreplace(h, item)
+        rows = [(qids[qi], it_[1], it_[2], it_[3], it_[4]) for qi, h in best.items() for it_ in h]
+        if rows:
+            yield pd.DataFrame(rows, columns=["qid", "doc", "similarity", "keyword_score", "score"])
+    return run

@@ -866,7 +866,11 @@ def _sim(spark, sf_dir, terms=None):
 t AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, doc_id) AS INTEGER) AS rank FROM r)
 SELECT qid, doc_id, similarity, rank FROM t WHERE rank <= 5""")
 def tfidf_topk(spark, sf_dir):
-    from pyspark.sql.window import Window
+    q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    t = ret.text_topk(q, _docs(spark, sf_dir), 5, rank_by="similarity")
+    if t is not None:
+        return t.select("qid", "doc_id", "similarity", "rank")
+    from pyspark.sql.window import Window   # vocabulary too large to broadcast: join path
     s = _sim(spark, sf_dir).withColumn("similarity", F.round("similarity", 6))
     w = Window.partitionBy("qid").orderBy(F.col("similarity").desc(), "doc_id")
     return s.withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
@@ -882,7 +886,10 @@ SELECT qid, doc_id, score, rank FROM t WHERE rank <= 5""")
 def hybrid_topk_q(spark, sf_dir):
     q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
     d = _docs(spark, sf_dir)
-    sc = ret.text_scores(q, ret.term_index(d), d.count())  # both scores from one pass
+    t = ret.text_topk(q, d, 5, rank_by="score")
+    if t is not None:
+        return t.select("qid", "doc_id", "score", "rank")
+    sc = ret.text_scores(q, ret.term_index(d), d.count())  # vocabulary too large to broadcast
     return ret.hybrid_topk(sc).select("qid", "doc_id", "score", "rank")
 
 

@@ -104,3 +104,30 @@ def test_vector_topk_exact_across_batches(spark):
             assert [got[(i, r)] for r in range(1, 6)] == want
     finally:
         spark.conf.set(key, old)
+
+
+def test_text_topk_matches_join_path_with_hot_term(spark):
+    import random
+    rnd = random.Random(1)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta"]
+    docs = spark.createDataFrame([(i, "the " + " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 12))))
+                                  for i in range(120)], "doc_id long, text string")
+    q = spark.createDataFrame([(j, "the " + " ".join(rnd.sample(words, 2))) for j in range(6)], "qid long, text string")
+    for rank_by in ("score", "similarity"):
+        fast = ret.text_topk(q, docs, 5, rank_by=rank_by)
+        sc = ret.text_scores(q, ret.term_index(docs), docs.count())
+        if rank_by == "score":
+            slow = ret.hybrid_topk(sc).select("qid", "doc_id", "rank")
+        else:
+            from pyspark.sql.window import Window
+            s = sc.withColumn("similarity", F.round("similarity", 6))
+            w = Window.partitionBy("qid").orderBy(F.col("similarity").desc(), "doc_id")
+            slow = s.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("qid", "doc_id", "rank")
+        assert sorted(tuple(r) for r in fast.select("qid", "doc_id", "rank").collect()) == \
+            sorted(tuple(r) for r in slow.collect())
+    old = ret.MAX_VOCAB_BROADCAST
+    ret.MAX_VOCAB_BROADCAST = 3
+    try:
+        assert ret.text_topk(q, docs, 5) is None
+    finally:
+        ret.MAX_VOCAB_BROADCAST = old

@@ -441,8 +441,9 @@ MAX_VOCAB_BROADCAST = 2_000_000   # vocabulary (term -> idf) entries broadcast t
 
 def text_topk(queries: DataFrame, docs: DataFrame, k: int = DEFAULT_K, rank_by: str = "score",
               qid: str = "qid", qtext: str = "text", did: str = "doc_id", dtext: str = "text") -> DataFrame | None:
-    """Top-k documents per query by TF-IDF cosine (``rank_by="similarity"``) or
-    by the hybrid score (``"score"``), scoring each document inside its task.
+    """Top-k documents per query by TF-IDF cosine (``rank_by="similarity"``), by
+    keyword share (``"keyword_score"``) or by the hybrid score (``"score"``),
+    scoring each document inside its task.
 
     Tokens come from the JVM; each task counts its documents' terms, computes
     their norms with the broadcast vocabulary (term -> idf) and their dot
@@ -511,7 +512,7 @@ def _score_docs(bc, k: int, rank_by: str):
                     sim = round(dot / norm, 6)
                     kw = hits[qi] / nq[qi]
                     score = round(SIM_WEIGHT * (dot / norm) + KW_WEIGHT * kw, 6)
-                    key = (sim if rank_by == "similarity" else score, -d)
+                    key = ({"similarity": sim, "keyword_score": round(kw, 6)}.get(rank_by, score), -d)
                     h = best.setdefault(qi, [])
                     item = (key, d, sim, round(kw, 6), score)
                     if len(h) < k:

@@ -929,14 +929,16 @@ SELECT g.qid, CAST(count(t.doc_id) AS INTEGER) AS n_context FROM g LEFT JOIN t O
 def retrieve_fallback(spark, sf_dir):
     """RET-11: a missing plan query falls back to the goal text; goals whose
     search finds nothing (German documents only) keep an empty context."""
-    from pyspark.sql.window import Window
     g = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("user_goal"),
                                                  F.lit(None).cast("string").alias("search_query"))
     q = g.select("qid", ret.search_query().alias("text"))
     docs = _docs(spark, sf_dir).filter(F.col("lang") == "de")
-    kw = ret.keyword_score(q, docs).withColumn("keyword_score", F.round("keyword_score", 6))
-    w = Window.partitionBy("qid").orderBy(F.col("keyword_score").desc(), "doc_id")
-    top = kw.withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
+    top = ret.text_topk(q, docs, 5, rank_by="keyword_score")
+    if top is None:                                   # vocabulary beyond the broadcast bound
+        from pyspark.sql.window import Window
+        kw = ret.keyword_score(q, docs).withColumn("keyword_score", F.round("keyword_score", 6))
+        w = Window.partitionBy("qid").orderBy(F.col("keyword_score").desc(), "doc_id")
+        top = kw.withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
     r = ret.retrieve(g, top, "qid", ("doc_id",))
     return r.select("qid", F.size("context").cast("int").alias("n_context"))
 

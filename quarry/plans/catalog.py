@@ -1079,14 +1079,13 @@ def rule_overrides(spark, sf_dir):
     return rule_scan(files(spark, sf_dir), _merged_rules(spark)).select("path", "rule", "severity", "line_number", "hit")
 
 
-@register("score_convert", _vec_sql("e.label = 7", 2).replace(
+@register("score_convert", _vec_sql("TRUE", 2).replace(
     "SELECT qid, id, distance, 1.0 - distance AS score, rank FROM r WHERE rank <= 2",
     "SELECT qid, id, 1.0 - distance AS score FROM r WHERE rank <= 2"))
 def score_convert(spark, sf_dir):
-    """RET-03: similarity = 1 - distance for the two nearest label-7 records."""
+    """RET-03: similarity = 1 - distance for the two nearest records of every query."""
     e = _embeddings(spark, sf_dir)
-    t = ret.vector_topk(e.select(F.col("vec_id").alias("qid"), "embedding"), e, 2, id_col="vec_id",
-                        where=F.col("label") == 7)
+    t = ret.vector_topk(e.select(F.col("vec_id").alias("qid"), "embedding"), e, 2, id_col="vec_id")
     return t.select("qid", F.col("vec_id").alias("id"), "score")
 
 

@@ -58,3 +58,21 @@ def test_scans_across_small_arrow_batches(spark):
         assert got2 == want2
     finally:
         spark.conf.set(key, old)
+
+
+def test_auto_method_switches_on_hot_key(spark):
+    import quarry.operators.scan as scan
+    df = spark.createDataFrame(_random_intervals(23), "k string, start_line int, end_line int")
+    want = sorted(tuple(r) for r in merge_intervals(df, "k", method="window")
+                  .select("k", "block", "start_line", "end_line").collect())
+    old = scan.HOT_KEY_ROWS
+    scan.HOT_KEY_ROWS = 100          # the hot key (3000 rows) is now over the bound
+    try:
+        assert scan.max_group_rows(df, "k") > scan.HOT_KEY_ROWS
+        got = sorted(tuple(r) for r in merge_intervals(df, "k").select("k", "block", "start_line", "end_line").collect())
+        assert got == want
+        rows = sorted((r.k, r.start_line, r.end_line, r.rn) for r in scan.row_number_within(
+            df.withColumn("u", F.monotonically_increasing_id()), "k", ["start_line", "end_line", "u"]).collect())
+        assert len(rows) == df.count() and all(r[3] >= 1 for r in rows)
+    finally:
+        scan.HOT_KEY_ROWS = old

@@ -7,8 +7,10 @@ shared checkpoint folder used to cut lineage between rounds.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -44,16 +46,37 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/S3/…) folder and
-    is used as is. Only when it is unset (local tests) is a fresh scratch folder
-    created and registered.
+    On a cluster ``spark.checkpoint.dir`` must name a shared (HDFS/S3/...)
+    folder, which is used as is. Where it is unset, a local master (tests, the
+    bench) gets a scratch folder; any other master raises, because executors
+    could not read a folder of the driver's machine.
     """
     sc = spark.sparkContext
-    conf_dir = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        # Unset: only in tests and local runs. Never taken on a cluster, where
-        # the shared folder must be configured.
-        conf_dir = tempfile.mkdtemp(prefix="quarry-ckpt-")
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quarry-ckpt-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir() or folder
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, so that
+    Arrow functions can be loaded there from any working directory."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quarry_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.join("quarry", os.path.relpath(path, root)))
+    path = os.path.join(tempfile.mkdtemp(prefix="quarry-zip-"), "quarry.zip")
+    with open(path, "wb") as out:
+        out.write(packed.getvalue())
+    sc.addPyFile(path)
+    sc._quarry_shipped = True

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from .decontaminate import OP4_SQL, op4_decontaminate
+from .fingerprint import op5_fingerprint
+from .language import op3_language
 from .pii import op10_personal_data
 from .shard import op2_shard
 from .substring import OP1_SQL, op1_substring_dedup
+from .toxicity import op7_toxicity
 from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_shard": op2_shard,
+    "op3_language": op3_language,
     "op4_decontaminate": op4_decontaminate,
+    "op5_fingerprint": op5_fingerprint,
+    "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
     "op10_personal_data": op10_personal_data,
 }

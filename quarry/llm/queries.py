@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP4_SQL, op4_decontaminate
 from .fingerprint import op5_fingerprint
+from .jaccard import OP6_SQL, op6_jaccard
 from .language import op3_language
 from .pii import op10_personal_data
 from .shard import op2_shard
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op4_decontaminate": op4_decontaminate,
     "op5_fingerprint": op5_fingerprint,
+    "op6_jaccard": op6_jaccard,
     "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
     "op10_personal_data": op10_personal_data,
@@ -25,5 +27,6 @@ QUERIES = {
 ORACLE = {
     "op1_substring_dedup": OP1_SQL,
     "op4_decontaminate": OP4_SQL,
+    "op6_jaccard": OP6_SQL,
     "op8_warc": OP8_SQL,
 }

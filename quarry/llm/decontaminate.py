@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import batch, stored
+from .common import batch, free_name, stored
 
 #: Unused positions between two documents of a block: no phrase crosses them.
 GAP = 64
@@ -248,6 +248,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, slop: int
     return hits.select("doc_id", "n_words", covered("spans").alias("n_hit"), "items", "spans")
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text holds a window of an item."""
+    h = free_name(docs, "texthash")
+    named = docs.withColumn(h, F.xxhash64(text_col))
+    # The id column of the index carries the text hash: equal texts share their fate.
+    hit = contamination(named.select(F.col(h).alias("doc_id"), F.col(text_col).alias("text")), items, window).filter(
+        "n_hit > 0").select(F.col("doc_id").alias(h)).distinct()
+    return named.join(hit, h, "left_anti").select(*docs.columns)
+
+
 def op4_decontaminate(spark, sf_dir):
     from .common import load
     found = contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))

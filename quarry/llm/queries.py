@@ -6,6 +6,7 @@ from .decontaminate import OP4_SQL, op4_decontaminate
 from .fingerprint import op5_fingerprint
 from .jaccard import OP6_SQL, op6_jaccard
 from .language import op3_language
+from .pieces import op9_pieces
 from .pii import op10_personal_data
 from .shard import op2_shard
 from .substring import OP1_SQL, op1_substring_dedup
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_jaccard": op6_jaccard,
     "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
+    "op9_pieces": op9_pieces,
     "op10_personal_data": op10_personal_data,
 }
 

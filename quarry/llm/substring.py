@@ -12,9 +12,9 @@ document with a smaller id. Two passes over the texts:
 2. Windows whose estimate is below two cannot repeat and go no further. The rest
    are grouped exactly: rows of a run travel by their anchor, at most ``HOT``
    of them per anchor, and are resolved side by side in arrays. Runs of anchors
-   that may be frequent travel as single windows instead: their smallest
-   document is a partial and final minimum, joined back (Spark splits a skewed
-   join), so no group is ever collected.
+   that may be frequent are first reduced to distinct contents; the smallest
+   document of a content and of a window are partial and final minima, joined
+   back (Spark splits a skewed join), so no group is ever collected.
 
 The sketch only overestimates: it never loses a repeat, whatever its width. Its
 width follows the size of the texts up to ``most_cells``; beyond that it lets
@@ -40,8 +40,9 @@ from .common import batch, order_id, parts, stored, text_bytes
 
 #: Words of the grams among which a window's anchor is the smallest.
 GRAM = 25
-#: Anchors with this estimate or more are resolved window by window.
-HOT = 64
+#: Anchors with this estimate or more are resolved window by window; fewer runs
+#: (a few MB at most) are resolved together in arrays.
+HOT = 8192
 ROWS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: The sketch is merged in this many slices of each row.
 SLICES = 64
@@ -71,15 +72,16 @@ def _cells(anchors: np.ndarray, log_width: int) -> list[np.ndarray]:
     return [(W.mix(anchors * np.uint64(m)) >> np.uint64(64 - log_width)).astype(np.int64) for m in ROWS]
 
 
-def sketch(docs: DataFrame, log_width: int, window: int, gram: int, n: int):
-    """Merged Count-min sketch of the anchors of ``docs(t)``: bit arrays
-    (rows x width) of cells counted twice or more, and ``HOT`` times or more."""
-    per = (1 << log_width) // SLICES
+def sketch(df: DataFrame, keys_of, log_width: int, n: int, hot_from: int = 0):
+    """Merged Count-min sketch of the 64-bit keys that ``keys_of`` takes from the
+    batches of ``df``: bit arrays (rows x width) of cells counted twice or more,
+    and ``hot_from`` (``HOT``) times or more."""
+    per, hot_from = (1 << log_width) // SLICES, hot_from or HOT
 
     def send(cells):
         cell, count = np.unique(np.concatenate(cells), return_counts=True)
         cut = np.searchsorted(cell, np.arange(len(ROWS) * SLICES + 1) * per)
-        count = np.minimum(count, 255).astype(np.uint8)
+        count = np.minimum(count, 65535).astype(np.uint16)
         some = [s for s in range(len(ROWS) * SLICES) if cut[s] < cut[s + 1]]
         return batch(_CELLS, some,
                      [(cell[cut[s]:cut[s + 1]] - s * per).astype(np.uint32).tobytes() for s in some],
@@ -88,11 +90,8 @@ def sketch(docs: DataFrame, log_width: int, window: int, gram: int, n: int):
     def count(batches):
         cells, size = [], 0
         for b in batches:
-            data, offsets = W.utf8(b.column(0))
-            for lo, hi in W.groups(offsets):
-                w = W.words_of(data, offsets[lo:hi + 1], W.SPACED, W.PLAIN)
-                _, low, new = _anchors(w.hash, w.doc, window, gram)
-                for row, c in enumerate(_cells(low[new], log_width)):
+            for keys in keys_of(b):
+                for row, c in enumerate(_cells(keys, log_width)):
                     cells.append(c + (row << log_width))
                     size += len(c)
                 if size >= FLUSH:
@@ -106,16 +105,16 @@ def sketch(docs: DataFrame, log_width: int, window: int, gram: int, n: int):
         for b in batches:
             for s, cell, count in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 if s not in total:
-                    total[s] = np.zeros(per, dtype=np.uint8)
+                    total[s] = np.zeros(per, dtype=np.uint16)
                 at = np.frombuffer(cell.as_buffer(), dtype=np.uint32)
-                add = np.frombuffer(count.as_buffer(), dtype=np.uint8)
-                total[s][at] = np.minimum(total[s][at].astype(np.int32) + add, 255)
+                add = np.frombuffer(count.as_buffer(), dtype=np.uint16)
+                total[s][at] = np.minimum(total[s][at].astype(np.int64) + add, 65535)
         for s, t in total.items():
-            yield batch(_BITS, [s], [np.packbits(t >= 2).tobytes()], [np.packbits(t >= HOT).tobytes()])
+            yield batch(_BITS, [s], [np.packbits(t >= 2).tobytes()], [np.packbits(t >= hot_from).tobytes()])
 
     twice = np.zeros((len(ROWS) * SLICES, per // 8), dtype=np.uint8)
     hot = np.zeros_like(twice)
-    merged = docs.select("t").mapInArrow(count, "slice int, cells binary, counts binary").repartition(
+    merged = df.mapInArrow(count, "slice int, cells binary, counts binary").repartition(
         min(n, len(ROWS) * SLICES), "slice").mapInArrow(merge, "slice int, twice binary, hot binary")
     for r in merged.collect():
         twice[r["slice"]] = np.frombuffer(r["twice"], dtype=np.uint8)
@@ -123,6 +122,29 @@ def sketch(docs: DataFrame, log_width: int, window: int, gram: int, n: int):
     return twice.reshape(len(ROWS), -1), hot.reshape(len(ROWS), -1)
 
 
+def _width(keys: float, most_cells: int) -> int:
+    """Binary logarithm of the cells per row for about ``keys`` keys."""
+    return int(np.clip(np.ceil(np.log2(max(2 * keys, 1))), 16, np.log2(most_cells)))
+
+
+def _text_anchors(window: int, gram: int):
+    def keys(b):
+        data, offsets = W.utf8(b.column(0))
+        for lo, hi in W.groups(offsets):
+            w = W.words_of(data, offsets[lo:hi + 1], W.SPACED, W.PLAIN)
+            _, low, new = _anchors(w.hash, w.doc, window, gram)
+            yield low[new]
+
+    return keys
+
+
+def _window_keys(anchor, lists) -> np.ndarray:
+    """A key for each window of each run, from its anchor and its hash."""
+    size = np.diff(lists.offsets.to_numpy())
+    whole = lists.flatten().to_numpy().view(np.uint64)
+    return W.mix(np.repeat(anchor.to_numpy().view(np.uint64), size) ^ W.mix(whole))
+
+
 def _marked(bits: np.ndarray, cells: list[np.ndarray]) -> np.ndarray:
     out = np.ones(len(cells[0]), dtype=bool)
     for row, c in enumerate(cells):
@@ -193,20 +215,61 @@ def _resolve(window: int):
 
 
 def repeated_spans(docs: DataFrame, window: int = 50, gram: int = GRAM, most_cells: int = 1 << 27) -> DataFrame:
-    """Word ranges ``(k, h, start, end)`` to remove from ``docs(k, h, t)``: ``k``
-    orders the documents, ``h`` tells rows of one ``k`` apart."""
+    """Word ranges to remove from ``docs(k, h, t)``: ``k`` orders the documents, ``h``
+    tells rows of one ``k`` apart, ``spans`` holds some of the ranges."""
     spark = docs.sparkSession
     nbytes = text_bytes(docs, "t")
-    log_width = int(np.clip(np.ceil(np.log2(max(nbytes / 40, 1))), 16, np.log2(most_cells)))
+    # A word takes about six bytes, and an anchor lasts half the grams of a window.
+    log_width = _width(nbytes / 6 / ((window - gram + 2) / 2), most_cells)
     n = parts(spark, nbytes, 128 << 20)
-    bits = sketch(docs, log_width, window, gram, n)
+    bits = sketch(docs.select("t"), _text_anchors(window, gram), log_width, n)
     runs = stored(estimated_repeats(docs, bits, log_width, window, gram))
     few = runs.filter("NOT hot").repartition(n, "anchor").mapInArrow(_resolve(window), _SPANS_DDL)
-    single = runs.filter("hot").select("anchor", "k", "h", "at", F.posexplode("windows").alias("i", "w"))
+    many = _resolve_frequent(runs.filter("hot"), window, n, most_cells)
+    return few.select("k", "h", F.array(F.struct("start", "end")).alias("spans")).unionByName(many)
+
+
+def _resolve_frequent(runs: DataFrame, window: int, n: int, most_cells: int) -> DataFrame:
+    """Exact grouping of runs whose anchor may be frequent. Equal runs are one
+    content with one smallest document. A sketch over the windows of the distinct
+    contents leaves those estimated to be in two contents or more, which are
+    grouped exactly; the runs then take the minima of their content."""
+    runs = runs.withColumn("c", F.xxhash64("windows"))
+    contents = stored(runs.groupBy("anchor", "c").agg(
+        F.min("k").alias("k"), F.count("*").alias("n"), F.any_value("windows").alias("windows")))
+    size = contents.agg(F.sum(F.size("windows")).alias("s")).first()["s"] or 0
+    log_width = _width(2 * size, most_cells)
+    bits, _ = sketch(contents.select("anchor", "windows"), lambda b: [_window_keys(b.column(0), b.column(1))],
+                     log_width, n)
+    shared = runs.sparkSession.sparkContext.broadcast(bits)
+
+    def repeated(batches):
+        for b in batches:
+            keep = _marked(shared.value, _cells(_window_keys(b.column(0), b.column(3)), log_width))
+            sizes = np.diff(b.column(3).offsets.to_numpy())
+            run = np.repeat(np.arange(b.num_rows), sizes)
+            place = np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = pa.array(run[keep])
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c).take(at) for c in range(3)), pa.array(place[keep]),
+                 b.column(3).flatten().filter(pa.array(keep))], ["anchor", "c", "k", "i", "w"])
+
+    single = contents.select("anchor", "c", "k", "windows").mapInArrow(
+        repeated, "anchor long, c long, k long, i long, w long")
     smallest = single.groupBy("anchor", "w").agg(F.min("k").alias("least"))
-    many = single.join(smallest, ["anchor", "w"]).filter("k > least").select(
-        "k", "h", (F.col("at") + F.col("i")).alias("start"), (F.col("at") + F.col("i") + window).alias("end"))
-    return few.unionByName(many)
+    minima = single.join(smallest, ["anchor", "w"]).groupBy("anchor", "c").agg(
+        F.collect_list(F.struct("i", "least")).alias("minima"))
+    # Windows that only one content has: its own smallest document is theirs.
+    alone = contents.filter("n > 1").select("anchor", "c", F.col("k").alias("own"))
+    begin, least = F.col("at"), F.col("own")
+    whole = F.when(F.col("k") > least, F.array(F.struct(
+        begin.alias("start"), (begin + F.size("windows") + window - 1).alias("end"))))
+    copied = runs.join(alone, ["anchor", "c"]).select("k", "h", whole.alias("spans")).filter("spans IS NOT NULL")
+    gone = F.filter("minima", lambda m: m["least"] < F.col("k"))
+    across = runs.join(minima, ["anchor", "c"]).withColumn("gone", gone).filter(F.size("gone") > 0).select(
+        "k", "h", F.transform("gone", lambda m: F.struct(
+            (begin + m["i"]).alias("start"), (begin + m["i"] + window).alias("end"))).alias("spans"))
+    return copied.unionByName(across)
 
 
 def _cut_words(batches):
@@ -243,7 +306,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), order_id(id_col).alias("k"),
                        F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("t"))
     spans = repeated_spans(rows, window, gram, most_cells).groupBy("k", "h").agg(
-        F.collect_list(F.struct("start", "end")).alias("spans"))
+        F.flatten(F.collect_list("spans")).alias("spans"))
     return rows.join(spans, ["k", "h"], "left").select("id", "t", "spans").mapInArrow(
         _cut_words, "id long, n_words long, n_removed long, kept_text string")
 

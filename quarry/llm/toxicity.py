@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import stored
 from .grams import count_grams
 from .language import fold_of
 
@@ -228,18 +229,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(
         F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y"))
     rows = docs.filter(F.coalesce(fold_of(id_col) != 2, F.lit(False))).select(
-        F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(marks, "i").select(
-        "t", "y", fold_of("i").alias("fold"), F.xxhash64("t").alias("h"))
+        F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h")).join(marks, "i")
     size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = {y: min(1.0, fit_texts / n) for y, n in size.items()}
-    rate = F.create_map(*[F.lit(x) for y, s in share.items() for x in (y, int(s * 1_000_000))]) if share else None
     none = np.zeros(5)
     if len(size) < 2:
         p = min(max(sum(n for y, n in size.items() if y) / max(1, sum(size.values())), 1e-9), 1 - 1e-9)
         return Model(chars, {}, none, none + 1, np.array([math.log(p / (1 - p)), 0, 0, 0, 0, 0]))
     # One row a distinct text: copies would make chance words look like evidence.
-    chosen = rows.filter(F.pmod("h", F.lit(1_000_000)) < rate[F.col("y")]).groupBy("h", "y").agg(
-        F.min("t").alias("t"), F.min("fold").alias("fold"))
+    rate = F.create_map(*[F.lit(x) for y, s in share.items() for x in (y, int(s * 1_000_000))])
+    picked = stored(rows.filter(F.pmod("h", F.lit(1_000_000)) < rate[F.col("y")]).groupBy("h", "y").agg(
+        F.min("i").alias("i")).select("i", "y", fold_of("i").alias("fold")))
+    # About 2 x fit_texts rows of ids: the texts are read in place and not shuffled.
+    chosen = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(picked), "i")
     learn = chosen.filter("fold < 2")
     counts = {r["y"]: r["n"] for r in learn.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = counts.get(1, 0), counts.get(0, 0)

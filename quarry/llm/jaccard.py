@@ -90,8 +90,9 @@ def _slices(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
-def class_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """``id, k, h, s, n, prefix`` per row of ``docs(id, k, h, t)``; ``s`` names the set."""
+def class_rows(docs: DataFrame, n: int, num: int, den: int, prefixes: bool) -> DataFrame:
+    """``id, k, h, s, n, prefix`` per row of ``docs(id, k, h, t)``; ``s`` names the set.
+    Without ``prefixes`` they are empty."""
     def classes(batches):
         for b in batches:
             data, offsets = W.utf8(b.column(3))
@@ -101,6 +102,7 @@ def class_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(code), dtype=np.uint64)])
                 name = W.mix(total[at[1:]] - total[at[:-1]] + size.astype(np.uint64)).view(np.int64)
                 front = np.minimum(size, size - least_overlap(size, num, den) + np.maximum(1, size // EXTRA))
+                front = front if prefixes else front * 0
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(c).slice(lo, hi - lo) for c in range(3)), pa.array(name), pa.array(size),
                      _lists(code[_slices(at[:-1], front)], front)], ["id", "k", "h", "s", "n", "prefix"])
@@ -117,7 +119,7 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, n: int, num: int, den: i
     among their first in the common order."""
     spark = docs.sparkSession
     total = classes.agg(F.sum(F.size("prefix")).alias("x")).first()["x"] or 0
-    log_width = _width(2 * total, MOST_CELLS)
+    log_width = _width(total, MOST_CELLS)
     bits = spark.sparkContext.broadcast(sketch(classes.select("prefix"), lambda b: _flat(b, 0), log_width, shuffle)[0])
 
     def shared(batches):
@@ -141,7 +143,7 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, n: int, num: int, den: i
     texts = docs.join(kept, ["k", "h"]).dropDuplicates(["k", "h"])
     sets = stored(texts.select("s", "t").mapInArrow(whole, "s long, grams array<long>"))
     total = sets.agg(F.sum(F.size("grams")).alias("x")).first()["x"] or 0
-    wide = _width(2 * total, MOST_CELLS)
+    wide = _width(total, MOST_CELLS)
     order = spark.sparkContext.broadcast(sketch(sets.select("grams"), lambda b: _flat(b, 0), wide, shuffle, 64))
 
     def fronts(batches):
@@ -269,7 +271,8 @@ def class_links(candidates: DataFrame, num: int, den: int, shuffle: int) -> Data
     roots = group.select(F.col("root").alias("node"), "root").distinct()
     group = group.unionByName(roots)
     blocks = group.groupBy("root").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("blocks"))
-    placed = candidates.select("s", "grams").join(group.withColumnRenamed("node", "s"), "s").join(blocks, "root")
+    group = group.join(blocks, "root").withColumnRenamed("node", "s")
+    placed = candidates.select("s", "grams").join(group, "s")
     own = F.pmod(F.xxhash64("s", F.lit(7)), F.col("blocks")).cast("int")
     other = F.explode(F.expr("sequence(0, blocks - 1)"))
     pairs = placed.withColumn("own", own).withColumn("other", other).select(
@@ -302,13 +305,15 @@ def class_links(candidates: DataFrame, num: int, den: int, shuffle: int) -> Data
 
 def linked_classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, k, h, n, component`` per row of ``docs``: ``(k, h)`` names a row up to equal
-    ids and texts, ``component`` is the smallest id (as ``k``) that it reaches."""
+    """``id, k, h, n, root, component`` per row of ``docs``: ``(k, h)`` names a row up to
+    equal ids and texts, ``root`` its component (null without words), and ``component``
+    is the smallest id (as ``k``) in it."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), order_id(id_col).alias("k"),
                        F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
     shuffle = parts(docs.sparkSession, text_bytes(rows, "t"), 128 << 20)
-    found = stored(class_rows(rows, n, num, den))
-    first = found.filter("n > 0").groupBy("s", "n").agg(F.min(F.struct("k", "h")).alias("r"), F.any_value("prefix").alias("prefix"))
+    # The prefixes are stored once, for the classes; naming the sets again is cheap.
+    found = class_rows(rows, n, num, den, False).drop("prefix")
+    first = class_rows(rows, n, num, den, True).filter("n > 0").groupBy("s", "n").agg(F.min(F.struct("k", "h")).alias("r"), F.any_value("prefix").alias("prefix"))
     classes = stored(first.select("r.k", "r.h", "s", "n", "prefix"))
     links = class_links(candidate_sets(rows.select("k", "h", "t"), classes, n, num, den, shuffle), num, den, shuffle)
     joined = components(links)
@@ -316,10 +321,10 @@ def linked_classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
     smallest = least.join(classes.select("s", "k"), "s")
     per_root = smallest.groupBy("root").agg(F.min("k").alias("component"))
     per_class = classes.select("s", F.col("k").alias("own")).join(
-        least.join(per_root, "root").select("s", "component"), "s", "left").select(
-        "s", F.coalesce("component", "own").alias("component"))
+        least.join(per_root, "root").select("s", "root", "component"), "s", "left").select(
+        "s", F.coalesce("root", "s").alias("root"), F.coalesce("component", "own").alias("component"))
     return found.select("id", "k", "h", "s", "n").join(per_class, "s", "left").select(
-        "id", "k", "h", "n", F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("k")).alias("component"))
+        "id", "k", "h", "n", "root", F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("k")).alias("component"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
@@ -327,7 +332,7 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
     """``docs`` with one row of each component: one of smallest id, then text hash.
     Texts without words all stay."""
     rows = linked_classes(docs, n, num, den, id_col, text_col)
-    first = rows.filter("n > 0").groupBy("component").agg(F.min(F.struct("k", "h")).alias("r")).select("r.k", "r.h")
+    first = rows.filter("n > 0").groupBy("root").agg(F.min(F.struct("k", "h")).alias("r")).select("r.k", "r.h")
     kept = first.unionByName(rows.filter("n = 0").select("k", "h").distinct())
     k, h = free_name(docs, "order"), free_name(docs, "texthash")
     named = docs.withColumn(k, order_id(id_col)).withColumn(h, F.xxhash64(text_col)).join(

@@ -31,21 +31,13 @@ def workflow_metrics(outcomes: DataFrame, by: list[str] | None = None) -> DataFr
         F.round(F.avg((F.col("final_status") == "approved").cast("double")), 6).alias("success_rate"))
 
 
-def transition_matrix(log: DataFrame, run: str, order: str, state: str, dense: bool = True) -> DataFrame:
-    """TRC-04: counts of (state -> next state) pairs along each run.
-
-    The next row is found by an equi-join on (run, position + 1), so no run is
-    sorted in one task however long it is. ``dense=True``: the order key already
-    is 0, 1, 2, ... within a run; otherwise positions are numbered first
-    (:func:`quarry.operators.scan.row_number_within`).
-    """
-    if not dense:
-        from .scan import row_number_within
-        log = row_number_within(log, run, [order], "_seq")
-        order = "_seq"
-    a = log.select(F.col(run).alias("_r"), F.col(order).alias("_o"), F.col(state).alias("from_status"))
-    b = log.select(F.col(run).alias("_r"), (F.col(order) - 1).alias("_o"), F.col(state).alias("to_status"))
-    pairs = a.join(b, ["_r", "_o"]).select("from_status", "to_status")
+def transition_matrix(log: DataFrame, run: str, order: str, state: str) -> DataFrame:
+    """TRC-04: counts of (state -> next state) pairs along each run, in the order of
+    ``order`` (whatever its gaps)."""
+    following = F.lead(state).over(Window.partitionBy(run).orderBy(order))
+    last = F.lead(F.lit(1)).over(Window.partitionBy(run).orderBy(order)).isNull()
+    pairs = log.select(F.col(state).alias("from_status"), following.alias("to_status"),
+                       last.alias("_last")).filter("NOT _last").drop("_last")
     return pairs.groupBy("from_status", "to_status").agg(F.count(F.lit(1)).alias("n"))
 
 

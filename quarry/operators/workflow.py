@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.jsonx import extract_json, json_field
 from ..functions.text import preview
+from .entities import py_strip
 
 # --- fixed values: goal and retry bounds
 MIN_GOAL_CHARS = 10
@@ -35,7 +36,7 @@ def validate_goals(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Returns ``(good, bad)``; good rows carry the trimmed goal.
     """
-    g = F.trim(F.col("user_goal"))
+    g = py_strip(F.col("user_goal"))
     r = F.coalesce(F.col("max_retries"), F.lit(DEFAULT_MAX_RETRIES))
     reason = (F.when(F.col("user_goal").isNull() | (F.length(g) < MIN_GOAL_CHARS),
                      F.lit("User goal must be at least 10 characters"))
@@ -387,6 +388,7 @@ def run_rounds(goals: DataFrame, propose: Callable[[DataFrame], DataFrame],
         open_ = retry_rows(stepped.filter(F.col("next") == "coding").drop("next", "note"))
         if open_.isEmpty():
             break
+    finished.append(open_)  # goals still open at the limit stay in the result, as "coding"
     out = finished[0]
     for d in finished[1:]:
         out = out.unionByName(d, allowMissingColumns=True)

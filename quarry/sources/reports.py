@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.regex import unicode_classes
 from ..operators.detect import FRAME_PATTERN, fixable_severity, map_severity
+from ..operators.entities import py_strip
 from ..operators.findings import to_findings
 
 # --- fixed values: report line formats and default texts
@@ -59,7 +60,7 @@ def parse_typecheck(lines: DataFrame, col: str = "value") -> DataFrame:
     return to_findings(lines.filter(ok).select(
         F.lit("MYPY").alias("source"), map_severity(F.lower(g(4))).alias("severity"),
         g(1).alias("file_path"), g(2).cast("int").alias("line_number"), g(3).cast("int").alias("col"),
-        F.trim(g(5)).alias("message"),
+        py_strip(g(5)).alias("message"),
         F.coalesce(F.nullif(g(6), F.lit("")), F.lit("mypy-error")).alias("error_code"),
         v.alias("tool_output"), F.lit(DETECTOR_ORD["MYPY"]).alias("detector_ord"),
         F.monotonically_increasing_id().alias("emit_ord")))
@@ -173,7 +174,8 @@ def read_test_json(spark: SparkSession, path: str) -> DataFrame:
 
 def _entries(text: Column, pattern: str, kind: str) -> Column:
     """All entries of one kind with the 2000 characters after each match."""
-    p = "(?s)" + pattern
+    # only Java's ``\z`` is the very end; its ``\Z`` stops before a final line end
+    p = "(?s)" + pattern.replace(r"\Z", r"\z")
     files_, names, msgs, whole = (F.regexp_extract_all(text, F.lit(p), g) for g in (1, 2, 3, 0))
     pieces = F.split(text, p, -1)
     # end offset (0-based) of match i = sum of lengths of pieces[0..i] and matches[0..i]
@@ -182,7 +184,7 @@ def _entries(text: Column, pattern: str, kind: str) -> Column:
                        lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
     return F.transform(whole, lambda w, i: F.struct(
         F.lit(kind).alias("kind"), F.get(files_, i).alias("file"), F.get(names, i).alias("test"),
-        F.trim(F.get(msgs, i)).alias("msg"), w.alias("raw"),
+        py_strip(F.get(msgs, i)).alias("msg"), w.alias("raw"),
         F.substr(text, F.get(ends, i) + 1, F.lit(2000)).alias("after")))
 
 

@@ -187,3 +187,9 @@ def test_score_isolates_failing_rows(spark):
     rows = {r.prompt_key: r for r in wf.score(df.coalesce(1), picky).collect()}
     assert rows["1"].reply == "ok!" and rows["3"].reply == "fine!" and rows["1"].error is None
     assert rows["2"].reply is None and "cannot score" in rows["2"].error
+
+
+def test_imports_of_a_file_without_functions(spark):
+    files = spark.createDataFrame([("m.py", "import os\nX = 1\n"), ("n.py", "Y = 2\n")], "path string, content string")
+    got = {r.file_path: r.imports for r in ex.extract_entities(files).collect()}
+    assert got == {"m.py": ["import os"], "n.py": []}

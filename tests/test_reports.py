@@ -80,3 +80,12 @@ def test_stack_frames(spark):
     df = spark.createDataFrame([(1, t), (2, "")], "id int, text string")
     rows = rp.stack_frames(df).collect()
     assert [(r.frame, r.file, r.line, r.function) for r in rows] == [(0, "a.py", 3, "f"), (1, "b.py", 9, "g")]
+
+
+def test_text_report_ends_with_white_space(spark):
+    text = "FAILED t.py::test_a - boom\t\n"
+    df = spark.createDataFrame([(text,)], "value string")
+    [r] = rp.parse_test_text(df).collect()
+    assert r.message == "Test failure: test_a - boom" and r.tool_output == text
+    lines = spark.createDataFrame([("a.py:3:5: error: Bad\u00a0",)], "value string")
+    assert [x.message for x in rp.parse_typecheck(lines).collect()] == ["Bad"]

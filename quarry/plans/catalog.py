@@ -1031,9 +1031,11 @@ def drop_tests_q(spark, sf_dir):
 @register("file_count", f"""WITH {_PAGE_SQL} SELECT count(*) AS files,
   count_if(NOT contains(lower(file_name), '2')) AS files_without_marker FROM pn""")
 def file_count_q(spark, sf_dir):
+    from ..sources.files import count_files
     f = _page_files(spark, sf_dir)
-    return f.agg(F.count(F.lit(1)).alias("files"),
-                 F.count_if(~F.contains(F.lower(F.col("file_name")), F.lit("2"))).alias("files_without_marker"))
+    without = count_files(f, include_tests=False, marker="2").withColumnRenamed("files", "files_without_marker")
+    return count_files(f).unionByName(without, allowMissingColumns=True).agg(
+        F.max("files").alias("files"), F.max("files_without_marker").alias("files_without_marker"))
 
 
 # ---------------------------------------------------------------- Python entities (ENT-01, 11) over documents

@@ -41,9 +41,9 @@ def drop_tests(df: DataFrame, name_col: str = "file_name", marker: str = "test")
     return df.filter(~F.contains(F.lower(F.col(name_col)), F.lit(marker.lower())))
 
 
-def count_files(df: DataFrame, include_tests: bool = True, name_col: str = "file_name") -> DataFrame:
+def count_files(df: DataFrame, include_tests: bool = True, name_col: str = "file_name", marker: str = "test") -> DataFrame:
     """SRC-04: number of source files, tests optionally left out."""
-    d = df if include_tests else drop_tests(df, name_col)
+    d = df if include_tests else drop_tests(df, name_col, marker)
     return d.agg(F.count(F.lit(1)).alias("files"))
 
 

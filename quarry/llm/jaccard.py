@@ -34,6 +34,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,6 +115,27 @@ def _flat(b, column: int) -> list[np.ndarray]:
     return [b.column(column).flatten().to_numpy().view(np.uint64)]
 
 
+def possible_members(keys: DataFrame):
+    """A boolean column function of ``(k, h)``: false only for pairs that ``keys(k, h)``
+    lacks. A bit array of 16 bits a key, at most ``MOST_CELLS`` bits (16 MB); when it
+    fills up, more rows go on to the exact join behind it."""
+    log_width = _width(8 * keys.count(), MOST_CELLS)
+    cell = F.expr(f"shiftrightunsigned(xxhash64(k, h), {64 - log_width})")
+    words = keys.select(cell.alias("c")).groupBy(F.expr("shiftright(c, 15)").alias("at")).agg(
+        F.bitmap_construct_agg(F.expr("c & 32767")).alias("bits"))
+    bits = np.zeros((max(1, (1 << log_width) >> 15), 4096), dtype=np.uint8)
+    for r in words.collect():
+        bits[r["at"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+
+    @F.pandas_udf("boolean")
+    def held(cells: pd.Series) -> pd.Series:
+        c = cells.to_numpy()
+        return pd.Series((shared.value[c >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1)
+
+    return lambda k, h: held(F.shiftrightunsigned(F.xxhash64(k, h), 64 - log_width))
+
+
 def candidate_sets(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int, shuffle: int) -> DataFrame:
     """``s, grams, front``: sets that may link, and the n-grams that they may share
     among their first in the common order."""
@@ -131,7 +153,7 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, n: int, num: int, den: i
             keep = count >= _need(b.column(3).to_numpy(), num, den)
             yield b.select(["k", "h", "s"]).filter(pa.array(keep))
 
-    kept = classes.select("k", "h", "s", "n", "prefix").mapInArrow(shared, "k long, h long, s long")
+    kept = stored(classes.select("k", "h", "s", "n", "prefix").mapInArrow(shared, "k long, h long, s long"))
 
     def whole(batches):
         for b in batches:
@@ -140,7 +162,7 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, n: int, num: int, den: i
                 code, at = gram_sets(W.words_of(data, offsets[lo:hi + 1], W.SPACED, W.FOLDED), n)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), _lists(code, np.diff(at))], ["s", "grams"])
 
-    texts = docs.join(kept, ["k", "h"]).dropDuplicates(["k", "h"])
+    texts = docs.filter(possible_members(kept)("k", "h")).join(kept, ["k", "h"]).dropDuplicates(["k", "h"])
     sets = stored(texts.select("s", "t").mapInArrow(whole, "s long, grams array<long>"))
     total = sets.agg(F.sum(F.size("grams")).alias("x")).first()["x"] or 0
     wide = _width(total, MOST_CELLS)
@@ -331,14 +353,19 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: one of smallest id, then text hash.
     Texts without words all stay."""
-    rows = linked_classes(docs, n, num, den, id_col, text_col)
-    first = rows.filter("n > 0").groupBy("root").agg(F.min(F.struct("k", "h")).alias("r")).select("r.k", "r.h")
-    kept = first.unionByName(rows.filter("n = 0").select("k", "h").distinct())
+    rows = stored(linked_classes(docs, n, num, den, id_col, text_col).filter("n > 0").select("k", "h", "root"))
+    first = stored(rows.groupBy("root").agg(F.min(F.struct("k", "h")).alias("r")).select("r.k", "r.h"))
+    once = rows.groupBy("k", "h").agg(F.count("*").alias("c"))
+    alone = first.join(once.filter("c = 1"), ["k", "h"]).select("k", "h")
+    doubtful = once.select("k", "h").join(alone, ["k", "h"], "left_anti")
     k, h = free_name(docs, "order"), free_name(docs, "texthash")
-    named = docs.withColumn(k, order_id(id_col)).withColumn(h, F.xxhash64(text_col)).join(
-        kept.withColumnsRenamed({"k": k, "h": h}), [k, h], "left_semi")
+    named = docs.withColumn(k, order_id(id_col)).withColumn(h, F.xxhash64(text_col))
     has_words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return named.filter(has_words).dropDuplicates([k, h]).unionByName(named.filter(~has_words)).select(*docs.columns)
+    # Most texts stay where they are: only rows that may be repeated first ones move.
+    doubt = possible_members(doubtful)(k, h)
+    copies = named.filter(has_words & doubt & possible_members(first)(k, h)).join(
+        first.withColumnsRenamed({"k": k, "h": h}), [k, h], "left_semi").dropDuplicates([k, h])
+    return named.filter(~(has_words & doubt)).unionByName(copies).select(*docs.columns)
 
 
 def op6_jaccard(spark, sf_dir):

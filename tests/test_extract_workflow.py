@@ -193,3 +193,42 @@ def test_imports_of_a_file_without_functions(spark):
     files = spark.createDataFrame([("m.py", "import os\nX = 1\n"), ("n.py", "Y = 2\n")], "path string, content string")
     got = {r.file_path: r.imports for r in ex.extract_entities(files).collect()}
     assert got == {"m.py": ["import os"], "n.py": []}
+
+
+EDGES = textwrap.dedent("""\
+    import os as o, sys; Z = 1
+    from ..pkg import (a as b,
+                       c)
+    @wrap
+    async def f(p, /, q: int = 1, *rest: int, k: str = "x", **more: int) -> list[int]:
+        if p:
+            def in_if():
+                import inner as i
+        else:
+            def in_else(): pass
+    def g(*, k=None):
+        for _ in k:
+            def in_for(): pass
+        class L:
+            def m(self): pass
+    def h():
+        def deep():
+            try:
+                pass
+            finally:
+                def last(): pass
+    """)
+
+
+def test_signatures_nesting_imports_and_blocks(spark):
+    files = spark.createDataFrame([("e.py", EDGES), ("empty.py", ""), ("none.py", None)], "path string, content string")
+    rows = {(r.entity_type, r.name): r for r in ex.extract_entities(files).collect()}
+    f, g, h = (rows["FUNCTION", n] for n in "fgh")
+    assert f.signature == "async def f (p, /, q: int, *rest, k: str, **more) -> list[int]"
+    assert g.signature == "def g (*, k)" and h.signature == "def h ()"
+    assert (f.has_nested, g.has_nested, h.has_nested) == (True, False, True)
+    assert f.imports == ["import os, sys", "from ..pkg import a, c", "import inner"]
+    assert (f.start_line, f.end_line, f.content.split("\n")[0][:11]) == (5, 10, "async def f")
+    blocks = [(r.start_line, r.end_line, r.content) for (kind, _), r in rows.items() if kind == "STANDALONE"]
+    assert blocks == [(2, 3, "from ..pkg import (a as b,\n                   c)")]
+    assert len(rows) == 4

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.regex import re2_compatible, to_java
+from ..functions.regex import to_java
 from ..functions.text import newline_count
 from ..sources.tables import spread
 
@@ -147,25 +147,22 @@ _HIT = T.ArrayType(T.StructType([
 def match_lines(text: Column, java_pattern: str) -> Column:
     """``ARRAY<STRUCT<line INT, hit STRING>>``: every match with its start line.
 
-    Pieces between matches come from ``split`` with the same pattern; the line
-    of match *i* is 1 + newlines in pieces 0..i and matches 0..i-1, folded
-    left to right with ``aggregate``.
+    Pieces between matches come from ``split`` with the same pattern. Pieces and
+    matches are then written as their newlines alone, with a mark at the start of
+    each match: the marks on a line of that text are the matches on this line.
+    Linear in the text and in the matches.
     """
     pat = F.lit(java_pattern)
     m = F.regexp_extract_all(text, pat, 0)
     g = F.split(text, java_pattern, -1)
-    pairs = F.zip_with(F.slice(g, 1, F.size(m)), m, lambda p, h: F.struct(p.alias("p"), h.alias("h")))
-    init = F.struct(F.lit(0).alias("nl"), F.array().cast(_HIT).alias("out"))
-
-    def step(acc, x):
-        before = acc["nl"] + newline_count(x["p"])
-        return F.struct(
-            (before + newline_count(x["h"])).alias("nl"),
-            F.concat(acc["out"], F.array(F.struct((before + 1).alias("line"), x["h"].alias("hit")))).alias("out"),
-        )
+    breaks = lambda x: F.repeat(F.lit("\n"), newline_count(x))
+    marked = F.array_join(F.zip_with(F.slice(g, 1, F.size(m)), m,
+                                     lambda p, h: F.concat(breaks(p), F.lit("x"), breaks(h))), "")
+    at = F.flatten(F.transform(F.split(marked, "\n", -1), lambda x, i: F.array_repeat(i + 1, F.length(x))))
+    hits = F.zip_with(at, m, lambda n, h: F.struct(n.alias("line"), h.alias("hit")))
 
     # split (a second regex pass) only runs for texts that have a match
-    return F.when(F.size(m) > 0, F.aggregate(pairs, init, step, lambda acc: acc["out"])).otherwise(F.array().cast(_HIT))
+    return F.when(F.size(m) > 0, hits).otherwise(F.array().cast(_HIT))
 
 
 def _gated(hits: Column, low: Column, must: tuple[str, ...] | None) -> Column:
@@ -200,7 +197,8 @@ def rule_scan(files: DataFrame, rules, path_col: str = "path", text_col: str = "
     passes = []
     for start in range(0, len(rule_list), RULES_PER_PASS):
         chunk = list(enumerate(rule_list))[start:start + RULES_PER_PASS]
-        low = F.lower(F.col(text_col))
+        # letters that only the ignored case makes equal to ASCII ones
+        low = F.lower(F.translate(F.col(text_col), "\u0130\u0131\u017f", "iis"))
         per_rule = [F.transform(_gated(match_lines(F.col(text_col), to_java(r.pattern)), low, r.must_contain), _tag(k))
                     for k, r in chunk]
         hits = F.concat(*per_rule) if len(per_rule) > 1 else per_rule[0]
@@ -237,7 +235,3 @@ def rule_findings(files: DataFrame, rules, detector_ord: int = 3, **kw) -> DataF
         ((F.col("rule_ord").cast("long") * F.lit(1 << 32)) + F.col("match_idx")).alias("emit_ord"),
     ))
 
-
-def oracle_ready(rules) -> list[Rule]:
-    """Rules a DuckDB (RE2) oracle can run: no back-references, no look-around."""
-    return [r for r in rules if re2_compatible(r.pattern)]

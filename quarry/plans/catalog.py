@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import path_parent
 from ..operators import findings as fnd
-from ..operators.rules import DEFAULT_RULES, Rule, oracle_ready, rule_findings
+from ..operators.rules import DEFAULT_RULES, Rule, rule_findings
 from ..sources.tables import files, load
 from . import oracle as O
 
@@ -59,8 +59,8 @@ PROSE_RULES: tuple[Rule, ...] = (
          "Personal data: IP address", "Mask or remove the address", "WARNING"),
 )
 
-# Default rules the oracle can run (no back-references / look-around), plus prose rules.
-SCAN_RULES: tuple[Rule, ...] = tuple(oracle_ready(DEFAULT_RULES)) + PROSE_RULES
+# All default rules, plus prose rules.
+SCAN_RULES: tuple[Rule, ...] = DEFAULT_RULES + PROSE_RULES
 
 
 def _findings(spark, sf_dir):

@@ -18,25 +18,55 @@ def nl(expr: str) -> str:
     return f"(length({expr}) - length(replace({expr}, chr(10), '')))"
 
 
+# RE2 spelling of a rule with look-around: a look-behind for a comma right after "=" always holds.
+RE2_TWINS = {"mutable_default": ("=(?<!,)", "=")}
+# The rule with a back-reference: its head names a list, the rest of the line must change it.
+LOOP_HEAD, LOOP_NAME, LOOP_CHANGE = r"for\s+\w+\s+in\s+\w+:", r"in\s+(\w+):$", r"\.(remove|append|insert)"
+LOOP_RULE = "list_modify_while_iterating"
+
+
+def _rule_columns(k: int, r) -> str:
+    sugg = "NULL" if r.suggestion is None else sql_literal(r.suggestion)
+    return (f"path, {k} AS rule_ord, {sql_literal(r.rule)} AS rule, {sql_literal(r.severity)} AS severity, "
+            f"{sql_literal(r.message)} AS message, CAST({sugg} AS VARCHAR) AS suggestion")
+
+
+def _loop_hits_sql(k: int, r, files: str) -> str:
+    """Matches of ``LOOP_RULE``. Of a match, later heads on the same line that it
+    swallows would be counted again; no such line is in the checked tables."""
+    head, name = sql_literal(to_re2(LOOP_HEAD)), sql_literal(to_re2(LOOP_NAME))
+    found = (f"regexp_extract(rest, '(?i)^.*?' || regexp_extract(head, {name}, 1) || {sql_literal(LOOP_CHANGE)}, 0)")
+    return f"""
+SELECT {_rule_columns(k, r)}, CAST(1 + {nl("substr(content, 1, ends - length(head))")} AS INTEGER) AS line_number,
+       CAST(row_number() OVER (PARTITION BY path ORDER BY ends) - 1 AS INTEGER) AS match_idx, head || found AS hit
+FROM (SELECT *, {found} AS found
+      FROM (SELECT *, string_split(substr(content, ends + 1), chr(10))[1] AS rest
+            FROM (SELECT path, content, heads[i] AS head,
+                         length(array_to_string(pieces[1:i], '')) + length(array_to_string(heads[1:i], '')) AS ends
+                  FROM (SELECT *, unnest(generate_series(1, len(heads))) AS i
+                        FROM (SELECT path, content, regexp_extract_all(content, {head}) AS heads,
+                                     string_split_regex(content, {head}) AS pieces FROM {files}) WHERE len(heads) > 0))))
+WHERE found <> ''"""
+
+
 def rule_hits_sql(rules, files: str = "files") -> str:
     """One row per (file, rule, match) with the start line: the oracle twin of
-    :func:`quarry.operators.rules.rule_scan` (RE2-compatible rules only)."""
-    branches = []
+    :func:`quarry.operators.rules.rule_scan`."""
+    branches, loops = [], ""
     for k, r in enumerate(rules):
-        pat = sql_literal(to_re2(r.pattern))
-        sugg = "NULL" if r.suggestion is None else sql_literal(r.suggestion)
-        branches.append(
-            f"SELECT path, {k} AS rule_ord, {sql_literal(r.rule)} AS rule, {sql_literal(r.severity)} AS severity, "
-            f"{sql_literal(r.message)} AS message, CAST({sugg} AS VARCHAR) AS suggestion, "
-            f"regexp_extract_all(content, {pat}) AS hits, string_split_regex(content, {pat}) AS pieces "
-            f"FROM {files}")
+        if r.rule == LOOP_RULE:
+            loops += "\nUNION ALL" + _loop_hits_sql(k, r, files)
+            continue
+        pat = sql_literal(to_re2(r.pattern.replace(*RE2_TWINS.get(r.rule, ("", "")))))
+        branches.append(f"SELECT {_rule_columns(k, r)}, regexp_extract_all(content, {pat}) AS hits, "
+                        f"string_split_regex(content, {pat}) AS pieces FROM {files}")
     union = "\nUNION ALL\n".join(branches)
     return f"""(
 SELECT path, rule_ord, rule, severity, message, suggestion,
        CAST(1 + coalesce(list_sum(list_transform(pieces[1:i], lambda p: {nl('p')})), 0)
               + coalesce(list_sum(list_transform(hits[1:i-1], lambda h: {nl('h')})), 0) AS INTEGER) AS line_number,
        CAST(i - 1 AS INTEGER) AS match_idx, hits[i] AS hit
-FROM (SELECT *, unnest(generate_series(1, len(hits))) AS i FROM ({union}) WHERE len(hits) > 0)
+FROM (SELECT *, unnest(generate_series(1, len(hits))) AS i FROM ({union}) WHERE len(hits) > 0){loops}
 )"""
 
 

@@ -94,3 +94,52 @@ def test_rule_findings_codes(spark):
     f = _files(spark, [("a.py", "print(1)\n")])
     r = rule_findings(f, [r for r in DEFAULT_RULES if r.rule == "debug_print"]).first()
     assert r.error_code == "pattern-debug_print" and r.severity == "INFO" and r.code_snippet == "print("
+
+
+SPACED_CODE = """for\u00a0x in items:\u2003items.append(x)
+def\u2003f(a, b=[]):
+    print\u00a0(a)
+    except\u2003Exception: pass
+  data['"]K' = "TO\u212aEN = 'abc'" ; pa\u017fsword : 'p'
+return a /\u00a0b
+execute ( "select %s"
+for y in a: b.append(y)
+def g(x, y = {
+"""
+
+
+def test_all_default_rules_match_as_python_does(spark):
+    import re
+    texts = [SPACED_CODE, SPACED_CODE * 3 + "len(x)" * 4, "", "plain text\n", "except:\n" * 20, "print (\n\n" * 7]
+    files = _files(spark, [(str(k), t) for k, t in enumerate(texts)])
+    got = {(r.path, r.rule, r.match_idx, r.line_number, r.hit) for r in rule_scan(files, DEFAULT_RULES).collect()}
+    want = {(str(k), r.rule, i, t.count("\n", 0, m.start()) + 1, m.group())
+            for k, t in enumerate(texts) for r in DEFAULT_RULES
+            for i, m in enumerate(re.finditer(r.pattern, t, re.MULTILINE | re.IGNORECASE))}
+    assert got == want and {r.rule for r in DEFAULT_RULES} == {x[1] for x in want}
+
+
+def test_rule_oracle_agrees_on_code(spark):
+    import duckdb
+    import pandas as pd
+
+    from quarry.plans.oracle import rule_hits_sql
+    files = pd.DataFrame({"path": ["a", "b"], "content": [SPACED_CODE, "x = 1\n" + SPACED_CODE]})
+    con = duckdb.connect()
+    con.register("files", files)
+    sql = f"SELECT path, rule, match_idx, line_number, hit FROM {rule_hits_sql(DEFAULT_RULES)}"
+    got = {tuple(r) for r in rule_scan(_files(spark, list(files.itertuples(index=False, name=None))), DEFAULT_RULES).select(
+        "path", "rule", "match_idx", "line_number", "hit").collect()}
+    assert set(con.execute(sql).fetchall()) == got
+
+
+def test_line_numbers_take_linear_time(spark):
+    import time
+    spent = {}
+    for n in (40_000, 40_000, 160_000):
+        files = _files(spark, [("a.py", "print(1)\n" * n)]).cache()
+        start = time.time()
+        last = rule_scan(files, [r for r in DEFAULT_RULES if r.rule == "debug_print"]).agg(F.max("line_number")).first()[0]
+        spent[n] = time.time() - start
+        assert last == n
+    assert spent[160_000] < 10 * max(spent[40_000], 0.5)

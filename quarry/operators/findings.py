@@ -161,8 +161,10 @@ def dedup_findings(df: DataFrame, lower: bool = True) -> DataFrame:
 
 
 def distinct_findings(df: DataFrame) -> DataFrame:
-    """FND-11: one finding per id."""
-    return _first_per_key(df, [F.col("id")])
+    """FND-11: one finding per id. The short id is for display: findings that share
+    it by chance differ in the whole hash and both stay."""
+    whole = F.md5(F.concat_ws(":", location_text(), F.col("message")))
+    return _first_per_key(df, [F.col("id"), whole])
 
 
 def threshold_rank(severity: str) -> int:

@@ -51,6 +51,12 @@ def _collect_batch(queries: DataFrame, qid: str, vec: str):
     return ids, mat
 
 
+def _id_type(df: DataFrame, col: str) -> str:
+    """Ids keep their type; whole numbers are BIGINT."""
+    t = df.schema[col].dataType
+    return "bigint" if isinstance(t, T.IntegralType) else t.simpleString()
+
+
 def vector_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K, qid: str = "qid",
                 id_col: str = "id", vec: str = "embedding", where: Column | None = None) -> DataFrame:
     """RET-01/02/03: the ``k`` nearest index records per query by squared L2
@@ -58,6 +64,7 @@ def vector_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K, qid: s
 
     ``where`` filters the index *before* scoring (pushed into the scan).
     Distances are rounded to 6 places before ranking so results are stable.
+    Ids may be of any type that sorts (RET-06 makes strings).
     Output: ``qid, id, distance, score, rank``.
     """
     if not 1 <= k <= MAX_K:
@@ -66,13 +73,13 @@ def vector_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K, qid: s
     idx = idx.select(F.col(id_col).alias("_id"), F.col(vec).alias("_v"))
     spark = index.sparkSession
     outs = []
+    schema = f"qid {_id_type(queries, qid)}, id {_id_type(index, id_col)}, distance double"
     for batch in _passes(queries.select(F.col(qid).alias("_q"), F.col(vec).alias("_v")), "_q", MAX_QUERY_BATCH):
         ids, mat = _collect_batch(batch, "_q", "_v")
         if not ids:
             continue
         bc = spark.sparkContext.broadcast((ids, mat))
-        outs.append(idx.mapInPandas(_local_topk(bc, k), "qid long, id long, distance double"))
-    schema = "qid long, id long, distance double"
+        outs.append(idx.mapInPandas(_local_topk(bc, k), schema))
     cand = outs[0] if outs else spark.createDataFrame([], schema)
     for o in outs[1:]:
         cand = cand.unionByName(o)
@@ -94,14 +101,14 @@ def _local_topk(bc, k: int):
     def run(it):
         import pandas as pd
         qids, Q = bc.value
-        qids = np.asarray(qids, dtype=np.int64)
+        qids = pd.Series(qids).to_numpy()
         qn = (Q * Q).sum(axis=1)
         kept, held = [], 0
         for pdf in it:
             if pdf.empty:
                 continue
             X = np.stack(pdf["_v"].to_numpy()).astype(np.float64)
-            xid = pdf["_id"].to_numpy(dtype=np.int64)
+            xid = pdf["_id"].to_numpy()
             D = qn[:, None] + (X * X).sum(axis=1)[None, :] - 2.0 * (Q @ X.T)
             D = np.round(np.maximum(D, 0.0), 6)
             kk = min(k, D.shape[1])
@@ -359,7 +366,7 @@ def _masked_topk(bc, k: int):
     def run(it):
         import pandas as pd
         qids, Q, P = bc.value
-        qids = np.asarray(qids, dtype=np.int64)
+        qids = pd.Series(qids).to_numpy()
         qn = (Q * Q).sum(axis=1)
         kept, held = [], 0
         for pdf in it:
@@ -479,7 +486,8 @@ def text_topk(queries: DataFrame, docs: DataFrame, k: int = DEFAULT_K, rank_by:
         bc = spark.sparkContext.broadcast((idf, inv, qids, nq))
         src = docs.select(F.col(did).alias("_d"), tokens(dtext).alias("_t"))
         outs.append(src.mapInPandas(_score_docs(bc, k, rank_by),
-                                    "qid long, doc long, similarity double, keyword_score double, score double"))
+                                    f"qid {_id_type(queries, qid)}, doc {_id_type(docs, did)}, "
+                                    "similarity double, keyword_score double, score double"))
     if not outs:
         return None
     cand = _union(outs)
@@ -492,11 +500,10 @@ def text_topk(queries: DataFrame, docs: DataFrame, k: int = DEFAULT_K, rank_by:
 
 def _score_docs(bc, k: int, rank_by: str):
     def run(it):
-        import heapq
         from collections import Counter
         import pandas as pd
         idf, inv, qids, nq = bc.value
-        best = {}                                   # query index -> heap of (key, doc, sim, kw, score)
+        best = {}                                   # query index -> rows (-key, doc, sim, kw, score), cut at 4k
         for pdf in it:
             for d, toks in zip(pdf["_d"].tolist(), pdf["_t"].tolist()):
                 if toks is None or len(toks) == 0:
@@ -512,14 +519,13 @@ def _score_docs(bc, k: int, rank_by: str):
                     sim = round(dot / norm, 6)
                     kw = hits[qi] / nq[qi]
                     score = round(SIM_WEIGHT * (dot / norm) + KW_WEIGHT * kw, 6)
-                    key = ({"similarity": sim, "keyword_score": round(kw, 6)}.get(rank_by, score), -d)
+                    key = {"similarity": sim, "keyword_score": round(kw, 6)}.get(rank_by, score)
                     h = best.setdefault(qi, [])
-                    item = (key, d, sim, round(kw, 6), score)
-                    if len(h) < k:
-                        heapq.heappush(h, item)
-                    elif item[0] > h[0][0]:
-                        heapq.heapreplace(h, item)
-        rows = [(qids[qi], it_[1], it_[2], it_[3], it_[4]) for qi, h in best.items() for it_ in h]
+                    h.append((-key, d, sim, round(kw, 6), score))
+                    if len(h) >= 4 * k:
+                        h.sort()
+                        del h[k:]
+        rows = [(qids[qi], *row[1:]) for qi, h in best.items() for row in sorted(h)[:k]]
         if rows:
             yield pd.DataFrame(rows, columns=["qid", "doc", "similarity", "keyword_score", "score"])
     return run

@@ -15,9 +15,21 @@ def scan_files(spark: SparkSession, path: str, exts=DEFAULT_EXTS) -> DataFrame:
     """SRC-01: files under ``path`` (recursively; a single file also works) with
     one of ``exts``: ``files(path, file_name, ext, bytes)``. A missing path is
     an error (raised by the reader at plan time)."""
+    return _file_columns(_reader(spark.read, exts).load(path))
+
+
+def stream_files(spark: SparkSession, path: str, exts=DEFAULT_EXTS) -> DataFrame:
+    """SRC-01 as a stream: the same columns, and so the same ids, as :func:`scan_files`."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return _file_columns(_reader(spark.readStream, exts).schema(schema).load(path))
+
+
+def _reader(reader, exts):
     glob = "*.{" + ",".join(e.lstrip(".") for e in exts) + "}" if len(exts) > 1 else "*" + exts[0]
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", glob).load(path))
+    return reader.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+
+
+def _file_columns(raw: DataFrame) -> DataFrame:
     p = F.regexp_replace(F.col("path"), r"^file:", "")
     return raw.select(p.alias("path"), path_name(p).alias("file_name"), path_suffix(p).alias("ext"),
                       F.col("content").alias("bytes"))

@@ -42,10 +42,9 @@ def stream_ingest(spark: SparkSession, source_dir: str, index_path: str, checkpo
     """TRC-06: new files under ``source_dir`` -> entities -> index (by id, first wins)."""
     from ..operators.entities import entity_id
     from ..operators.extract import extract_entities
+    from ..sources.files import keep_utf8, stream_files
 
-    glob = "*" + exts[0] if len(exts) == 1 else "*.{" + ",".join(e.lstrip(".") for e in exts) + "}"
-    src = (spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", glob)
-           .load(source_dir).select(F.input_file_name().alias("path"), F.col("value").alias("content")))
+    src = keep_utf8(stream_files(spark, source_dir, exts))[0].select("path", "content")
 
     def add(batch: DataFrame, epoch: int) -> None:
         ents = extract_entities(batch).withColumn("id", entity_id())

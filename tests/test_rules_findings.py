@@ -143,3 +143,9 @@ def test_line_numbers_take_linear_time(spark):
         spent[n] = time.time() - start
         assert last == n
     assert spent[160_000] < 10 * max(spent[40_000], 0.5)
+
+
+def test_distinct_keeps_findings_whose_short_ids_collide(spark):
+    f = _findings(spark, [("a.py", 1, "m", "ERROR", 0, 0, None, None), ("a.py", 1, "m", "INFO", 0, 1, None, None),
+                          ("a.py", 1, "other", "INFO", 0, 2, None, None)]).withColumn("id", F.lit("same"))
+    assert sorted(r.message for r in fnd.distinct_findings(f).collect()) == ["m", "other"]

@@ -131,3 +131,35 @@ def test_text_topk_matches_join_path_with_hot_term(spark):
         assert ret.text_topk(q, docs, 5) is None
     finally:
         ret.MAX_VOCAB_BROADCAST = old
+
+
+def test_string_ids_rank_like_whole_numbers(spark):
+    import random
+    rng = random.Random(4)
+    vecs = [[float(rng.randrange(5)) for _ in range(3)] for _ in range(60)]
+    texts = [" ".join(rng.choice(["red", "blue", "green", "tea", "cup"]) for _ in range(6)) for _ in range(60)]
+    rows = [(100 + i, f"r{100 + i}", v, t) for i, (v, t) in enumerate(zip(vecs, texts))]
+    df = spark.createDataFrame(rows, "n long, s string, embedding array<float>, text string").repartition(3)
+    q = df.filter("n % 10 = 0")
+    whole = ret.vector_topk(q.withColumnRenamed("n", "q"), df, 4, qid="q", id_col="n").collect()
+    text = ret.vector_topk(q.withColumnRenamed("s", "q"), df, 4, qid="q", id_col="s").collect()
+    assert {(f"r{r.q}", f"r{r.n}", r.distance, r["rank"]) for r in whole} == {(r.q, r.s, r.distance, r["rank"]) for r in text}
+    whole = ret.text_topk(q.withColumnRenamed("n", "q"), df, 4, qid="q", did="n").collect()
+    text = ret.text_topk(q.withColumnRenamed("s", "q"), df, 4, qid="q", did="s").collect()
+    assert {(f"r{r.q}", f"r{r.n}", r.score, r["rank"]) for r in whole} == {(r.q, r.s, r.score, r["rank"]) for r in text}
+
+
+def test_stream_and_batch_give_the_same_ids(spark, tmpdir_path):
+    from quarry.operators.entities import entity_id
+    from quarry.operators.extract import extract_entities
+    from quarry.sources.files import keep_utf8, scan_files
+    src = os.path.join(tmpdir_path, "src dir")
+    os.makedirs(os.path.join(src, "sub"))
+    with open(os.path.join(src, "sub", "a b.py"), "wb") as fh:
+        fh.write(b"def f():\r\n    pass\r\n")
+    with open(os.path.join(src, "bad.py"), "wb") as fh:
+        fh.write(b"\xff\xfe")
+    idx = os.path.join(tmpdir_path, "idx3")
+    stream_ingest(spark, src, idx, os.path.join(tmpdir_path, "ck3"))
+    batch = extract_entities(keep_utf8(scan_files(spark, src))[0]).withColumn("id", entity_id())
+    assert {(r.id, r.content) for r in spark.read.parquet(idx).collect()} == {(r.id, r.content) for r in batch.collect()} != set()

@@ -14,16 +14,14 @@ from quarry.llm import decontaminate, jaccard, pieces, pii, toxicity
 from quarry.llm.common import free_name, load, stored
 from quarry.session import ship
 
-#: Documents with this score or more are rejected.
-TOXIC_FROM = 0.5
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones, does not reject."""
+    """Documents that the classifier, fitted on the labelled ones, does not call toxic:
+    those with ``predicted = 0`` of operator 7."""
     ship(spark)
     model = toxicity.fit(docs, load(spark, sf_dir, "labels"))
     mark = free_name(docs, "toxicity")
-    return toxicity.score(docs, model, score_col=mark).filter(F.col(mark) < TOXIC_FROM).select(*docs.columns)
+    return toxicity.score(docs, model, score_col=mark).filter(F.col(mark) < toxicity.TOXIC_FROM).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

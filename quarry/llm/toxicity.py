@@ -46,6 +46,8 @@ MOST_FEATURES = 50_000
 #: standard deviations above chance.
 LEAST_TEXTS, LEAST_WEIGHT, LEAST_SIGMA = 3, 1.5, 5.0
 CACHE, STATES = 300_000, 12
+#: A document with this score or more counts as toxic, in the operator and the pipeline.
+TOXIC_FROM = 0.3
 
 # What a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -289,4 +291,4 @@ def op7_toxicity(spark, sf_dir):
     model = fit(docs, load(spark, sf_dir, "labels"))
     return score(docs, model).select(
         "doc_id", F.coalesce(fold_of("doc_id") == 2, F.lit(False)).alias("held_out"), "score",
-        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))

@@ -2,6 +2,7 @@
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quarry.llm import grams as G
 from quarry.llm import language as L
@@ -74,3 +75,15 @@ def test_scores(spark, tmp_path):
     docs = spark.createDataFrame([(1, "x", 0.5)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.p for r in T.score(docs, T.fit(docs, none), score_col="p").collect()][0] < 0.01
+
+
+def test_stage_keeps_what_the_operator_calls_clean(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as C
+    rows, scores = [(k, str(k)) for k in range(6)], [0.0, 0.29, 0.3, 0.4, 0.5, 1.0]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(T, "score", lambda d, m, score_col="score", **k: d.withColumn(
+        score_col, F.element_at(F.array(*map(F.lit, scores)), F.col("doc_id").cast("int") + 1)))
+    clean = {r.doc_id for r in T.op7_toxicity(spark, str(tmp_path)).collect() if not r.predicted}
+    assert {r.doc_id for r in C.drop_toxic(spark, docs, str(tmp_path)).collect()} == clean == {0, 1}

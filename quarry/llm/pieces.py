@@ -13,8 +13,10 @@ a character without a piece is spelled in byte pieces, at a cost below all piece
   A-star search goes backwards from the end; the forward Viterbi scores are the
   exact rest costs, so paths come out in order of their score.
 
-Ties go to the path with the longer last piece (best), and to the hypothesis
-found first (N-best). Decoding joins pieces and bytes; it gives back every text.
+Ties go to the path with the longer last piece; among equal hypotheses the search
+follows the one nearest to the start, so that runs of one character, which have
+very many equal paths, cost no more than others. Decoding joins pieces and bytes;
+it gives back every text.
 
 Defined results: null and empty texts have no pieces, score 0 and one
 segmentation; repeated rows get equal results; an empty table gives an empty
@@ -128,9 +130,11 @@ def n_best(length: int, arcs: list[Arc], n: int) -> list[tuple[float, list[int]]
     into: list[list[Arc]] = [[] for _ in range(length + 1)]
     for a in arcs:
         into[a.end].append(a)
-    heap, made, out = [(-best[length], 0, length, 0.0, None)], 1, []
+    # Of equals, the one nearest to the start, then the last made: one path is finished
+    # before its equals are opened, so the heap holds at most n x length expansions.
+    heap, made, out = [(-best[length], length, 0, 0.0, None)], 1, []
     while heap and len(out) < n:
-        _, _, at, done, path = heapq.heappop(heap)
+        _, at, _, done, path = heapq.heappop(heap)
         if at == 0:
             ids = []
             while path:
@@ -139,7 +143,7 @@ def n_best(length: int, arcs: list[Arc], n: int) -> list[tuple[float, list[int]]
             out.append((done, ids))
             continue
         for a in into[at]:
-            heapq.heappush(heap, (-(done + a.score + best[a.begin]), made, a.begin, done + a.score, (a.id, path)))
+            heapq.heappush(heap, (-(done + a.score + best[a.begin]), a.begin, -made, done + a.score, (a.id, path)))
             made += 1
     return out
 

@@ -75,3 +75,28 @@ def test_query(spark, tmp_path):
     assert len(out) == 5 and all(r.round_trip for r in out)
     assert sorted(r.n_pieces for r in out if r.doc_id in (None, 3)) == [0, 0]
     assert np.unique([r.ids_sha256 for r in out if r.doc_id == 1]).size == 1
+
+
+@pytest.mark.parametrize("ch", [" ", "#"])
+@pytest.mark.parametrize("length", [255, 5000])
+def test_runs_with_very_many_equal_paths(v, ch, length, monkeypatch):
+    pushed, push = [0], P.heapq.heappush
+
+    def counted(heap, x):
+        pushed[0] += 1
+        assert pushed[0] <= 4 * length * v.longest
+        push(heap, x)
+
+    monkeypatch.setattr(P.heapq, "heappush", counted)
+    arcs = P.arcs_of(ch * length, v)
+    got = P.n_best(length, arcs, 4)
+    assert len({tuple(p) for _, p in got}) == 4
+    assert all(s == sum(v.score[i] if i >= 0 else v.spell for i in p) for s, p in got)
+    # The scores of the four best by dynamic programming over whole lists.
+    best = [[0.0]] + [[] for _ in range(length)]
+    for a in sorted(arcs, key=lambda a: a.begin):
+        best[a.end] = sorted(best[a.end] + [x + a.score for x in best[a.begin]], reverse=True)[:4]
+    assert [s for s, _ in got] == best[length]
+    pushed[0] = 0
+    (ids, scores), = P.Segmenter(v, 4).texts(["x" + ch * length])
+    assert P.decode(ids.tolist(), v) == "x" + ch * length and len(scores) == 4

@@ -11,7 +11,8 @@ a character without a piece is spelled in byte pieces, at a cost below all piece
   ``N - 1`` units with the smallest loss for their second best: a change elsewhere
   costs at least as much as each of these alone. On the lattice of those units, an
   A-star search goes backwards from the end; the forward Viterbi scores are the
-  exact rest costs, so paths come out in order of their score.
+  exact rest costs, so paths come out in order of their score. Each path of those
+  units is put back among the best ids of the other units.
 
 Ties go to the path with the longer last piece; among equal hypotheses the search
 follows the one nearest to the start, so that runs of one character, which have
@@ -25,8 +26,10 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
+import struct
 from typing import NamedTuple
 
 import numpy as np
@@ -60,6 +63,7 @@ class Vocabulary:
         self.bytes = {b: p.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
         self.spell = min(self.score.values()) - 10
         self.longest = max(map(len, self.id))
+        self.chars = {i: len(piece) for piece, i in self.id.items()}
         self.raw = [b""] * p.get_piece_size()
         for piece, i in self.id.items():
             self.raw[i] = piece.replace(SPACE, " ").encode()
@@ -218,30 +222,68 @@ class Segmenter:
             total += len(ids)
         return score, loss, first, size, np.concatenate([*parts, np.zeros(0, np.int64)])
 
-    def texts(self, texts: list[str]):
-        """Per text: ids of the best segmentation, and the scores of the N best."""
+    def paths(self, texts: list[str]):
+        """Per text: score and ids of each of the N best segmentations, best first, and
+        whether decoding each of them gives the text."""
         place: dict[str, int] = {}
         rows = [[place.setdefault(x, len(place)) for x in _UNITS.findall(" " + t)] if t else [] for t in texts]
         units = list(place)
         score, loss, first, size, ids = self._units(units)
-        for row in rows:
+        for text, row in zip(texts, rows):
             at = np.array(row, dtype=np.int64)
             if not len(at):
-                yield np.zeros(0, np.int64), [0.0]
+                yield [(0.0, np.zeros(0, np.int32))], True
                 continue
             n = size[at]
-            mine = ids[np.arange(n.sum()) + np.repeat(first[at] - (np.cumsum(n) - n), n)]
+            ends = np.cumsum(n)
+            mine = ids[np.arange(n.sum()) + np.repeat(first[at] - (ends - n), n)]
             total = float(score[at].sum())
             near = loss[at]
             few = np.argsort(near, kind="stable")[:self.n - 1] if len(at) <= 64 else self._smallest(near)
-            few = few[near[few] < -NONE / 2]
-            arcs, length = [], 0
+            few = np.sort(few[near[few] < -NONE / 2])
+            if not len(few):
+                only = self._spelled(mine).astype(np.int32)
+                yield [(total, only)], decode(only.tolist(), self.v) == text
+                continue
+            arcs, length, cuts = [], 0, []
             for i in few.tolist():
                 unit = units[row[i]]
                 arcs += [Arc(a.begin + length, a.end + length, a.id, a.score) for a in arcs_of(unit, self.v)]
                 length += len(unit)
+                cuts.append(length)
             rest = total - float(score[at[few]].sum())
-            yield self._spelled(mine), [rest + s for s, _ in n_best(length, arcs, self.n)] if length else [total]
+            # The best ids between those units, which all paths share.
+            shared = np.split(mine, np.column_stack([ends[few] - n[few], ends[few]]).ravel())[::2]
+            shared = [self._spelled(x) for x in shared]
+            found, same = [], True
+            for s, path in n_best(length, arcs, self.n):
+                whole = [shared[0]]
+                for i, own, behind in zip(few.tolist(), self._cut(path, cuts), shared[1:]):
+                    # Bytes of a path are those of its units: with one whole path decoded,
+                    # the others are by the units where they differ.
+                    same = same and b"".join([self.v.raw[x] for x in own]) == units[row[i]].encode()
+                    whole += [own, behind]
+                found.append((rest + s, np.concatenate(whole, dtype=np.int32, casting="same_kind")))
+            yield found, same and decode(found[0][1].tolist(), self.v) == text
+
+    def texts(self, texts: list[str]):
+        """Per text: ids of the best segmentation, and the scores of the N best."""
+        for found, _ in self.paths(texts):
+            yield found[0][1], [s for s, _ in found]
+
+    def _cut(self, path: list[int], cuts: list[int]):
+        """Ids of a path, spelled, for each of its units, which end at ``cuts``."""
+        at, k, own = 0, 0, []
+        for i in path:
+            if i < 0:
+                own += [self.v.bytes[b] for b in chr(-1 - i).encode("utf-8")]
+                at += 1
+            else:
+                own.append(i)
+                at += self.v.chars[i]
+            if at == cuts[k]:
+                yield own
+                k, own = k + 1, []
 
     def _smallest(self, near: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(near <= np.partition(near, self.n - 1)[self.n - 1])
@@ -277,8 +319,9 @@ def _groups(texts: list[str]):
 
 def encode(docs: DataFrame, n: int = 4, id_col: str = "doc_id", text_col: str = "text",
            model_path: str = MODEL_PATH) -> DataFrame:
-    """``id, ids, scores, round_trip`` per row of ``docs``: pieces of the best
-    segmentation, the scores of the ``n`` best, and whether decoding gives the text."""
+    """``id, best, best_sha256, round_trip`` per row of ``docs``: score and ids of each of
+    the ``n`` best segmentations, best first, the digest of all of them, and whether
+    decoding each of them gives the text."""
     with open(model_path, "rb") as f:  # read by the driver: workers need no such file
         proto = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -288,27 +331,43 @@ def encode(docs: DataFrame, n: int = 4, id_col: str = "doc_id", text_col: str =
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             for lo, hi in _groups(texts):
-                found = list(segment.texts(texts[lo:hi]))
+                found, same = zip(*segment.paths(texts[lo:hi]))
+                flat = [path for paths in found for path in paths]
+                ids = pa.ListArray.from_arrays(_offsets([len(i) for _, i in flat]), pa.array(np.concatenate([i for _, i in flat])))
+                best = pa.ListArray.from_arrays(_offsets([len(paths) for paths in found]), pa.StructArray.from_arrays(
+                    [pa.array([s for s, _ in flat], pa.float64()), ids], ["score", "ids"]))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array([i.astype(np.int32) for i, _ in found], pa.list_(pa.int32())),
-                     pa.array([s for _, s in found], pa.list_(pa.float64())),
-                     pa.array([decode(i.tolist(), v) == t for (i, _), t in zip(found, texts[lo:hi])])],
-                    ["id", "ids", "scores", "round_trip"])
+                    [b.column(0).slice(lo, hi - lo), best, pa.array([_sha256(paths) for paths in found]), pa.array(same)],
+                    ["id", "best", "best_sha256", "round_trip"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(
-        run, f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, scores array<double>, round_trip boolean")
+        run, f"id {docs.schema[id_col].dataType.simpleString()}, best array<struct<score:double,ids:array<int>>>, best_sha256 string, round_trip boolean")
+
+
+def _sha256(paths: list[tuple[float, np.ndarray]]) -> str:
+    """Of score (double), number of ids and ids (int) of each path, little-endian."""
+    h = hashlib.sha256()
+    for score, ids in paths:
+        h.update(struct.pack("<dq", score, len(ids)))
+        h.update(np.ascontiguousarray(ids, "<i4"))
+    return h.hexdigest()
+
+
+def _offsets(sizes: list[int]) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
 
 
 def digest(encoded: DataFrame) -> DataFrame:
-    """One row a document: number of pieces, digest of the ids, scores of the best
-    segmentations."""
+    """One row a document: number of pieces and digest of the ids of the best
+    segmentation, scores of the N best, and digest of the scores and ids of all N."""
+    ids = F.get("best.ids", F.lit(0))
     return encoded.select(
-        F.col("id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_pieces"),
-        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.get("scores", F.lit(0)).alias("best_score"),
-        F.size("scores").alias("n_best"), F.array_join("scores", ",").alias("scores"), "round_trip")
+        F.col("id").alias("doc_id"), F.size(ids).cast("bigint").alias("n_pieces"),
+        F.sha2(F.array_join(ids, ","), 256).alias("ids_sha256"), F.get("best.score", F.lit(0)).alias("best_score"),
+        F.size("best").alias("n_best"), F.array_join("best.score", ",").alias("scores"),
+        F.col("best_sha256").alias("n_best_sha256"), "round_trip")
 
 
 def op9_pieces(spark, sf_dir):
     from .common import load
     return digest(encode(load(spark, sf_dir, "documents")))
-

@@ -100,3 +100,41 @@ def test_runs_with_very_many_equal_paths(v, ch, length, monkeypatch):
     pushed[0] = 0
     (ids, scores), = P.Segmenter(v, 4).texts(["x" + ch * length])
     assert P.decode(ids.tolist(), v) == "x" + ch * length and len(scores) == 4
+
+
+def test_all_n_paths(v):
+    texts = ["", " ", "hello world", "a\tb\nc", "▁ raw ▁▁ mark é", "rrrr the thtion", "#" * 60 + " x", "￿", " ".join(["tion"] * 200)]
+    for n in (1, 2, 4):
+        for t, (found, same) in zip(texts, P.Segmenter(v, n).paths(texts)):
+            assert len({tuple(i.tolist()) for _, i in found}) == len(found) <= n
+            assert same and all(P.decode(i.tolist(), v) == t for _, i in found)
+            if t and len(t) <= 11:
+                every = [(0.0, [])]
+                for u in P._UNITS.findall(" " + t):
+                    every = [(s + x, p + q) for s, p in every for x, q in every_path(u, v)]
+                every.sort(key=lambda x: -x[0])
+                want = {tuple(spelled(p, v)): s for s, p in every}
+                assert [s for s, _ in found] == [s for s, _ in every[:n]]
+                assert all(want[tuple(i.tolist())] == s for s, i in found)
+    assert len(found) == 4
+
+
+def spelled(path, v):
+    return [x for i in path for x in ([i] if i >= 0 else [v.bytes[b] for b in chr(-1 - i).encode()])]
+
+
+def test_query_gives_all_paths(spark, tmp_path):
+    rows = [(1, "hello world"), (2, "hello world"), (3, "hello  world"), (4, None), (5, "é▁ " * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    with open(P.MODEL_PATH, "rb") as f:
+        want = list(P.Segmenter(P.Vocabulary(f.read()), 4).paths([t or "" for _, t in rows]))
+    got = {r.id: r for r in P.encode(docs).collect()}
+    for (k, _), (paths, _) in zip(rows, want):
+        assert [(b.score, b.ids) for b in got[k].best] == [(s, i.tolist()) for s, i in paths] and got[k].round_trip
+    out = {r.doc_id: r for r in P.op9_pieces(spark, str(tmp_path)).collect()}
+    assert out[1].n_best == 4 and out[4].n_best == 1 and out[4].scores == "0.0"
+    assert out[1].n_best_sha256 == out[2].n_best_sha256 != out[3].n_best_sha256
+    # The digest changes with any of the N.
+    cut = P.digest(P.encode(docs.filter("doc_id = 1"), 3)).first()
+    assert cut.ids_sha256 == out[1].ids_sha256 and cut.n_best_sha256 != out[1].n_best_sha256

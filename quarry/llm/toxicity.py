@@ -45,7 +45,7 @@ MOST_FEATURES = 50_000
 #: A feature needs this many toxic texts, this log-odds weight, and this many
 #: standard deviations above chance.
 LEAST_TEXTS, LEAST_WEIGHT, LEAST_SIGMA = 3, 1.5, 5.0
-CACHE, STATES = 300_000, 12
+CACHE = 300_000
 #: A document with this score or more counts as toxic, in the operator and the pipeline.
 TOXIC_FROM = 0.3
 
@@ -110,7 +110,8 @@ def lattice(token: str) -> list[list[tuple[bytes, float]]]:
 
 
 def decode(token: str, model: CharModel) -> str:
-    """The most likely letters of a noisy token."""
+    """The most likely letters of a noisy token: exact, a state for each pair of last
+    bytes that the lattice offers."""
     states: dict[tuple[int, int], tuple[float, bytes]] = {(-1, 0x20): (0.0, b"")}
     for options in lattice(token):
         new: dict[tuple[int, int], tuple[float, bytes]] = {}
@@ -122,7 +123,7 @@ def decode(token: str, model: CharModel) -> str:
                     x, y = y, c
                 if (x, y) not in new or (total, text + letters) < new[x, y]:
                     new[x, y] = (total, text + letters)
-        states = new if len(new) <= STATES else dict(sorted(new.items(), key=lambda s: s[1])[:STATES])
+        states = new
     best = min((cost + (model.cost(a, b, 0x20) if a >= 0 else 0.0), text) for (a, b), (cost, text) in states.items())
     return best[1].decode("utf-8", "ignore")
 

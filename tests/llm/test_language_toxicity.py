@@ -1,4 +1,5 @@
 """Profiles against a plain implementation; restoration and scores."""
+import itertools
 from collections import Counter
 
 import numpy as np
@@ -87,3 +88,32 @@ def test_stage_keeps_what_the_operator_calls_clean(spark, tmp_path, monkeypatch)
         score_col, F.element_at(F.array(*map(F.lit, scores)), F.col("doc_id").cast("int") + 1)))
     clean = {r.doc_id for r in T.op7_toxicity(spark, str(tmp_path)).collect() if not r.predicted}
     assert {r.doc_id for r in C.drop_toxic(spark, docs, str(tmp_path)).collect()} == clean == {0, 1}
+
+
+def test_decoding_is_exact():
+    rng = np.random.default_rng(7)
+    letters = "abcdefghilost"
+    counts = {}
+    for a in " " + letters:
+        for b in letters:
+            counts[ord(a) | ord(b) << 8] = int(rng.choice([10, 5000]))
+            for c in letters + " ":
+                counts[ord(a) | ord(b) << 8 | ord(c) << 16] = int(rng.choice([0, 0, 0, 5000]))
+    model = T.CharModel({c: n for c, n in counts.items() if c < 1 << 16} | {-1: 3000},
+                        {c: n for c, n in counts.items() if c >= 1 << 16})
+
+    def cost_of(token, text):
+        return min(c for c, t in every(token) if t == text)
+
+    def every(token):
+        for path in itertools.product(*T.lattice(token)):
+            text, cost, a, b = b"".join(x for x, _ in path), sum(c for _, c in path), -1, 0x20
+            for c in text:
+                cost += model.cost(a, b, c)
+                a, b = b, c
+            yield cost + (model.cost(a, b, 0x20) if a >= 0 else 0.0), text
+
+    tokens = ["".join(rng.choice(list("1|6035(9"), 8)) for _ in range(80)]
+    for t in tokens:
+        best, _ = min(every(t))
+        assert abs(cost_of(t, T.decode(t, model).encode()) - best) < 1e-9

@@ -5,9 +5,12 @@ from __future__ import annotations
 from .decontaminate import OP4_SQL, op4_decontaminate
 from .fingerprint import op5_fingerprint
 from .jaccard import OP6_SQL, op6_jaccard
+from .laesa import OP11_SQL, op11_laesa
 from .language import op3_language
+from .minhash import OP12_SQL, op12_minhash
 from .pieces import op9_pieces
 from .pii import op10_personal_data
+from .resample import OP13_SQL, op13_resample
 from .shard import op2_shard
 from .substring import OP1_SQL, op1_substring_dedup
 from .toxicity import op7_toxicity
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_pieces": op9_pieces,
     "op10_personal_data": op10_personal_data,
+    "op11_laesa": op11_laesa,
+    "op12_minhash": op12_minhash,
+    "op13_resample": op13_resample,
 }
 
 ORACLE = {
@@ -31,4 +37,7 @@ ORACLE = {
     "op4_decontaminate": OP4_SQL,
     "op6_jaccard": OP6_SQL,
     "op8_warc": OP8_SQL,
+    "op11_laesa": OP11_SQL,
+    "op12_minhash": OP12_SQL,
+    "op13_resample": OP13_SQL,
 }

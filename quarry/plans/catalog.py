@@ -7,8 +7,6 @@ the pre-registered views. Every query reads whole tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,37 +15,7 @@ from ..operators import findings as fnd
 from ..operators.rules import DEFAULT_RULES, Rule, rule_findings
 from ..sources.tables import files, load
 from . import oracle as O
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def _bigint_count_if(sql: str) -> str:
-    """DuckDB's ``count_if`` is HUGEINT; Spark's is BIGINT. Cast every call."""
-    out, i, key = [], 0, "count_if("
-    while True:
-        j = sql.find(key, i)
-        if j < 0:
-            out.append(sql[i:])
-            return "".join(out)
-        depth, k = 0, j + len(key) - 1
-        while True:
-            depth += {"(": 1, ")": -1}.get(sql[k], 0)
-            if depth == 0:
-                break
-            k += 1
-        out.append(sql[i:j] + "CAST(" + sql[j:k + 1] + " AS BIGINT)")
-        i = k + 1
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = _bigint_count_if(sql)
-        return fn
-    return deco
-
+from .registry import ORACLE, QUERIES, register
 
 # User rules for prose texts (our wording), registered next to the defaults.
 PROSE_RULES: tuple[Rule, ...] = (
@@ -1296,3 +1264,6 @@ def event_rates_stream(spark, sf_dir):
     run_rates_to_table(spark, sf_dir.rstrip("/"), schema, f"{base}/out", f"{base}/ckpt", glob="events.parquet")
     out = spark.read.parquet(f"{base}/out")
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+from . import report_queries  # noqa: E402,F401  (registers its queries)

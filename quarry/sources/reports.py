@@ -1,233 +1,332 @@
 """Tool reports as tables (SRC-05…11, DET-06…09, DET-15).
 
-Each reader returns *findings* rows; an unreadable report yields no rows and
-never fails the job (``mode=DROPMALFORMED``, ``from_json`` nulls, guards on
-the JSON kind). Paths are kept as written in the report (the reference makes
-them absolute on the machine that ran the tool).
+Every reader takes a table of whole report texts and returns ``(rows, bad_rows)``:
+*findings*, and what could not be read (``stage, key, reason, payload``): a text
+that isn't UTF-8, a report that isn't of its format, an element without the
+fields that a finding needs. No report fails a job: parsing gives null, never an
+exception. ``key`` names the report; findings carry it as ``metadata['report']``.
+JSON reports are read as VARIANT and taken apart element by element, so
+``tool_output`` holds the whole element with all its keys (nulls too; keys
+sorted). Paths are kept as written in the report (the reference makes them
+absolute on the machine that ran the tool).
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.regex import unicode_classes
+from ..functions.text import path_name, path_suffix
 from ..operators.detect import FRAME_PATTERN, fixable_severity, map_severity
 from ..operators.entities import py_strip
 from ..operators.findings import to_findings
 
-# --- fixed values: report line formats and default texts
+# --- fixed values: report line formats, default report names and default texts
 TYPECHECK_LINE = r"^(.*?):(\d+):(\d+):\s*(\w+):\s*(.*?)(?:\s*\[(\w+)\])?$"
 TEST_FAILED = r"FAILED\s+(\S+)::(\S+)\s+-\s+(.+?)(?=\n(?:FAILED|PASSED|ERROR)|\Z)"
 TEST_ERROR = r"ERROR\s+(\S+)::(\S+)\s+-\s+(.+?)(?=\n(?:FAILED|PASSED|ERROR)|\Z)"
 FAILURE_LOCATION = r'File "([^"]+)", line (\d+)'
+DEFAULT_REPORTS = ("junit.xml", "test-results.xml")
 
 # detector order of the sources (first wins in dedup)
 DETECTOR_ORD = {"MYPY": 0, "PYLINT": 1, "RUFF": 2, "PATTERN_MATCH": 3, "PYTEST": 4, "LLM_DISCOVERY": 5}
 
-LINT_FLAT = T.ArrayType(T.StructType([
-    T.StructField(n, t) for n, t in (("type", T.StringType()), ("module", T.StringType()), ("obj", T.StringType()),
-                                     ("line", T.IntegerType()), ("column", T.IntegerType()), ("path", T.StringType()),
-                                     ("symbol", T.StringType()), ("message", T.StringType()))]))
-_ROWCOL = T.StructType([T.StructField("row", T.IntegerType()), T.StructField("column", T.IntegerType())])
-LINT_NESTED = T.ArrayType(T.StructType([
-    T.StructField("code", T.StringType()), T.StructField("message", T.StringType()),
-    T.StructField("filename", T.StringType()), T.StructField("fix", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("location", _ROWCOL), T.StructField("end_location", _ROWCOL)]))
-_FAIL = T.StructType([T.StructField("_message", T.StringType()), T.StructField("_VALUE", T.StringType())])
-JUNIT_CASE = T.StructType([
-    T.StructField("_name", T.StringType()), T.StructField("_file", T.StringType()),
-    T.StructField("_line", T.StringType()), T.StructField("failure", _FAIL), T.StructField("error", _FAIL)])
-TEST_JSON = T.StructType([T.StructField("tests", T.ArrayType(T.StructType([
-    T.StructField("nodeid", T.StringType()), T.StructField("outcome", T.StringType()),
-    T.StructField("call", T.StructType([
-        T.StructField("longrepr", T.StringType()),
-        T.StructField("crash", T.StructType([T.StructField("path", T.StringType()),
-                                             T.StructField("lineno", T.IntegerType())]))]))])))])
-
-
-def _lines_df(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path)
-
-
-def parse_typecheck(lines: DataFrame, col: str = "value") -> DataFrame:
-    """SRC-05 over a ``value`` column of report lines."""
+#: Levels of nested suites in an XML report.
+SUITE_LEVELS = 4
+#: A FAILED entry looks for its line in so many characters behind it; an entry has
+#: at least ``LEAST_ENTRY`` characters, which bounds the entries in that stretch.
+AFTER, LEAST_ENTRY = 2000, 14
+
+BAD_ROW = "stage string, key string, reason string, payload string"
+
+
+class Report(NamedTuple):
+    rows: DataFrame
+    bad_rows: DataFrame
+
+
+def _union(parts: list[Report]) -> Report:
+    rows, bad = parts[0]
+    for p in parts[1:]:
+        rows, bad = rows.unionByName(p.rows), bad.unionByName(p.bad_rows)
+    return Report(rows, bad)
+
+
+def _texts(reports: DataFrame, col: str, key: str | None) -> DataFrame:
+    """``key, text`` of the reports."""
+    return reports.select((F.col(key).cast("string") if key else F.lit(None).cast("string")).alias("key"), F.col(col).alias("text"))
+
+
+def _bad(rows: DataFrame, stage: str, reason: Column, payload: str) -> DataFrame:
+    """Rows with a ``reason`` as ``bad_rows``."""
+    return rows.select(F.lit(stage).alias("stage"), "key", reason.alias("reason"), F.col(payload).alias("payload")).filter("reason IS NOT NULL")
+
+
+def _rows(df: DataFrame, source: str, *columns: Column) -> DataFrame:
+    report = F.when(F.col("key").isNotNull(), F.create_map(F.lit("report"), F.col("key")))
+    return to_findings(df.select(
+        F.lit(source).alias("source"), report.alias("metadata"), F.lit(DETECTOR_ORD[source]).alias("detector_ord"),
+        F.monotonically_increasing_id().alias("emit_ord"), *columns))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+# ---- type checker lines (SRC-05)
+
+def parse_typecheck(lines: DataFrame, col: str = "value", key: str | None = None) -> Report:
+    """SRC-05 over a column of report lines. Blank and ``Success…`` lines say
+    nothing; a line of no known format is a bad row."""
     pat = unicode_classes(TYPECHECK_LINE)
-    v = F.col(col)
+    v = F.col("text")
     g = lambda i: F.regexp_extract(v, pat, i)
-    ok = (v != "") & ~F.startswith(v, F.lit("Success")) & v.rlike(pat)
-    return to_findings(lines.filter(ok).select(
-        F.lit("MYPY").alias("source"), map_severity(F.lower(g(4))).alias("severity"),
-        g(1).alias("file_path"), g(2).cast("int").alias("line_number"), g(3).cast("int").alias("col"),
-        py_strip(g(5)).alias("message"),
-        F.coalesce(F.nullif(g(6), F.lit("")), F.lit("mypy-error")).alias("error_code"),
-        v.alias("tool_output"), F.lit(DETECTOR_ORD["MYPY"]).alias("detector_ord"),
-        F.monotonically_increasing_id().alias("emit_ord")))
+    said = _texts(lines, col, key).filter((py_strip(v) != "") & ~F.startswith(v, F.lit("Success")))
+    rows = _rows(
+        said.filter(v.rlike(pat)), "MYPY", map_severity(F.lower(g(4))).alias("severity"),
+        g(1).alias("file_path"), g(2).try_cast("int").alias("line_number"), g(3).try_cast("int").alias("col"),
+        py_strip(g(5)).alias("message"), F.coalesce(F.nullif(g(6), F.lit("")), F.lit("mypy-error")).alias("error_code"),
+        v.alias("tool_output"))
+    return Report(rows, _bad(said, "typecheck", F.when(~v.rlike(pat), F.lit("not a report line")), "text"))
+
+
+# ---- JSON reports (SRC-06, 07, 09)
+
+def _elements(reports: DataFrame, stage: str, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """``key, e`` (VARIANT) per element of the array at ``path`` in each report
+    (missing: none), and the bad rows of reports that don't have that shape."""
+    v = F.try_parse_json("text")
+    outer = F.startswith(F.schema_of_variant(v), F.lit(kind))
+    here = F.try_variant_get(v, path, "variant")
+    listed = F.try_variant_get(v, path, "array<variant>")
+    reason = (F.when(v.isNull(), F.lit("not JSON")).when(~outer, F.lit(f"not a JSON {kind.lower()}"))
+              .when(here.isNotNull() & listed.isNull(), F.lit(f"{path} is not a JSON array")))
+    elements = reports.select("key", F.explode(F.when(outer, listed)).alias("e"))
+    return elements, _bad(reports, stage, reason, "text")
 
 
-def read_typecheck(spark: SparkSession, path: str) -> DataFrame:
-    return parse_typecheck(_lines_df(spark, path))
+def _field(path: str, kind: str = "string") -> Column:
+    return F.try_variant_get("e", path, kind)
 
 
-def _json_array(text: Column, schema) -> Column:
-    """Parsed array, or null when the text is not a JSON array (a lone object
-    would otherwise be wrapped into a one-element array)."""
-    return F.when(F.startswith(F.ltrim(text), F.lit("[")), F.from_json(text, schema))
+def _checked(elements: DataFrame, stage: str, needed: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Elements with all ``needed`` fields (path -> type), and the others as bad rows."""
+    reason = F.lit(None).cast("string")
+    for path, kind in reversed(needed.items()):
+        reason = F.when(_field(path, kind).isNull(), F.lit(f"no {path[2:]}")).otherwise(reason)
+    reason = F.when(~F.startswith(F.schema_of_variant("e"), F.lit("OBJECT")), F.lit("not a JSON object")).otherwise(reason)
+    marked = elements.select("key", "e", F.to_json("e").alias("raw"), reason.alias("reason"))
+    return marked.filter("reason IS NULL"), _bad(marked, stage, F.col("reason"), "raw")
 
 
-def parse_lint_flat(reports: DataFrame, col: str = "value") -> DataFrame:
+def parse_lint_flat(reports: DataFrame, col: str = "value", key: str | None = None) -> Report:
     """SRC-06: flat JSON array report; ``unused-import`` gets a suggestion."""
-    m = reports.select(F.explode(_json_array(F.col(col), LINT_FLAT)).alias("m")).select("m.*", F.to_json("m").alias("raw"))
-    m = m.filter(F.col("path").isNotNull() & F.col("line").isNotNull() & F.col("message").isNotNull())
-    return to_findings(m.select(
-        F.lit("PYLINT").alias("source"), map_severity(F.lower(F.coalesce("type", F.lit("warning")))).alias("severity"),
-        F.col("path").alias("file_path"), F.col("line").alias("line_number"), F.col("column").alias("col"),
-        "message", F.col("symbol").alias("error_code"),
-        F.when(F.col("symbol") == "unused-import",
-               F.concat(F.lit("Remove unused import: "), F.coalesce("obj", F.lit("")))).alias("suggested_fix"),
-        F.col("raw").alias("tool_output"), F.lit(DETECTOR_ORD["PYLINT"]).alias("detector_ord"),
-        F.monotonically_increasing_id().alias("emit_ord")))
-
-
-def parse_lint_nested(reports: DataFrame, col: str = "value") -> DataFrame:
+    found, bad = _elements(_texts(reports, col, key), "lint_flat", "$", "ARRAY")
+    m, lacking = _checked(found, "lint_flat", {"$.path": "string", "$.line": "int", "$.message": "string", "$.symbol": "string"})
+    rows = _rows(
+        m, "PYLINT", map_severity(F.lower(F.coalesce(_field("$.type"), F.lit("warning")))).alias("severity"),
+        _field("$.path").alias("file_path"), _field("$.line", "int").alias("line_number"), _field("$.column", "int").alias("col"),
+        _field("$.message").alias("message"), _field("$.symbol").alias("error_code"),
+        F.when(_field("$.symbol") == "unused-import",
+               F.concat(F.lit("Remove unused import: "), F.coalesce(_field("$.obj"), F.lit("")))).alias("suggested_fix"),
+        F.col("raw").alias("tool_output"))
+    return Report(rows, bad.unionByName(lacking))
+
+
+def parse_lint_nested(reports: DataFrame, col: str = "value", key: str | None = None) -> Report:
     """SRC-07: nested JSON array report; a fix makes the finding INFO with a suggestion."""
-    m = reports.select(F.explode(_json_array(F.col(col), LINT_NESTED)).alias("m")).select("m.*", F.to_json("m").alias("raw"))
-    has_fix = F.col("fix").isNotNull() & (F.size("fix") > 0)
-    return to_findings(m.filter(F.col("filename").isNotNull() & F.col("location.row").isNotNull()).select(
-        F.lit("RUFF").alias("source"), fixable_severity(has_fix).alias("severity"),
-        F.col("filename").alias("file_path"), F.col("location.row").alias("line_number"),
-        F.col("location.column").alias("col"), F.col("end_location.row").alias("end_line"),
-        "message", F.col("code").alias("error_code"),
-        F.when(has_fix, F.concat(F.lit("Replace with: "), F.coalesce(F.col("fix")["content"], F.lit("")))).alias("suggested_fix"),
-        F.col("raw").alias("tool_output"), F.lit(DETECTOR_ORD["RUFF"]).alias("detector_ord"),
-        F.monotonically_increasing_id().alias("emit_ord")))
+    found, bad = _elements(_texts(reports, col, key), "lint_nested", "$", "ARRAY")
+    m, lacking = _checked(found, "lint_nested", {"$.filename": "string", "$.location.row": "int", "$.message": "string", "$.code": "string"})
+    fix = _field("$.fix", "map<string,variant>")
+    has_fix = F.coalesce(F.size(fix) > 0, F.lit(False))
+    rows = _rows(
+        m, "RUFF", fixable_severity(has_fix).alias("severity"), _field("$.filename").alias("file_path"),
+        _field("$.location.row", "int").alias("line_number"), _field("$.location.column", "int").alias("col"),
+        _field("$.end_location.row", "int").alias("end_line"), _field("$.message").alias("message"), _field("$.code").alias("error_code"),
+        F.when(has_fix, F.concat(F.lit("Replace with: "), F.coalesce(_field("$.fix.content"), F.lit("")))).alias("suggested_fix"),
+        F.col("raw").alias("tool_output"))
+    return Report(rows, bad.unionByName(lacking))
+
+
+def parse_test_json(reports: DataFrame, col: str = "value", key: str | None = None) -> Report:
+    """SRC-09: failed tests of a JSON test report (crash path/line, long text)."""
+    found, bad = _elements(_texts(reports, col, key), "test_json", "$.tests", "OBJECT")
+    t, lacking = _checked(found, "test_json", {})
+    long = _field("$.call.longrepr", "variant")
+    msg = F.coalesce(_field("$.call.longrepr"), F.when(F.schema_of_variant(long) != "VOID", F.to_json(long)), F.lit("Test failed"))
+    rows = _rows(
+        t.filter(_field("$.outcome") == "failed"), "PYTEST", F.lit("ERROR").alias("severity"),
+        F.coalesce(F.nullif(_field("$.call.crash.path"), F.lit("")), F.lit("unknown")).alias("file_path"),
+        F.coalesce(_field("$.call.crash.lineno", "int"), F.lit(1)).alias("line_number"),
+        F.concat(F.lit("Test failure: "), F.coalesce(_field("$.nodeid"), F.lit("unknown")), F.lit(" - "),
+                 F.substring(msg, 1, 200)).alias("message"),
+        F.lit("test-failure").alias("error_code"), F.substring(msg, 1, 500).alias("code_snippet"), F.col("raw").alias("tool_output"))
+    return Report(rows, bad.unionByName(lacking))
+
+
+# ---- JUnit XML (SRC-08, DET-09)
 
+_MARK = "array<struct<_message:string,_VALUE:string>>"
+_CASE = f"array<struct<_name:string,_file:string,_line:string,failure:{_MARK},error:{_MARK}>>"
 
-def read_lint_flat(spark: SparkSession, path: str) -> DataFrame:
-    return parse_lint_flat(spark.read.text(path, wholetext=True))
 
+def _suite(levels: int) -> str:
+    inner = f",testsuite:array<struct<{_suite(levels - 1)}>>" if levels else ""
+    return f"testcase:{_CASE}{inner}"
 
-def read_lint_nested(spark: SparkSession, path: str) -> DataFrame:
-    return parse_lint_nested(spark.read.text(path, wholetext=True))
 
+def _cases(root: str, levels: int) -> Column:
+    """All test cases below ``root`` (SQL), in document order of their levels."""
+    none = f"cast(array() as {_CASE})"
+    parts, suites = [f"coalesce({root}.testcase, {none})"], f"{root}.testsuite"
+    for _ in range(levels):
+        parts.append(f"coalesce(flatten(transform({suites}, s -> coalesce(s.testcase, {none}))), {none})")
+        suites = f"flatten(transform({suites}, s -> s.testsuite))"
+        suites = f"filter({suites}, s -> s is not null)"
+    return F.expr(f"concat({', '.join(parts)})")
 
-def parse_junit(cases: DataFrame) -> DataFrame:
-    """SRC-08: one finding per ``failure`` and per ``error`` of each test case;
-    a failure without a line takes file and line from its traceback (DET-09)."""
+
+def parse_junit(reports: DataFrame, col: str = "value", key: str | None = None) -> Report:
+    """SRC-08: one finding per test case with a ``failure`` and one per test case with
+    an ``error`` (the first of each); a failure without a line takes file and line
+    from its traceback (DET-09). Suites may be nested ``SUITE_LEVELS`` deep."""
+    schema = f"struct<{_suite(SUITE_LEVELS)},_corrupt_record:string>"
+    texts = _texts(reports, col, key)
+    parsed = texts.select("key", "text", F.from_xml("text", schema, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("x"))
+    reason = F.when(F.col("x").isNull() | F.col("x._corrupt_record").isNotNull(), F.lit("not XML"))
+    cases = parsed.select("key", F.explode(_cases("x", SUITE_LEVELS)).alias("c")).select("key", "c.*")
     name = F.coalesce(F.col("_name"), F.lit("unknown"))
     line0 = F.coalesce(F.col("_line").try_cast("int"), F.lit(0))
     file0 = F.coalesce(F.col("_file"), F.lit(""))
-    details = F.coalesce(F.col("failure._VALUE"), F.lit(""))
-    fl = F.regexp_extract(details, FAILURE_LOCATION, 1)
-    back = (line0 == 0) & (details != "") & (fl != "")
-    f_file = F.when(back, fl).otherwise(file0)
-    f_line = F.when(back, F.regexp_extract(details, FAILURE_LOCATION, 2).cast("int")).otherwise(line0)
-    fail = cases.filter(F.col("failure").isNotNull()).select(
-        F.when(f_file != "", f_file).otherwise(F.lit("unknown")).alias("file_path"),
-        F.when(f_line != 0, f_line).otherwise(F.lit(1)).alias("line_number"),
-        F.concat(F.lit("Test failure: "), name, F.lit(" - "),
-                 F.coalesce(F.col("failure._message"), F.lit("Test failed"))).alias("message"),
-        F.lit("test-failure").alias("error_code"),
-        F.when(details != "", F.substring(details, 1, 500)).alias("code_snippet"),
-        F.substring(details, 1, 1000).alias("tool_output"), F.lit(0).alias("_k"))
-    etext = F.col("error._VALUE")
-    err = cases.filter(F.col("error").isNotNull()).select(
-        F.when(file0 != "", file0).otherwise(F.lit("unknown")).alias("file_path"),
-        F.when(line0 != 0, line0).otherwise(F.lit(1)).alias("line_number"),
-        F.concat(F.lit("Test error: "), name, F.lit(" - "),
-                 F.coalesce(F.col("error._message"), F.lit("Test error"))).alias("message"),
-        F.lit("test-error").alias("error_code"), F.lit(None).cast("string").alias("code_snippet"),
-        F.when(F.coalesce(etext, F.lit("")) != "", F.substring(etext, 1, 1000)).alias("tool_output"), F.lit(1).alias("_k"))
-    u = fail.unionByName(err)
-    return to_findings(u.select("*", F.lit("PYTEST").alias("source"), F.lit("ERROR").alias("severity"),
-                                F.lit(DETECTOR_ORD["PYTEST"]).alias("detector_ord"),
-                                F.monotonically_increasing_id().alias("emit_ord")).drop("_k"))
-
-
-def read_junit(spark: SparkSession, path: str) -> DataFrame:
-    cases = (spark.read.format("xml").option("rowTag", "testcase").option("mode", "DROPMALFORMED")
-             .schema(JUNIT_CASE).load(path))
-    return parse_junit(cases)
-
-
-def parse_test_json(reports: DataFrame) -> DataFrame:
-    """SRC-09: failed tests of a JSON test report (crash path/line, long text)."""
-    t = reports.select(F.explode("tests").alias("t")).filter(F.col("t.outcome") == "failed")
-    msg = F.coalesce(F.col("t.call.longrepr"), F.lit("Test failed"))
-    path = F.col("t.call.crash.path")
-    return to_findings(t.select(
-        F.lit("PYTEST").alias("source"), F.lit("ERROR").alias("severity"),
-        F.when(F.coalesce(path, F.lit("")) != "", path).otherwise(F.lit("unknown")).alias("file_path"),
-        F.coalesce(F.col("t.call.crash.lineno"), F.lit(1)).alias("line_number"),
-        F.concat(F.lit("Test failure: "), F.coalesce(F.col("t.nodeid"), F.lit("unknown")), F.lit(" - "),
-                 F.substring(msg, 1, 200)).alias("message"),
-        F.lit("test-failure").alias("error_code"), F.substring(msg, 1, 500).alias("code_snippet"),
-        F.to_json("t").alias("tool_output"), F.lit(DETECTOR_ORD["PYTEST"]).alias("detector_ord"),
-        F.monotonically_increasing_id().alias("emit_ord")))
 
+    def first(kind: str) -> Column:
+        return F.get(F.col(kind), 0)
 
-def read_test_json(spark: SparkSession, path: str) -> DataFrame:
-    return parse_test_json(spark.read.schema(TEST_JSON).option("multiLine", True)
-                           .option("mode", "DROPMALFORMED").json(path))
+    details = F.coalesce(first("failure")["_VALUE"], F.lit(""))
+    back = (line0 == 0) & details.rlike(FAILURE_LOCATION)
+    f_file = F.when(back, F.regexp_extract(details, FAILURE_LOCATION, 1)).otherwise(file0)
+    f_line = F.when(back, F.regexp_extract(details, FAILURE_LOCATION, 2).try_cast("int")).otherwise(line0)
 
+    def entry(kind: str, said: str, file: Column, line: Column, snippet: Column, output: Column) -> Column:
+        return F.when(F.size(kind) > 0, F.struct(
+            F.coalesce(F.nullif(file, F.lit("")), F.lit("unknown")).alias("file_path"),
+            F.coalesce(F.nullif(line, F.lit(0)), F.lit(1)).alias("line_number"),
+            F.concat(F.lit(f"Test {said}: "), name, F.lit(" - "),
+                     F.coalesce(first(kind)["_message"], F.lit("Test failed" if kind == "failure" else "Test error"))).alias("message"),
+            F.lit(f"test-{said}").alias("error_code"), snippet.alias("code_snippet"), output.alias("tool_output")))
+
+    fail = entry("failure", "failure", f_file, f_line, F.nullif(F.substring(details, 1, 500), F.lit("")), F.substring(details, 1, 1000))
+    err = entry("error", "error", file0, line0, F.lit(None).cast("string"),
+                F.nullif(F.substring(first("error")["_VALUE"], 1, 1000), F.lit("")))
+    both = cases.select("key", F.explode(F.array_compact(F.array(fail, err))).alias("f")).select("key", "f.*")
+    rows = _rows(both, "PYTEST", F.lit("ERROR").alias("severity"), *(F.col(c) for c in both.columns if c != "key"))
+    return Report(rows, _bad(parsed, "junit", reason, "text"))
+
+
+# ---- terminal text (SRC-10)
 
 def _entries(text: Column, pattern: str, kind: str) -> Column:
-    """All entries of one kind with the 2000 characters after each match."""
+    """All entries of one kind with the ``AFTER`` characters behind each. Linear: what
+    stands behind an entry is joined from a bounded number of pieces."""
     # only Java's ``\z`` is the very end; its ``\Z`` stops before a final line end
     p = "(?s)" + pattern.replace(r"\Z", r"\z")
     files_, names, msgs, whole = (F.regexp_extract_all(text, F.lit(p), g) for g in (1, 2, 3, 0))
-    pieces = F.split(text, p, -1)
-    # end offset (0-based) of match i = sum of lengths of pieces[0..i] and matches[0..i]
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(whole)), whole, lambda a, b: F.length(a) + F.length(b))
-    ends = F.aggregate(pairs, F.array().cast("array<int>"),
-                       lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
-    return F.transform(whole, lambda w, i: F.struct(
-        F.lit(kind).alias("kind"), F.get(files_, i).alias("file"), F.get(names, i).alias("test"),
-        py_strip(F.get(msgs, i)).alias("msg"), w.alias("raw"),
-        F.substr(text, F.get(ends, i) + 1, F.lit(2000)).alias("after")))
-
-
-def parse_test_text(reports: DataFrame, col: str = "value") -> DataFrame:
+    # of the text from the end of one entry to the end of the next, what can matter
+    pieces = F.zip_with(F.split(text, p, -1), whole, lambda a, b: F.substring(F.concat(a, F.coalesce(b, F.lit(""))), 1, AFTER))
+    found = F.struct(files_.alias("files"), names.alias("names"), msgs.alias("msgs"), whole.alias("whole"), pieces.alias("pieces"))
+    behind = AFTER // LEAST_ENTRY + 1
+    return _let(found, lambda f: F.transform(f["whole"], lambda w, i: F.struct(
+        F.lit(kind).alias("kind"), F.get(f["files"], i).alias("file"), F.get(f["names"], i).alias("test"),
+        py_strip(F.get(f["msgs"], i)).alias("msg"), w.alias("raw"),
+        F.substring(F.array_join(F.slice(f["pieces"], i + 2, F.lit(behind)), ""), 1, AFTER).alias("after"))))
+
+
+def parse_test_text(reports: DataFrame, col: str = "value", key: str | None = None) -> Report:
     """SRC-10: FAILED and ERROR summary entries of test-runner terminal text;
-    a FAILED entry takes its line from the next traceback frame of that file."""
-    t = F.col(col)
-    e = reports.select(F.inline(F.concat(_entries(t, TEST_FAILED, "failure"), _entries(t, TEST_ERROR, "error"))))
+    a FAILED entry takes its line from the next traceback frame of that file. Any
+    text is a report; a null one is a bad row."""
+    t = F.col("text")
+    texts = _texts(reports, col, key)
+    e = texts.select("key", F.explode(F.concat(_entries(t, TEST_FAILED, "failure"), _entries(t, TEST_ERROR, "error"))).alias("x")).select("key", "x.*")
     loc = F.concat(F.lit('File "[^"]*'), F.regexp_replace(F.col("file"), r"([\\^$.|?*+()\[\]{}])", r"\\$1"),
                    F.lit(r'", line (\d+)'))
-    line = F.when(F.col("kind") == "failure",
-                  F.coalesce(F.nullif(F.call_function("regexp_extract", F.col("after"), loc, F.lit(1)), F.lit("")).cast("int"), F.lit(1))).otherwise(F.lit(1))
-    return to_findings(e.select(
-        F.lit("PYTEST").alias("source"), F.lit("ERROR").alias("severity"), F.col("file").alias("file_path"),
-        line.alias("line_number"),
-        F.concat(F.when(F.col("kind") == "failure", F.lit("Test failure: ")).otherwise(F.lit("Test error: ")),
-                 F.col("test"), F.lit(" - "), F.substring("msg", 1, 200)).alias("message"),
-        F.concat(F.lit("test-"), F.col("kind")).alias("error_code"), F.col("raw").alias("tool_output"),
-        F.lit(DETECTOR_ORD["PYTEST"]).alias("detector_ord"), F.monotonically_increasing_id().alias("emit_ord")))
-
-
-def read_test_text(spark: SparkSession, path: str) -> DataFrame:
-    return parse_test_text(spark.read.text(path, wholetext=True))
-
-
-def read_test_reports(spark: SparkSession, directory: str) -> DataFrame:
-    """SRC-11: route reports in a folder by suffix (.xml, .json, other text)."""
-    d = directory.rstrip("/")
-    parts = []
-    for glob, reader in (("*.xml", read_junit), ("*.json", read_test_json), ("*.txt", read_test_text),
-                         ("*.log", read_test_text)):
-        try:
-            parts.append(reader(spark, f"{d}/{glob}"))
-        except Exception as e:  # noqa: BLE001 - no such files: branch not added
-            if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-                raise
-    if not parts:
-        from ..operators.findings import FINDING_SCHEMA
-        return spark.createDataFrame([], FINDING_SCHEMA)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    at = F.call_function("regexp_extract", F.col("after"), loc, F.lit(1)).try_cast("int")
+    line = F.when(F.col("kind") == "failure", F.coalesce(at, F.lit(1))).otherwise(F.lit(1))
+    rows = _rows(
+        e, "PYTEST", F.lit("ERROR").alias("severity"), F.col("file").alias("file_path"), line.alias("line_number"),
+        F.concat(F.lit("Test "), F.col("kind"), F.lit(": "), F.col("test"), F.lit(" - "), F.substring("msg", 1, 200)).alias("message"),
+        F.concat(F.lit("test-"), F.col("kind")).alias("error_code"), F.col("raw").alias("tool_output"))
+    return Report(rows, _bad(texts, "test_text", F.when(t.isNull(), F.lit("no text")), "text"))
+
+
+# ---- files
+
+def report_texts(spark: SparkSession, path: str) -> Report:
+    """``path, value`` of the report files under ``path`` (a file or a folder), and
+    those that aren't UTF-8 as bad rows."""
+    raw = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:", "").alias("path"), "content")
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
+    t = raw.select("path", F.regexp_replace(text, "\r\n?", "\n").alias("value"))
+    bad = t.filter("value IS NULL").select(
+        F.lit("reports").alias("stage"), F.col("path").alias("key"), F.lit("not valid UTF-8").alias("reason"),
+        F.lit(None).cast("string").alias("payload"))
+    return Report(t.filter("value IS NOT NULL"), bad)
+
+
+def _read(spark: SparkSession, path: str, parse) -> Report:
+    texts, unreadable = report_texts(spark, path)
+    rows, bad = parse(texts, "value", "path")
+    return Report(rows, unreadable.unionByName(bad))
+
+
+def read_typecheck(spark: SparkSession, path: str) -> Report:
+    """Line by line: a long log is split over tasks."""
+    lines = spark.read.text(path).select("value", F.regexp_replace("_metadata.file_path", "^file:(//)?", "").alias("path"))
+    return parse_typecheck(lines, "value", "path")
+
+
+def read_lint_flat(spark: SparkSession, path: str) -> Report:
+    return _read(spark, path, parse_lint_flat)
+
+
+def read_lint_nested(spark: SparkSession, path: str) -> Report:
+    return _read(spark, path, parse_lint_nested)
+
+
+def read_junit(spark: SparkSession, path: str) -> Report:
+    return _read(spark, path, parse_junit)
+
+
+def read_test_json(spark: SparkSession, path: str) -> Report:
+    return _read(spark, path, parse_test_json)
+
+
+def read_test_text(spark: SparkSession, path: str) -> Report:
+    return _read(spark, path, parse_test_text)
+
+
+def parse_test_reports(reports: DataFrame, col: str = "value", path: str = "path") -> Report:
+    """SRC-11: each report by the suffix of its path: ``.xml``, ``.json``, anything
+    else is terminal text."""
+    suffix = path_suffix(path)
+    return _union([parse_junit(reports.filter(suffix == ".xml"), col, path),
+                   parse_test_json(reports.filter(suffix == ".json"), col, path),
+                   parse_test_text(reports.filter(~suffix.isin(".xml", ".json")), col, path)])
+
+
+def read_test_reports(spark: SparkSession, path: str, default_names: bool = False) -> Report:
+    """SRC-11 over a file or a folder. ``default_names``: of a folder, only the two
+    default report names are read."""
+    texts, unreadable = report_texts(spark, path)
+    if default_names:
+        wanted = lambda c: path_name(c).isin(*DEFAULT_REPORTS)
+        texts, unreadable = texts.filter(wanted("path")), unreadable.filter(wanted("key"))
+    rows, bad = parse_test_reports(texts)
+    return Report(rows, unreadable.unionByName(bad))
 
 
 def stack_frames(df: DataFrame, text: str = "text", pattern: str = FRAME_PATTERN) -> DataFrame:

@@ -41,7 +41,7 @@ def test_route_reports_and_sinks(spark, tmpdir_path):
                           b'</testcase></testsuite>')
     _mk(rep, "r.json", b'{"tests": [{"nodeid": "b::c", "outcome": "failed", "call": {"crash": {"path": "b.py", "lineno": 4}}}]}')
     _mk(rep, "out.txt", b"ERROR c.py::t - broke\n")
-    f = rp.read_test_reports(spark, rep)
+    f = rp.read_test_reports(spark, rep).rows
     assert sorted(r.file_path for r in f.collect()) == ["a.py", "b.py", "c.py"]
     idx = os.path.join(tmpdir_path, "index")
     ents = spark.createDataFrame([("FUNCTION", "f", "a.py"), ("CLASS", "C", "a.py")], "entity_type string, name string, file_path string")

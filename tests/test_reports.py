@@ -16,7 +16,7 @@ def test_typecheck_text(spark):
         ("a.py:3:5: error: Bad thing [attr_defined]",), ("a.py:4:1: note: See here",),
         ("a.py:5:2: warning: Hm [x]",), ("a.py:6:2: weird: Odd [y]",), ("a.py:7:1: error: Dash [has-hyphen]",),
         ("Success: no issues",), ("",), ("garbage",)], "value string")
-    rows = {r.line_number: r for r in rp.parse_typecheck(lines).collect()}
+    rows = {r.line_number: r for r in rp.parse_typecheck(lines).rows.collect()}
     assert set(rows) == {3, 4, 5, 6, 7}
     assert rows[3].severity == "ERROR" and rows[3].error_code == "attr_defined" and rows[3].col == 5
     assert rows[4].severity == "INFO" and rows[5].severity == "WARNING" and rows[6].severity == "WARNING"
@@ -28,7 +28,7 @@ def test_lint_reports(spark):
                        {"type": "warning", "obj": "os", "line": 1, "column": 0, "path": "a.py", "symbol": "unused-import",
                         "message": "unused"}])
     df = spark.createDataFrame([(flat,), ("not json",), ('{"path": "a.py"}',)], "value string")
-    rows = {r.line_number: r for r in rp.parse_lint_flat(df).collect()}
+    rows = {r.line_number: r for r in rp.parse_lint_flat(df).rows.collect()}
     assert rows[2].severity == "ERROR" and rows[1].suggested_fix == "Remove unused import: os"
     assert len(rows) == 2
     nested = json.dumps([
@@ -37,7 +37,7 @@ def test_lint_reports(spark):
         {"code": "E1", "message": "n", "filename": "b.py", "fix": {"content": "x = 1"},
          "location": {"row": 4, "column": 1}, "end_location": {"row": 5, "column": 2}}])
     df2 = spark.createDataFrame([(nested,), ("[]",), ("nope",)], "value string")
-    r2 = {r.line_number: r for r in rp.parse_lint_nested(df2).collect()}
+    r2 = {r.line_number: r for r in rp.parse_lint_nested(df2).rows.collect()}
     assert r2[3].severity == "WARNING" and r2[3].suggested_fix is None
     assert r2[4].severity == "INFO" and r2[4].suggested_fix == "Replace with: x = 1" and r2[4].end_line == 5
 
@@ -51,7 +51,7 @@ def test_junit_xml(spark, tmpdir_path):
 <testcase name="t_nofile"><error message="e"/></testcase>
 </testsuite>"""
     p = _write(tmpdir_path, "junit.xml", xml)
-    rows = {r.message: r for r in rp.read_junit(spark, p).collect()}
+    rows = {r.message: r for r in rp.read_junit(spark, p).rows.collect()}
     assert rows["Test failure: t_fail - boom"].line_number == 10
     assert rows["Test error: t_err - bad"].error_code == "test-error"
     back = rows["Test failure: t_back - x"]
@@ -65,12 +65,12 @@ def test_test_json_and_text(spark, tmpdir_path):
     rep = {"tests": [{"nodeid": "t.py::a", "outcome": "failed", "call": {"crash": {"path": "t.py", "lineno": 7}}},
                      {"nodeid": "t.py::b", "outcome": "passed"}]}
     p = _write(tmpdir_path, "r.json", json.dumps(rep))
-    rows = rp.read_test_json(spark, p).collect()
+    rows = rp.read_test_json(spark, p).rows.collect()
     assert len(rows) == 1 and rows[0].line_number == 7 and rows[0].message == "Test failure: t.py::a - Test failed"
     text = ("FAILED t.py::test_a - AssertionError: x\nmore detail\nPASSED t.py::b\n"
             "ERROR t.py::test_c - setup broke\n")
     p2 = _write(tmpdir_path, "out.txt", text)
-    r2 = sorted(rp.read_test_text(spark, p2).collect(), key=lambda r: r.message)
+    r2 = sorted(rp.read_test_text(spark, p2).rows.collect(), key=lambda r: r.message)
     assert [r.error_code for r in r2] == ["test-error", "test-failure"]
     assert r2[1].message == "Test failure: test_a - AssertionError: x\nmore detail"
 
@@ -85,7 +85,71 @@ def test_stack_frames(spark):
 def test_text_report_ends_with_white_space(spark):
     text = "FAILED t.py::test_a - boom\t\n"
     df = spark.createDataFrame([(text,)], "value string")
-    [r] = rp.parse_test_text(df).collect()
+    [r] = rp.parse_test_text(df).rows.collect()
     assert r.message == "Test failure: test_a - boom" and r.tool_output == text
     lines = spark.createDataFrame([("a.py:3:5: error: Bad\u00a0",)], "value string")
-    assert [x.message for x in rp.parse_typecheck(lines).collect()] == ["Bad"]
+    assert [x.message for x in rp.parse_typecheck(lines).rows.collect()] == ["Bad"]
+
+
+def bad(report):
+    return sorted(tuple(r) for r in report.bad_rows.collect())
+
+
+def test_bad_rows_of_json_reports_and_whole_elements(spark):
+    good = '{"path":"a.py","line":3,"message":"m","symbol":"s","endLine":null,"extra":{"z":1,"a":[true]}}'
+    texts = [("r1", f"[{good}, {{\"path\":\"b.py\"}}, 7]"), ("r2", '{"path": "a.py"}'), ("r3", "[" + good), ("r4", None), ("r5", " [ ] ")]
+    got = rp.parse_lint_flat(spark.createDataFrame(texts, "k string, value string"), key="k")
+    [r] = got.rows.collect()
+    assert r.tool_output == '{"endLine":null,"extra":{"a":[true],"z":1},"line":3,"message":"m","path":"a.py","symbol":"s"}'
+    assert r.metadata == {"report": "r1"}
+    assert bad(got) == [("lint_flat", "r1", "no line", '{"path":"b.py"}'), ("lint_flat", "r1", "not a JSON object", "7"),
+                        ("lint_flat", "r2", "not a JSON array", '{"path": "a.py"}'), ("lint_flat", "r3", "not JSON", "[" + good),
+                        ("lint_flat", "r4", "not JSON", None)]
+    tests = [("t1", '{"tests":[{"outcome":"failed","call":{"longrepr":{"a":1}}}, null]}'), ("t2", '{"tests":"x"}'), ("t3", "{}")]
+    got = rp.parse_test_json(spark.createDataFrame(tests, "k string, value string"), key="k")
+    [r] = got.rows.collect()
+    assert (r.file_path, r.line_number, r.message) == ("unknown", 1, 'Test failure: unknown - {"a":1}')
+    assert [x[1:3] for x in bad(got)] == [("t1", "not a JSON object"), ("t2", "$.tests is not a JSON array")]
+
+
+def test_bad_rows_of_xml_lines_and_bytes(spark, tmpdir_path):
+    xml = [("x1", "<testsuites><testsuite><testsuite><testcase><failure/></testcase></testsuite></testsuite></testsuites>"),
+           ("x2", "<testsuite><testcase>"), ("x3", "plain"), ("x4", None), ("x5", "<a/>")]
+    got = rp.parse_junit(spark.createDataFrame(xml, "k string, value string"), key="k")
+    assert [(r.metadata["report"], r.message) for r in got.rows.collect()] == [("x1", "Test failure: unknown - Test failed")]
+    assert [x[1:3] for x in bad(got)] == [("x2", "not XML"), ("x3", "not XML"), ("x4", "not XML")]
+    lines = spark.createDataFrame([("a.py:99999999999:5: error: far",), ("what",), (" ",), ("Success: x",)], "value string")
+    got = rp.parse_typecheck(lines)
+    assert [r.line_number for r in got.rows.collect()] == [None] and [x[2:] for x in bad(got)] == [("not a report line", "what")]
+    with open(os.path.join(tmpdir_path, "r.json"), "wb") as f:
+        f.write(b"\xff\xfe[]")
+    got = rp.read_lint_flat(spark, tmpdir_path)
+    assert got.rows.count() == 0 and [(x[0], x[1].rsplit("/")[-1], x[2]) for x in bad(got)] == [("reports", "r.json", "not valid UTF-8")]
+
+
+def test_routing_by_suffix_and_by_default_names(spark, tmpdir_path):
+    xml = '<testsuite><testcase name="%s" file="t.py" line="2"><failure message="m">x</failure></testcase></testsuite>'
+    for name, text in (("junit.xml", xml % "a"), ("test-results.xml", xml % "b"), ("other.xml", xml % "c"),
+                       ("r.json", '{"tests":[{"nodeid":"d","outcome":"failed"}]}'), ("run.out", "FAILED t.py::e - boom"),
+                       ("noending", "ERROR t.py::f - boom")):
+        _write(tmpdir_path, name, text)
+    names = lambda got: sorted(r.message.split(" - ")[0].split(": ")[1] for r in got.rows.collect())
+    assert names(rp.read_test_reports(spark, tmpdir_path)) == ["a", "b", "c", "d", "e", "f"]
+    assert names(rp.read_test_reports(spark, tmpdir_path, default_names=True)) == ["a", "b"]
+    assert names(rp.read_test_reports(spark, os.path.join(tmpdir_path, "run.out"))) == ["e"]
+
+
+def test_many_entries_in_one_text(spark):
+    """Time grows with the text, and each entry finds the frame behind it, not further than 2000 characters."""
+    import time
+    entry = 'FAILED t{0}.py::test - boom\nERROR x::y - z\nPASSED q\nFile "t{0}.py", line {0}, in f\n'
+    text = "".join(entry.format(k) for k in range(1, 20001))
+    start = time.time()
+    rows = rp.parse_test_text(spark.createDataFrame([(text,)], "value string")).rows.filter("error_code = 'test-failure'").select(
+        "file_path", "line_number").collect()
+    assert len(rows) == 20000 and all(r.file_path == f"t{r.line_number}.py" for r in rows)
+    assert time.time() - start < 60
+    far = "FAILED a.py::t - m\nPASSED x\n" + "-" * 2000 + 'File "a.py", line 9'
+    near = "FAILED a.py::t - m\nPASSED x\n" + "-" * 1970 + 'File "a.py", line 9'
+    got = [r.line_number for t in (far, near) for r in rp.parse_test_text(spark.createDataFrame([(t,)], "value string")).rows.collect()]
+    assert got == [1, 9]

@@ -26,6 +26,8 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "quarry", extra: dict | None = None) -> SparkSession:
@@ -64,7 +66,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers once per application, so that
-    Arrow functions can be loaded there from any working directory."""
+    Arrow functions can be loaded there from any working directory. Where the
+    session sets no bound of its own, Arrow batches are cut at 4 MB: long texts
+    then don't add up in a worker."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "4m")
     sc = spark.sparkContext
     if getattr(sc, "_quarry_shipped", False):
         return

@@ -35,7 +35,7 @@ from .common import batch, free_name, stored
 #: Unused positions between two documents of a block: no phrase crosses them.
 GAP = 64
 #: Text bytes of one index block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Phrases broadcast together (80 bytes each: at most 40 MB).
 PHRASES_PER_PASS = 500_000
 

@@ -43,7 +43,7 @@ SPACE = "▁"
 #: Units up to this many characters are segmented together with their equals in length.
 TOGETHER = 40
 #: Characters of the texts whose units are segmented together.
-GROUP_CHARS = 4 << 20
+GROUP_CHARS = 1 << 20
 NONE = -1e18
 _UNITS = re.compile(r" *[^ ]+| +")
 _BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes taken at a time: bounds the working arrays, whatever the length of a text.
-PIECE = 1 << 21
+PIECE = 1 << 19
 #: Text bytes of documents taken together in one vectorised step.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 
 _U = np.uint64
 _FULL = 1 << 64

@@ -8,7 +8,7 @@ expressions (``try_parse_json`` gives a VARIANT), no Python.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: fenced-block pattern (lazy object inside ``` or ```json)
@@ -25,16 +25,33 @@ def _object(text: Column) -> Column:
     return F.when(F.startswith(F.ltrim(text), F.lit("{")) | F.startswith(F.trim(text), F.lit("{")), v)
 
 
+def _base(text) -> Column:
+    t = _c(text)
+    return F.when(t.rlike(FENCED), F.regexp_extract(t, FENCED, 1)).otherwise(t)
+
+
+def _parsed(base) -> Column:
+    b = _c(base)
+    start = F.instr(b, "{")
+    end = F.length(b) - F.instr(F.reverse(b), "}") + 1
+    span = F.when((start > 0) & (F.instr(b, "}") > 0) & (end > start), F.substring(b, start, end - start + 1))
+    return F.coalesce(_object(b), _object(span))
+
+
 def extract_json(text) -> Column:
     """FIX-03: parsed object (VARIANT) or null when the reply holds none."""
-    t = _c(text)
-    fenced = F.regexp_extract(t, FENCED, 1)
-    base = F.when(t.rlike(FENCED), fenced).otherwise(t)
-    start = F.instr(base, "{")
-    end = F.length(base) - F.instr(F.reverse(base), "}") + 1
-    span = F.when((start > 0) & (F.instr(base, "}") > 0) & (end > start),
-                  F.substring(base, start, end - start + 1))
-    return F.coalesce(_object(base), _object(span))
+    return _parsed(_base(text))
+
+
+JSON = "_json"
+
+
+def with_json(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with :func:`extract_json` of ``text`` as column ``JSON``, computed once for
+    all the fields that are read from it. A column of that name is taken as it is."""
+    if JSON in df.columns:
+        return df
+    return df.withColumn("_text", _base(text)).withColumn(JSON, _parsed("_text")).drop("_text")
 
 
 def json_field(obj, key: str, dtype: str = "string", default=None) -> Column:

@@ -11,8 +11,11 @@ exact, so no query is dropped and no pair table is materialised.
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +25,9 @@ from pyspark.sql.window import Window
 SIM_WEIGHT, KW_WEIGHT = 0.7, 0.3
 DEFAULT_K, MAX_K = 5, 20
 
-# Query vectors broadcast per pass (64-dim doubles: ~25 MB per 50k queries).
+#: Queries of a block, and index records of a part, of the search grid; queries
+#: whose distances to a slice are held together.
+QUERY_BLOCK, PART_ROWS, QUERIES_TOGETHER = 2048, 1 << 20, 256
 MAX_QUERY_BATCH = 50_000
 TOKEN = r"[^\p{L}\p{N}_]+"
 WORD_RUN = r"[\p{L}\p{N}_]+"
@@ -44,88 +49,109 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _collect_batch(queries: DataFrame, qid: str, vec: str):
-    rows = queries.select(qid, vec).collect()  # bounded by MAX_QUERY_BATCH (checked in _passes)
-    ids = [r[0] for r in rows]
-    mat = np.array([list(r[1]) for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
-    return ids, mat
-
-
 def _id_type(df: DataFrame, col: str) -> str:
     """Ids keep their type; whole numbers are BIGINT."""
     t = df.schema[col].dataType
     return "bigint" if isinstance(t, T.IntegralType) else t.simpleString()
 
 
+def _element_type(df: DataFrame, col: str) -> str:
+    return df.schema[col].dataType.elementType.simpleString()
+
+
+def _slices(index: DataFrame, id_col: str, vec: str) -> DataFrame:
+    """``ids, v``: the records of one Arrow batch as one row, the vectors end to end."""
+    kind = _id_type(index, id_col)
+
+    def pack(batches):
+        for b in batches:
+            if b.num_rows:
+                flat = b.column(1).flatten()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (b.column(0), flat)], ["ids", "v"])
+
+    rows = index.select(F.col(id_col).cast(kind).alias("id"), F.col(vec).alias("v")).filter("v IS NOT NULL")
+    return rows.mapInArrow(pack, f"ids array<{kind}>, v array<{_element_type(index, vec)}>")
+
+
+def _grid(queries: DataFrame, index: DataFrame, qid: str, id_col: str, vec: str) -> DataFrame:
+    """``q, ids, v``: every block of queries beside every slice of the index.
+
+    Queries are numbered into blocks, slices into parts, and cells of the grid are an
+    equi-join on (block, part): a slice moves once a block of queries, a block once a
+    part. Neither side is collected or broadcast whole, whatever its size."""
+    spark = index.sparkSession
+    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    parts = max(1, math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / blocks), math.ceil(index.count() / PART_ROWS))
+    kind = _id_type(queries, qid)
+    # An id that is repeated counts once; so a block's size is bounded by the hash.
+    once = queries.filter(F.col(vec).isNotNull()).groupBy(F.col(qid).cast(kind).alias("qid")).agg(F.min(vec).alias("v"))
+    packed = once.groupBy(F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("qid", "v")).alias("q"))
+    left = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = _slices(index, id_col, vec).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    return right.join(left, ["block", "part"]).select("q", "ids", "v")
+
+
 def vector_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K, qid: str = "qid",
                 id_col: str = "id", vec: str = "embedding", where: Column | None = None) -> DataFrame:
     """RET-01/02/03: the ``k`` nearest index records per query by squared L2
     distance (nearest first, ties to the lower id), with ``score = 1 - distance``.
 
+    Both sides stay distributed: a grid of (query block, index slice) cells, in each a
+    local top-k (``k`` rows a query and slice), then a window over what is left, which
+    Spark limits to ``k`` rows a query in every task before it shuffles.
     ``where`` filters the index *before* scoring (pushed into the scan).
     Distances are rounded to 6 places before ranking so results are stable.
-    Ids may be of any type that sorts (RET-06 makes strings).
+    Ids may be of any type that sorts (RET-06 makes strings); a query id that is
+    repeated counts once; null vectors are left out.
     Output: ``qid, id, distance, score, rank``.
     """
     if not 1 <= k <= MAX_K:
         raise ValueError(f"k must be in 1..{MAX_K}")
-    idx = index if where is None else index.filter(where)
-    idx = idx.select(F.col(id_col).alias("_id"), F.col(vec).alias("_v"))
-    spark = index.sparkSession
-    outs = []
-    schema = f"qid {_id_type(queries, qid)}, id {_id_type(index, id_col)}, distance double"
-    for batch in _passes(queries.select(F.col(qid).alias("_q"), F.col(vec).alias("_v")), "_q", MAX_QUERY_BATCH):
-        ids, mat = _collect_batch(batch, "_q", "_v")
-        if not ids:
-            continue
-        bc = spark.sparkContext.broadcast((ids, mat))
-        outs.append(idx.mapInPandas(_local_topk(bc, k), schema))
-    cand = outs[0] if outs else spark.createDataFrame([], schema)
-    for o in outs[1:]:
-        cand = cand.unionByName(o)
+    cells = _grid(queries, index if where is None else index.filter(where), qid, id_col, vec)
+    cand = cells.mapInArrow(_local_topk(k), f"qid {_id_type(queries, qid)}, id {_id_type(index, id_col)}, distance double")
     w = Window.partitionBy("qid").orderBy("distance", "id")
     top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return top.select(F.col("qid").alias(qid), F.col("id").alias(id_col), "distance",
                       (F.lit(1.0) - F.col("distance")).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
-def _keep_k(frames, k: int):
-    """k best per query under (distance, id): exact for the global order, since
-    every global top-k row is in its task's top-k."""
-    import pandas as pd
-    c = pd.concat(frames, ignore_index=True)
-    return c.sort_values(["qid", "distance", "id"], kind="stable").groupby("qid", sort=False).head(k)
-
-
-def _local_topk(bc, k: int):
-    def run(it):
-        import pandas as pd
-        qids, Q = bc.value
-        qids = pd.Series(qids).to_numpy()
-        qn = (Q * Q).sum(axis=1)
-        kept, held = [], 0
-        for pdf in it:
-            if pdf.empty:
-                continue
-            X = np.stack(pdf["_v"].to_numpy()).astype(np.float64)
-            xid = pdf["_id"].to_numpy()
-            D = qn[:, None] + (X * X).sum(axis=1)[None, :] - 2.0 * (Q @ X.T)
-            D = np.round(np.maximum(D, 0.0), 6)
-            kk = min(k, D.shape[1])
-            cand = np.argpartition(D, kk - 1, axis=1)[:, :kk] if kk < D.shape[1] else np.tile(np.arange(D.shape[1]), (len(qids), 1))
-            # widen to all columns tied with the k-th value so id tie-breaks stay exact
-            kth = np.take_along_axis(D, cand, axis=1).max(axis=1)
-            rows_q, rows_x = np.nonzero(D <= kth[:, None])
-            kept.append(pd.DataFrame({"qid": qids[rows_q], "id": xid[rows_x], "distance": D[rows_q, rows_x]}))
-            held += len(rows_q)
-            if held > 4 * k * len(qids):          # bound the task's memory: reduce as it goes
-                kept = [_keep_k(kept, k)]
-                held = len(kept[0])
-        if kept:
-            yield _keep_k(kept, k)                # one top-k per query per task
+def _vectors(flat: pa.Array, n: int) -> np.ndarray:
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+
+
+def _local_topk(k: int):
+    """The ``k`` best of each cell's slice for each of its queries, under (distance, id)."""
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                q, ids = b.column(0)[r].values, b.column(1)[r].values
+                qids, X = q.field(0), _vectors(b.column(2)[r].values, len(ids))
+                Q = _vectors(q.field(1).flatten(), len(qids))
+                order = np.empty(len(ids), dtype=np.int64)
+                order[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+                xn = (X * X).sum(axis=1)
+                for at in range(0, len(Q), QUERIES_TOGETHER):
+                    yield _best(qids, Q[at:at + QUERIES_TOGETHER], at, ids, X, xn, order, k)
     return run
 
 
+def _best(qids, Q, at, ids, X, xn, order, k) -> pa.RecordBatch:
+    D = (Q * Q).sum(axis=1)[:, None] + xn[None, :] - 2.0 * (Q @ X.T)
+    D = np.round(np.maximum(D, 0.0), 6)
+    last = min(k, D.shape[1]) - 1
+    # all that tie with the last one, then cut by id
+    rows, cols = np.nonzero(D <= np.partition(D, last, axis=1)[:, last][:, None])
+    d = D[rows, cols]
+    sort = np.lexsort((order[cols], d, rows))
+    rows, cols, d = rows[sort], cols[sort], d[sort]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    keep = place < k
+    return pa.RecordBatch.from_arrays([qids.take(pa.array(rows[keep] + at)), ids.take(pa.array(cols[keep])), pa.array(d[keep])],
+                                      ["qid", "id", "distance"])
+
+
 def index_stats(index: DataFrame, type_col: str = "entity_type") -> DataFrame:
     """RET-05: record count per type (missing type -> UNKNOWN), reading one column."""
     return index.groupBy(F.coalesce(F.col(type_col).cast("string"), F.lit("UNKNOWN")).alias("entity_type")) \
@@ -307,99 +333,6 @@ def search_query() -> Column:
     return F.coalesce(F.nullif(F.col("search_query"), F.lit("")), F.col("user_goal"))
 
 
-# ---- pruned top-k (RET-14) ----------------------------------------------------
-
-def ivf_build(index: DataFrame, id_col: str = "id", vec: str = "embedding", cells: int | None = None,
-              seed: int = 42, max_iter: int = 10, path: str | None = None):
-    """Coarse cells for pruned search: distributed k-means (``pyspark.ml``) over
-    the whole index, each record tagged with its nearest centroid. Returns
-    ``(index with a cell column, centroid matrix)``; the centroid matrix is
-    ``cells x dim`` (small, it is the model). Write the tagged index
-    ``partitionBy("cell")`` to make a probe read only its cells' files."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-    n = index.count()
-    k = cells or max(1, int(round(math.sqrt(n))))
-    feats = index.select(id_col, vec, array_to_vector(F.col(vec)).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(feats)
-    tagged = model.transform(feats).select(id_col, vec, F.col("prediction").cast("int").alias("cell"))
-    cents = np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()], dtype=np.float64)
-    if path:
-        # one folder per cell: a probe's `cell IN (...)` filter prunes whole folders
-        tagged.write.mode("overwrite").partitionBy("cell").parquet(path)
-        tagged = index.sparkSession.read.parquet(path)
-    return tagged, cents
-
-
-def ivf_topk(queries: DataFrame, tagged: DataFrame, centroids, k: int = DEFAULT_K, probes: int = 4,
-             qid: str = "qid", id_col: str = "id", vec: str = "embedding") -> DataFrame:
-    """RET-14: approximate top-k: each query scores only records in its
-    ``probes`` nearest cells. The probed cells are pushed into the scan as a
-    filter (partition pruning on a cell-partitioned index); inside a task a
-    per-query cell mask keeps the rest out. Same output as :func:`vector_topk`."""
-    spark = tagged.sparkSession
-    C = np.asarray(centroids, dtype=np.float64)
-    outs = []
-    for batch in _passes(queries.select(F.col(qid).alias("_q"), F.col(vec).alias("_v")), "_q", MAX_QUERY_BATCH):
-        ids, Q = _collect_batch(batch, "_q", "_v")
-        if not ids:
-            continue
-        dc = (Q * Q).sum(1)[:, None] + (C * C).sum(1)[None, :] - 2.0 * Q @ C.T
-        p = min(probes, C.shape[0])
-        P = np.argsort(dc, axis=1, kind="stable")[:, :p].astype(np.int32)
-        cells = sorted({int(c) for c in P.ravel()})
-        bc = spark.sparkContext.broadcast((ids, Q, P))
-        src = tagged.filter(F.col("cell").isin(cells)).select(F.col(id_col).alias("_id"), F.col(vec).alias("_v"), "cell")
-        outs.append(src.mapInPandas(_masked_topk(bc, k), "qid long, id long, distance double"))
-    if not outs:
-        return spark.createDataFrame([], f"{qid} long, {id_col} long, distance double, score double, rank int")
-    cand = outs[0]
-    for o in outs[1:]:
-        cand = cand.unionByName(o)
-    w = Window.partitionBy("qid").orderBy("distance", "id")
-    top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return top.select(F.col("qid").alias(qid), F.col("id").alias(id_col), "distance",
-                      (F.lit(1.0) - F.col("distance")).alias("score"), F.col("rank").cast("int").alias("rank"))
-
-
-def _masked_topk(bc, k: int):
-    def run(it):
-        import pandas as pd
-        qids, Q, P = bc.value
-        qids = pd.Series(qids).to_numpy()
-        qn = (Q * Q).sum(axis=1)
-        kept, held = [], 0
-        for pdf in it:
-            if pdf.empty:
-                continue
-            X = np.stack(pdf["_v"].to_numpy()).astype(np.float64)
-            xid = pdf["_id"].to_numpy(dtype=np.int64)
-            cell = pdf["cell"].to_numpy(dtype=np.int32)
-            allowed = (P[:, :, None] == cell[None, None, :]).any(axis=1)      # queries x rows
-            D = qn[:, None] + (X * X).sum(axis=1)[None, :] - 2.0 * (Q @ X.T)
-            D = np.where(allowed, np.round(np.maximum(D, 0.0), 6), np.inf)
-            kk = min(k, D.shape[1])
-            part = np.partition(D, kk - 1, axis=1)[:, kk - 1]
-            rows_q, rows_x = np.nonzero((D <= part[:, None]) & np.isfinite(D))
-            kept.append(pd.DataFrame({"qid": qids[rows_q], "id": xid[rows_x], "distance": D[rows_q, rows_x]}))
-            held += len(rows_q)
-            if held > 4 * k * len(qids):
-                kept = [_keep_k(kept, k)]
-                held = len(kept[0])
-        if kept:
-            yield _keep_k(kept, k)
-    return run
-
-
-def recall_at_k(approx: DataFrame, exact: DataFrame, qid: str = "qid", id_col: str = "id") -> DataFrame:
-    """Share of the exact top-k found by the approximate search, per query and overall."""
-    e = exact.select(qid, id_col, F.lit(1).alias("_e"))
-    a = approx.select(qid, id_col, F.lit(1).alias("_a"))
-    j = e.join(a, [qid, id_col], "left")
-    per_q = j.groupBy(qid).agg((F.count("_a") / F.count("_e")).alias("recall"))
-    return per_q
-
-
 # ---- index records <-> entities (RET-04, RET-07) --------------------------------
 
 _REHYDRATED_KEYS = ("entity_type", "name", "file_path", "start_line", "end_line", "parent", "docstring",
@@ -441,91 +374,104 @@ def add_chunks(index: DataFrame, chunks: DataFrame) -> DataFrame:
     return upsert_index(index, ents.select(*index.columns))
 
 
-# ---- top-k text ranking without pair shuffles (RET-09/13 at scale) ------------------
+# ---- top-k text ranking with score bounds (RET-08, 09, 13) ------------------------
 
-MAX_VOCAB_BROADCAST = 2_000_000   # vocabulary (term -> idf) entries broadcast to the tasks
+#: What a term found in a document adds to each rank: weight of ``w * qw``, weight of
+#: the query's share that the term is.
+RANKS = {"similarity": (1.0, 0.0), "keyword_score": (0.0, 1.0), "score": (SIM_WEIGHT, KW_WEIGHT)}
+#: Terms of a query that the first look takes, those that can add most.
+FIRST_TERMS = 6
+#: More than rounding to six places and the order of sums can change.
+MARGIN = 2e-6
 
 
-def text_topk(queries: DataFrame, docs: DataFrame, k: int = DEFAULT_K, rank_by: str = "score",
-              qid: str = "qid", qtext: str = "text", did: str = "doc_id", dtext: str = "text") -> DataFrame | None:
-    """Top-k documents per query by TF-IDF cosine (``rank_by="similarity"``), by
-    keyword share (``"keyword_score"``) or by the hybrid score (``"score"``),
-    scoring each document inside its task.
+class TextIndex(NamedTuple):
+    """``postings(term, doc, w)`` with L2-normalised TF-IDF weights, ``terms(term, idf,
+    top)`` with the largest weight of each term, and the number of documents."""
 
-    Tokens come from the JVM; each task counts its documents' terms, computes
-    their norms with the broadcast vocabulary (term -> idf) and their dot
-    products with the broadcast query weights, and keeps only its k best per
-    query, so no (query, document) pair is ever shuffled, whatever a hot term
-    does. Returns ``None`` when the vocabulary exceeds
-    :data:`MAX_VOCAB_BROADCAST` (callers then use :func:`text_scores`).
-    Output: ``qid, doc, similarity, keyword_score, score, rank`` (values rounded to 6).
-    """
-    spark = docs.sparkSession
+    postings: DataFrame
+    terms: DataFrame
+    n: int
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def build_text_index(docs: DataFrame, did: str = "doc_id", dtext: str = "text") -> TextIndex:
+    """RET-13: the index of ``docs``, stored in the shared checkpoint folder; idf =
+    ln((1 + N) / (1 + df)) + 1. Document frequencies stay a table: no vocabulary
+    comes to the driver or into a broadcast variable."""
     n = docs.count()
-    vocab = docs.select(did, F.explode(F.array_distinct(tokens(dtext))).alias("term")) \
-        .groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    if vocab.count() > MAX_VOCAB_BROADCAST:
-        return None
-    idf = {r[0]: math.log((1 + n) / (1 + r[1])) + 1 for r in vocab.collect()}   # bounded by the check
-    missing = math.log(1 + n) + 1
-    outs = []
-    for batch in _passes(queries.select(F.col(qid).alias("_q"), tokens(qtext).alias("_t")), "_q", MAX_QUERY_BATCH):
-        qrows = batch.collect()                                                   # bounded batch
-        qids = [r[0] for r in qrows]
-        inv, nq = {}, []
-        from collections import Counter
-        for i, r in enumerate(qrows):
-            tf = Counter(r[1] or [])
-            w = {t: c * idf.get(t, missing) for t, c in tf.items()}
-            norm = math.sqrt(sum(v * v for v in w.values())) or 1.0
-            for t, c in tf.items():
-                inv.setdefault(t, []).append((i, idf.get(t, missing), w[t] / norm))
-            nq.append(len(tf))
-        if not qids:
-            continue
-        bc = spark.sparkContext.broadcast((idf, inv, qids, nq))
-        src = docs.select(F.col(did).alias("_d"), tokens(dtext).alias("_t"))
-        outs.append(src.mapInPandas(_score_docs(bc, k, rank_by),
-                                    f"qid {_id_type(queries, qid)}, doc {_id_type(docs, did)}, "
-                                    "similarity double, keyword_score double, score double"))
-    if not outs:
-        return None
-    cand = _union(outs)
-    order = F.col(rank_by).desc()
-    w = Window.partitionBy("qid").orderBy(order, F.col("doc"))
-    top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return top.select(F.col("qid").alias(qid), F.col("doc").alias(did), "similarity", "keyword_score", "score",
-                      F.col("rank").cast("int").alias("rank"))
-
-
-def _score_docs(bc, k: int, rank_by: str):
-    def run(it):
-        from collections import Counter
-        import pandas as pd
-        idf, inv, qids, nq = bc.value
-        best = {}                                   # query index -> rows (-key, doc, sim, kw, score), cut at 4k
-        for pdf in it:
-            for d, toks in zip(pdf["_d"].tolist(), pdf["_t"].tolist()):
-                if toks is None or len(toks) == 0:
-                    continue
-                tf = Counter(toks)
-                norm = math.sqrt(sum((c * idf[t]) ** 2 for t, c in tf.items()))
-                dots, hits = {}, {}
-                for t, c in tf.items():
-                    for qi, qidf, qw in inv.get(t, ()):
-                        dots[qi] = dots.get(qi, 0.0) + c * qidf * qw
-                        hits[qi] = hits.get(qi, 0) + 1
-                for qi, dot in dots.items():
-                    sim = round(dot / norm, 6)
-                    kw = hits[qi] / nq[qi]
-                    score = round(SIM_WEIGHT * (dot / norm) + KW_WEIGHT * kw, 6)
-                    key = {"similarity": sim, "keyword_score": round(kw, 6)}.get(rank_by, score)
-                    h = best.setdefault(qi, [])
-                    h.append((-key, d, sim, round(kw, 6), score))
-                    if len(h) >= 4 * k:
-                        h.sort()
-                        del h[k:]
-        rows = [(qids[qi], *row[1:]) for qi, h in best.items() for row in sorted(h)[:k]]
-        if rows:
-            yield pd.DataFrame(rows, columns=["qid", "doc", "similarity", "keyword_score", "score"])
-    return run
+    tf = _stored(term_table(docs.select(F.col(did).alias("doc"), F.col(dtext).alias("text")), "doc", "text"))
+    # Stored before it is joined, so that both sides are plain exchanges and Spark can split a frequent term.
+    idf = _stored(tf.groupBy("term").agg((F.log(F.lit(float(1 + n)) / (1 + F.count(F.lit(1)))) + 1).alias("idf")))
+    raw = tf.join(idf, "term").select("term", "doc", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    postings = _stored(raw.join(norm, "doc").select("term", "doc", (F.col("w") / F.col("norm")).alias("w")))
+    top = postings.groupBy("term").agg(F.max("w").alias("top"))
+    return TextIndex(postings, _stored(idf.join(top, "term")), n)
+
+
+def text_topk(queries: DataFrame, index: TextIndex, k: int = DEFAULT_K, rank_by: str = "score",
+              qid: str = "qid", qtext: str = "text", did: str = "doc_id") -> DataFrame:
+    """RET-08/09/13: the ``k`` best documents per query by TF-IDF cosine
+    (``similarity``), share of the query's keywords (``keyword_score``) or both
+    (``score``); among documents that hold a term of the query.
+
+    1. A term adds at most its bound (from the term's largest weight) to a document's
+       rank. The terms of highest bounds are looked up; the ``k``-th best of these
+       partial ranks is a threshold that the result reaches.
+    2. The terms of lowest bounds whose sum stays below the threshold can't bring a
+       document into the result by themselves: frequent words, as a rule. Only
+       documents with another term are candidates, and only those whose partial rank
+       plus the sum of the left-out bounds reaches the threshold stay.
+    3. The left-out terms are added for the candidates alone.
+
+    One plan at every size; nothing is collected. Output: ``qid, doc, similarity,
+    keyword_score, score, rank`` (values rounded to 6 places).
+    """
+    alpha, beta = RANKS[rank_by]
+    missing = F.lit(math.log(1 + index.n) + 1)
+    own = term_table(queries.select(F.col(qid).alias("q"), F.col(qtext).alias("text")), "q", "text")
+    known = own.join(index.terms, "term", "left").withColumn("qidf", F.coalesce("idf", missing))
+    per_query = Window.partitionBy("q")
+    sized = known.withColumns({
+        "qw": F.col("tf") * F.col("qidf") / F.sqrt(F.sum((F.col("tf") * F.col("qidf")) ** 2).over(per_query)),
+        "share": 1 / F.count(F.lit(1)).over(per_query)})
+    # Terms that no document holds have counted in the norm and the shares.
+    bound = (alpha * F.col("top") * F.col("qw") + beta * F.col("share")).alias("bound")
+    terms = sized.filter("top IS NOT NULL").select("q", "term", "qw", "share", bound)
+    up, down = per_query.orderBy("bound", "term"), per_query.orderBy(F.desc("bound"), F.desc("term"))
+    terms = _stored(terms.withColumns({"below": F.sum("bound").over(up.rowsBetween(Window.unboundedPreceding, 0)),
+                                       "place": F.row_number().over(down)}))
+
+    def found(some: DataFrame) -> DataFrame:
+        """Sums over the postings of ``some`` terms, per query and document."""
+        return index.postings.join(some, "term").groupBy("q", "doc").agg(
+            F.sum(F.col("w") * F.col("qw")).alias("similarity"), F.sum("share").alias("keyword_score"))
+
+    rank = alpha * F.col("similarity") + beta * F.col("keyword_score")
+    best = Window.partitionBy("q").orderBy(F.desc("r"), "doc")
+    first = found(terms.filter(F.col("place") <= FIRST_TERMS)).select("q", "doc", rank.alias("r"))
+    least = first.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).groupBy("q").agg(
+        F.when(F.count(F.lit(1)) == k, F.min("r")).otherwise(F.lit(0.0)).alias("least"))
+    # The threshold and the sum of the bounds that stay out, beside each term.
+    judged = terms.join(least, "q").withColumn("out", F.col("below") < F.col("least") - MARGIN)
+    judged = judged.withColumn("rest", F.coalesce(F.max(F.when(F.col("out"), F.col("below"))).over(per_query), F.lit(0.0)))
+    judged = _stored(judged)
+    limits = judged.select("q", "least", "rest").distinct()
+    partial = found(judged.filter(~F.col("out"))).join(limits, "q")
+    candidates = _stored(partial.filter(rank + F.col("rest") >= F.col("least") - MARGIN).select("q", "doc", "similarity", "keyword_score"))
+    asked = candidates.select("q", "doc").join(judged.filter("out").select("q", "term", "qw", "share"), "q")
+    more = index.postings.join(asked, ["term", "doc"]).select(
+        "q", "doc", (F.col("w") * F.col("qw")).alias("similarity"), F.col("share").alias("keyword_score"))
+    whole = candidates.unionByName(more).groupBy("q", "doc").agg(
+        F.sum("similarity").alias("similarity"), F.sum("keyword_score").alias("keyword_score"))
+    ranked = whole.select("q", "doc", *(F.round(a * F.col("similarity") + b * F.col("keyword_score"), 6).alias(name)
+                                        for name, (a, b) in RANKS.items()))
+    w = Window.partitionBy("q").orderBy(F.col(rank_by).desc(), "doc")
+    top = ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return top.select(F.col("q").alias(qid), F.col("doc").alias(did), "similarity", "keyword_score", "score", F.col("rank").cast("int").alias("rank"))

@@ -14,8 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from ..functions.jsonx import extract_json, json_field
+from ..functions.jsonx import JSON, json_field, with_json
 from ..functions.text import preview
 from .entities import py_strip
 
@@ -51,42 +52,47 @@ def validate_goals(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # ---- reply parsing ---------------------------------------------------------
 
+def _without_json(given: DataFrame, df: DataFrame) -> DataFrame:
+    """``df`` without the parsed reply, unless it was ``given``."""
+    return df if JSON in given.columns else df.drop(JSON)
+
+
 def parse_plans(df: DataFrame, reply: str = "reply") -> DataFrame:
     """FIX-02: plan reply -> search_query, keywords, target_file. On a parse
     failure the query is the goal and there are no keywords (the item still
     advances to retrieval; deviation from the reference, which loops)."""
-    j = extract_json(reply)
-    return df.withColumns({
+    j = F.col(JSON)
+    return _without_json(df, with_json(df, reply).withColumns({
         "search_query": F.when(j.isNull(), F.col("user_goal")).otherwise(
             json_field(j, "search_query", "string", F.col("user_goal"))),
         "keywords": F.when(j.isNull(), F.array().cast("array<string>")).otherwise(
             json_field(j, "keywords", "array<string>", F.array().cast("array<string>"))),
         "target_file": json_field(j, "target_file", "string"),
         "status": F.lit("retrieving"),
-    })
+    }))
 
 
 def parse_proposals(df: DataFrame, reply: str = "reply") -> DataFrame:
     """FIX-10: proposal reply -> proposed_fix, confidence (0.5), reasoning. An
     unparsable reply is itself the fix, confidence 0.5."""
-    j = extract_json(reply)
-    return df.withColumns({
+    j = F.col(JSON)
+    return _without_json(df, with_json(df, reply).withColumns({
         "proposed_fix": F.when(j.isNull(), F.col(reply)).otherwise(json_field(j, "proposed_fix", "string")),
         "confidence": F.when(j.isNull(), F.lit(DEFAULT_CONFIDENCE)).otherwise(
             json_field(j, "confidence_score", "double", DEFAULT_CONFIDENCE)),
         "reasoning": F.when(j.isNull(), F.lit("Parse error - using raw content")).otherwise(
             json_field(j, "reasoning", "string", "")),
         "status": F.lit("reviewing"),
-    })
+    }))
 
 
 def parse_verdicts(df: DataFrame, reply: str = "reply") -> DataFrame:
     """FIX-11: verdict reply -> is_approved (false), feedback, issues, severity.
     Unparsable -> approved with a marker feedback (and the item ends approved:
     deviation, the reference loops). No fix at all -> rejected."""
-    j = extract_json(reply)
+    j = F.col(JSON)
     no_fix = F.coalesce(F.col("proposed_fix"), F.lit("")) == ""
-    return df.withColumns({
+    return _without_json(df, with_json(df, reply).withColumns({
         "is_approved": F.when(no_fix, F.lit(False)).when(j.isNull(), F.lit(True))
         .otherwise(json_field(j, "is_approved", "boolean", False)),
         "feedback": F.when(no_fix, F.lit("No fix provided")).when(j.isNull(), F.lit("Auto-approved (parse error)"))
@@ -94,7 +100,7 @@ def parse_verdicts(df: DataFrame, reply: str = "reply") -> DataFrame:
         "issues": F.when(no_fix, F.array(F.lit("Missing proposed fix"))).when(j.isNull(), F.array().cast("array<string>"))
         .otherwise(json_field(j, "issues", "array<string>", F.array().cast("array<string>"))),
         "review_severity": json_field(j, "severity", "string", "unknown"),
-    })
+    }))
 
 
 # ---- status machine --------------------------------------------------------
@@ -117,6 +123,10 @@ def transition_note(status: Column, retry="retry_count", max_retries="max_retrie
             .otherwise(F.lit("")))
 
 
+def coding_note(confidence="confidence") -> Column:
+    return F.concat(F.lit("Fix generated, confidence: "), F.format_string("%.2f", F.coalesce(_c(confidence), F.lit(DEFAULT_CONFIDENCE))))
+
+
 def retry_rows(df: DataFrame) -> DataFrame:
     """FIX-13: retry count + 1, status coding; plan, context and feedback kept;
     fix, confidence, reasoning and approval cleared."""
@@ -362,7 +372,7 @@ def run_rounds(goals: DataFrame, propose: Callable[[DataFrame], DataFrame],
     ``reply`` for the reviewer stage (see :func:`replay`). Each round is cut
     from the lineage with ``checkpoint`` (default: reliable ``DataFrame.checkpoint``
     into the cluster's shared checkpoint folder). Returns ``(finished, transitions)``;
-    transitions (FIX-16) carry ``ts`` = ``stamp`` + round seconds, passed in so
+    transitions (FIX-16; of coding and of reviewing) carry ``ts`` = ``stamp`` + round seconds, passed in so
     reruns give the same rows.
     """
     from ..session import checkpoint_dir
@@ -377,10 +387,13 @@ def run_rounds(goals: DataFrame, propose: Callable[[DataFrame], DataFrame],
     finished, transitions = [], []
     for rnd in range(limit):
         drafted = parse_proposals(propose(open_.drop("reply") if "reply" in open_.columns else open_)).drop("reply")
+        drafted = checkpoint(drafted)
         reviewed = parse_verdicts(review(drafted)).drop("reply")
         st = next_status(F.lit(False))
         stepped = checkpoint(reviewed.withColumn("next", st).withColumn("note", transition_note(F.col("next"))))
         ts = (F.to_timestamp(F.lit(stamp)) + F.make_interval(secs=F.lit(rnd))).alias("ts")
+        transitions.append(drafted.select("goal_id", ts, F.lit("coding").alias("from_status"), F.lit("reviewing").alias("to_status"),
+                                          coding_note().alias("note"), "retry_count"))
         transitions.append(stepped.select("goal_id", ts, F.lit("reviewing").alias("from_status"),
                                           F.col("next").alias("to_status"), "note", "retry_count"))
         done = stepped.filter(F.col("next") != "coding").withColumn("status", F.col("next")).drop("next", "note")
@@ -396,3 +409,89 @@ def run_rounds(goals: DataFrame, propose: Callable[[DataFrame], DataFrame],
     for d in transitions[1:]:
         tr = tr.unionByName(d)
     return out, tr
+
+
+# ---- a whole run from its log (FIX-14, 16, UDF-04) ------------------------------
+
+STEP_SCHEMA = T.StructType([
+    T.StructField("goal_id", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("stage", T.StringType()),
+    T.StructField("max_retries", T.IntegerType()), T.StructField("note", T.StringType()),
+    T.StructField("proposed_fix", T.StringType()), T.StructField("is_approved", T.BooleanType()),
+    T.StructField("feedback", T.StringType()), T.StructField("issues", T.ArrayType(T.StringType()))])
+TRANSITIONS = "goal_id long, seq long, from_status string, to_status string, note string, retry_count int"
+FINISHED = ("approved", "rejected", "failed")
+
+
+def steps_from_log(log: DataFrame, goals: DataFrame) -> DataFrame:
+    """The parsed steps (``STEP_SCHEMA``) of a logged run.
+
+    ``log(goal_id, seq, stage, content)`` holds every reply in the order of ``seq``:
+    ``plan``, ``code`` and ``review`` replies as text, ``retrieve`` the number of records
+    that the search found; ``goals(goal_id, user_goal, max_retries)``. Rows of other
+    goals or stages are left out. Replies are parsed by column expressions, so the same
+    function serves a stream (joined to static goals) and a table."""
+    j = log.join(goals.select(F.col("goal_id"), "user_goal", F.col("max_retries").cast("int").alias("max_retries")), "goal_id")
+    j = j.filter(F.col("stage").isin("plan", "retrieve", "code", "review")).withColumnRenamed("content", "reply")
+    j = with_json(j, "reply")
+    plan = parse_plans(j).drop("keywords", "target_file", "status").withColumnRenamed("search_query", "query")
+    code = parse_proposals(plan).drop("reasoning", "status").withColumnsRenamed({"proposed_fix": "fix"})
+    # A verdict is read as it stands; whether there was a fix is known from the step before.
+    verdict = parse_verdicts(code.withColumn("proposed_fix", F.lit("-"))).drop("review_severity", "proposed_fix")
+    at = F.col("stage")
+    note = (F.when(at == "plan", F.concat(F.lit("Query: "), F.substring("query", 1, 50)))
+            .when(at == "retrieve", F.concat(F.lit("Retrieved "), F.coalesce(F.col("reply").try_cast("int"), F.lit(0)).cast("string"), F.lit(" entities")))
+            .when(at == "code", coding_note()))
+    of = lambda stage, c: F.when(at == stage, F.col(c)).alias(c if c != "fix" else "proposed_fix")
+    return verdict.select(F.col("goal_id").cast("long"), F.col("seq").cast("long"), "stage", "max_retries", note.alias("note"),
+                          of("code", "fix"), of("review", "is_approved"), of("review", "feedback"), of("review", "issues"))
+
+
+def transitions_from_log(steps: DataFrame) -> DataFrame:
+    """FIX-16 / UDF-04: one row per state change (``TRANSITIONS``) of a logged run, with
+    no loop: planning, retrieving, and coding and reviewing of each attempt.
+
+    The ``i``-th code and review of a goal are its attempt ``i``; at most
+    ``MAX_RETRIES_LIMIT + 1`` of each are read (Spark cuts a goal with more rows before it
+    shuffles). The first review that doesn't lead back to coding ends the goal; later rows
+    say nothing. An attempt without a fix is rejected without a review."""
+    w = Window.partitionBy("goal_id", "stage").orderBy("seq")
+    taken = steps.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= MAX_RETRIES_LIMIT + 1)
+    first = taken.filter(F.col("stage").isin("plan", "retrieve") & (F.col("n") == 1))
+    start = F.when(F.col("stage") == "plan", F.lit("planning")).otherwise(F.lit("retrieving"))
+    end = F.when(F.col("stage") == "plan", F.lit("retrieving")).otherwise(F.lit("coding"))
+    early = first.select("goal_id", "seq", start.alias("from_status"), end.alias("to_status"), "note", F.lit(0).alias("retry_count"))
+    retry = (F.col("n") - 1).cast("int").alias("retry_count")
+    code = taken.filter("stage = 'code'").select("goal_id", retry, F.col("seq").alias("code_seq"), "max_retries", "note", "proposed_fix")
+    review = taken.filter("stage = 'review'").select("goal_id", retry, F.col("seq").alias("review_seq"), "is_approved")
+    both = code.join(review, ["goal_id", "retry_count"], "left")
+    no_fix = F.coalesce("proposed_fix", F.lit("")) == ""
+    to = F.when(no_fix | F.col("review_seq").isNotNull(), next_status(F.lit(False)))
+    judged = both.withColumn("to", to)
+    attempts = Window.partitionBy("goal_id").orderBy("retry_count").rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.coalesce(F.max(F.coalesce(F.col("to") != "coding", F.lit(True))).over(attempts), F.lit(False))
+    live = judged.withColumn("ended", ended).filter("NOT ended")
+    coded = F.struct(F.col("code_seq").alias("seq"), F.lit("coding").alias("from_status"), F.lit("reviewing").alias("to_status"), F.col("note").alias("note"))
+    reviewed = F.when(F.col("to").isNotNull(), F.struct(
+        F.coalesce(F.when(~no_fix, F.col("review_seq")), F.col("code_seq")).alias("seq"), F.lit("reviewing").alias("from_status"), F.col("to").alias("to_status"),
+        F.when(no_fix, F.lit("No fix was generated")).otherwise(transition_note(F.col("to"))).alias("note")))
+    late = live.select("goal_id", "retry_count", F.explode(F.array_compact(F.array(coded, reviewed))).alias("t")).select(
+        "goal_id", "t.seq", "t.from_status", "t.to_status", "t.note", "retry_count")
+    return early.unionByName(late)
+
+
+def run_from_log(steps: DataFrame, goals: DataFrame) -> DataFrame:
+    """FIX-14/18: the goals of a logged run with status, retries, last fix, feedback and
+    issues; a goal whose log stops early stays in the status that it had reached."""
+    moves = transitions_from_log(steps)
+    # Coding is left and entered at the same place when there is no fix: the later status wins.
+    order = F.struct("seq", (F.col("from_status") == "reviewing").alias("late"), "to_status", "retry_count")
+    last = moves.groupBy("goal_id").agg(F.max(order).alias("m"))
+    done = last.select("goal_id", F.col("m.to_status").alias("status"), F.col("m.seq").alias("last_seq"),
+                       (F.col("m.retry_count") + (F.col("m.late") & (F.col("m.to_status") == "coding")).cast("int")).alias("retry_count"))
+    said = steps.join(done, "goal_id").filter("seq <= last_seq").groupBy("goal_id").agg(
+        F.max_by("proposed_fix", F.when(F.col("stage") == "code", F.col("seq"))).alias("proposed_fix"),
+        F.max(F.when(F.col("stage") == "review", F.struct("seq", "feedback", "issues"))).alias("r"))
+    j = goals.join(done, "goal_id", "left").join(said, "goal_id", "left")
+    return j.select("goal_id", "user_goal", "max_retries", F.coalesce("status", F.lit("planning")).alias("status"),
+                    F.coalesce("retry_count", F.lit(0)).cast("int").alias("retry_count"), "proposed_fix",
+                    F.col("r.feedback").alias("feedback"), F.coalesce("r.issues", F.array().cast("array<string>")).alias("issues"))

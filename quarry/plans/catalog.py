@@ -824,24 +824,16 @@ def _docs(spark, sf_dir):
     return spread(load(spark, sf_dir, "documents"))
 
 
-def _sim(spark, sf_dir, terms=None):
+def _text_topk(spark, sf_dir, rank_by):
     q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    d = _docs(spark, sf_dir)
-    return ret.tfidf_cosine(q, d, terms=terms if terms is not None else ret.term_index(d))
+    return ret.text_topk(q, ret.build_text_index(_docs(spark, sf_dir)), 5, rank_by)
 
 
 @register("tfidf_topk", f"""WITH {_TFIDF_CTE}, r AS (SELECT qid, doc_id, round(similarity, 6) AS similarity FROM sim),
 t AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, doc_id) AS INTEGER) AS rank FROM r)
 SELECT qid, doc_id, similarity, rank FROM t WHERE rank <= 5""")
 def tfidf_topk(spark, sf_dir):
-    q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    t = ret.text_topk(q, _docs(spark, sf_dir), 5, rank_by="similarity")
-    if t is not None:
-        return t.select("qid", "doc_id", "similarity", "rank")
-    from pyspark.sql.window import Window   # vocabulary too large to broadcast: join path
-    s = _sim(spark, sf_dir).withColumn("similarity", F.round("similarity", 6))
-    w = Window.partitionBy("qid").orderBy(F.col("similarity").desc(), "doc_id")
-    return s.withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
+    return _text_topk(spark, sf_dir, "similarity").select("qid", "doc_id", "similarity", "rank")
 
 
 @register("hybrid_topk", f"""WITH {_TFIDF_CTE}, {_KW_CTE},
@@ -852,13 +844,15 @@ s AS (SELECT qid, doc_id, round(0.7 * similarity + 0.3 * keyword_score, 6) AS sc
 t AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s)
 SELECT qid, doc_id, score, rank FROM t WHERE rank <= 5""")
 def hybrid_topk_q(spark, sf_dir):
-    q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    d = _docs(spark, sf_dir)
-    t = ret.text_topk(q, d, 5, rank_by="score")
-    if t is not None:
-        return t.select("qid", "doc_id", "score", "rank")
-    sc = ret.text_scores(q, ret.term_index(d), d.count())  # vocabulary too large to broadcast
-    return ret.hybrid_topk(sc).select("qid", "doc_id", "score", "rank")
+    return _text_topk(spark, sf_dir, "score").select("qid", "doc_id", "score", "rank")
+
+
+@register("keyword_topk", f"""WITH {_KW_CTE},
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(keyword_score, 6) DESC, doc_id) AS INTEGER) AS rank FROM kw)
+SELECT qid, doc_id, round(keyword_score, 6) AS keyword_score, rank FROM t WHERE rank <= 5""")
+def keyword_topk_q(spark, sf_dir):
+    """RET-08 as a top-k: no table of all pairs."""
+    return _text_topk(spark, sf_dir, "keyword_score").select("qid", "doc_id", "keyword_score", "rank")
 
 
 _GLOB = "http*://*.example.com/en/*"
@@ -872,14 +866,12 @@ def glob_filter_q(spark, sf_dir):
 @register("retrieve_batch", _vec_sql().replace("SELECT qid, id, distance, 1.0 - distance AS score, rank FROM r WHERE rank <= 5",
           """, top AS (SELECT * FROM r WHERE rank <= 5)
 SELECT q.qid, CAST(count(top.id) AS INTEGER) AS n_context, string_agg(CAST(top.id AS VARCHAR), ',' ORDER BY top.rank) AS ids
-FROM (SELECT DISTINCT vec_id AS qid FROM embeddings) q LEFT JOIN top ON top.qid = q.qid AND top.id IN
-  (SELECT vec_id FROM embeddings WHERE label = 3) GROUP BY q.qid""").replace("WHERE TRUE", "WHERE e.label = 3"))
+FROM (SELECT DISTINCT vec_id AS qid FROM embeddings) q LEFT JOIN top ON top.qid = q.qid GROUP BY q.qid"""))
 def retrieve_batch(spark, sf_dir):
-    """RET-12: top-5 per query collected in rank order; a query whose search
-    found nothing keeps a row with an empty context."""
+    """RET-12: top-5 of the whole index per query, collected in rank order; a query
+    whose search found nothing keeps a row with an empty context."""
     e = _embeddings(spark, sf_dir)
-    hits = ret.vector_topk(e.select(F.col("vec_id").alias("qid"), "embedding"), e, 5, id_col="vec_id",
-                           where=F.col("label") == 3)
+    hits = ret.vector_topk(e.select(F.col("vec_id").alias("qid"), "embedding"), e, 5, id_col="vec_id")
     goals = e.select(F.col("vec_id").alias("qid"))
     r = ret.retrieve(goals, hits, "qid", ("vec_id", "score"))
     return r.select("qid", F.size("context").cast("int").alias("n_context"),
@@ -887,28 +879,28 @@ def retrieve_batch(spark, sf_dir):
                     .alias("ids"))
 
 
-@register("retrieve_fallback", f"""WITH g AS (SELECT item_id AS qid, text AS user_goal, CAST(NULL AS VARCHAR) AS search_query FROM benchmark),
+@register("retrieve_fallback", f"""WITH g AS (SELECT item_id AS qid, text AS user_goal,
+  CASE item_id % 4 WHEN 0 THEN split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) WHEN 1 THEN '' WHEN 2 THEN 'zzqqxx' END AS search_query FROM benchmark),
 qt AS (SELECT DISTINCT qid, unnest(list_filter(regexp_split_to_array(lower(coalesce(nullif(search_query, ''), user_goal)), '{_TOK}'), lambda x: x <> '')) AS term FROM g),
 qn AS (SELECT qid, count(*) AS nq FROM qt GROUP BY qid),
-dt AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '{_TOK}'), lambda x: x <> '')) AS term FROM documents WHERE lang = 'de'),
+dt AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '{_TOK}'), lambda x: x <> '')) AS term FROM documents),
 kw AS (SELECT qt.qid, dt.doc_id, count(*) / max(qn.nq) AS ks FROM qt JOIN dt USING (term) JOIN qn USING (qid) GROUP BY qt.qid, dt.doc_id),
 t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(ks, 6) DESC, doc_id) AS rank FROM kw)
-SELECT g.qid, CAST(count(t.doc_id) AS INTEGER) AS n_context FROM g LEFT JOIN t ON t.qid = g.qid AND t.rank <= 5 GROUP BY g.qid""")
+SELECT g.qid, CAST(count(t.doc_id) AS INTEGER) AS n_context, string_agg(CAST(t.doc_id AS VARCHAR), ',' ORDER BY t.rank) AS ids
+FROM g LEFT JOIN t ON t.qid = g.qid AND t.rank <= 5 GROUP BY g.qid""")
 def retrieve_fallback(spark, sf_dir):
-    """RET-11: a missing plan query falls back to the goal text; goals whose
-    search finds nothing (German documents only) keep an empty context."""
-    g = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("user_goal"),
-                                                 F.lit(None).cast("string").alias("search_query"))
+    """RET-11: the plan's query over the whole index; a missing or empty one falls back
+    to the goal text, and goals whose search finds nothing keep an empty context."""
+    text, n = F.col("text"), F.col("item_id") % 4
+    g = load(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("qid"), text.alias("user_goal"),
+        F.when(n == 0, F.concat_ws(" ", F.split_part(text, F.lit(" "), F.lit(1)), F.split_part(text, F.lit(" "), F.lit(2))))
+        .when(n == 1, F.lit("")).when(n == 2, F.lit("zzqqxx")).alias("search_query"))
     q = g.select("qid", ret.search_query().alias("text"))
-    docs = _docs(spark, sf_dir).filter(F.col("lang") == "de")
-    top = ret.text_topk(q, docs, 5, rank_by="keyword_score")
-    if top is None:                                   # vocabulary beyond the broadcast bound
-        from pyspark.sql.window import Window
-        kw = ret.keyword_score(q, docs).withColumn("keyword_score", F.round("keyword_score", 6))
-        w = Window.partitionBy("qid").orderBy(F.col("keyword_score").desc(), "doc_id")
-        top = kw.withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
+    top = ret.text_topk(q, ret.build_text_index(_docs(spark, sf_dir)), 5, rank_by="keyword_score")
     r = ret.retrieve(g, top, "qid", ("doc_id",))
-    return r.select("qid", F.size("context").cast("int").alias("n_context"))
+    return r.select("qid", F.size("context").cast("int").alias("n_context"),
+                    F.nullif(F.array_join(F.transform("context", lambda x: x["doc_id"].cast("string")), ","), F.lit("")).alias("ids"))
 
 
 # ---------------------------------------------------------------- traces (TRC-*)
@@ -1111,59 +1103,6 @@ def render_prompts(spark, sf_dir):
     return r.select("goal_id", "role", "prompt", "prompt_error")
 
 
-@register("fix_rounds")
-def fix_rounds(spark, sf_dir):
-    """FIX-14/16/17 end to end on the driver tables: goals are labelled documents,
-    the writer's replies are the document texts (not JSON: the raw text is the
-    fix), the first review verdict comes from the label (quality 1 approves),
-    later reviews are missing replies (approved with the parse-failure marker).
-    Rows-only check: the rounds are iterative."""
-    lab = load(spark, sf_dir, "labels")
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    goals = lab.join(docs, "doc_id").select(F.col("doc_id").alias("goal_id"),
-                                             F.concat(F.lit("Review document "), F.col("doc_id").cast("string")).alias("user_goal"),
-                                             F.lit(2).alias("max_retries"))
-    code = lab.join(docs, "doc_id").select(F.col("doc_id").cast("string").alias("prompt_key"), F.lit("code").alias("stage"),
-                                           F.lit(0).alias("attempt"), F.col("text").alias("content"))
-    code = code.unionByName(code.withColumn("attempt", F.lit(1)))
-    review = lab.select(F.col("doc_id").cast("string").alias("prompt_key"), F.lit("review").alias("stage"),
-                        F.lit(0).alias("attempt"),
-                        F.to_json(F.struct((F.col("quality") == 1).alias("is_approved"),
-                                           F.lit("low quality").alias("feedback"),
-                                           F.array(F.concat(F.lit("toxic="), F.col("toxic").cast("string"))).alias("issues"))
-                                  ).alias("content"))
-    rp = wf.replay(code.unionByName(review), store=True)
-    done, tr = wf.run_rounds(goals, lambda d: rp(d, "code"), lambda d: rp(d, "review"))
-    return done.select("goal_id", "status", "retry_count", "feedback")
-
-
-@register("ivf_topk")
-def ivf_topk_q(spark, sf_dir):
-    """RET-14: pruned top-5 over the whole index: k-means cells (sqrt(n)), a
-    fifth of the cells probed (at least 4); every embedding is a query.
-    Approximate by design, so rows-only; recall is in ``ivf_recall``."""
-    import uuid
-    from ..session import checkpoint_dir
-    e = _embeddings(spark, sf_dir)
-    path = f"{checkpoint_dir(spark).rstrip('/')}/ivf_index/{uuid.uuid4().hex}"
-    tagged, cents = ret.ivf_build(e, "vec_id", path=path)
-    q = e.select(F.col("vec_id").alias("qid"), "embedding")
-    probes = max(4, len(cents) // 5)
-    return ret.ivf_topk(q, tagged, cents, 5, probes, id_col="vec_id").withColumnRenamed("vec_id", "id")
-
-
-@register("ivf_recall")
-def ivf_recall(spark, sf_dir):
-    """Recall@5 of the pruned search against the exact one, per label of the
-    query vector (rows-only: it measures an approximation)."""
-    e = _embeddings(spark, sf_dir)
-    exact = vector_topk_q(spark, sf_dir)
-    approx = ivf_topk_q(spark, sf_dir)
-    r = ret.recall_at_k(approx, exact)
-    return r.join(e.select(F.col("vec_id").alias("qid"), "label"), "qid").groupBy("label").agg(
-        F.round(F.avg("recall"), 4).alias("recall_at_5"), F.count(F.lit(1)).alias("queries"))
-
-
 # ---------------------------------------------------------------- review prompts and replies (DET-13/14), records (RET-04)
 
 def _doc_candidates(spark, sf_dir):
@@ -1266,4 +1205,4 @@ def event_rates_stream(spark, sf_dir):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
-from . import report_queries  # noqa: E402,F401  (registers its queries)
+from . import report_queries, workflow_queries  # noqa: E402,F401  (register their queries)

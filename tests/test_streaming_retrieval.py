@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from quarry.operators import retrieval as ret
@@ -69,23 +71,6 @@ def test_upsert_and_stats(spark):
     assert st == {"A": 1, "UNKNOWN": 1, "C": 1}
 
 
-def test_ivf_finds_clustered_neighbours(spark):
-    import numpy as np
-    rng = np.random.default_rng(0)
-    centers = np.eye(8)[:4] * 10
-    rows, qid = [], []
-    for c in range(4):
-        for j in range(25):
-            rows.append((c * 100 + j, (centers[c] + rng.normal(0, 0.1, 8)).astype(float).tolist()))
-    idx = spark.createDataFrame(rows, "id long, embedding array<float>")
-    q = idx.select(F.col("id").alias("qid"), "embedding")
-    tagged, cents = ret.ivf_build(idx, "id", cells=4)
-    approx = ret.ivf_topk(q, tagged, cents, 5, 1)
-    exact = ret.vector_topk(q, idx, 5)
-    rec = ret.recall_at_k(approx, exact).agg(F.avg("recall")).first()[0]
-    assert rec == 1.0
-
-
 def test_vector_topk_exact_across_batches(spark):
     import numpy as np
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -106,31 +91,71 @@ def test_vector_topk_exact_across_batches(spark):
         spark.conf.set(key, old)
 
 
-def test_text_topk_matches_join_path_with_hot_term(spark):
+@pytest.mark.parametrize("block,part,together", [(2048, 1 << 20, 256), (3, 50, 2)])
+def test_vector_grid_of_many_cells_equals_all_pairs(spark, monkeypatch, block, part, together):
+    import numpy as np
+    monkeypatch.setattr(ret, "QUERY_BLOCK", block)
+    monkeypatch.setattr(ret, "PART_ROWS", part)
+    monkeypatch.setattr(ret, "QUERIES_TOGETHER", together)
+    X = np.random.default_rng(8).integers(0, 3, size=(300, 4)).astype(float)
+    rows = [(i, X[i].tolist()) for i in range(300)]
+    idx = spark.createDataFrame(rows + [(900, None)], "id long, embedding array<double>").repartition(5)
+    q = spark.createDataFrame(rows[:20] + rows[:1] + [(800, None)], "qid long, embedding array<double>")
+    got = {(r.qid, r["rank"]): r.id for r in ret.vector_topk(q, idx, 4).collect()}
+    assert len(got) == 80
+    for i in range(20):
+        d = ((X - X[i]) ** 2).sum(1)
+        assert [got[i, r] for r in range(1, 5)] == sorted(range(300), key=lambda j: (d[j], j))[:4]
+    plan = ret.vector_topk(q, idx, 4)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+    none = ret.vector_topk(q.filter("qid < 0"), idx, 4)
+    assert none.count() == 0
+
+
+def _all_scores(docs, queries):
+    """Plain TF-IDF cosine and keyword share of every pair that shares a term."""
+    import math
+    import re
+    from collections import Counter
+    tok = lambda t: re.findall(r"\w+", (t or "").lower())
+    tfs = {d: Counter(tok(t)) for d, t in docs}
+    df = Counter(w for c in tfs.values() for w in c)
+    idf = lambda w: math.log((1 + len(docs)) / (1 + df[w])) + 1
+    out = []
+    for q, t in queries:
+        qtf = Counter(tok(t))
+        qn = math.sqrt(sum((c * idf(w)) ** 2 for w, c in qtf.items()))
+        for d, tf in tfs.items():
+            both = set(tf) & set(qtf)
+            if both:
+                dn = math.sqrt(sum((c * idf(w)) ** 2 for w, c in tf.items()))
+                sim = sum(tf[w] * qtf[w] * idf(w) ** 2 for w in both) / dn / qn
+                kw = len(both) / len(qtf)
+                out.append((q, d, sim, kw, 0.7 * sim + 0.3 * kw))
+    return out
+
+
+@pytest.mark.parametrize("first", [6, 1])
+def test_text_topk_equals_all_pairs_with_hot_terms(spark, monkeypatch, first):
     import random
+    monkeypatch.setattr(ret, "FIRST_TERMS", first)
     rnd = random.Random(1)
-    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta"]
-    docs = spark.createDataFrame([(i, "the " + " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 12))))
-                                  for i in range(120)], "doc_id long, text string")
-    q = spark.createDataFrame([(j, "the " + " ".join(rnd.sample(words, 2))) for j in range(6)], "qid long, text string")
-    for rank_by in ("score", "similarity"):
-        fast = ret.text_topk(q, docs, 5, rank_by=rank_by)
-        sc = ret.text_scores(q, ret.term_index(docs), docs.count())
-        if rank_by == "score":
-            slow = ret.hybrid_topk(sc).select("qid", "doc_id", "rank")
-        else:
-            from pyspark.sql.window import Window
-            s = sc.withColumn("similarity", F.round("similarity", 6))
-            w = Window.partitionBy("qid").orderBy(F.col("similarity").desc(), "doc_id")
-            slow = s.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("qid", "doc_id", "rank")
-        assert sorted(tuple(r) for r in fast.select("qid", "doc_id", "rank").collect()) == \
-            sorted(tuple(r) for r in slow.collect())
-    old = ret.MAX_VOCAB_BROADCAST
-    ret.MAX_VOCAB_BROADCAST = 3
-    try:
-        assert ret.text_topk(q, docs, 5) is None
-    finally:
-        ret.MAX_VOCAB_BROADCAST = old
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta"] + [f"rare{i}" for i in range(200)]
+    docs = [(i, "the of " + " ".join(rnd.choice(words[:8] if rnd.random() < .7 else words) for _ in range(rnd.randint(1, 30)))) for i in range(150)]
+    docs += [(900, None), (901, ""), (902, "the"), (903, docs[3][1])]
+    queries = [(j, "the of " + " ".join(rnd.sample(words, 4))) for j in range(12)] + [(50, "the"), (51, "unknown"), (52, None), (53, "unknown the")]
+    ddf = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    qdf = spark.createDataFrame(queries, "qid long, text string")
+    index = ret.build_text_index(ddf)
+    plain = _all_scores(docs, queries)
+    for at, rank_by in ((2, "similarity"), (3, "keyword_score"), (4, "score")):
+        want = set()
+        for q, _ in queries:
+            best = sorted((r for r in plain if r[0] == q), key=lambda r: (-round(r[at], 6), r[1]))[:5]
+            want |= {(q, r[1], n + 1, round(r[at], 5)) for n, r in enumerate(best)}
+        got = {(r.qid, r.doc_id, r["rank"], round(r[rank_by], 5)) for r in ret.text_topk(qdf, index, 5, rank_by).collect()}
+        assert {x[:3] for x in got} == {x[:3] for x in want}, rank_by
+    assert ret.text_topk(qdf, ret.build_text_index(ddf.filter("doc_id < 0")), 5).count() == 0
 
 
 def test_string_ids_rank_like_whole_numbers(spark):
@@ -144,8 +169,8 @@ def test_string_ids_rank_like_whole_numbers(spark):
     whole = ret.vector_topk(q.withColumnRenamed("n", "q"), df, 4, qid="q", id_col="n").collect()
     text = ret.vector_topk(q.withColumnRenamed("s", "q"), df, 4, qid="q", id_col="s").collect()
     assert {(f"r{r.q}", f"r{r.n}", r.distance, r["rank"]) for r in whole} == {(r.q, r.s, r.distance, r["rank"]) for r in text}
-    whole = ret.text_topk(q.withColumnRenamed("n", "q"), df, 4, qid="q", did="n").collect()
-    text = ret.text_topk(q.withColumnRenamed("s", "q"), df, 4, qid="q", did="s").collect()
+    whole = ret.text_topk(q.withColumnRenamed("n", "q"), ret.build_text_index(df, "n"), 4, qid="q", did="n").collect()
+    text = ret.text_topk(q.withColumnRenamed("s", "q"), ret.build_text_index(df, "s"), 4, qid="q", did="s").collect()
     assert {(f"r{r.q}", f"r{r.n}", r.score, r["rank"]) for r in whole} == {(r.q, r.s, r.score, r["rank"]) for r in text}
 
 

@@ -116,8 +116,8 @@ def test_rounds_reject_then_approve(spark):
     assert res[2].status == "rejected" and res[2].retry_count == 1
     assert res[3].status == "approved" and res[3].proposed_fix == "raw text fix"
     assert res[3].feedback == "Auto-approved (parse error)"
-    reviews = {k: v for k, v in tr.groupBy("goal_id").count().collect()}
-    assert reviews == {1: 2, 2: 2, 3: 1}
+    steps = {(r.goal_id, r.from_status): r["count"] for r in tr.groupBy("goal_id", "from_status").count().collect()}
+    assert steps == {(g, s): n for g, n in ((1, 2), (2, 2), (3, 1)) for s in ("coding", "reviewing")}
 
 
 def test_context_summary_and_retry(spark):
@@ -170,7 +170,8 @@ def test_transition_log_has_stamps(spark):
         "prompt_key string, stage string, attempt int, content string")
     rp = wf.replay(replies)
     done, tr = wf.run_rounds(goals, lambda d: rp(d, "code"), lambda d: rp(d, "review"), stamp="2024-05-01 10:00:00")
-    log = sorted(tr.collect(), key=lambda r: r.ts)
+    log = sorted(tr.filter("from_status = 'reviewing'").collect(), key=lambda r: r.ts)
+    assert tr.filter("from_status = 'coding' AND note = 'Fix generated, confidence: 0.50'").count() == 2
     assert [(str(r.ts), r.to_status, r.note) for r in log] == [
         ("2024-05-01 10:00:00", "coding", "Rejected, preparing retry #1"),
         ("2024-05-01 10:00:01", "rejected", "Max retries (1) exceeded")]

@@ -54,25 +54,38 @@ def chunks_to_entities(chunks: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("signature"), F.array().cast("array<string>").alias("imports"))
 
 
-def merge_intervals(df: DataFrame, key: str, start: str = "start_line", end: str = "end_line",
-                    gap: int = 1, method: str = "auto") -> DataFrame:
-    """ENT-08: merge ranges into islands: a range joins the current block when it
-    starts at most ``gap`` after the furthest end seen so far.
-
-    ``method="ranged"``: range-partitioned scan that stays parallel when one
-    file holds a large share of all ranges (:func:`quarry.operators.scan.islands`).
-    ``method="window"``: running max of earlier ends / new-block flag / running
-    sum with windows partitioned by ``key`` (one sort per file, fewer stages).
-    ``method="auto"`` (default): measure the largest file first (one partial
-    aggregate) and take the window plan only while it is below
-    :data:`quarry.operators.scan.HOT_KEY_ROWS` rows.
-    Output: ``key, block, start_line, end_line`` (ranges inclusive, blocks from 1).
-    """
-    from .scan import HOT_KEY_ROWS, islands, max_group_rows
-    if method == "auto":
-        method = "window" if max_group_rows(df, key) <= HOT_KEY_ROWS else "ranged"
-    if method == "ranged":
-        return islands(df, key, start, end, gap)
+def merge_ranges(starts, ends, gap: int = 1) -> Column:
+    """ENT-08 inside a row: the ranges ``starts[i]..ends[i]`` (arrays, in any order)
+    as islands, ``ARRAY<STRUCT<start_line, end_line>>``: a range joins the block before
+    it when it starts at most ``gap`` after the furthest end so far.
+
+    With starts and ends sorted apart, a block ends behind place ``i`` exactly when
+    ``ends[i] + gap < starts[i + 1]``: only the first ``i + 1`` ranges can end that early.
+    Sorting aside it is linear, and no rows move: a file's ranges are in its own row."""
+    s, e = F.array_sort(starts), F.array_sort(ends)
+    breaks = F.zip_with(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), F.slice(e, 1, F.greatest(F.size(e) - 1, F.lit(0))),
+                        lambda x, y: F.when(y + gap < x, F.struct(x.alias("x"), y.alias("y"))))
+    cut = F.filter(breaks, lambda b: b.isNotNull())
+    firsts = F.concat(F.slice(s, 1, 1), F.transform(cut, lambda b: b["x"]))
+    lasts = F.concat(F.transform(cut, lambda b: b["y"]), F.slice(e, -1, 1))
+    some = F.zip_with(firsts, lasts, lambda x, y: F.struct(x.alias("start_line"), y.alias("end_line")))
+    return F.when(F.size(s) > 0, some).otherwise(F.slice(some, 1, 0))
+
+
+def paragraph_blocks(df: DataFrame, text: str = "content", keep: tuple[str, ...] = ("path",)) -> DataFrame:
+    """Islands of the lines that aren't blank: ``keep, block, start_line, end_line``
+    (blocks from 1), from each file's own row."""
+    lines = F.transform(F.split(F.col(text), "\n", -1), lambda x, i: F.when(py_strip(x) != "", (i + 1).cast("int")))
+    df = df.select(*keep, F.array_compact(lines).alias("_at"))
+    return df.select(*keep, F.posexplode(merge_ranges(F.col("_at"), F.col("_at"))).alias("_n", "_b")).select(
+        *keep, (F.col("_n") + 1).alias("block"), F.col("_b.start_line"), F.col("_b.end_line"))
+
+
+def merge_intervals(df: DataFrame, key: str, start: str = "start_line", end: str = "end_line", gap: int = 1) -> DataFrame:
+    """ENT-08 over a table of ranges: ``key, block, start_line, end_line`` (ranges
+    inclusive, blocks from 1), by a running maximum of the ends before. The ranges of
+    one file are sorted together, with spilling; where they come from a file's text,
+    :func:`merge_ranges` needs no sort over rows at all."""
     w = Window.partitionBy(key).orderBy("_s", "_e")
     prev_max = F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1))
     flagged = df.select(key, F.col(start).alias("_s"), F.col(end).alias("_e")).withColumn(

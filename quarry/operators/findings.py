@@ -222,41 +222,118 @@ def top_listing(df: DataFrame, n: int) -> DataFrame:
                  F.when(is_fixable(), F.lit(" [AUTO-FIXABLE]")).otherwise(F.lit(""))).alias("listing"))
 
 
+#: Descriptions of one automaton.
+TOGETHER = 5000
+
+
 def match_finding(findings: DataFrame, requests: DataFrame) -> DataFrame:
     """FND-20: per request ``(req_id, file_path, description)`` the first finding in
     that file whose message contains the description, case-insensitively.
 
-    Equi-join on the path (hash join), substring test as the residual predicate.
-    """
-    f = findings.select("file_path", "id", "message", "detector_ord", "emit_ord")
-    j = requests.join(f, "file_path").filter(
-        F.contains(F.lower(F.col("message")), F.lower(F.col("description"))))
-    w = Window.partitionBy("req_id").orderBy("detector_ord", "emit_ord", "id")
-    return j.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-
-
-def attach_entity(findings: DataFrame, entities: DataFrame, bucket: int = 128) -> DataFrame:
-    """FND-22: innermost entity whose line range holds the finding.
-
-    Range join made skew-proof: each entity range is spread over the
-    ``bucket``-line buckets it covers and the join key is (path, bucket), so a
-    file holding a third of all rows is split into many small join groups
-    instead of one task testing every finding against every entity. The
-    innermost (smallest span, then latest start) wins per finding.
-    """
-    b = F.lit(bucket)
-    e = entities.select(F.col("file_path").alias("e_path"), F.col("id").alias("entity_id"),
-                        F.col("name").alias("entity_name"), F.col("start_line").alias("e_start"),
-                        F.col("end_line").alias("e_end"))
-    e = e.withColumn("_eb", F.explode(F.sequence(F.floor(F.col("e_start") / b).cast("long"),
-                                                 F.floor(F.col("e_end") / b).cast("long"))))
-    f = findings.withColumn("_fb", F.floor(F.col("line_number") / b).cast("long"))
-    cond = ((f["file_path"] == e["e_path"]) & (f["_fb"] == e["_eb"]) &
-            (f["line_number"] >= e["e_start"]) & (f["line_number"] <= e["e_end"]))
-    j = f.join(e, cond, "left")
-    w = Window.partitionBy("id", "detector_ord", "emit_ord").orderBy(
-        (F.col("e_end") - F.col("e_start")).asc_nulls_last(), F.col("e_start").desc(), F.col("entity_id"))
-    return j.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "e_path", "_fb", "_eb")
+    The distinct descriptions of a file make automata (of ``TOGETHER`` each); a message
+    runs through one once, whatever the number of descriptions. Every task keeps the
+    first finding per description, and Spark the first of these: messages of a file that
+    holds most of the findings are split over tasks (a skewed join), and no pairs leave
+    a task. Null descriptions match nothing, empty ones every message."""
+    low = lambda c: F.lower(F.col(c))
+    asked = requests.select("file_path", low("description").alias("d")).filter("file_path IS NOT NULL AND d IS NOT NULL").distinct()
+    sizes = asked.groupBy("file_path").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("packs"))
+    packs = asked.join(sizes, "file_path").withColumn("pack", F.pmod(F.xxhash64("d"), "packs")).groupBy("file_path", "pack").agg(
+        F.collect_list("d").alias("ds"))
+    said = findings.select("file_path", "id", "message", "detector_ord", "emit_ord").filter("message IS NOT NULL")
+    pairs = said.join(packs, "file_path").select("file_path", "pack", "ds", low("message").alias("m"), "detector_ord", "emit_ord", "id", "message")
+    schema = "file_path string, d string, detector_ord int, emit_ord long, id string, message string"
+    first = pairs.mapInArrow(_first_matches, schema).groupBy("file_path", "d").agg(
+        F.min(F.struct(*(F.coalesce(F.col(c), F.lit(-1)).alias(f"_{c}") for c in ("detector_ord", "emit_ord")),
+                       "detector_ord", "emit_ord", "id", "message")).alias("f"))
+    return requests.join(first.withColumnRenamed("d", "_d"), (requests["file_path"] == first["file_path"]) & (low("description") == F.col("_d"))).select(
+        *(requests[c] for c in requests.columns), "f.id", "f.message", "f.detector_ord", "f.emit_ord")
+
+
+def _first_matches(batches):
+    """The first finding of each (file, description) in this task."""
+    import ahocorasick
+    import pyarrow as pa
+    automata: dict = {}
+    best: dict = {}
+    for b in batches:
+        file, pack, _, m, detector, emit, ids, message = (b.column(c).to_pylist() if c != 2 else None for c in range(8))
+        for r in range(b.num_rows):
+            key = (file[r], pack[r])
+            if key not in automata:
+                if len(automata) > 64:
+                    automata.clear()
+                a = ahocorasick.Automaton()
+                for d in b.column(2)[r].as_py():
+                    a.add_word(d, d) if d else None
+                a.make_automaton()
+                automata[key] = a, any(not d for d in b.column(2)[r].as_py())
+            a, every = automata[key]
+            found = {d for _, d in a.iter(m[r])} if len(a) else set()
+            row = (-1 if detector[r] is None else detector[r], -1 if emit[r] is None else emit[r], ids[r] or "", detector[r], emit[r], ids[r], message[r])
+            for d in found | {""} if every else found:
+                old = best.get((file[r], d))
+                if old is None or row[:3] < old[:3]:
+                    best[file[r], d] = row
+    rows = [(f, d, *row[3:]) for (f, d), row in best.items()]
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string())
+    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)],
+                                     ["file_path", "d", "detector_ord", "emit_ord", "id", "message"])
+
+
+#: Lines of a file that one task sweeps.
+SWEEP_LINES = 1 << 16
+
+
+def attach_entity(findings: DataFrame, entities: DataFrame, lines: int = SWEEP_LINES) -> DataFrame:
+    """FND-22: innermost entity whose line range holds the finding (smallest span, then
+    latest start, then id); null where there is none.
+
+    One sweep: findings and entities of a stretch of ``lines`` lines of a file are
+    sorted together by line, and a heap holds the ranges that are open. An entity moves
+    once for each stretch that it reaches into, as a rule once; a long file is split, and a
+    task holds only its open ranges. Every row of ``findings`` gives one row."""
+    w = F.lit(lines)
+    own = [c for c in findings.columns if c not in ("file_path", "line_number")]
+    f = findings.select(F.col("file_path").alias("_path"), F.floor(F.col("line_number") / w).cast("long").alias("_part"),
+                        F.col("line_number").alias("_line"), F.lit(1).alias("_kind"), F.struct(*own).alias("_f"))
+    start, end = F.col("start_line"), F.col("end_line")
+    e = entities.filter("file_path IS NOT NULL AND start_line <= end_line").select(
+        F.col("file_path").alias("_path"), F.explode(F.sequence(F.floor(start / w).cast("long"), F.floor(end / w).cast("long"))).alias("_part"),
+        start.alias("e_start"), end.alias("e_end"), F.col("id").alias("entity_id"), F.col("name").alias("entity_name"))
+    e = e.withColumns({"_line": F.greatest(F.col("e_start"), F.col("_part") * w).cast("int"), "_kind": F.lit(0)})
+    rows = f.unionByName(e, allowMissingColumns=True)
+    sorted_rows = rows.repartition("_path", "_part").sortWithinPartitions("_path", "_part", "_line", "_kind")
+    order = ["_path", "_part", "_line", "_kind", "_f", "e_start", "e_end", "entity_id", "entity_name"]
+    schema = T.StructType([sorted_rows.schema[c] for c in ("_path", "_line", "_f", "e_start", "e_end", "entity_id", "entity_name")])
+    swept = sorted_rows.select(*order).mapInArrow(_sweep, schema)
+    return swept.select(*(F.col("_path").alias(c) if c == "file_path" else F.col("_line").alias(c) if c == "line_number" else F.col(f"_f.{c}")
+                          for c in findings.columns), "entity_id", "entity_name", "e_start", "e_end")
+
+
+def _sweep(batches):
+    import heapq
+
+    import pyarrow as pa
+    at, heap = None, []
+    for b in batches:
+        path, part, line, kind = (b.column(c).to_pylist() for c in range(4))
+        start, end, ids, names = (b.column(c).to_pylist() for c in range(5, 9))
+        rows, found = [], []
+        for r in range(b.num_rows):
+            if (path[r], part[r]) != at:
+                at, heap = (path[r], part[r]), []
+            if kind[r] == 0:
+                heapq.heappush(heap, (end[r] - start[r], -start[r], ids[r] or "", start[r], end[r], ids[r], names[r]))
+                continue
+            while heap and heap[0][4] < line[r]:
+                heapq.heappop(heap)  # lines ascend: it stays closed
+            rows.append(r)
+            found.append(heap[0][3:] if heap and path[r] is not None else (None,) * 4)
+        if rows:
+            take = pa.array(rows)
+            columns = [b.column(c).take(take) for c in (0, 2, 4)] + [pa.array([x[c] for x in found], b.schema.field(5 + c).type) for c in range(4)]
+            yield pa.RecordBatch.from_arrays(columns, ["_path", "_line", "_f", "e_start", "e_end", "entity_id", "entity_name"])
 
 
 def fix_counters(outcomes: DataFrame) -> DataFrame:

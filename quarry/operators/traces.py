@@ -15,13 +15,38 @@ CALL_SCHEMA = T.StructType([
 ])
 
 
+#: Accuracy parameter of the sketch; its rank error is about 1.33 % at
+#: 200 and falls with the parameter (0.1 % at 4000).
+SKETCH_K = 4000
+
+
 def call_metrics(calls: DataFrame, by: list[str], exact: bool = True) -> DataFrame:
     """TRC-02: calls, tokens (nulls ignored), mean and p95 latency per group.
-    ``exact=False`` uses ``percentile_approx`` (bounded memory per group)."""
-    p95 = (F.percentile("latency_ms", 0.95) if exact else F.percentile_approx("latency_ms", 0.95, 10000))
-    return calls.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("calls"), F.sum("tokens").cast("long").alias("tokens"),
-        F.round(F.avg("latency_ms"), 6).alias("mean_latency_ms"), F.round(p95, 6).alias("p95_latency_ms"))
+
+    ``exact``: latencies are first counted per value, then ranked by a running sum of the
+    counts (between two values p95 is interpolated); a group's values are sorted with
+    spilling and never held as one state. Otherwise p95 comes from a KLL sketch of
+    parameter ``SKETCH_K``: bounded state, the value's rank is off by about 0.1 % of the
+    calls (99 % confidence), and it is one of the latencies."""
+    if not exact:
+        sketch = F.expr("CASE WHEN count(latency_ms) > 0 THEN "  # an empty sketch has no quantiles
+                        f"kll_sketch_get_quantile_double(kll_sketch_agg_double(latency_ms, {SKETCH_K}), 0.95D) END")
+        return calls.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("calls"), F.sum("tokens").cast("long").alias("tokens"),
+            F.round(F.avg("latency_ms"), 6).alias("mean_latency_ms"), F.round(sketch, 6).alias("p95_latency_ms"))
+    values = calls.groupBy(*by, "latency_ms").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"))
+    group = Window.partitionBy(*by)
+    measured = F.when(F.col("latency_ms").isNotNull(), F.col("n"))
+    upto = F.sum(measured).over(group.orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0))
+    at = (F.sum(measured).over(group) - 1) * F.lit(0.95)
+    ranked = values.withColumns({"upto": upto, "at": at})
+    value = lambda place: F.min(F.when(F.col("latency_ms").isNotNull() & (F.col("upto") > place), F.col("latency_ms")))
+    out = ranked.groupBy(*by).agg(
+        F.sum("n").alias("calls"), F.sum("t").cast("long").alias("tokens"),
+        F.round(F.sum(F.col("latency_ms") * F.col("n")) / F.sum(measured), 6).alias("mean_latency_ms"),
+        value(F.floor("at")).alias("_low"), value(F.ceil("at")).alias("_high"), F.first("at").alias("_at"))
+    p95 = F.col("_low") + (F.col("_at") - F.floor("_at")) * (F.col("_high") - F.col("_low"))
+    return out.select(*by, "calls", "tokens", "mean_latency_ms", F.round(p95, 6).alias("p95_latency_ms"))
 
 
 def workflow_metrics(outcomes: DataFrame, by: list[str] | None = None) -> DataFrame:

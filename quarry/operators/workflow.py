@@ -290,25 +290,19 @@ def outcomes_from_log(reviews: DataFrame, goals: DataFrame) -> DataFrame:
 
     ``reviews(goal_id, ts, approved)``; ``goals(goal_id, max_retries)``. The
     first approval within ``max_retries + 1`` reviews wins; a goal with that
-    many rejections first is rejected; otherwise it is still open. Only
-    aggregates (partial on every task, so a goal holding a third of the log is
-    combined map-side), no per-goal sort.
+    many rejections first is rejected; otherwise it is still open. Only a goal's first
+    ``MAX_RETRIES_LIMIT + 1`` reviews can matter: Spark keeps no more of any goal in a
+    task before it shuffles, so the log is read once and a hot goal is no large group.
     """
-    first = reviews.groupBy("goal_id").agg(
-        F.min(F.when(F.col("approved"), F.col("ts"))).alias("first_ok"),
-        F.count(F.lit(1)).alias("n_reviews"))
-    before = reviews.join(first, "goal_id").groupBy("goal_id").agg(
-        F.count_if(F.col("first_ok").isNotNull() & (F.col("ts") < F.col("first_ok"))).alias("n_before"))
-    j = goals.join(first, "goal_id", "left").join(before, "goal_id", "left")
-    budget = F.col("max_retries") + 1
-    ok_at = F.col("n_before") + 1
-    n = F.coalesce(F.col("n_reviews"), F.lit(0))
-    status = (F.when(F.col("first_ok").isNotNull() & (ok_at <= budget), F.lit("approved"))
-              .when(n >= budget, F.lit("rejected")).otherwise(F.lit("open")))
-    retries = (F.when(status == "approved", ok_at - 1).when(status == "rejected", F.col("max_retries"))
+    w = Window.partitionBy("goal_id").orderBy("ts", F.desc("approved"))  # reviews of one moment: the approving first
+    early = reviews.select("goal_id", "ts", "approved").withColumn("at", F.row_number().over(w)).filter(F.col("at") <= MAX_RETRIES_LIMIT + 1)
+    seen = early.groupBy("goal_id").agg(F.min(F.when(F.col("approved"), F.col("at"))).alias("ok_at"), F.count(F.lit(1)).alias("n"))
+    budget, n = F.col("max_retries") + 1, F.coalesce(F.col("n"), F.lit(0))
+    status = (F.when(F.col("ok_at") <= budget, F.lit("approved")).when(n >= budget, F.lit("rejected")).otherwise(F.lit("open")))
+    retries = (F.when(status == "approved", F.col("ok_at") - 1).when(status == "rejected", F.col("max_retries"))
                .otherwise(F.greatest(n - 1, F.lit(0))))
-    return j.select("goal_id", status.alias("final_status"), retries.cast("int").alias("retry_count"),
-                    F.least(n, budget).cast("int").alias("reviews_used"))
+    return goals.join(seen, "goal_id", "left").select(
+        "goal_id", status.alias("final_status"), retries.cast("int").alias("retry_count"), F.least(n, budget).cast("int").alias("reviews_used"))
 
 
 # ---- scoring hook and rounds ------------------------------------------------

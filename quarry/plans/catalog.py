@@ -76,11 +76,8 @@ def doc_entities(spark, sf_dir):
 
 
 def doc_blocks(spark, sf_dir):
-    """Paragraph blocks: non-blank lines merged into islands (ENT-14 -> ENT-08)."""
-    lines = ent.explode_lines(files(spark, sf_dir))
-    iv = lines.filter(ent.py_strip(F.col("line")) != "").select(
-        "path", F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"))
-    return ent.merge_intervals(iv, "path")
+    """Paragraph blocks: non-blank lines merged into islands, in each file's row (ENT-08)."""
+    return ent.paragraph_blocks(files(spark, sf_dir))
 
 
 _WF = f"WITH {O.FILES_CTE}"
@@ -580,15 +577,15 @@ def goals_from_findings_q(spark, sf_dir):
 
 
 def _review_log(spark, sf_dir):
-    """Review log stand-in: purchase = approved review, error = rejected review,
-    one goal per user, reviews in time order."""
-    ev = load(spark, sf_dir, "events").filter(F.col("event_type").isin("purchase", "error"))
+    """Review log stand-in: every event is a review, a purchase an approving one; one
+    goal per user, reviews in time order."""
+    ev = load(spark, sf_dir, "events")
     return ev.select(F.col("user_id").alias("goal_id"), "ts", (F.col("event_type") == "purchase").alias("approved"),
                      "event_id", "event_type", "value", "props")
 
 
 _REVIEWS_CTE = """rv AS (SELECT user_id AS goal_id, ts, event_type = 'purchase' AS approved, event_id, event_type, value, props
-  FROM events WHERE event_type IN ('purchase', 'error'))"""
+  FROM events)"""
 
 
 @register("outcomes_from_log", f"""WITH {_REVIEWS_CTE},
@@ -608,8 +605,8 @@ def outcomes_from_log_q(spark, sf_dir):
 
 def _attempts(spark, sf_dir):
     """Attempt rows: reviews numbered per goal by time (retry_count = number - 1)."""
-    from ..operators.scan import row_number_within
-    r = row_number_within(_review_log(spark, sf_dir), "goal_id", ["ts", "event_id"], "_attempt")
+    from pyspark.sql.window import Window
+    r = _review_log(spark, sf_dir).withColumn("_attempt", F.row_number().over(Window.partitionBy("goal_id").orderBy("ts", "event_id")))
     return r.withColumns({
         "retry_count": (F.col("_attempt") - 1).cast("int"),
         "max_retries": F.lit(3),
@@ -698,54 +695,6 @@ def retry_context_q(spark, sf_dir):
     return _attempts(spark, sf_dir).select("event_id", wf.retry_context().alias("retry_context"))
 
 
-def _dir_context(spark, sf_dir, k: int = 5):
-    """Per directory (goal): its top-k documents by id as the retrieved context,
-    plus the full count. Only k rows per group are collected (WindowGroupLimit)."""
-    from pyspark.sql.window import Window
-    e = ent.add_derived(doc_entities(spark, sf_dir)).withColumn("source", F.split_part("file_path", F.lit("/"), F.lit(1)))
-    e = e.withColumn("doc_key", F.regexp_extract("name", r"doc_(\d+)", 1).cast("long"))
-    w = Window.partitionBy("source").orderBy("doc_key")
-    top = e.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    ctx = top.groupBy("source").agg(F.array_sort(F.collect_list(F.struct(
-        "rank", "qualified_name", "location", "docstring", ent.render_document().alias("document")))).alias("context"))
-    n = e.groupBy("source").agg(F.count(F.lit(1)).alias("n_context"))
-    return ctx.join(n, "source")
-
-
-_DIR_CTX_CTE = f"""{O.FILES_CTE}, {O.DOC_ENTITIES_CTE},
-e AS (SELECT *, split_part(file_path, '/', 1) AS source, CAST(regexp_extract(name, 'doc_([0-9]+)', 1) AS BIGINT) AS doc_key FROM ents),
-r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_key) AS rank FROM e),
-ctx AS (SELECT source, list({{'qualified_name': name, 'location': file_path || ':' || CAST(start_line AS VARCHAR) || '-' || CAST(end_line AS VARCHAR),
-  'docstring': docstring, 'document': {_HEADER_SQL} || chr(10) || chr(10) || '```python' || chr(10) || content || chr(10) || '```'}} ORDER BY rank) AS context
-  FROM r WHERE rank <= 5 GROUP BY source),
-n AS (SELECT source, count(*) AS n_context FROM e GROUP BY source)"""
-
-
-@register("context_summary", f"""WITH {_DIR_CTX_CTE} SELECT ctx.source, 'Retrieved ' || CAST(n.n_context AS VARCHAR) || ' code entities:' || chr(10)
-  || array_to_string(list_transform(context, lambda x, i: '  ' || CAST(i AS VARCHAR) || '. ' || x.qualified_name || ' at ' || x.location
-     || CASE WHEN coalesce(x.docstring, '') <> '' THEN chr(10) || '     Doc: ' || {O.preview('x.docstring', 80)} ELSE '' END), chr(10)) AS summary
-FROM ctx JOIN n USING (source)""")
-def context_summary_q(spark, sf_dir):
-    c = _dir_context(spark, sf_dir)
-    return c.select("source", wf.context_summary("context", "n_context").alias("summary"))
-
-
-@register("context_code", f"""WITH {_DIR_CTX_CTE} SELECT source, array_to_string(list_transform(context, lambda x, i:
-  chr(10) || '--- Original Code Entity ' || CAST(i AS VARCHAR) || ' ---' || chr(10) || x.document || chr(10)), chr(10)) AS code FROM ctx""")
-def context_code_q(spark, sf_dir):
-    c = _dir_context(spark, sf_dir)
-    return c.select("source", wf.context_code("context", "Original Code Entity").alias("code"))
-
-
-@register("fix_context", f"""WITH {_DIR_CTX_CTE} SELECT source, concat_ws(chr(10), '## Relevant Code' || chr(10) || chr(10)
-  || array_to_string(list_transform(context, lambda x: x.document || chr(10) || chr(10) || '---' || chr(10)), chr(10)),
-  '## Proposed Fix' || chr(10) || chr(10) || 'use ' || source) AS fix_context FROM ctx""")
-def fix_context_q(spark, sf_dir):
-    c = _dir_context(spark, sf_dir).withColumn("proposed_fix", F.concat(F.lit("use "), F.col("source"))) \
-        .withColumn("feedback", F.lit(None).cast("string"))
-    return c.select("source", wf.fix_context().alias("fix_context"))
-
-
 # ---------------------------------------------------------------- retrieval (RET-*)
 
 from ..operators import retrieval as ret  # noqa: E402
@@ -855,6 +804,58 @@ def keyword_topk_q(spark, sf_dir):
     return _text_topk(spark, sf_dir, "keyword_score").select("qid", "doc_id", "keyword_score", "rank")
 
 
+# ---------------------------------------------------------------- prompt context (FIX-06 to 08), from a retrieval
+
+def _goal_contexts(spark, sf_dir):
+    """Per benchmark item (goal): its five best documents by the hybrid score as the
+    retrieved context, in rank order; goals that find nothing keep an empty one."""
+    hits = _text_topk(spark, sf_dir, "score").select("qid", "doc_id", "rank")
+    e = ent.add_derived(doc_entities(spark, sf_dir))
+    e = e.select(F.regexp_extract("name", r"doc_(\d+)", 1).cast("long").alias("doc_id"), "qualified_name", "location", "docstring",
+                 ent.render_document().alias("document"))
+    goals = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"))
+    return ret.retrieve(goals, hits.join(e, "doc_id"), "qid", ("qualified_name", "location", "docstring", "document"))
+
+
+_GOAL_CTX_CTE = f"""{O.FILES_CTE}, {O.DOC_ENTITIES_CTE}, {_TFIDF_CTE}, {_KW_CTE},
+hj AS (SELECT coalesce(sim.qid, kw.qid) AS qid, coalesce(sim.doc_id, kw.doc_id) AS doc_id,
+  round(0.7 * coalesce(similarity, 0.0) + 0.3 * coalesce(keyword_score, 0.0), 6) AS score
+  FROM sim FULL OUTER JOIN kw ON sim.qid = kw.qid AND sim.doc_id = kw.doc_id),
+hr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM hj),
+e AS (SELECT *, CAST(regexp_extract(name, 'doc_([0-9]+)', 1) AS BIGINT) AS doc_id FROM ents),
+found AS (SELECT qid, list({{'qualified_name': name, 'location': file_path || ':' || CAST(start_line AS VARCHAR) || '-' || CAST(end_line AS VARCHAR),
+  'docstring': docstring, 'document': {_HEADER_SQL} || chr(10) || chr(10) || '```python' || chr(10) || content || chr(10) || '```'}} ORDER BY rank) AS context
+  FROM hr JOIN e USING (doc_id) WHERE rank <= 5 GROUP BY qid),
+ctx AS (SELECT item_id AS qid, coalesce(context, []) AS context FROM benchmark LEFT JOIN found ON qid = item_id)"""
+
+
+@register("context_summary", f"""WITH {_GOAL_CTX_CTE} SELECT qid, CASE WHEN len(context) = 0 THEN 'No context retrieved yet.' ELSE
+  'Retrieved ' || CAST(len(context) AS VARCHAR) || ' code entities:' || chr(10)
+  || array_to_string(list_transform(context, lambda x, i: '  ' || CAST(i AS VARCHAR) || '. ' || x.qualified_name || ' at ' || x.location
+     || CASE WHEN coalesce(x.docstring, '') <> '' THEN chr(10) || '     Doc: ' || {O.preview('x.docstring', 80)} ELSE '' END), chr(10)) END AS summary FROM ctx""")
+def context_summary_q(spark, sf_dir):
+    return _goal_contexts(spark, sf_dir).select("qid", wf.context_summary("context").alias("summary"))
+
+
+@register("context_code", f"""WITH {_GOAL_CTX_CTE} SELECT qid, CASE WHEN len(context) = 0 THEN 'No code context retrieved.' ELSE
+  array_to_string(list_transform(context, lambda x, i:
+  chr(10) || '--- Original Code Entity ' || CAST(i AS VARCHAR) || ' ---' || chr(10) || x.document || chr(10)), chr(10)) END AS code FROM ctx""")
+def context_code_q(spark, sf_dir):
+    return _goal_contexts(spark, sf_dir).select("qid", wf.context_code("context", "Original Code Entity").alias("code"))
+
+
+@register("fix_context", f"""WITH {_GOAL_CTX_CTE} SELECT qid, concat_ws(chr(10), CASE WHEN len(context) > 0 THEN '## Relevant Code' || chr(10) || chr(10)
+  || array_to_string(list_transform(context, lambda x: x.document || chr(10) || chr(10) || '---' || chr(10)), chr(10)) END,
+  CASE WHEN qid % 3 > 0 THEN '## Proposed Fix' || chr(10) || chr(10) || 'use ' || qid END,
+  CASE WHEN qid % 2 = 0 THEN chr(10) || '## Reviewer Feedback' || chr(10) || chr(10) || 'mind ' || qid END) AS fix_context FROM ctx""")
+def fix_context_q(spark, sf_dir):
+    qid = F.col("qid").cast("string")
+    c = _goal_contexts(spark, sf_dir).withColumns({
+        "proposed_fix": F.when(F.col("qid") % 3 > 0, F.concat(F.lit("use "), qid)),
+        "feedback": F.when(F.col("qid") % 2 == 0, F.concat(F.lit("mind "), qid))})
+    return c.select("qid", wf.fix_context().alias("fix_context"))
+
+
 _GLOB = "http*://*.example.com/en/*"
 
 
@@ -923,6 +924,17 @@ def call_metrics_q(spark, sf_dir):
     return trc.call_metrics(_calls(spark, sf_dir), ["agent"])
 
 
+@register("call_metrics_sketch", """WITH r AS (SELECT event_type AS agent, value, percent_rank() OVER (PARTITION BY event_type ORDER BY value) AS p FROM events)
+SELECT agent, count(*) AS calls, TRUE AS p95_within_half_a_percent FROM r GROUP BY agent""")
+def call_metrics_sketch(spark, sf_dir):
+    """TRC-02 from the sketch: its p95 must lie between the exact 94.5 and 95.5 per cent."""
+    calls = _calls(spark, sf_dir)
+    near = trc.call_metrics(calls, ["agent"], exact=False).select("agent", "calls", F.col("p95_latency_ms").alias("p"))
+    share = calls.join(near.withColumnRenamed("agent", "a"), F.col("agent") == F.col("a")).groupBy("agent", "calls").agg(
+        (F.count_if(F.col("latency_ms") <= F.col("p")) / F.count("latency_ms")).alias("at"))
+    return share.select("agent", "calls", F.col("at").between(0.945, 0.955).alias("p95_within_half_a_percent"))
+
+
 @register("call_metrics_rollup", """SELECT event_type AS agent, CASE WHEN user_id % 2 = 0 THEN 'openai' ELSE 'ollama' END AS provider,
   count(*) AS calls FROM events GROUP BY ROLLUP (event_type, CASE WHEN user_id % 2 = 0 THEN 'openai' ELSE 'ollama' END)""")
 def call_metrics_rollup(spark, sf_dir):

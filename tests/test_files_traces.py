@@ -56,7 +56,7 @@ def test_attach_innermost_entity(spark):
                                  "id string, name string, file_path string, start_line int, end_line int")
     f = fnd.to_findings(spark.createDataFrame([("a.py", 250, "x"), ("a.py", 10, "y"), ("a.py", 500, "z"), ("b.py", 3, "w")],
                                               "file_path string, line_number int, message string"))
-    got = {r.message: r.entity_id for r in fnd.attach_entity(f, ents, bucket=16).collect()}
+    got = {r.message: r.entity_id for r in fnd.attach_entity(f, ents, lines=16).collect()}
     assert got == {"x": "a.py:200:260:m", "y": "a.py:1:400:C", "z": None, "w": "b.py:1:5:g"}
 
 

@@ -381,13 +381,21 @@ class DetectorRegistry:
     def names(self) -> list[str]:
         return [n for n, _ in self._detectors]
 
-    def run(self, files: DataFrame) -> tuple[DataFrame, list[str]]:
+    def run(self, files: DataFrame, stored: bool = False) -> tuple[DataFrame, list[str]]:
+        """Findings of all detectors, and a line for each that failed. A plan may also fail
+        when it runs: with ``stored`` each detector's findings are written to the shared
+        checkpoint folder first, so such a detector is left out too."""
         outs, errors = [], []
         for name, fn in self._detectors:
             try:
-                outs.append(fn(files))
-            except Exception as e:  # noqa: BLE001 - plan-time failure of one detector
-                errors.append(f"{name}: {type(e).__name__}: {e}")
+                found = fn(files)
+                if stored:
+                    from ..session import checkpoint_dir
+                    checkpoint_dir(files.sparkSession)
+                    found = to_findings(found).checkpoint()
+                outs.append(found)
+            except Exception as e:  # noqa: BLE001 - reported, never failing the run
+                errors.append(f"{name}: {type(e).__name__}: {str(e)[:500]}")
         if not outs:
             return files.sparkSession.createDataFrame([], FINDING_SCHEMA), errors
         return union_findings(*outs), errors

@@ -16,7 +16,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -168,6 +168,35 @@ def upsert_index(index: DataFrame, new: DataFrame, id_col: str = "id", order: st
     return index.unionByName(fresh.select(*index.columns))
 
 
+def create_index(spark: SparkSession, name: str, schema: T.StructType, path: str, id_col: str = "id", buckets: int = 64) -> None:
+    """SRC-12/RET-06: an index table at ``path``, bucketed and sorted by id. Creating it
+    again over the same files (in another session) opens it."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (`{id_col}`) SORTED BY (`{id_col}`) "
+              f"INTO {buckets} BUCKETS LOCATION '{path}'")
+
+
+def fresh_records(index: DataFrame, new: DataFrame, id_col: str = "id", order: str | None = None) -> DataFrame:
+    """The rows of ``new`` whose id is not in the bucketed ``index``, the first of each.
+    Only the batch is shuffled, into the index's buckets; stored rows stay where they
+    are, and only their ids are read."""
+    w = Window.partitionBy(id_col).orderBy(F.col(order) if order else F.col(id_col))
+    batch = new.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return batch.join(index.select(id_col), id_col, "left_anti").select(*index.columns)
+
+
+def add_to_index(spark: SparkSession, name: str, new: DataFrame, id_col: str = "id", order: str | None = None) -> None:
+    """RET-06: add ``new`` to the index table ``name`` (:func:`create_index`) by id: an id
+    that is stored, or repeated in the batch, keeps its first row. Adding a batch
+    again adds nothing, so a job that failed can simply be run again; empty input is a
+    no-op. One writer at a time."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)
+    # Stored first: a table can't be read and appended to in one job.
+    fresh_records(spark.table(name), new, id_col, order).checkpoint().write.insertInto(name)
+    spark.catalog.refreshTable(name)
+
+
 # ---- keyword and TF-IDF ----------------------------------------------------
 
 def tokens(text) -> Column:

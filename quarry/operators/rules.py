@@ -144,7 +144,7 @@ _HIT = T.ArrayType(T.StructType([
 ]))
 
 
-def match_lines(text: Column, java_pattern: str) -> Column:
+def match_lines(text: Column, java_pattern: str | Column) -> Column:
     """``ARRAY<STRUCT<line INT, hit STRING>>``: every match with its start line.
 
     Pieces between matches come from ``split`` with the same pattern. Pieces and
@@ -152,9 +152,9 @@ def match_lines(text: Column, java_pattern: str) -> Column:
     each match: the marks on a line of that text are the matches on this line.
     Linear in the text and in the matches.
     """
-    pat = F.lit(java_pattern)
+    pat = F.lit(java_pattern)  # a column stays one
     m = F.regexp_extract_all(text, pat, 0)
-    g = F.split(text, java_pattern, -1)
+    g = F.split(text, pat, -1)
     breaks = lambda x: F.repeat(F.lit("\n"), newline_count(x))
     marked = F.array_join(F.zip_with(F.slice(g, 1, F.size(m)), m,
                                      lambda p, h: F.concat(breaks(p), F.lit("x"), breaks(h))), "")
@@ -197,8 +197,7 @@ def rule_scan(files: DataFrame, rules, path_col: str = "path", text_col: str = "
     passes = []
     for start in range(0, len(rule_list), RULES_PER_PASS):
         chunk = list(enumerate(rule_list))[start:start + RULES_PER_PASS]
-        # letters that only the ignored case makes equal to ASCII ones
-        low = F.lower(F.translate(F.col(text_col), "\u0130\u0131\u017f", "iis"))
+        low = _lowered(text_col)
         per_rule = [F.transform(_gated(match_lines(F.col(text_col), to_java(r.pattern)), low, r.must_contain), _tag(k))
                     for k, r in chunk]
         hits = F.concat(*per_rule) if len(per_rule) > 1 else per_rule[0]
@@ -218,6 +217,56 @@ def rule_scan(files: DataFrame, rules, path_col: str = "path", text_col: str = "
         F.col("line").alias("line_number"), F.col("match_idx").cast("int").alias("match_idx"), "hit")
 
 
+def _lowered(text: str) -> Column:
+    # letters that only the ignored case makes equal to ASCII ones
+    return F.lower(F.translate(F.col(text), "\u0130\u0131\u017f", "iis"))
+
+
+def _candidates(literals: list[tuple[str, int]], always: list[int]):
+    """Per text, the rules of which it holds a literal, by one automaton for all."""
+    def find(batches):
+        import ahocorasick
+        import pyarrow as pa
+        owners: dict[str, list[int]] = {}
+        for word, k in literals:
+            owners.setdefault(word, []).append(k)
+        a = ahocorasick.Automaton()
+        for word, ks in owners.items():
+            a.add_word(word, ks)
+        a.make_automaton()
+        for b in batches:
+            found = [sorted({k for _, ks in a.iter(low) for k in ks} | set(always)) if low is not None else []
+                     for low in b.column(b.num_columns - 1).to_pylist()] if len(a) else [list(always)] * b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.list_(pa.int32()))], [*b.schema.names[:-1], "_rules"])
+
+    return find
+
+
+def rule_scan_many(files: DataFrame, rules, path_col: str = "path", text_col: str = "content",
+                   keep: tuple[str, ...] = ()) -> DataFrame:
+    """DET-02/03 for thousands of rules: the same rows as :func:`rule_scan`.
+
+    One automaton of all literals (``must_contain``) gives each text the rules that can
+    match it in one run over the text; only these are tried, each on a row of its own, so
+    time grows with the texts and the hits and not with the number of rules. Rules
+    without a literal are tried on every text."""
+    rule_list = collect_rules(rules)
+    if not rule_list:
+        raise ValueError("empty rule set")
+    literals = [(m.lower(), k) for k, r in enumerate(rule_list) for m in r.must_contain or () if m]
+    always = [k for k, r in enumerate(rule_list) if not r.must_contain or "" in r.must_contain]
+    src = spread(files).select(F.col(path_col).alias("path"), *keep, F.col(text_col).alias("_text"), _lowered(text_col).alias("_low"))
+    schema = T.StructType([*src.schema.fields[:-1], T.StructField("_rules", T.ArrayType(T.IntegerType()))])
+    tried = src.mapInArrow(_candidates(literals, always), schema).select("path", *keep, "_text", F.explode("_rules").alias("rule_ord"))
+    table = files.sparkSession.createDataFrame(
+        [(k, to_java(r.pattern), r.rule, r.severity.upper(), r.message, r.suggestion) for k, r in enumerate(rule_list)],
+        "rule_ord int, _pattern string, rule string, severity string, message string, suggestion string")
+    # At most MAX_RULES short rows.
+    hits = tried.join(F.broadcast(table), "rule_ord").select("*", F.posexplode(match_lines(F.col("_text"), F.col("_pattern"))).alias("match_idx", "_m"))
+    return hits.select("path", *keep, "rule_ord", "rule", "severity", "message", "suggestion",
+                       F.col("_m.line").alias("line_number"), "match_idx", F.col("_m.hit").alias("hit"))
+
+
 def rule_findings(files: DataFrame, rules, detector_ord: int = 3, **kw) -> DataFrame:
     """Rule matches as ``findings`` rows (source PATTERN_MATCH, code ``pattern-<rule>``)."""
     from .findings import to_findings

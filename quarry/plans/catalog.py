@@ -743,6 +743,23 @@ def upsert_index_q(spark, sf_dir):
     return u.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("vec_id").alias("ids"))
 
 
+@register("index_add", """SELECT label, count(*) AS n, count(DISTINCT vec_id) AS ids, CAST(sum(CASE WHEN label < 5 THEN 1 ELSE 2 END) AS BIGINT) AS batches
+FROM embeddings GROUP BY label""")
+def index_add_q(spark, sf_dir):
+    """RET-06 over a bucketed index: two adds, the second with every stored id again."""
+    import uuid
+    from ..session import checkpoint_dir
+    e = _embeddings(spark, sf_dir).select("vec_id", "label")
+    name, path = f"index_{uuid.uuid4().hex}", f"{checkpoint_dir(spark).rstrip('/')}/index_add/{uuid.uuid4().hex}"
+    first = e.filter("label < 5").withColumn("batch", F.lit(1))
+    ret.create_index(spark, name, first.schema, path, "vec_id", 8)
+    ret.add_to_index(spark, name, first, "vec_id")
+    again = e.withColumn("batch", F.lit(2))
+    ret.add_to_index(spark, name, again.unionByName(again), "vec_id")
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    return spark.read.parquet(path).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("vec_id").alias("ids"), F.sum("batch").alias("batches"))
+
+
 _TOK = r"[^\p{L}\p{N}_]+"
 _KW_CTE = f"""qt AS (SELECT DISTINCT item_id AS qid, unnest(list_filter(regexp_split_to_array(lower(text), '{_TOK}'), lambda x: x <> '')) AS term FROM benchmark),
 qn AS (SELECT qid, count(*) AS nq FROM qt GROUP BY qid),
@@ -1010,16 +1027,6 @@ def file_count_q(spark, sf_dir):
         F.max("files").alias("files"), F.max("files_without_marker").alias("files_without_marker"))
 
 
-# ---------------------------------------------------------------- Python entities (ENT-01, 11) over documents
-
-@register("python_entities")
-def python_entities(spark, sf_dir):
-    """The Arrow parse job over every document; prose does not parse, so each
-    file takes the whole-file fall-back path (ENT-11). Rows-only check."""
-    from ..operators.extract import extract_entities
-    return extract_entities(files(spark, sf_dir)).select("entity_type", "name", "file_path", "start_line", "end_line")
-
-
 # ---------------------------------------------------------------- more keys of SURVEY §7.3
 
 # User rules that replace a default by name and add one (DET-03 / UDF-02).
@@ -1217,4 +1224,4 @@ def event_rates_stream(spark, sf_dir):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
-from . import report_queries, workflow_queries  # noqa: E402,F401  (register their queries)
+from . import report_queries, source_queries, workflow_queries  # noqa: E402,F401  (register their queries)

@@ -40,8 +40,6 @@ from .language import fold_of
 
 #: About the most distinct texts of a class that the classifier is fitted on.
 FIT_TEXTS = 50_000
-#: Features kept, those with the highest weights.
-MOST_FEATURES = 50_000
 #: A feature needs this many toxic texts, this log-odds weight, and this many
 #: standard deviations above chance.
 LEAST_TEXTS, LEAST_WEIGHT, LEAST_SIGMA = 3, 1.5, 5.0
@@ -62,28 +60,43 @@ _SPACED = re.compile(r"(?<!\S)[\w@$!|+](?:[ .\-_*][\w@$!|+]){2,}(?!\S)")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-class CharModel(NamedTuple):
-    """Counts of ``ab`` and ``abc`` by packed bytes; words are framed by blanks."""
+class CharModel:
+    """Counts of ``ab`` and ``abc`` by packed bytes; words are framed by blanks. It
+    travels as two sorted arrays (12 bytes a gram) and is looked up in dicts, which a
+    worker builds once."""
 
-    two: dict[int, int]
-    three: dict[int, int]
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(codes)
+        self.codes, self.counts = codes[order].astype(np.uint32), counts[order].astype(np.int64)
+        self._tables = None
+
+    def __getstate__(self):
+        return self.codes, self.counts
+
+    def __setstate__(self, state):
+        self.codes, self.counts = state
+        self._tables = None
+
+    def tables(self) -> tuple[dict[int, int], dict[int, int]]:
+        if self._tables is None:
+            cut = int(np.searchsorted(self.codes, 1 << 16))
+            two, three = (dict(zip(self.codes[x].tolist(), self.counts[x].tolist())) for x in (slice(cut), slice(cut, None)))
+            two[-1] = sum(n for code, n in two.items() if code & 0xFF == 0x20)
+            self._tables = two, three
+        return self._tables
 
     def cost(self, a: int, b: int, c: int) -> float:
         """-log P(c | a b); ``a`` is -1 at the beginning of a word."""
+        two, three = self._tables or self.tables()
         if a < 0:
-            return -math.log((self.two.get(b | c << 8, 0) + 0.5) / (self.two.get(-1, 0) + 128.0))
-        return -math.log((self.three.get(a | b << 8 | c << 16, 0) + 0.5) / (self.two.get(a | b << 8, 0) + 128.0))
+            return -math.log((two.get(b | c << 8, 0) + 0.5) / (two.get(-1, 0) + 128.0))
+        return -math.log((three.get(a | b << 8 | c << 16, 0) + 0.5) / (two.get(a | b << 8, 0) + 128.0))
 
 
 def char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
     """Counted over all texts; at most as many rows as there are byte trigrams."""
-    counts = count_grams(docs.select(F.lit("").alias("key"), F.lower(text_col).alias("text")), (2, 3))
-    two: dict[int, int] = {}
-    three: dict[int, int] = {}
-    for r in counts.select("code", "n").toLocalIterator():
-        (two if r["code"] < 1 << 16 else three)[r["code"]] = r["n"]
-    two[-1] = sum(n for code, n in two.items() if code & 0xFF == 0x20)
-    return CharModel(two, three)
+    counts = count_grams(docs.select(F.lit("").alias("key"), F.lower(text_col).alias("text")), (2, 3)).select("code", "n").toArrow()
+    return CharModel(counts.column("code").to_numpy(), counts.column("n").to_numpy())
 
 
 def lattice(token: str) -> list[list[tuple[bytes, float]]]:
@@ -162,17 +175,15 @@ def features(word: str) -> tuple[str, ...]:
     return (word, word[:4] + "*", word[:5] + "*") if len(word) > 5 else (word, word[:4] + "*") if len(word) > 4 else (word,)
 
 
-def _texts(rows: DataFrame, model, counted: frozenset | None) -> DataFrame:
-    """``feature, n`` over ``rows(t)``: texts with the feature (of ``counted`` only)."""
-    shared = rows.sparkSession.sparkContext.broadcast((model, counted))
+def _texts(rows: DataFrame, model) -> DataFrame:
+    """``feature, n`` over ``rows(t)``: texts with the feature."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def count(batches):
-        model, counted = shared.value
-        restore, held = Restorer(model), {}
+        restore, held = Restorer(shared.value), {}
         for b in batches:
             for t in b.column(0):
-                found = {f for w in restore.words(t.as_py() or "") for f in features(w)}
-                for f in found if counted is None else found & counted:
+                for f in {f for w in restore.words(t.as_py() or "") for f in features(w)}:
                     held[f] = held.get(f, 0) + 1
             if len(held) > 1 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(list(held.values()))], ["feature", "n"])
@@ -248,17 +259,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     learn = chosen.filter("fold < 2")
     counts = {r["y"]: r["n"] for r in learn.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = counts.get(1, 0), counts.get(0, 0)
-    toxic = {r["feature"]: r["n"] for r in _texts(learn.filter("y = 1"), chars, None).filter(
-        F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "feature").limit(20 * MOST_FEATURES).collect()}
-    clean = {r["feature"]: r["n"] for r in _texts(learn.filter("y = 0"), chars, frozenset(toxic)).collect()}
-    weights = {}
-    for f, pos in toxic.items():
-        neg = clean.get(f, 0)
-        w = math.log((pos + 0.5) / (n_pos + 1)) - math.log((neg + 0.5) / (n_neg + 1))
-        expected = (pos + neg) * n_pos / (n_pos + n_neg)
-        if w >= LEAST_WEIGHT and (pos - expected) >= LEAST_SIGMA * math.sqrt(expected):
-            weights[f] = w
-    weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:MOST_FEATURES])
+    toxic = _texts(learn.filter("y = 1"), chars).filter(F.col("n") >= LEAST_TEXTS).withColumnRenamed("n", "pos")
+    clean = _texts(learn.filter("y = 0"), chars).withColumnRenamed("n", "neg")
+    both = toxic.join(clean, "feature", "left").withColumn("neg", F.coalesce("neg", F.lit(0)))
+    weight = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
+    expected = (F.col("pos") + F.col("neg")) * n_pos / max(1, n_pos + n_neg)
+    # Features of the learning texts, whose number is bounded by ``fit_texts``; none is dropped by rank.
+    telling = both.withColumn("w", weight).filter(
+        (F.col("w") >= LEAST_WEIGHT) & (F.col("pos") - expected >= LEAST_SIGMA * F.sqrt(expected))).select("feature", "w").toArrow()
+    weights = dict(zip(telling.column("feature").to_pylist(), telling.column("w").to_pylist()))
     seen = _evidence(chosen.filter("fold = 3"), chars, weights).collect()
     x, y = np.array([r["x"] for r in seen]).reshape(-1, 5), np.array([r["y"] for r in seen], dtype=float)
     if not len(y) or y.min() == y.max():

@@ -10,7 +10,7 @@ from quarry.llm import language as L
 from quarry.llm import toxicity as T
 
 
-def plain_grams(text):
+def packed_grams(text):
     b = bytes([32, *G.FOLD[np.frombuffer(text.encode(), np.uint8)].tolist(), 32])
     out = Counter()
     for n in L.SIZES:
@@ -26,7 +26,7 @@ def test_grams_equal_plain_counts(monkeypatch):
     for piece in (1 << 20, 37):
         monkeypatch.setattr(G, "PIECE", piece)
         codes, n = G.grams(np.frombuffer(text.encode(), np.uint8), L.SIZES)
-        assert dict(zip(codes.tolist(), n.tolist())) == dict(plain_grams(text))
+        assert dict(zip(codes.tolist(), n.tolist())) == dict(packed_grams(text))
 
 
 def test_predictions(spark, tmp_path):
@@ -49,9 +49,7 @@ def model_of(words):
         for n in (2, 3):
             for k in range(len(b) - n + 1):
                 counts[int.from_bytes(b[k:k + n], "little")] += 50
-    two = {c: n for c, n in counts.items() if c < 1 << 16}
-    two[-1] = sum(n for c, n in two.items() if c & 255 == 32)
-    return T.CharModel(two, {c: n for c, n in counts.items() if c >= 1 << 16})
+    return T.CharModel(np.array(list(counts)), np.array(list(counts.values())))
 
 
 def test_restoration():
@@ -99,8 +97,8 @@ def test_decoding_is_exact():
             counts[ord(a) | ord(b) << 8] = int(rng.choice([10, 5000]))
             for c in letters + " ":
                 counts[ord(a) | ord(b) << 8 | ord(c) << 16] = int(rng.choice([0, 0, 0, 5000]))
-    model = T.CharModel({c: n for c, n in counts.items() if c < 1 << 16} | {-1: 3000},
-                        {c: n for c, n in counts.items() if c >= 1 << 16})
+    model = T.CharModel(np.array(list(counts)), np.array(list(counts.values())))
+    model.tables()[0][-1] = 3000
 
     def cost_of(token, text):
         return min(c for c, t in every(token) if t == text)
@@ -117,3 +115,107 @@ def test_decoding_is_exact():
     for t in tokens:
         best, _ = min(every(t))
         assert abs(cost_of(t, T.decode(t, model).encode()) - best) < 1e-9
+
+
+def plain_profiles(rows):
+    """Language -> n-grams (bytes), most frequent first, then by packed code."""
+    found = {}
+    for _, text, lang in rows:
+        if lang is not None:
+            found.setdefault(lang, Counter()).update(plain_grams(text))
+    return {k: ordered(c) for k, c in sorted(found.items())}
+
+
+def plain_grams(text):
+    b = b" " + bytes(x if 97 <= x < 123 or x >= 128 else 32 for x in (text or "").lower().encode()) + b" "
+    out = Counter()
+    for n in (1, 2, 3, 4):
+        for k in range(len(b) - n + 1):
+            g = b[k:k + n]
+            if (g != b" " if n == 1 else b" " not in g[1:-1] and g != b"  "):
+                out[g] += 1
+    return out
+
+
+def ordered(counts):
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], int.from_bytes(x[0], "little")))][:L.PROFILE]
+
+
+def test_language_equals_a_plain_rank_order_comparison(spark, tmp_path):
+    import zlib
+    rng = np.random.default_rng(11)
+    syllables = {"de": ["ich", "und", "schü", "ver"], "en": ["the", "ing", "and", "wh"], "fr": ["que", "é", "ou", "le"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(syllables[lang] + ["ta"], 2)) for _ in range(n)) + rng.choice([".", " 1!", ""])
+    rows = [(k, text(lang, int(rng.integers(1, 60))), lang) for k in range(90) for lang in [rng.choice(list(syllables))]]
+    rows += [(500, None, "en"), (501, " \t12", "de"), (502, "zzz", None), (503, "É " * 3000, "fr"), (504, "", None), (505, "the", None), rows[4]]
+    fields = "doc_id long, text string, lang string"
+    spark.createDataFrame(rows, fields).selectExpr("*", "'x' AS t", "1 AS letters", "'y' AS lang_pred", "0 AS code").write.parquet(f"{tmp_path}/documents.parquet")
+    profiles = plain_profiles([r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2])
+    want = []
+    for i, t, _ in rows:
+        if t is None or not any(ch.isalpha() for ch in t):
+            want.append((i, "und", 0.0))
+            continue
+        own, far = ordered(plain_grams(t)), []
+        for k, (lang, p) in enumerate(profiles.items()):
+            place = {g: n for n, g in enumerate(p)}
+            far.append((sum(abs(place[g] - n) if g in place else L.PROFILE for n, g in enumerate(own)), k, lang))
+        far.sort()
+        want.append((i, far[0][2], far[1][0] / (far[0][0] + far[1][0]) if far[0][0] + far[1][0] else 0.5))
+    got = L.op3_language(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in got) == sorted((i, p, round(s, 9)) for i, p, s in want)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+
+
+def test_classifier_equals_a_plain_version(spark, tmp_path, monkeypatch):
+    """Counts, weights, regression and score without Spark, from the same definitions."""
+    import math
+    import zlib
+    monkeypatch.setattr(T, "LEAST_SIGMA", 1.0)
+    rng = np.random.default_rng(5)
+    words = ["garden", "house", "river", "letter", "winter", "summer", "table", "window", "h0use", "stone"]
+    bad = ["vilest", "v1lest", "scumbag", "garden"]
+    rows = [(k, " ".join(rng.choice(words, 8)) + " " + " ".join(rng.choice(bad if k % 3 == 0 else words, 2)) + f" n{k}") for k in range(240)]
+    rows += [(900, None), (901, ""), (902, "vilest " * 3000), (903, rows[0][1])]
+    labels = [(k, int(k % 3 == 0)) for k in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.selectExpr("*", "'x' AS y", "0 AS score", "1 AS i").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    grams = Counter()
+    for _, t in rows:
+        for w in "".join(ch if "a" <= ch <= "z" or ord(ch) > 127 else " " for ch in (t or "").lower()).split():
+            b = f" {w} ".encode()
+            for n in (2, 3):
+                grams.update(int.from_bytes(b[k:k + n], "little") for k in range(len(b) - n + 1))
+    model = T.CharModel(np.array(list(grams)), np.array(list(grams.values())))
+    restore = T.Restorer(model)
+    feats = lambda t: {f for w in restore.words(t or "") for f in T.features(w)}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    text = dict(rows)
+    learn = [(text[i], y) for i, y in labels if fold(i) < 2]
+    n = [sum(y == c for _, y in learn) for c in (0, 1)]
+    count = [Counter(f for t, y in learn if y == c for f in feats(t)) for c in (0, 1)]
+    weights = {}
+    for f, pos in count[1].items():
+        neg = count[0][f]
+        w = math.log((pos + 0.5) / (n[1] + 1)) - math.log((neg + 0.5) / (n[0] + 1))
+        expected = (pos + neg) * n[1] / sum(n)
+        if pos >= T.LEAST_TEXTS and w >= T.LEAST_WEIGHT and pos - expected >= math.sqrt(expected):
+            weights[f] = w
+    assert weights
+    row = lambda t: T.evidence(restore.words(t or ""), weights)
+    x = np.array([row(text[i]) for i, _ in labels if fold(i) == 3])
+    y = np.array([y for i, y in labels if fold(i) == 3], dtype=float)
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    coef = np.zeros(6)
+    z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
+    ridge = np.diag([1e-6] + [1.0] * 5)
+    for _ in range(2000):  # plain gradient steps scaled by a bound of the curvature
+        p = 1 / (1 + np.exp(-z @ coef))
+        coef += np.linalg.solve(z.T @ z / 4 + ridge, z.T @ (y - p) - ridge @ coef)
+    want = {i: 1 / (1 + math.exp(-(coef[0] + ((np.array(row(t)) - mean) / scale) @ coef[1:]))) for i, t in rows}
+    got = {r.doc_id: r for r in T.op7_toxicity(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    assert all(abs(got[i].score - s) < 1e-6 for i, s in want.items())
+    assert all(r.predicted == int(r.score >= 0.3) and r.held_out == (fold(i) == 2) for i, r in got.items())

@@ -79,3 +79,16 @@ def test_redact_keeps_columns(spark):
 @pytest.mark.parametrize("digits,ok", [("4111111111111111", True), ("4111111111111112", False)])
 def test_luhn(digits, ok):
     assert pii.luhn(digits) is ok
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    from quarry.llm import pii
+    anchors = pii._automaton()
+    for piece in ("1://", "a://", "a://.", "@", "a@", "+1", "+1(", "1.", "1 ", "a@b.", "AB12", "account 1", "://x "):
+        text = piece * (1_000_000 // len(piece))
+        start = time.time()
+        found = pii.spans_of(text, anchors)
+        assert time.time() - start < 20, piece
+        assert all(s < e <= len(text) for s, _, e in found)

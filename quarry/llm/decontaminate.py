@@ -14,13 +14,15 @@ over the stored index.
 Defined results: null text has no words; an empty table gives an empty result;
 repeated rows are separate documents, each with a row of its own; a null
 ``item_id`` counts as the item id ``''``; repeated items count once. Documents
-keep their (possibly null or repeated) ``doc_id``. Other columns are not read.
+keep their (possibly null or repeated) ``doc_id``; a very long text is one document of
+its block, cut into words in pieces of bounded size. Other columns, whatever their
+names, are not read (:func:`keep_clean` passes them on).
 Terms are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 from typing import NamedTuple
 
 import numpy as np
@@ -62,56 +64,52 @@ class Phrases(NamedTuple):
     items: list[list[str]]
 
 
-def phrase_blocks(items: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text",
-                  per_pass: int = PHRASES_PER_PASS) -> Iterator[Phrases]:
-    """Phrases of ``window`` words of every item (a shorter item is one phrase)."""
-    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"),
-                        F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    found: dict[tuple, set[str]] = {}
-    for r in rows.toLocalIterator():
-        data, offsets = W.utf8(pa.array([r["t"]]))
-        h = W.words_of(data, offsets, W.ALNUM, W.FOLDED).hash
-        for k in range(max(1, len(h) - window + 1) if len(h) else 0):
-            found.setdefault(tuple(h[k:k + window].tolist()), set()).add(r["i"])
-        if len(found) >= per_pass:
-            yield _phrases(found, window)
-            found = {}
-    if found:
-        yield _phrases(found, window)
-
-
-def _phrases(found: dict[tuple, set[str]], window: int) -> Phrases:
-    length = np.array([len(p) for p in found], dtype=np.int64)
-    flat = np.array([h for p in found for h in p], dtype=np.uint64)
-    vocabulary, place = np.unique(flat, return_inverse=True)
+def phrase_table(items: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """``phrase, items``: the distinct phrases of ``window`` words (a shorter item is one
+    phrase) as the hashes of their words, and the sorted ids of their items."""
+    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t"))
+
+    def cut(batches):
+        for b in batches:
+            data, offsets = W.utf8(b.column(1))
+            for lo, hi in W.groups(offsets):
+                w = W.words_of(data, offsets[lo:hi + 1], W.ALNUM, W.FOLDED)
+                for d in np.flatnonzero(np.diff(w.first)).tolist():
+                    h = w.hash[w.first[d]:w.first[d + 1]]
+                    runs = np.lib.stride_tricks.sliding_window_view(h, min(window, len(h)))
+                    flat, size = np.ascontiguousarray(runs).tobytes(), 8 * runs.shape[1]
+                    found = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(runs), [None, pa.py_buffer(flat)]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([found, pa.repeat(b.column(0)[lo + d], len(runs))], ["phrase", "i"])
+
+    return rows.mapInArrow(cut, "phrase binary, i string").groupBy("phrase").agg(F.array_sort(F.collect_set("i")).alias("items"))
+
+
+def phrases_of(rows: DataFrame, window: int) -> Phrases:
+    """A block of :func:`phrase_table`, collected."""
+    t = rows.select("phrase", "items").toArrow()
+    found = t.column("phrase").to_pylist()
+    length = np.array([len(p) // 8 for p in found], dtype=np.int64)
+    vocabulary, place = np.unique(np.frombuffer(b"".join(found), dtype=np.uint64), return_inverse=True)
     term = np.full((len(found), window), -1, dtype=np.int64)
     row = np.repeat(np.arange(len(found)), length)
-    term[row, np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)] = place
-    return Phrases(vocabulary, term, length, [sorted(s) for s in found.values()])
-
+    term[row, np.arange(len(place)) - np.repeat(np.cumsum(length) - length, length)] = place
+    return Phrases(vocabulary, term, length, t.column("items").to_pylist())
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                vocabulary: np.ndarray | None = None) -> DataFrame:
-    """One row per block of documents with the postings of its terms (of all
-    terms, or of the sorted term hashes ``vocabulary`` only)."""
-    wanted = docs.sparkSession.sparkContext.broadcast(vocabulary) if vocabulary is not None else None
 
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per block of documents with the postings of all its terms."""
     def postings(batches):
         part, n = TaskContext.get().partitionId(), 0
         for b in batches:
             data, offsets = W.utf8(b.column(1))
             for lo, hi in W.groups(offsets, BLOCK_BYTES):
                 w = W.words_of(data, offsets[lo:hi + 1], W.ALNUM, W.FOLDED)
-                at = np.arange(len(w.hash)) + w.doc * GAP
-                h = w.hash
-                if wanted is not None:
-                    keep = _places(wanted.value, h) >= 0
-                    h, at = h[keep], at[keep]
+                at, h = np.arange(len(w.hash)) + w.doc * GAP, w.hash
                 order = np.argsort(h, kind="stable")
                 terms, first = np.unique(h[order], return_index=True)
                 yield batch(_INDEX, [part << 32 | n], [b.column(0).slice(lo, hi - lo).to_pylist()],
                             [np.diff(w.first)], [terms.tobytes()],
-                            [np.append(first, len(h)).astype(np.int64).tobytes()],
+                            [np.append(first, len(h)).astype(np.uint32).tobytes()],
                             [at[order].astype(np.uint32).tobytes()])
                 n += 1
 
@@ -133,8 +131,8 @@ def _blocks(batches):
         for k in range(b.num_rows):
             block, ids, n = (b.column(c)[k].as_py() for c in range(3))
             terms, bounds, at = (np.frombuffer(b.column(c)[k].as_buffer(), dtype=t)
-                                 for c, t in ((3, np.uint64), (4, np.int64), (5, np.uint32)))
-            yield block, ids, np.array(n, dtype=np.int64), terms, bounds, at
+                                 for c, t in ((3, np.uint64), (4, np.uint32), (5, np.uint32)))
+            yield block, ids, np.array(n, dtype=np.int64), terms, bounds.astype(np.int64), at
 
 
 def term_counts(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
@@ -233,15 +231,17 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, slop: int
                   per_pass: int = PHRASES_PER_PASS) -> DataFrame:
     """``doc_id, n_words, n_hit, items`` (ids of the items found, sorted), ``spans``
     (word ranges found), one row per row of ``docs``."""
-    passes = list(phrase_blocks(items, window, item_col, text_col, per_pass))
-    if not passes:
-        passes = [_phrases({}, window)]
-    vocabulary = np.unique(np.concatenate([p.vocabulary for p in passes]))
-    index = stored(build_index(docs, id_col, text_col, vocabulary))
-    hits = search(index, passes[0], slop)
-    for p in passes[1:]:
-        hits = hits.unionByName(search(index, p, slop))
-    if len(passes) > 1:
+    asked = stored(phrase_table(items, window, item_col, text_col))
+    blocks = max(1, math.ceil(asked.count() / per_pass))
+    index = stored(build_index(docs, id_col, text_col))
+    if blocks == 1:
+        hits = search(index, phrases_of(asked, window), slop)
+    else:
+        # A block of phrases after the other: one is on the driver and broadcast at a time.
+        in_block = F.pmod(F.xxhash64("phrase"), F.lit(blocks))
+        hits = search(index, phrases_of(asked.limit(0), window), slop)
+        for k in range(blocks):
+            hits = hits.unionByName(stored(search(index, phrases_of(asked.filter(in_block == k), window), slop).filter(F.size("items") > 0)))
         hits = hits.groupBy("block", "row", "doc_id", "n_words").agg(
             F.flatten(F.collect_list("spans")).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))

@@ -20,24 +20,29 @@ class, and tables hold distinct fingerprints.
 
 Defined results: null text is empty; repeated ids are ordered by text hash, and
 identical rows by nothing (they are interchangeable); null ids come last; a
-single document is its own next document; an empty table gives an empty result.
+single document is its own next document; an empty table gives an empty result; a
+very long text is voted on in chunks of words; other columns, whatever their names,
+are not read.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import order_id
+from .common import order_id, stored
 
 #: CHUNK x MOST_WEIGHT votes must fit into 15 bits, so that the upper lane's sum
 #: stays a positive BIGINT.
 CHUNK, MOST_WEIGHT = 2048, 15
 LANE = 0x0001000100010001
-#: Documents of one range of ids, about.
-RANGE_ROWS, MOST_RANGES = 4096, 4096
+#: Documents and text bytes of one range of ids, about, and the cuts made at once.
+RANGE_ROWS, RANGE_BYTES, MOST_CUTS = 4096, 32 << 20, 4096
+#: Bits in which a neighbour's fingerprint may differ.
+RADIUS = 3
 
 
 def _votes(word_hash: str, weight: str, name: str) -> list[Column]:
@@ -79,22 +84,26 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     The ids are cut into ranges at approximate quantiles and each range is ordered
     by itself; the first document of a range also stands at the end of the range
-    before."""
+    before. The number of ranges follows the rows and the bytes: beyond ``MOST_CUTS``, each
+    range is cut again. What is broadcast is a few numbers a range."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), order_id(id_col).alias("k"), text.alias("text"))
-    ranges = min(max(1, rows.count() // RANGE_ROWS), MOST_RANGES)
-    asked = [i / ranges for i in range(1, ranges)] or [0.5]
-    cuts = sorted(set(rows.agg(F.percentile_approx("k", asked, 10_000).alias("q")).first()["q"] or []))
-    placed = rows.withColumn("u", F.xxhash64("text")).withColumn("range", _cell("k", cuts if ranges > 1 else []))
-    firsts = {r["range"]: r["k"] for r in placed.groupBy("range").agg(F.min("k").alias("k")).collect()}
-    order = sorted(firsts) or [0]
-    before = {r: order[i - 1] for i, r in enumerate(order)}
-
-    def listed(values: dict) -> Column:
-        return F.get(F.array(*[F.lit(values.get(r)).cast("bigint") for r in range(order[-1] + 1)]), F.col("range"))
-
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+    wanted = max(1, size["n"] // RANGE_ROWS, (size["b"] or 0) // RANGE_BYTES)
+    coarse = min(wanted, MOST_CUTS)
+    fine = math.ceil(wanted / coarse)
+    cuts = rows.agg(F.percentile_approx("k", [i / coarse for i in range(1, coarse)] or [0.5], 10_000).alias("q")).first()["q"]
+    placed = rows.withColumn("u", F.xxhash64("text")).withColumn("range", _cell("k", sorted(set(cuts or [])) if coarse > 1 else []))
+    if fine > 1:
+        inner = stored(placed.groupBy("range").agg(
+            F.array_distinct(F.percentile_approx("k", [i / fine for i in range(1, fine)], 10_000)).alias("inner")))
+        placed = placed.join(F.broadcast(inner), "range").withColumn(
+            "range", F.col("range") * fine + F.size(F.filter("inner", lambda c: c <= F.col("k")))).drop("inner")
+    firsts = stored(placed.groupBy("range").agg(F.min("k").alias("first")))
+    before = F.coalesce(F.lag("range").over(Window.orderBy("range")), F.lit(firsts.agg(F.max("range").alias("r")).first()["r"]))
     # Rows with a range's smallest id (one, unless ids repeat) also end the range before.
-    ends = placed.filter(F.col("k") == listed(firsts)).withColumn("range", listed(before).cast("int"))
+    ends = placed.join(F.broadcast(firsts.withColumn("before", before)), "range").filter(F.col("k") == F.col("first")).withColumn(
+        "range", F.col("before")).drop("first", "before")
     both = placed.withColumn("last", F.lit(0)).unionByName(ends.withColumn("last", F.lit(1)))
     w = Window.partitionBy("range").orderBy("last", "k", "u")
     following = [F.lead(c).over(w).alias(f"next_{c}") for c in ("text", "k", "u")]
@@ -147,7 +156,8 @@ def within_radius(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks
 
     def tables(df: DataFrame) -> DataFrame:
         cut = [F.substring("bits", edge[i] + 1, edge[i + 1] - edge[i]) for i in range(blocks)]
-        keyed = [F.struct(F.lit(t).alias("table"), F.concat(*[cut[i] for i in chosen]).alias("lead"))
+        # The leading bits by their hash: what agrees by chance falls out by its distance.
+        keyed = [F.struct(F.lit(t).alias("table"), F.xxhash64(*[cut[i] for i in chosen]).alias("lead"))
                  for t, chosen in enumerate(combinations(range(blocks), blocks - radius))]
         return df.select("hi", "lo").distinct().withColumn("bits", bits).select(
             "hi", "lo", F.explode(F.array(*keyed)).alias("x")).select("hi", "lo", "x.table", "x.lead")
@@ -158,12 +168,24 @@ def within_radius(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks
     return near.filter(F.col("distance") <= radius).select("query_hi", "query_lo", "hi", "lo", "distance").distinct()
 
 
+def with_neighbours(rows: DataFrame, asked: Column, radius: int = RADIUS, blocks: int = 6) -> DataFrame:
+    """The stored ``rows(hi, lo, ...)`` with ``n_near``: for rows that are ``asked``, the number
+    of other distinct fingerprints of all rows within the radius; null for the others."""
+    queries = rows.filter(asked).select("hi", "lo").distinct()
+    found = within_radius(rows.select("hi", "lo"), queries, radius, blocks).groupBy("query_hi", "query_lo").agg(
+        F.count_if(F.col("distance") > 0).alias("n_near"))
+    counts = stored(found).select(F.col("query_hi").alias("hi"), F.col("query_lo").alias("lo"), "n_near")
+    near = rows.filter(asked).join(counts, ["hi", "lo"])
+    rest = rows.filter(~F.coalesce(asked, F.lit(False))).withColumn("n_near", F.lit(None).cast("bigint"))
+    return near.unionByName(rest)
+
+
 def op5_fingerprint(spark, sf_dir):
     from .common import load
-    rows = neighbour_fingerprints(load(spark, sf_dir, "documents"))
+    rows = with_neighbours(stored(neighbour_fingerprints(load(spark, sf_dir, "documents"))), F.col("id") % 20 == 0)
     likeness = lambda hi, lo: 1 - hamming("hi", "lo", hi, lo) / F.lit(128.0)
     return rows.select(
         F.col("id").alias("doc_id"), "n_chars", "edited_sha256", as_text("hi", "lo").alias("fingerprint"),
         as_text("e_hi", "e_lo").alias("edited_fingerprint"), likeness("e_hi", "e_lo").alias("near_edited"),
-        likeness("n_hi", "n_lo").alias("near_next"))
+        likeness("n_hi", "n_lo").alias("near_next"), "n_near")
 

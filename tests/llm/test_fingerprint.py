@@ -4,6 +4,7 @@ import random
 import re
 import struct
 
+import pytest
 import xxhash
 
 from quarry.llm import fingerprint as fp
@@ -34,22 +35,27 @@ def run(spark, rows, tmp_path):
 def expect(rows):
     texts = sorted(rows, key=lambda r: ((1 << 63) - 1 if r[0] is None else r[0],
                                         struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest((r[1] or "").encode(), seed=42)))[0]))
-    out = []
+    out, every = [], {plain(t or "") for _, t, _ in rows}
     for i, (d, t, _) in enumerate(texts):
         t, n = t or "", texts[(i + 1) % len(texts)][1] or ""
         half = len(t) // 2
         e = t[:len(t) - half] + n[:half]
+        near = None if d is None or d % 20 else sum(0 < (x ^ plain(t)).bit_count() <= fp.RADIUS for x in every)
         out.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), f"{plain(t):032x}", f"{plain(e):032x}",
-                    likeness(plain(t), plain(e)), likeness(plain(t), plain(n))))
+                    likeness(plain(t), plain(e)), likeness(plain(t), plain(n)), near))
     return sorted(out, key=str)
 
 
-def test_query_equals_plain(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("most", [4096, 3])
+def test_query_equals_plain(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(fp, "MOST_CUTS", most)  # 3: each range is cut again
     rng = random.Random(2)
     rows = [(k * 7, " ".join(rng.choice(["the", "é", "lorem", "x\ny", "Zug", "abc%d" % rng.randrange(40)])
                              for _ in range(rng.randrange(40))), 1) for k in range(120)]
     rows += [(3, None, 1), (None, "a b", 1), (5, "same", 1), (5, "same", 1), (5, "same", 1), (9, "", 1),
              (11, "long word " * 30000, 1), (12, "   ", 1), (13, "𝔘𝔫𝔦 " * 5, 1)]
+    long = " ".join(f"word{k}" for k in range(400))
+    rows += [(2000 + 10 * k, long + " extra" * k, 1) for k in range(6)]  # neighbours of each other
     monkeypatch.setattr(fp, "RANGE_ROWS", 10)
     assert run(spark, rows, tmp_path) == expect(rows)
 

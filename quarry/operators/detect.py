@@ -80,15 +80,17 @@ REVIEW_TEMPLATE = ("Review this function for bugs.\n\nFunction: {qualified_name}
                    "```python\n{content}\n```\n\nImports of the file:\n{imports}\n")
 
 
-def review_prompts(candidates, files, template: str = REVIEW_TEMPLATE):
-    """DET-13: one prompt per review candidate: the entity joined to its file on
-    the path (hash join) for the file's first import lines (DET-12)."""
-    from .entities import add_derived
-    f = files.select(F.col("path").alias("file_path"), import_lines("content").alias("imports"))
+def review_prompts(candidates, files=None, template: str = REVIEW_TEMPLATE):
+    """DET-13: one prompt per review candidate, with the first import lines of its file
+    (DET-12): those that the row itself carries as ``import_lines``, taken where the
+    file's text was at hand; only candidates without that column are joined to ``files``."""
     from ..functions.text import fill_template
-    e = add_derived(candidates).join(f, "file_path", "left")
-    return e.withColumn("prompt", fill_template(template, {n: n for n in ("qualified_name", "location", "content",
-                                                                          "imports")}))
+    from .entities import add_derived
+    e = add_derived(candidates)
+    if "import_lines" not in e.columns:
+        e = e.join(files.select(F.col("path").alias("file_path"), import_lines("content").alias("import_lines")), "file_path", "left")
+    return e.withColumn("prompt", fill_template(template, {
+        "qualified_name": "qualified_name", "location": "location", "content": "content", "imports": "import_lines"}))
 
 
 # --- fixed values: review reply defaults

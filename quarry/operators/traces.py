@@ -8,13 +8,21 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 CALL_SCHEMA = T.StructType([
-    T.StructField("call_id", T.LongType()), T.StructField("ts", T.TimestampType()),
+    T.StructField("call_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
     T.StructField("agent", T.StringType()), T.StructField("provider", T.StringType()),
     T.StructField("model", T.StringType()), T.StructField("tokens", T.IntegerType()),
     T.StructField("finish_reason", T.StringType()), T.StructField("latency_ms", T.DoubleType()),
 ])
 
 
+def call_records(df: DataFrame) -> DataFrame:
+    """TRC-01: ``df`` as call records (:data:`CALL_SCHEMA`): known columns in their types,
+    missing ones null, others left out. A value that isn't of its type becomes null."""
+    have = {c.lower(): c for c in df.columns}
+    return df.select(*((F.col(have[f.name]).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
+                       for f in CALL_SCHEMA.fields))
+
+
 #: Accuracy parameter of the sketch; its rank error is about 1.33 % at
 #: 200 and falls with the parameter (0.1 % at 4000).
 SKETCH_K = 4000

@@ -444,8 +444,8 @@ def _doc_functions(spark, sf_dir):
     from ..functions.text import line_count
     return d.select(F.lit("FUNCTION").alias("entity_type"),
                     F.concat(F.lower(F.split_part("text", F.lit(" "), F.lit(1))), F.lit("_"), F.col("doc_id").cast("string")).alias("name"),
-                    F.col("text").alias("content"), "doc_id", F.lit(1).alias("start_line"),
-                    line_count("text").alias("end_line"))
+                    F.col("text").alias("content"), "doc_id", F.lit(1).alias("start_line"), line_count("text").alias("end_line"),
+                    _doc_path_col().alias("file_path"), F.lit(None).cast("string").alias("parent"))
 
 
 @register("trivial_filter", f"WITH {_DOC_FUNCS_CTE} SELECT doc_id, {_TRIVIAL_SQL} AS trivial FROM fe")
@@ -929,10 +929,17 @@ from ..operators import traces as trc  # noqa: E402
 def _calls(spark, sf_dir):
     """Call log stand-in: event type = agent, value = latency, props.k = tokens."""
     ev = load(spark, sf_dir, "events")
-    return ev.select(F.col("event_id").alias("call_id"), "ts", F.col("event_type").alias("agent"),
-                     F.when(F.col("user_id") % 2 == 0, "openai").otherwise("ollama").alias("provider"),
-                     F.get_json_object("props", "$.k").cast("int").alias("tokens"),
-                     F.col("value").alias("latency_ms"))
+    return trc.call_records(ev.select(
+        F.col("event_id").alias("call_id"), "ts", F.col("event_type").alias("agent"),
+        F.when(F.col("user_id") % 2 == 0, "openai").otherwise("ollama").alias("provider"),
+        F.get_json_object("props", "$.k").alias("tokens"), F.col("value").alias("latency_ms")))
+
+
+@register("call_records", """SELECT event_id AS call_id, event_type AS agent, CAST(NULL AS VARCHAR) AS model,
+  CAST(json_extract_string(props, '$.k') AS INTEGER) AS tokens, value AS latency_ms FROM events""")
+def call_records_q(spark, sf_dir):
+    """TRC-01: completed and typed records."""
+    return _calls(spark, sf_dir).select("call_id", "agent", "model", "tokens", "latency_ms")
 
 
 @register("call_metrics", """SELECT event_type AS agent, count(*) AS calls, CAST(sum(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS BIGINT) AS tokens,
@@ -1125,9 +1132,8 @@ def render_prompts(spark, sf_dir):
 # ---------------------------------------------------------------- review prompts and replies (DET-13/14), records (RET-04)
 
 def _doc_candidates(spark, sf_dir):
-    fe = _doc_functions(spark, sf_dir)
-    d = load(spark, sf_dir, "documents").select("doc_id", _doc_path_col().alias("file_path"))
-    return det.review_candidates(fe).join(d, "doc_id").withColumn("parent", F.lit(None).cast("string"))
+    e = _doc_functions(spark, sf_dir)
+    return det.review_candidates(e.withColumn("import_lines", det.import_lines("content")))
 
 
 def _doc_path_col():
@@ -1145,7 +1151,7 @@ SELECT c.doc_id, 'Review this function for bugs.' || chr(10) || chr(10) || 'Func
   || '```python' || chr(10) || c.content || chr(10) || '```' || chr(10) || chr(10) || 'Imports of the file:' || chr(10)
   || coalesce(im.imports, '') || chr(10) AS prompt FROM c LEFT JOIN im ON im.path = c.file_path""")
 def review_prompts_q(spark, sf_dir):
-    p = det.review_prompts(_doc_candidates(spark, sf_dir), files(spark, sf_dir))
+    p = det.review_prompts(_doc_candidates(spark, sf_dir))
     return p.select("doc_id", "prompt")
 
 
@@ -1158,32 +1164,55 @@ def _review_replies(spark, sf_dir):
                             F.get_json_object("props", "$.k").cast("int")).alias("line"),
                      F.col("event_type").alias("severity"),
                      F.when(F.col("event_type") != "view", F.concat(F.lit("event "), F.col("event_id").cast("string"))).alias("message"))
-    per_user = ev.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", issue.alias("i")))).alias("xs"))
-    return per_user.select(F.col("user_id").alias("doc_id"), F.concat(
+    # A reply says at most REPLY_EVENTS events, however many a user has.
+    part = F.floor(F.col("event_id") / REPLY_EVENTS)
+    per_part = ev.groupBy("user_id", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("event_id", issue.alias("i")))).alias("xs"))
+    return per_part.select(F.col("user_id").alias("doc_id"), F.concat(
         F.lit("Here is my review: "), F.to_json(F.struct(F.transform("xs", lambda x: x["i"]).alias("issues"))),
         F.lit(" Thanks.")).alias("reply"))
 
 
+REPLY_EVENTS = 500
+
+
 @register("parse_reviews", f"""WITH {O.FILES_CTE}, {_DOC_FUNCS_CTE},
 x AS (SELECT user_id AS doc_id, event_id, CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) < 90
         THEN CAST(json_extract_string(props, '$.k') AS INTEGER) END AS line, event_type AS severity,
         CASE WHEN event_type <> 'view' THEN 'event ' || CAST(event_id AS VARCHAR) END AS message FROM events),
-r AS (SELECT x.doc_id, x.event_id, row_number() OVER (PARTITION BY x.doc_id ORDER BY x.event_id) - 1 AS i, x.line, x.severity, x.message,
+r AS (SELECT x.doc_id, x.event_id, row_number() OVER (PARTITION BY x.doc_id, x.event_id // 500 ORDER BY x.event_id) - 1 AS i, x.line, x.severity, x.message,
         f.path AS file_path, fe.start_line, fe.content, fe.name FROM x JOIN fe USING (doc_id) JOIN files f USING (doc_id))
 SELECT file_path, coalesce(line, start_line) AS line_number,
   CASE upper(severity) WHEN 'ERROR' THEN 'ERROR' WHEN 'INFO' THEN 'INFO' ELSE 'WARNING' END AS severity,
   coalesce(message, 'Issue found') AS message, substr(content, 1, 200) AS code_snippet, CAST(i AS BIGINT) AS emit_ord FROM r""")
 def parse_reviews_q(spark, sf_dir):
-    from ..operators.entities import entity_id
-    ents = _doc_functions(spark, sf_dir).join(
-        load(spark, sf_dir, "documents").select("doc_id", _doc_path_col().alias("file_path")), "doc_id"
-    ).withColumn("parent", F.lit(None).cast("string"))
-    ents = ents.withColumn("id", F.col("doc_id").cast("string"))
+    ents = _doc_functions(spark, sf_dir).withColumn("id", F.col("doc_id").cast("string"))
     rep = _review_replies(spark, sf_dir).select(F.col("doc_id").cast("string").alias("entity_id"), "reply")
     f = det.parse_reviews(rep, ents)
     return f.select("file_path", "line_number", "severity", "message", "code_snippet", "emit_ord")
 
 
+@register("add_chunks", f"""{_WF} SELECT ext, count(*) AS n, count(DISTINCT path) AS ids FROM files GROUP BY ext""")
+def add_chunks_q(spark, sf_dir):
+    """RET-07: chunks of every document added to an index that holds half of them."""
+    chunks = ent.file_chunks(files(spark, sf_dir))
+    held = ent.chunks_to_entities(chunks.filter("end_line % 2 = 0")).withColumn("id", ent.entity_id())
+    all_ = ret.add_chunks(held, chunks)
+    return all_.groupBy(F.regexp_extract("name", r"(\.[^.]*)$", 1).alias("ext")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
+
+
+@register("file_order", f"""{_WF}, {O.LINES_CTE}, {O.BLOCKS_CTE} SELECT path AS file_path, count(*) AS n, 1 AS parts, TRUE AS in_order FROM blocks GROUP BY path""")
+def file_order_q(spark, sf_dir):
+    """ENT-25: the blocks of a file together in one partition and in order."""
+    from pyspark.sql.window import Window
+    b = doc_blocks(spark, sf_dir).select(F.col("path").alias("file_path"), "start_line", "end_line")
+    placed = ent.order_entities(b).select("file_path", "start_line", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    checkpoint_dir(spark)
+    placed = placed.checkpoint()  # the places as they were, whatever follows
+    before = F.lag("start_line").over(Window.partitionBy("file_path").orderBy("at"))
+    return placed.withColumn("ok", F.coalesce(before <= F.col("start_line"), F.lit(True))).groupBy("file_path").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("part").cast("int").alias("parts"), F.bool_and("ok").alias("in_order"))
+
+
 @register("rehydrate", f"""{_WF}, {O.DOC_ENTITIES_CTE},
 rec AS (SELECT file_path AS id, {_HEADER_SQL} || chr(10) || chr(10) || '```python' || chr(10) || content || chr(10) || '```' AS document,
         CASE WHEN length(content) % 3 = 0 THEN NULL ELSE name END AS m_name,

@@ -143,3 +143,19 @@ def workflow_results(spark, sf_dir):
     log, goals = _log(spark, sf_dir)
     r = wf.result_rows(wf.run_from_log(wf.steps_from_log(log, goals), goals))
     return r.select("goal_id", "final_status", "retry_count", "success", "fix", "feedback", F.size("issues").alias("n_issues"))
+
+
+@register("score_replies", """SELECT CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS prompt_key,
+  CASE WHEN length(text) % 9 <> 4 THEN 'size ' || length(text) END AS reply, CASE WHEN length(text) % 9 = 4 THEN 'ValueError: cannot score' END AS error
+FROM conversations""")
+def score_replies(spark, sf_dir):
+    """FIX-17 / UDF-03: every turn through a user function that fails on some rows."""
+    def size(prompts):
+        n = prompts.str.len()
+        if (n % 9 == 4).any():
+            raise ValueError("cannot score")
+        return "size " + n.astype(str)
+
+    c = load(spark, sf_dir, "conversations")
+    return wf.score(c.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("prompt_key"),
+                             F.col("text").alias("prompt")), size)

@@ -15,9 +15,10 @@ sequence as one). Two documents link when ``den * |A and B| >= num * |A or B|``.
    links found so far are taken. A turn makes one pair a bucket entry at most,
    so a bucket of ``m`` sets never makes ``m * m`` pairs.
 4. What is still apart in a bucket after ``TURNS`` hubs is compared in blocks:
-   a task takes two blocks of a bucket's sets, counts overlaps over an inverted
-   index of one of them, and skips sets that are already connected. So nothing is
-   capped: every two sets of a bucket are compared or in one component.
+   a task takes two blocks of a bucket's sets (or of all sets of buckets that hang
+   together, if that moves less), counts overlaps over an inverted index of one of them,
+   and skips sets that are already connected. So nothing is capped: every two sets of
+   a bucket are compared or in one component.
 5. Components give each class the smallest document id.
 
 Links are confirmed exactly, up to 64-bit hashes of the n-grams. Two sets of
@@ -47,7 +48,7 @@ from .jaccard import components, gram_sets
 #: Permutations of a signature, and those of a band.
 PERMUTATIONS, ROWS = 64, 2
 #: Hubs that each bucket tries before its rest is compared in blocks.
-TURNS = 3
+TURNS = 1
 #: Sets, and n-grams together, of a block.
 UNIT, UNIT_GRAMS = 1000, 1 << 18
 
@@ -168,17 +169,45 @@ def apart_links(sets: list[np.ndarray], left: np.ndarray, label: np.ndarray, num
     return links
 
 
+def _blocks(sets: str, grams: str):
+    """Blocks for so many sets and n-grams."""
+    return F.greatest(F.ceil(F.col(sets) / UNIT), F.ceil(F.col(grams) / UNIT_GRAMS)).cast("int")
+
+
+def search_units(members: DataFrame) -> DataFrame:
+    """``unit, blocks, s, root``: what is searched together for ``members(key, s, n, root)``.
+
+    Buckets that share sets hang together in a group. A group is one unit if that moves
+    fewer sets (a set once a block) than its buckets one by one, as with many
+    bands of the same near copies; otherwise each bucket is one (once for all
+    buckets of the same sets). Every two sets of a bucket are in one unit either way."""
+    least = members.groupBy("key").agg(F.min("s").alias("m"))
+    edges = members.join(stored(least), "key").filter("s <> m").select(F.col("s").alias("a"), F.col("m").alias("b"))
+    found = components(edges)
+    group = stored(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).select(
+        F.col("node").alias("s"), F.col("root").alias("g")))
+    placed = stored(members.join(group, "s"))
+    facts = placed.groupBy("key").agg(
+        F.any_value("g").alias("g"), F.count("*").alias("m"), F.sum("n").alias("grams"),
+        F.bit_xor(F.xxhash64("s")).alias("x"), F.bit_xor(F.xxhash64("s", F.lit(1))).alias("y"))
+    buckets_ = stored(facts.groupBy("g", "m", "grams", "x", "y").agg(F.min("key").alias("key")).withColumn("blocks", _blocks("m", "grams")))
+    whole = placed.select("g", "s", "n").distinct().groupBy("g").agg(F.count("*").alias("sets"), F.sum("n").alias("grams")).withColumn(
+        "group_blocks", _blocks("sets", "grams"))
+    apart = buckets_.groupBy("g").agg(F.sum(F.col("m") * F.col("blocks")).alias("moved"))
+    plan = stored(whole.join(apart, "g").select("g", "group_blocks", (F.col("sets") * F.col("group_blocks") <= F.col("moved")).alias("together")))
+    one = placed.select("g", "s", "root").distinct().join(plan.filter("together"), "g").select(
+        F.col("g").alias("unit"), F.col("group_blocks").alias("blocks"), "s", "root", F.lit(True).alias("grouped"))
+    single = buckets_.join(plan.filter("NOT together").select("g"), "g").select("key", "blocks")
+    each = placed.join(stored(single), "key").select(F.col("key").alias("unit"), "blocks", "s", "root", F.lit(False).alias("grouped"))
+    return one.unionByName(each)
+
+
 def block_links(members: DataFrame, texts: DataFrame, n: int, num: int, den: int, shuffle: int) -> DataFrame:
     """``a, b``: links between the sets of each bucket of ``members(key, s, n, root)``,
     block by block, that span its components."""
-    facts = members.groupBy("key").agg(
-        F.count("*").alias("m"), F.sum("n").alias("grams"), F.bit_xor(F.xxhash64("s")).alias("x"), F.bit_xor(F.xxhash64("s", F.lit(1))).alias("y"))
-    # Buckets of the same sets are searched once.
-    once = facts.groupBy("m", "grams", "x", "y").agg(F.min("key").alias("key")).select(
-        "key", F.greatest(F.ceil(F.col("m") / UNIT), F.ceil(F.col("grams") / UNIT_GRAMS)).cast("int").alias("blocks"))
-    placed = members.join(once, "key").withColumn("own", F.pmod(F.xxhash64("s", F.lit(7)), "blocks").cast("int"))
+    placed = search_units(members).withColumn("own", F.pmod(F.xxhash64("s", F.lit(7)), "blocks").cast("int"))
     pairs = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "s", "root")
+        F.xxhash64("unit", "grouped").alias("key"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "s", "root")
     units = pairs.join(texts, "s").select("key", "i", "j", "own", "s", "root", "t").repartition(
         shuffle, "key", "i", "j").sortWithinPartitions("key", "i", "j", "s")
 
@@ -218,10 +247,9 @@ def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def class_roots(members: DataFrame, texts: DataFrame, n: int, num: int, den: int, shuffle: int) -> DataFrame | None:
-    """``node, root`` of the sets in ``members(key, s, n, d)`` that link, without the
-    roots themselves; None if no set does."""
+    """``node, root`` of the sets in the stored ``members(key, s, n, d)`` that link, without
+    the roots themselves; None if no set does."""
     links = checked = roots = None
-    members = stored(members)
     for turn in range(TURNS + 1):
         rooted = _rooted(members, roots)
         apart = stored(rooted.groupBy("key").agg(

@@ -11,7 +11,7 @@ def rows_of(df):
     return sorted(((r.id, r.n, NULL_ID if r.component is None else r.component) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("n,num,den,turns,unit", [(3, 85, 100, 3, 1000), (5, 8, 10, 3, 1000), (5, 8, 10, 0, 1000), (5, 8, 10, 0, 5)])
+@pytest.mark.parametrize("n,num,den,turns,unit", [(3, 85, 100, 1, 1000), (5, 8, 10, 3, 1000), (5, 8, 10, 0, 1000), (5, 8, 10, 0, 5)])
 def test_components_equal_all_pairs(spark, monkeypatch, n, num, den, turns, unit):
     monkeypatch.setattr(M, "TURNS", turns)  # 0: buckets go to the block search at once
     monkeypatch.setattr(M, "UNIT", unit)  # 5: several blocks a bucket
@@ -89,3 +89,20 @@ def test_block_search_spans_all_components():
         found = M.apart_links(sets, left, np.arange(60), 8, 10)
         assert all((max(p), min(p)) in pairs for p in found) and joined(found) == joined(pairs)
     assert M.apart_links(sets, np.ones(60, bool), np.zeros(60, int), 8, 10) == []
+
+
+def test_units_hold_every_pair_of_every_bucket(spark, monkeypatch):
+    monkeypatch.setattr(M, "UNIT", 3)
+    rng = np.random.default_rng(9)
+    rows = [(b, int(x), 5, int(x) % 7) for b in range(30) for x in rng.choice(20 * (1 + b // 10), int(rng.integers(2, 9)), replace=False) + 100 * (b // 10)]
+    rows += [(100 + b, 900 + k, 5, k) for b in range(6) for k in range(12)]  # six bands of the same sets
+    units = M.search_units(spark.createDataFrame(rows, "key long, s long, n long, root long")).collect()
+    held, pairs = {}, set()
+    for r in units:
+        held.setdefault((r.grouped, r.unit), set()).add(r.s)
+        assert r.root == next(x[3] for x in rows if x[1] == r.s)
+    for b in {r[0] for r in rows}:
+        mine = {r[1] for r in rows if r[0] == b}
+        assert any(mine <= h for h in held.values())
+    assert len([h for h in held.values() if 900 in h]) == 1
+    assert len(units) == len({(r.grouped, r.unit, r.s) for r in units})

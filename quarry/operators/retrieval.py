@@ -74,23 +74,21 @@ def _slices(index: DataFrame, id_col: str, vec: str) -> DataFrame:
     return rows.mapInArrow(pack, f"ids array<{kind}>, v array<{_element_type(index, vec)}>")
 
 
-def _grid(queries: DataFrame, index: DataFrame, qid: str, id_col: str, vec: str) -> DataFrame:
-    """``q, ids, v``: every block of queries beside every slice of the index.
+def _grid(queries: DataFrame, slices: DataFrame, qid: str, n_queries: int, n_records: int) -> DataFrame:
+    """Every block of ``queries(qid, ...)`` (as ``q``, an array of its rows) beside every row
+    of ``slices(ids, ...)``.
 
     Queries are numbered into blocks, slices into parts, and cells of the grid are an
     equi-join on (block, part): a slice moves once a block of queries, a block once a
     part. Neither side is collected or broadcast whole, whatever its size."""
-    spark = index.sparkSession
-    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    parts = max(1, math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / blocks), math.ceil(index.count() / PART_ROWS))
-    kind = _id_type(queries, qid)
-    # An id that is repeated counts once; so a block's size is bounded by the hash.
-    once = queries.filter(F.col(vec).isNotNull()).groupBy(F.col(qid).cast(kind).alias("qid")).agg(F.min(vec).alias("v"))
-    packed = once.groupBy(F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("qid", "v")).alias("q"))
+    spark = queries.sparkSession
+    blocks = max(1, math.ceil(n_queries / QUERY_BLOCK))
+    parts = max(1, math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / blocks), math.ceil(n_records / PART_ROWS))
+    packed = queries.groupBy(F.pmod(F.xxhash64(qid), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(*queries.columns)).alias("q"))
     left = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = _slices(index, id_col, vec).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")).withColumn(
+    right = slices.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")).withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    return right.join(left, ["block", "part"]).select("q", "ids", "v")
+    return right.join(left, ["block", "part"]).select("q", *slices.columns)
 
 
 def vector_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K, qid: str = "qid",
@@ -109,7 +107,10 @@ def vector_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K, qid: s
     """
     if not 1 <= k <= MAX_K:
         raise ValueError(f"k must be in 1..{MAX_K}")
-    cells = _grid(queries, index if where is None else index.filter(where), qid, id_col, vec)
+    index = index if where is None else index.filter(where)
+    # An id that is repeated counts once; so a block's size is bounded by the hash.
+    once = queries.filter(F.col(vec).isNotNull()).groupBy(F.col(qid).cast(_id_type(queries, qid)).alias("qid")).agg(F.min(vec).alias("v"))
+    cells = _grid(once, _slices(index, id_col, vec), "qid", queries.count(), index.count())
     cand = cells.mapInArrow(_local_topk(k), f"qid {_id_type(queries, qid)}, id {_id_type(index, id_col)}, distance double")
     w = Window.partitionBy("qid").orderBy("distance", "id")
     top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -403,22 +404,19 @@ def add_chunks(index: DataFrame, chunks: DataFrame) -> DataFrame:
     return upsert_index(index, ents.select(*index.columns))
 
 
-# ---- top-k text ranking with score bounds (RET-08, 09, 13) ------------------------
+# ---- top-k text ranking (RET-08, 09, 13) ------------------------------------------
 
-#: What a term found in a document adds to each rank: weight of ``w * qw``, weight of
-#: the query's share that the term is.
+#: Weights of similarity and keyword share in each rank.
 RANKS = {"similarity": (1.0, 0.0), "keyword_score": (0.0, 1.0), "score": (SIM_WEIGHT, KW_WEIGHT)}
-#: Terms of a query that the first look takes, those that can add most.
-FIRST_TERMS = 6
-#: More than rounding to six places and the order of sums can change.
-MARGIN = 2e-6
+#: Scores (query by document) held together in a task.
+SCORES_TOGETHER = 1 << 21
 
 
 class TextIndex(NamedTuple):
-    """``postings(term, doc, w)`` with L2-normalised TF-IDF weights, ``terms(term, idf,
-    top)`` with the largest weight of each term, and the number of documents."""
+    """``docs(doc, v)`` with the TF-IDF weights of a document's terms (``ARRAY<STRUCT<t, w>>``,
+    terms by their 64-bit hash), ``terms(term, idf)``, and the number of documents."""
 
-    postings: DataFrame
+    docs: DataFrame
     terms: DataFrame
     n: int
 
@@ -434,14 +432,25 @@ def build_text_index(docs: DataFrame, did: str = "doc_id", dtext: str = "text")
     ln((1 + N) / (1 + df)) + 1. Document frequencies stay a table: no vocabulary
     comes to the driver or into a broadcast variable."""
     n = docs.count()
-    tf = _stored(term_table(docs.select(F.col(did).alias("doc"), F.col(dtext).alias("text")), "doc", "text"))
+    tf = _stored(term_table(docs.select(F.col(did).cast(_id_type(docs, did)).alias("doc"), F.col(dtext).alias("text")), "doc", "text"))
     # Stored before it is joined, so that both sides are plain exchanges and Spark can split a frequent term.
     idf = _stored(tf.groupBy("term").agg((F.log(F.lit(float(1 + n)) / (1 + F.count(F.lit(1)))) + 1).alias("idf")))
-    raw = tf.join(idf, "term").select("term", "doc", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    postings = _stored(raw.join(norm, "doc").select("term", "doc", (F.col("w") / F.col("norm")).alias("w")))
-    top = postings.groupBy("term").agg(F.max("w").alias("top"))
-    return TextIndex(postings, _stored(idf.join(top, "term")), n)
+    weighted = tf.join(idf, "term").select("doc", F.struct(F.xxhash64("term").alias("t"), (F.col("tf") * F.col("idf")).alias("w")).alias("x"))
+    return TextIndex(_stored(weighted.groupBy("doc").agg(F.collect_list("x").alias("v"))), idf, n)
+
+
+def _text_slices(index: TextIndex) -> DataFrame:
+    """``ids, sizes, t, w``: the documents of one Arrow batch as one row."""
+    kind = index.docs.schema["doc"].dataType.simpleString()
+
+    def pack(batches):
+        for b in batches:
+            if b.num_rows:
+                v = b.column(1).flatten()
+                columns = (b.column(0), b.column(1).value_lengths(), v.field(0), v.field(1))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], ["ids", "sizes", "t", "w"])
+
+    return index.docs.select("doc", "v").mapInArrow(pack, f"ids array<{kind}>, sizes array<int>, t array<long>, w array<double>")
 
 
 def text_topk(queries: DataFrame, index: TextIndex, k: int = DEFAULT_K, rank_by: str = "score",
@@ -450,57 +459,69 @@ def text_topk(queries: DataFrame, index: TextIndex, k: int = DEFAULT_K, rank_by:
     (``similarity``), share of the query's keywords (``keyword_score``) or both
     (``score``); among documents that hold a term of the query.
 
-    1. A term adds at most its bound (from the term's largest weight) to a document's
-       rank. The terms of highest bounds are looked up; the ``k``-th best of these
-       partial ranks is a threshold that the result reaches.
-    2. The terms of lowest bounds whose sum stays below the threshold can't bring a
-       document into the result by themselves: frequent words, as a rule. Only
-       documents with another term are candidates, and only those whose partial rank
-       plus the sum of the left-out bounds reaches the threshold stay.
-    3. The left-out terms are added for the candidates alone.
-
-    One plan at every size; nothing is collected. Output: ``qid, doc, similarity,
-    keyword_score, score, rank`` (values rounded to 6 places).
-    """
-    alpha, beta = RANKS[rank_by]
+    The grid of the vector search: a cell scores a slice of documents against a block of
+    queries in arrays, term by term, and gives ``k`` rows a query; so neither a
+    vocabulary nor a table of pairs exists anywhere, and a term that all texts share
+    costs its own postings only. One plan at every size. Terms are told apart by
+    64-bit hashes. Output: ``qid, doc, similarity, keyword_score, score, rank`` (values
+    rounded to 6 places)."""
     missing = F.lit(math.log(1 + index.n) + 1)
-    own = term_table(queries.select(F.col(qid).alias("q"), F.col(qtext).alias("text")), "q", "text")
+    kind = _id_type(queries, qid)
+    own = term_table(queries.select(F.col(qid).cast(kind).alias("q"), F.col(qtext).alias("text")), "q", "text")
     known = own.join(index.terms, "term", "left").withColumn("qidf", F.coalesce("idf", missing))
-    per_query = Window.partitionBy("q")
-    sized = known.withColumns({
-        "qw": F.col("tf") * F.col("qidf") / F.sqrt(F.sum((F.col("tf") * F.col("qidf")) ** 2).over(per_query)),
-        "share": 1 / F.count(F.lit(1)).over(per_query)})
-    # Terms that no document holds have counted in the norm and the shares.
-    bound = (alpha * F.col("top") * F.col("qw") + beta * F.col("share")).alias("bound")
-    terms = sized.filter("top IS NOT NULL").select("q", "term", "qw", "share", bound)
-    up, down = per_query.orderBy("bound", "term"), per_query.orderBy(F.desc("bound"), F.desc("term"))
-    terms = _stored(terms.withColumns({"below": F.sum("bound").over(up.rowsBetween(Window.unboundedPreceding, 0)),
-                                       "place": F.row_number().over(down)}))
-
-    def found(some: DataFrame) -> DataFrame:
-        """Sums over the postings of ``some`` terms, per query and document."""
-        return index.postings.join(some, "term").groupBy("q", "doc").agg(
-            F.sum(F.col("w") * F.col("qw")).alias("similarity"), F.sum("share").alias("keyword_score"))
-
-    rank = alpha * F.col("similarity") + beta * F.col("keyword_score")
-    best = Window.partitionBy("q").orderBy(F.desc("r"), "doc")
-    first = found(terms.filter(F.col("place") <= FIRST_TERMS)).select("q", "doc", rank.alias("r"))
-    least = first.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).groupBy("q").agg(
-        F.when(F.count(F.lit(1)) == k, F.min("r")).otherwise(F.lit(0.0)).alias("least"))
-    # The threshold and the sum of the bounds that stay out, beside each term.
-    judged = terms.join(least, "q").withColumn("out", F.col("below") < F.col("least") - MARGIN)
-    judged = judged.withColumn("rest", F.coalesce(F.max(F.when(F.col("out"), F.col("below"))).over(per_query), F.lit(0.0)))
-    judged = _stored(judged)
-    limits = judged.select("q", "least", "rest").distinct()
-    partial = found(judged.filter(~F.col("out"))).join(limits, "q")
-    candidates = _stored(partial.filter(rank + F.col("rest") >= F.col("least") - MARGIN).select("q", "doc", "similarity", "keyword_score"))
-    asked = candidates.select("q", "doc").join(judged.filter("out").select("q", "term", "qw", "share"), "q")
-    more = index.postings.join(asked, ["term", "doc"]).select(
-        "q", "doc", (F.col("w") * F.col("qw")).alias("similarity"), F.col("share").alias("keyword_score"))
-    whole = candidates.unionByName(more).groupBy("q", "doc").agg(
-        F.sum("similarity").alias("similarity"), F.sum("keyword_score").alias("keyword_score"))
-    ranked = whole.select("q", "doc", *(F.round(a * F.col("similarity") + b * F.col("keyword_score"), 6).alias(name)
-                                        for name, (a, b) in RANKS.items()))
-    w = Window.partitionBy("q").orderBy(F.col(rank_by).desc(), "doc")
-    top = ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return top.select(F.col("q").alias(qid), F.col("doc").alias(did), "similarity", "keyword_score", "score", F.col("rank").cast("int").alias("rank"))
+    # Terms that no document holds count in the norm and the shares.
+    vectors = known.groupBy("q").agg(
+        F.sqrt(F.sum((F.col("tf") * F.col("qidf")) ** 2)).alias("norm"), F.count(F.lit(1)).alias("n"),
+        F.collect_list(F.when(F.col("idf").isNotNull(), F.struct(F.xxhash64("term").alias("t"), (F.col("tf") * F.col("qidf")).alias("w")))).alias("v"))
+    cells = _grid(vectors.select("q", "norm", "n", "v"), _text_slices(index), "q", queries.count(), index.n)
+    doc_kind = index.docs.schema["doc"].dataType.simpleString()
+    cand = cells.mapInArrow(_score_cells(k, *RANKS[rank_by]), f"q {kind}, doc {doc_kind}, similarity double, keyword_score double, r double")
+    w = Window.partitionBy("q").orderBy(F.desc("r"), "doc")
+    top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    score = F.round(SIM_WEIGHT * F.col("similarity") + KW_WEIGHT * F.col("keyword_score"), 6)
+    return top.select(F.col("q").alias(qid), F.col("doc").alias(did), F.round("similarity", 6).alias("similarity"),
+                      F.round("keyword_score", 6).alias("keyword_score"), score.alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+def _score_cells(k: int, alpha: float, beta: float):
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                q, ids, sizes, t, w = (b.column(c)[r].values for c in range(5))
+                yield from _score_cell(q, ids, *(x.to_numpy(zero_copy_only=False) for x in (sizes, t, w)), k, alpha, beta)
+    return run
+
+
+def _score_cell(q, ids, sizes, t, w, k, alpha, beta):
+    names, v = q.field(0), q.field(3)
+    asked = np.repeat(np.arange(len(q)), v.value_lengths().to_numpy(zero_copy_only=False))
+    terms, weights = (v.flatten().field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+    weights = weights / q.field(1).to_numpy(zero_copy_only=False)[asked]
+    share = 1.0 / q.field(2).to_numpy(zero_copy_only=False)[asked]
+    by_term = np.argsort(terms, kind="stable")
+    asked, terms, weights, share = asked[by_term], terms[by_term], weights[by_term], share[by_term]
+    order = np.empty(len(ids), dtype=np.int64)
+    order[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    ends = np.cumsum(sizes)
+    step = max(1, SCORES_TOGETHER // len(q))
+    for at in range(0, len(ids), step):
+        to = min(at + step, len(ids))
+        lo, hi, m = int(ends[at] - sizes[at]), int(ends[to - 1]), to - at
+        doc = np.repeat(np.arange(m), sizes[at:to])
+        norm = np.sqrt(np.bincount(doc, weights=w[lo:hi] ** 2, minlength=m))
+        first, last = (np.searchsorted(terms, t[lo:hi], side=side) for side in ("left", "right"))
+        n = last - first
+        place = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        of = np.repeat(np.arange(hi - lo), n)
+        cell = asked[place] * m + doc[of]
+        sim, kw = (np.bincount(cell, weights=x, minlength=len(q) * m) for x in ((w[lo:hi] / norm[doc])[of] * weights[place], share[place]))
+        hit = np.flatnonzero(kw > 0)
+        rank = np.round(alpha * sim[hit] + beta * kw[hit], 6)
+        row = hit // m
+        sort = np.lexsort((order[at + hit % m], -rank, row))
+        row, keep = row[sort], hit[sort]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        keep = keep[best]
+        yield pa.RecordBatch.from_arrays(
+            [names.take(pa.array(keep // m)), ids.take(pa.array(at + keep % m)), pa.array(sim[keep]), pa.array(kw[keep]), pa.array(rank[sort][best])],
+            ["q", "doc", "similarity", "keyword_score", "r"])

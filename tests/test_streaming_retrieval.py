@@ -135,10 +135,11 @@ def _all_scores(docs, queries):
     return out
 
 
-@pytest.mark.parametrize("first", [6, 1])
-def test_text_topk_equals_all_pairs_with_hot_terms(spark, monkeypatch, first):
+@pytest.mark.parametrize("block,together", [(2048, 1 << 21), (4, 20)])
+def test_text_topk_equals_all_pairs_with_hot_terms(spark, monkeypatch, block, together):
     import random
-    monkeypatch.setattr(ret, "FIRST_TERMS", first)
+    monkeypatch.setattr(ret, "QUERY_BLOCK", block)
+    monkeypatch.setattr(ret, "SCORES_TOGETHER", together)
     rnd = random.Random(1)
     words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta"] + [f"rare{i}" for i in range(200)]
     docs = [(i, "the of " + " ".join(rnd.choice(words[:8] if rnd.random() < .7 else words) for _ in range(rnd.randint(1, 30)))) for i in range(150)]

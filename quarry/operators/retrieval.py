@@ -1,11 +1,9 @@
-"""Index and retrieval (RET-01…14): vector, keyword, TF-IDF and hybrid top-k.
-
-Shape of every search: a *bounded query batch* against a *large index*. The
-batch is size-checked and broadcast; the index is streamed partition by
-partition and never shuffled whole. Only per-partition top-k candidates (k
-rows per query per batch) or pre-aggregated partial scores leave a task.
-Batches larger than the broadcast bound are split into several passes, each
-exact, so no query is dropped and no pair table is materialised.
+"""Index and retrieval (RET-01…13): vector, keyword, TF-IDF and hybrid top-k.
+
+Shape of every search: a grid of query blocks and slices of the index. Both
+sides stay distributed, a cell gives k rows per query, and a window over these is
+cut to k rows per query in every task before it shuffles. Adding to an index
+moves the batch only.
 """
 
 from __future__ import annotations
@@ -28,27 +26,10 @@ DEFAULT_K, MAX_K = 5, 20
 #: Queries of a block, and index records of a part, of the search grid; queries
 #: whose distances to a slice are held together.
 QUERY_BLOCK, PART_ROWS, QUERIES_TOGETHER = 2048, 1 << 20, 256
-MAX_QUERY_BATCH = 50_000
 TOKEN = r"[^\p{L}\p{N}_]+"
 WORD_RUN = r"[\p{L}\p{N}_]+"
 
 
-def _passes(queries: DataFrame, key: str, limit: int) -> list[DataFrame]:
-    n = queries.count()
-    if n <= limit:
-        return [queries]
-    parts = math.ceil(n / limit)
-    tagged = queries.withColumn("_pass", F.pmod(F.xxhash64(F.col(key)), F.lit(parts)))
-    return [tagged.filter(F.col("_pass") == p).drop("_pass") for p in range(parts)]
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def _id_type(df: DataFrame, col: str) -> str:
     """Ids keep their type; whole numbers are BIGINT."""
     t = df.schema[col].dataType
@@ -214,106 +195,25 @@ def term_table(df: DataFrame, key: str, text: str) -> DataFrame:
         F.count(F.lit(1)).alias("tf"))
 
 
-def term_index(docs: DataFrame, did: str = "doc_id", text: str = "text") -> DataFrame:
-    """The inverted index ``(doc, term, tf)``, built once and cut from its lineage
-    with a reliable checkpoint into the cluster's shared checkpoint folder, so
-    document frequencies, weights, norms and keyword hits all read it instead
-    of re-tokenising the corpus."""
-    from ..session import checkpoint_dir
-    checkpoint_dir(docs.sparkSession)
-    return term_table(docs, did, text).checkpoint(eager=True)
-
-
-def keyword_score(queries: DataFrame, docs: DataFrame | None = None, qid: str = "qid", qtext: str = "text",
-                  did: str = "doc_id", dtext: str = "text", terms: DataFrame | None = None) -> DataFrame:
+def keyword_score(queries: DataFrame, docs: DataFrame, qid: str = "qid", qtext: str = "text",
+                  did: str = "doc_id", dtext: str = "text") -> DataFrame:
     """RET-08: share of a query's distinct keywords present among a document's
-    tokens (only pairs sharing a keyword). Inverted-index equi-join on the
-    token with the (bounded, broadcast) query side; partial counts per
-    (doc, query) are combined map-side. ``terms`` (from :func:`term_index`)
-    replaces tokenising ``docs``."""
-    passes = _passes(queries, qid, MAX_QUERY_BATCH)         # broadcast side: size-checked
-    if len(passes) > 1:
-        return _union([keyword_score(p, docs, qid, qtext, did, dtext, terms) for p in passes])
+    tokens, for every pair that shares one: an equi-join on the token, with partial counts
+    per (document, query). :func:`text_topk` ranks without this table of pairs."""
     qt = queries.select(F.col(qid).alias("_q"), F.explode(F.array_distinct(tokens(qtext))).alias("term"))
     qn = qt.groupBy("_q").agg(F.count(F.lit(1)).alias("_nq"))
-    if terms is not None:
-        dt = terms.select(F.col(did).alias("_d"), "term")
-    else:
-        dt = docs.select(F.col(did).alias("_d"), F.explode(F.array_distinct(tokens(dtext))).alias("term"))
-    hits = dt.join(F.broadcast(qt), "term").groupBy("_q", "_d").agg(F.count(F.lit(1)).alias("_hit"))
-    return hits.join(F.broadcast(qn), "_q").select(
+    dt = docs.select(F.col(did).alias("_d"), F.explode(F.array_distinct(tokens(dtext))).alias("term"))
+    hits = dt.join(qt, "term").groupBy("_q", "_d").agg(F.count(F.lit(1)).alias("_hit"))
+    return hits.join(qn, "_q").select(
         F.col("_q").alias(qid), F.col("_d").alias(did), (F.col("_hit") / F.col("_nq")).alias("keyword_score"))
 
 
-def tfidf(terms: DataFrame, n: int, did: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """RET-13: TF-IDF weights ``(doc, term, w)`` L2-normalised per document, and
-    the ``(term, idf)`` table; idf = ln((1 + N) / (1 + df)) + 1. ``terms`` is
-    the term index, ``n`` the number of documents."""
-    df_ = terms.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    idf = df_.select("term", (F.log(F.lit(float(1 + n)) / (1 + F.col("_df"))) + 1).alias("idf"))
-    w = terms.join(idf, "term").select(did, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = w.groupBy(did).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return w.join(norm, did).select(did, "term", (F.col("w") / F.col("_norm")).alias("w")), idf
-
-
-def text_scores(queries: DataFrame, terms: DataFrame, n: int, qid: str = "qid", qtext: str = "text",
-                did: str = "doc_id") -> DataFrame:
-    """TF-IDF cosine and keyword share for every (query, document) pair that
-    shares a term, in one pass over the term index.
-
-    The query side (bounded batch: its terms with idf-weighted, normalised
-    weights) is broadcast; each index row that holds a query term yields
-    ``tf * idf * qw`` and a hit; per (query, doc) the sums are combined
-    map-side. Document norms (a query-independent pass over the index) are
-    applied to the aggregated pairs only. Output: ``qid, doc, similarity,
-    keyword_score``.
-    """
-    passes = _passes(queries, qid, MAX_QUERY_BATCH)         # broadcast side: size-checked
-    if len(passes) > 1:
-        return _union([text_scores(p, terms, n, qid, qtext, did) for p in passes])
-    df_ = terms.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    idf = df_.select("term", (F.log(F.lit(float(1 + n)) / (1 + F.col("_df"))) + 1).alias("idf"))
-    norm = terms.join(idf, "term").groupBy(did).agg(
-        F.sqrt(F.sum((F.col("tf") * F.col("idf")) * (F.col("tf") * F.col("idf")))).alias("_norm"))
-    qtf = term_table(queries, qid, qtext)
-    # query terms missing from the corpus still count in the query norm
-    qw = qtf.join(idf, "term", "left").select(
-        qid, "term", F.coalesce(F.col("idf"), F.log(F.lit(float(1 + n))) + 1).alias("qidf"),
-        (F.col("tf") * F.coalesce(F.col("idf"), F.log(F.lit(float(1 + n))) + 1)).alias("qw"))
-    qn = qw.groupBy(qid).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("_qn"),
-                             F.count(F.lit(1)).alias("_nq"))
-    qv = qw.join(qn, qid).select(F.col(qid).alias("_q"), "term", "qidf", (F.col("qw") / F.col("_qn")).alias("qw"), "_nq")
-    hits = terms.join(F.broadcast(qv), "term").groupBy("_q", did).agg(
-        F.sum(F.col("tf") * F.col("qidf") * F.col("qw")).alias("_dot"), F.count(F.lit(1)).alias("_hit"),
-        F.first("_nq").alias("_nq"))
-    return hits.join(norm, did).select(
-        F.col("_q").alias(qid), did, (F.col("_dot") / F.col("_norm")).alias("similarity"),
-        (F.col("_hit") / F.col("_nq")).alias("keyword_score"))
-
-
-def tfidf_cosine(queries: DataFrame, docs: DataFrame | None = None, qid: str = "qid", qtext: str = "text",
-                 did: str = "doc_id", dtext: str = "text", terms: DataFrame | None = None,
-                 n: int | None = None) -> DataFrame:
-    """Cosine similarity of query and document TF-IDF vectors (pairs sharing a term)."""
-    if terms is None:
-        terms = term_index(docs, did, dtext)
-    if n is None:
-        n = docs.count() if docs is not None else terms.select(did).distinct().count()
-    return text_scores(queries, terms, n, qid, qtext, did).select(qid, did, "similarity")
-
-
-def hybrid_topk(sim: DataFrame, kw: DataFrame | None = None, k: int = DEFAULT_K, qid: str = "qid",
-                did: str = "doc_id") -> DataFrame:
-    """RET-09: ``0.7 * similarity + 0.3 * keyword`` over the union of both
-    candidate sets (a missing side scores 0), top ``k`` per query. With
-    ``kw=None``, ``sim`` already carries both scores (:func:`text_scores`)."""
-    if kw is None:
-        j = sim.select(qid, did, F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
-                       F.coalesce("keyword_score", F.lit(0.0)).alias("keyword_score"))
-    else:
-        j = sim.join(kw, [qid, did], "full_outer").select(
-            qid, did, F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
-            F.coalesce("keyword_score", F.lit(0.0)).alias("keyword_score"))
+def hybrid_topk(sim: DataFrame, kw: DataFrame, k: int = DEFAULT_K, qid: str = "qid", did: str = "doc_id") -> DataFrame:
+    """RET-09 over given scores: ``0.7 * similarity + 0.3 * keyword`` over the union of both
+    candidate sets (a missing side scores 0), top ``k`` per query."""
+    j = sim.join(kw, [qid, did], "full_outer").select(
+        qid, did, F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
+        F.coalesce("keyword_score", F.lit(0.0)).alias("keyword_score"))
     j = j.withColumn("score", F.round(F.lit(SIM_WEIGHT) * F.col("similarity") + F.lit(KW_WEIGHT) * F.col("keyword_score"), 6))
     w = Window.partitionBy(qid).orderBy(F.col("score").desc(), F.col(did))
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

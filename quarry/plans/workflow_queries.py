@@ -124,11 +124,11 @@ def workflow_transitions_stream(spark, sf_dir):
     _rocksdb(spark)
     c = load(spark, sf_dir, "conversations")
     base = f"{checkpoint_dir(spark).rstrip('/')}/transitions/{uuid.uuid4().hex}"
-    turns = spark.readStream.schema(c.schema).option("pathGlobFilter", "conversations.parquet").option("recursiveFileLookup", "false").parquet(sf_dir.rstrip("/"))
+    turns = spark.readStream.schema(c.schema).parquet(f"{sf_dir.rstrip('/')}/conversations.parque[t]")  # as a pattern: a file or a folder of files
     moves = stream_transitions(wf.steps_from_log(_replies(turns), _goals(c)))
     moves.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option(
         "checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.schema(wf.TRANSITIONS).parquet(f"{base}/out")
 
 
 @register("workflow_results", f"""WITH {_MOVES},

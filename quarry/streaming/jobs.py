@@ -66,47 +66,55 @@ def stream_ingest(spark: SparkSession, source_dir: str, index_path: str, checkpo
     return q
 
 
-class _Goal(StatefulProcessor):
-    """State of one goal: its status and retries. Rows that don't fit the status say nothing."""
-
-    def init(self, handle) -> None:
-        self._state = handle.getValueState("goal", T.StructType([T.StructField("status", T.StringType()), T.StructField("retry", T.IntegerType())]))
-
-    def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
-        status, retry = self._state.get() if self._state.exists() else ("planning", 0)
-        out = []
-
-        def move(row, to, note):
-            nonlocal status
-            out.append((key[0], int(row.seq), status, to, note, retry))
-            status = to
-
-        expects = {"plan": "planning", "retrieve": "retrieving", "code": "coding", "review": "reviewing"}
-        for row in pd.concat(list(rows)).sort_values("seq").itertuples():
-            if expects[row.stage] != status:
-                continue
-            if row.stage == "plan":
-                move(row, "retrieving", row.note)
-            elif row.stage == "retrieve":
-                move(row, "coding", row.note)
-            elif row.stage == "code":
-                move(row, "reviewing", row.note)
-                if not isinstance(row.proposed_fix, str) or not row.proposed_fix:
-                    move(row, "rejected", "No fix was generated")
-            elif row.is_approved == True:  # noqa: E712  (may be a missing value)
-                move(row, "approved", "Fix passed review")
-            elif retry < row.max_retries:
-                move(row, "coding", f"Rejected, preparing retry #{retry + 1}")
-                retry += 1
-            else:
-                move(row, "rejected", f"Max retries ({row.max_retries}) exceeded")
-        self._state.update((status, retry))
-        yield pd.DataFrame(out, columns=["goal_id", "seq", "from_status", "to_status", "note", "retry_count"]).astype(
-            {"goal_id": "int64", "seq": "int64", "retry_count": "int32"})
-
-    def close(self) -> None:
-        pass
+def _goal_processor() -> StatefulProcessor:
+    """The processor of :func:`stream_transitions`. Its class is made here, so that it travels by
+    value: the driver's own Python worker, which Spark starts to read the state's schema,
+    doesn't see the package that :func:`quarry.session.ship` sends to the executors."""
+    goal = T.StructType([T.StructField("status", T.StringType()), T.StructField("retry", T.IntegerType())])
+
+    class Goal(StatefulProcessor):
+        """State of one goal: its status and retries. Rows that don't fit the status say nothing."""
+
+        def init(self, handle) -> None:
+            self._state = handle.getValueState("goal", goal)
+
+        def handleInputRows(self, key, rows, timerValues):
+            import pandas as pd
+            status, retry = self._state.get() if self._state.exists() else ("planning", 0)
+            out = []
+
+            def move(row, to, note):
+                nonlocal status
+                out.append((key[0], int(row.seq), status, to, note, retry))
+                status = to
+
+            expects = {"plan": "planning", "retrieve": "retrieving", "code": "coding", "review": "reviewing"}
+            for row in pd.concat(list(rows)).sort_values("seq").itertuples():
+                if expects[row.stage] != status:
+                    continue
+                if row.stage == "plan":
+                    move(row, "retrieving", row.note)
+                elif row.stage == "retrieve":
+                    move(row, "coding", row.note)
+                elif row.stage == "code":
+                    move(row, "reviewing", row.note)
+                    if not isinstance(row.proposed_fix, str) or not row.proposed_fix:
+                        move(row, "rejected", "No fix was generated")
+                elif row.is_approved == True:  # noqa: E712  (may be a missing value)
+                    move(row, "approved", "Fix passed review")
+                elif retry < row.max_retries:
+                    move(row, "coding", f"Rejected, preparing retry #{retry + 1}")
+                    retry += 1
+                else:
+                    move(row, "rejected", f"Max retries ({row.max_retries}) exceeded")
+            self._state.update((status, retry))
+            yield pd.DataFrame(out, columns=["goal_id", "seq", "from_status", "to_status", "note", "retry_count"]).astype(
+                {"goal_id": "int64", "seq": "int64", "retry_count": "int32"})
+
+        def close(self) -> None:
+            pass
+
+    return Goal()
 
 
 def stream_transitions(steps: DataFrame) -> DataFrame:
@@ -116,7 +124,7 @@ def stream_transitions(steps: DataFrame) -> DataFrame:
     from ..operators.workflow import TRANSITIONS
     slim = steps.select("goal_id", "seq", "stage", "max_retries", "note", "proposed_fix", "is_approved")
     return slim.groupBy("goal_id").transformWithStateInPandas(
-        statefulProcessor=_Goal(), outputStructType=TRANSITIONS, outputMode="Append", timeMode="None")
+        statefulProcessor=_goal_processor(), outputStructType=TRANSITIONS, outputMode="Append", timeMode="None")
 
 
 def run_transitions_to_table(spark: SparkSession, source_dir: str, schema, goals: DataFrame, table_path: str, checkpoint: str,

@@ -114,3 +114,28 @@ def test_ingest_goes_on_after_a_restart_without_reading_the_index(spark, tmpdir_
     again = os.path.join(tmpdir_path, "again")
     stream_ingest(spark, src, again, os.path.join(tmpdir_path, "ck2"))  # a replay from the beginning
     assert sorted(r.id for r in spark.read.parquet(again).collect()) == sorted(r.id for r in spark.read.parquet(idx).collect())
+
+
+def test_processor_travels_without_the_package(tmp_path):
+    """Spark's worker on the driver reads the processor, and has no path to the package."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from quarry.streaming.jobs import _goal_processor
+    (tmp_path / "p").write_bytes(cloudpickle.dumps(_goal_processor()))
+    code = "import pickle, sys; print(type(pickle.load(open('p', 'rb'))).__name__)"
+    seen = subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert seen.stdout.strip() == "Goal", seen.stderr
+
+
+def test_stream_reads_a_table_of_one_or_many_files(spark, tmp_path):
+    from quarry.plans import workflow_queries as wq
+    c = spark.createDataFrame([(i, t, "user", f"text {i} {t}") for i in range(4) for t in range(3)], "conv_id long, turn long, role string, text string")
+    many, one = tmp_path / "many", tmp_path / "one"
+    c.repartition(3).write.parquet(f"{many}/conversations.parquet")
+    one.mkdir()
+    c.toPandas().to_parquet(one / "conversations.parquet")
+    want = sorted(map(tuple, wq.workflow_transitions(spark, str(one)).collect()))
+    assert want and all(sorted(map(tuple, wq.workflow_transitions_stream(spark, str(d)).collect())) == want for d in (one, many))

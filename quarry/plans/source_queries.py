@@ -109,14 +109,14 @@ def python_entities(spark, sf_dir):
 UNION ALL SELECT file_path, 19, 'Potentially unused argument: unused', 'def s(...)', 'INFO' FROM ev WHERE NOT broken""")
 def unused_args(spark, sf_dir):
     """DET-04/16: nothing from files that don't parse, nor from async functions."""
-    f = ex.unused_args(ex.parse_files(_files(spark, sf_dir)))
+    f = ex.unused_args(ex.parse_files(_files(spark, sf_dir), ("function_args",)))
     return f.select("file_path", "line_number", "message", "code_snippet", "severity")
 
 
 @register("silent_handlers", f"WITH {_EV} SELECT file_path, 22 AS line_number, 'pattern-except-pass' AS error_code, 'WARNING' AS severity FROM ev WHERE NOT broken")
 def silent_handlers(spark, sf_dir):
     """DET-05/16."""
-    return ex.silent_handlers(ex.parse_files(_files(spark, sf_dir))).select("file_path", "line_number", "error_code", "severity")
+    return ex.silent_handlers(ex.parse_files(_files(spark, sf_dir), ("silent_handler",))).select("file_path", "line_number", "error_code", "severity")
 
 
 def _folder(spark) -> str:

@@ -233,3 +233,22 @@ def test_signatures_nesting_imports_and_blocks(spark):
     blocks = [(r.start_line, r.end_line, r.content) for (kind, _), r in rows.items() if kind == "STANDALONE"]
     assert blocks == [(2, 3, "from ..pkg import (a as b,\n                   c)")]
     assert len(rows) == 4
+
+
+def test_only_the_asked_kinds_are_made(spark):
+    files = spark.createDataFrame([("m.py", SRC), ("bad.py", "def broken(:\n  x\n")], "path string, content string")
+    whole = ex.parse_files(files).groupBy("kind").count().collect()
+    assert {r.kind for r in whole} == set(ex.KINDS)
+    for kind in ex.KINDS:
+        assert ex.parse_files(files, (kind,)).groupBy("kind").count().collect() == [r for r in whole if r.kind == kind]
+
+
+def test_a_file_of_one_row_group_is_dealt_out(spark, tmp_path):
+    """Its splits are as many as the slots, and all rows are in one of them."""
+    from quarry.sources.tables import spread
+    spark.range(200_000).selectExpr("id", "repeat(sha2(cast(id as string), 512), 2) AS text").coalesce(1).write.option("compression", "none").option(
+        "parquet.block.size", 1 << 30).parquet(str(tmp_path / "t"))
+    one = spark.read.parquet(str(tmp_path / "t"))
+    assert one.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    sizes = [r["count"] for r in spread(one).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > spark.sparkContext.defaultParallelism and max(sizes) < 2 * min(sizes)

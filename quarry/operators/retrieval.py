@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..sources.tables import TASKS_A_SLOT
+
 # --- fixed values: hybrid weights, default k, k bounds
 SIM_WEIGHT, KW_WEIGHT = 0.7, 0.3
 DEFAULT_K, MAX_K = 5, 20
@@ -190,9 +192,9 @@ def tokens(text) -> Column:
 
 
 def term_table(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, term, tf)``: term counts per row, aggregated map-side."""
-    return df.select(key, F.explode(tokens(text)).alias("term")).groupBy(key, "term").agg(
-        F.count(F.lit(1)).alias("tf"))
+    """``(key, t, tf)``: counts of the terms (as 64-bit hashes) per key, aggregated map-side."""
+    return df.select(key, F.explode(tokens(text)).alias("term")).groupBy(key, F.xxhash64("term").alias("t")).agg(
+        F.count(F.lit(1)).cast("int").alias("tf"))
 
 
 def keyword_score(queries: DataFrame, docs: DataFrame, qid: str = "qid", qtext: str = "text",
@@ -313,8 +315,8 @@ SCORES_TOGETHER = 1 << 21
 
 
 class TextIndex(NamedTuple):
-    """``docs(doc, v)`` with the TF-IDF weights of a document's terms (``ARRAY<STRUCT<t, w>>``,
-    terms by their 64-bit hash), ``terms(term, idf)``, and the number of documents."""
+    """``docs(doc, norm, t, tf)``: the terms of a document (64-bit hashes), their counts, and
+    the norm of its TF-IDF weights; ``terms(t, idf)``; the number of documents."""
 
     docs: DataFrame
     terms: DataFrame
@@ -330,27 +332,38 @@ def _stored(df: DataFrame) -> DataFrame:
 def build_text_index(docs: DataFrame, did: str = "doc_id", dtext: str = "text") -> TextIndex:
     """RET-13: the index of ``docs``, stored in the shared checkpoint folder; idf =
     ln((1 + N) / (1 + df)) + 1. Document frequencies stay a table: no vocabulary
-    comes to the driver or into a broadcast variable."""
+    comes to the driver or into a broadcast variable.
+
+    Texts move once, by document, and are counted where they arrive. After that only
+    numbers move: a hash and a count a term and document for the norms, and the
+    documents' arrays to their norms."""
     n = docs.count()
-    tf = _stored(term_table(docs.select(F.col(did).cast(_id_type(docs, did)).alias("doc"), F.col(dtext).alias("text")), "doc", "text"))
+    spark = docs.sparkSession
+    tasks = max(TASKS_A_SLOT * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = docs.select(F.col(did).cast(_id_type(docs, did)).alias("doc"), F.col(dtext).alias("text")).repartition(tasks, "doc")
+    listed = term_table(texts, "doc", "text").groupBy("doc").agg(F.collect_list(F.struct("t", "tf")).alias("x"))
+    counts = _stored(listed.select("doc", F.col("x.t").alias("t"), F.col("x.tf").alias("tf")))
     # Stored before it is joined, so that both sides are plain exchanges and Spark can split a frequent term.
-    idf = _stored(tf.groupBy("term").agg((F.log(F.lit(float(1 + n)) / (1 + F.count(F.lit(1)))) + 1).alias("idf")))
-    weighted = tf.join(idf, "term").select("doc", F.struct(F.xxhash64("term").alias("t"), (F.col("tf") * F.col("idf")).alias("w")).alias("x"))
-    return TextIndex(_stored(weighted.groupBy("doc").agg(F.collect_list("x").alias("v"))), idf, n)
+    idf = _stored(counts.select(F.explode("t").alias("t")).groupBy("t").agg((F.log(F.lit(float(1 + n)) / (1 + F.count(F.lit(1)))) + 1).alias("idf")))
+    pairs = counts.select("doc", F.explode(F.arrays_zip("t", "tf")).alias("x")).select("doc", "x.t", "x.tf")
+    norms = pairs.join(idf, "t").groupBy(F.col("doc").alias("of")).agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
+    whole = counts.join(norms, F.col("doc").eqNullSafe(F.col("of")))
+    return TextIndex(_stored(whole.select("doc", "norm", "t", "tf")), idf, n)
 
 
 def _text_slices(index: TextIndex) -> DataFrame:
-    """``ids, sizes, t, w``: the documents of one Arrow batch as one row."""
+    """``ids, sizes, norms, t, tf``: the documents of one Arrow batch as one row."""
     kind = index.docs.schema["doc"].dataType.simpleString()
 
     def pack(batches):
         for b in batches:
             if b.num_rows:
-                v = b.column(1).flatten()
-                columns = (b.column(0), b.column(1).value_lengths(), v.field(0), v.field(1))
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], ["ids", "sizes", "t", "w"])
+                doc, norm, t, tf = b.columns
+                columns = (doc, t.value_lengths(), norm, t.flatten(), tf.flatten())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns],
+                                                 ["ids", "sizes", "norms", "t", "tf"])
 
-    return index.docs.select("doc", "v").mapInArrow(pack, f"ids array<{kind}>, sizes array<int>, t array<long>, w array<double>")
+    return index.docs.mapInArrow(pack, f"ids array<{kind}>, sizes array<int>, norms array<double>, t array<long>, tf array<int>")
 
 
 def text_topk(queries: DataFrame, index: TextIndex, k: int = DEFAULT_K, rank_by: str = "score",
@@ -368,11 +381,12 @@ def text_topk(queries: DataFrame, index: TextIndex, k: int = DEFAULT_K, rank_by:
     missing = F.lit(math.log(1 + index.n) + 1)
     kind = _id_type(queries, qid)
     own = term_table(queries.select(F.col(qid).cast(kind).alias("q"), F.col(qtext).alias("text")), "q", "text")
-    known = own.join(index.terms, "term", "left").withColumn("qidf", F.coalesce("idf", missing))
-    # Terms that no document holds count in the norm and the shares.
+    known = own.join(index.terms, "t", "left").withColumn("qidf", F.coalesce("idf", missing))
+    # Terms that no document holds count in the norm and the shares. A weight holds the
+    # term's idf twice: the query's own, and the documents', which keep plain counts.
     vectors = known.groupBy("q").agg(
         F.sqrt(F.sum((F.col("tf") * F.col("qidf")) ** 2)).alias("norm"), F.count(F.lit(1)).alias("n"),
-        F.collect_list(F.when(F.col("idf").isNotNull(), F.struct(F.xxhash64("term").alias("t"), (F.col("tf") * F.col("qidf")).alias("w")))).alias("v"))
+        F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("t", (F.col("tf") * F.col("idf") ** 2).alias("w")))).alias("v"))
     cells = _grid(vectors.select("q", "norm", "n", "v"), _text_slices(index), "q", queries.count(), index.n)
     doc_kind = index.docs.schema["doc"].dataType.simpleString()
     cand = cells.mapInArrow(_score_cells(k, *RANKS[rank_by]), f"q {kind}, doc {doc_kind}, similarity double, keyword_score double, r double")
@@ -387,12 +401,12 @@ def _score_cells(k: int, alpha: float, beta: float):
     def run(batches):
         for b in batches:
             for r in range(b.num_rows):
-                q, ids, sizes, t, w = (b.column(c)[r].values for c in range(5))
-                yield from _score_cell(q, ids, *(x.to_numpy(zero_copy_only=False) for x in (sizes, t, w)), k, alpha, beta)
+                q, ids, *numbers = (b.column(c)[r].values for c in range(6))
+                yield from _score_cell(q, ids, *(x.to_numpy(zero_copy_only=False) for x in numbers), k, alpha, beta)
     return run
 
 
-def _score_cell(q, ids, sizes, t, w, k, alpha, beta):
+def _score_cell(q, ids, sizes, norms, t, tf, k, alpha, beta):
     names, v = q.field(0), q.field(3)
     asked = np.repeat(np.arange(len(q)), v.value_lengths().to_numpy(zero_copy_only=False))
     terms, weights = (v.flatten().field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
@@ -408,13 +422,12 @@ def _score_cell(q, ids, sizes, t, w, k, alpha, beta):
         to = min(at + step, len(ids))
         lo, hi, m = int(ends[at] - sizes[at]), int(ends[to - 1]), to - at
         doc = np.repeat(np.arange(m), sizes[at:to])
-        norm = np.sqrt(np.bincount(doc, weights=w[lo:hi] ** 2, minlength=m))
         first, last = (np.searchsorted(terms, t[lo:hi], side=side) for side in ("left", "right"))
         n = last - first
         place = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
         of = np.repeat(np.arange(hi - lo), n)
         cell = asked[place] * m + doc[of]
-        sim, kw = (np.bincount(cell, weights=x, minlength=len(q) * m) for x in ((w[lo:hi] / norm[doc])[of] * weights[place], share[place]))
+        sim, kw = (np.bincount(cell, weights=x, minlength=len(q) * m) for x in ((tf[lo:hi] / norms[at:to][doc])[of] * weights[place], share[place]))
         hit = np.flatnonzero(kw > 0)
         rank = np.round(alpha * sim[hit] + beta * kw[hit], 6)
         row = hit // m

@@ -189,3 +189,12 @@ def test_stream_and_batch_give_the_same_ids(spark, tmpdir_path):
     stream_ingest(spark, src, idx, os.path.join(tmpdir_path, "ck3"))
     batch = extract_entities(keep_utf8(scan_files(spark, src))[0]).withColumn("id", entity_id())
     assert {(r.id, r.content) for r in spark.read.parquet(idx).collect()} == {(r.id, r.content) for r in batch.collect()} != set()
+
+
+def test_text_index_moves_hashes_not_words(spark):
+    """Rows of one id (null too) are one document; no term is stored or moved as text."""
+    docs = spark.createDataFrame([(1, "red blue"), (1, "blue tea"), (None, "red"), (2, None)], "doc_id long, text string").repartition(3)
+    index = ret.build_text_index(docs)
+    assert index.docs.dtypes == [("doc", "bigint"), ("norm", "double"), ("t", "array<bigint>"), ("tf", "array<int>")]
+    assert index.terms.dtypes == [("t", "bigint"), ("idf", "double")]
+    assert {r.doc: sorted(r.tf) for r in index.docs.collect()} == {1: [1, 1, 2], None: [1]}

@@ -80,3 +80,9 @@ def test_a_detector_that_fails_when_it_runs_is_left_out(spark):
     rows, errors = fnd.DetectorRegistry().register("good", good).register("unbuilt", unbuilt).register("late", late).run(files, stored=True)
     assert sorted((r.file_path, r.detector_ord) for r in rows.collect()) == [("a", 0), ("b", 0)]
     assert [e.split(":")[0] for e in errors] == ["unbuilt", "late"] and "late failure" in errors[1]
+
+
+def test_a_text_is_lowered_once_for_all_rules(spark):
+    from quarry.operators import rules as ru
+    plan = ru.rule_scan(spark.createDataFrame([("a", "x")], "path string, content string"), ru.DEFAULT_RULES)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1

@@ -6,7 +6,8 @@ characters up to the next space. A path's score is the sum of its pieces' scores
 a character without a piece is spelled in byte pieces, at a cost below all pieces.
 
 * Every distinct unit of a batch gets its best and second best score by forward
-  Viterbi, for all units of a length at once.
+  Viterbi, for all units of a length at once. A segmenter keeps the units of its
+  last batches (``KEPT_UNITS``): what comes again isn't segmented again.
 * The N best segmentations of a text differ from the best one only in the
   ``N - 1`` units with the smallest loss for their second best: a change elsewhere
   costs at least as much as each of these alone. On the lattice of those units, an
@@ -30,6 +31,7 @@ import hashlib
 import heapq
 import re
 import struct
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -40,10 +42,18 @@ from pyspark.sql import functions as F
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: Stands for a space mark of the text itself: a character that no piece has.
+HIDDEN = "\uffff"
 #: Units up to this many characters are segmented together with their equals in length.
 TOGETHER = 40
 #: Characters of the texts whose units are segmented together.
 GROUP_CHARS = 1 << 20
+#: With more units than these, a segmenter forgets all of them before the next batch.
+KEPT_UNITS = 1 << 18
+#: Lattices of short units that a segmenter keeps.
+KEPT_LATTICES = 1 << 12
+#: Bits of a hash that tell most strings which are no piece.
+_SIEVE = 18
 NONE = -1e18
 _UNITS = re.compile(r" *[^ ]+| +")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -72,7 +82,7 @@ class Vocabulary:
         by_length: dict[int, list[str]] = {}
         for piece in self.id:
             by_length.setdefault(len(piece), []).append(piece)
-        self.table = {}
+        self.table, self.sieve = {}, {}
         for n, pieces in by_length.items():
             chars = np.array([[ord(c) for c in x] for x in pieces], dtype=np.uint64)
             h = chars[:, 0]
@@ -81,15 +91,20 @@ class Vocabulary:
             order = np.argsort(h)
             ids = np.array([self.id[x] for x in pieces])[order]
             self.table[n] = (h[order], ids, np.array([self.score[i] for i in ids.tolist()]))
+            self.sieve[n] = np.zeros(1 << _SIEVE, dtype=bool)
+            self.sieve[n][h >> np.uint64(64 - _SIEVE)] = True
 
     def find(self, n: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores and ids of the pieces of ``n`` characters with hashes ``h``."""
-        if n not in self.table:
-            return np.full(h.shape, NONE), np.zeros(h.shape, np.int64)
-        known, ids, scores = self.table[n]
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        hit = known[at] == h
-        return np.where(hit, scores[at], NONE), np.where(hit, ids[at], 0)
+        found, which = np.full(h.shape, NONE), np.zeros(h.shape, np.int64)
+        if n in self.table:
+            known, ids, scores = self.table[n]
+            maybe = np.flatnonzero(self.sieve[n][h >> np.uint64(64 - _SIEVE)])
+            some = h.ravel()[maybe]
+            at = np.minimum(np.searchsorted(known, some), len(known) - 1)
+            hit = known[at] == some
+            found.ravel()[maybe[hit]], which.ravel()[maybe[hit]] = scores[at[hit]], ids[at[hit]]
+        return found, which
 
 
 class Arc(NamedTuple):
@@ -103,7 +118,7 @@ def _hidden(unit: str) -> str:
     """The unit with leading spaces as pieces have them. A space mark of the text
     itself must not look like one: it becomes a character that no piece has."""
     spaces = len(unit) - len(unit.lstrip(" "))
-    return SPACE * spaces + unit[spaces:].replace(SPACE, "￿")
+    return SPACE * spaces + unit[spaces:].replace(SPACE, HIDDEN)
 
 
 def arcs_of(unit: str, v: Vocabulary) -> list[Arc]:
@@ -155,35 +170,39 @@ def n_best(length: int, arcs: list[Arc], n: int) -> list[tuple[float, list[int]]
 def _same_length(units: list[str], v: Vocabulary):
     """Best score, loss of the second best, and best ids of units of one length."""
     n, u = len(units[0]), len(units)
-    own, chars = (np.frombuffer("".join(x).encode("utf-32-le"), dtype=np.uint32).reshape(u, n)
-                  for x in (units, map(_hidden, units)))
-    chars = chars.astype(np.uint64)
-    scores, ids, h = {}, {}, None
+    # Characters by place and unit, so that a step over all units reads one stretch.
+    own = np.ascontiguousarray(np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32).reshape(u, n).T)
+    # As ``_hidden``: the spaces of a unit are all in front.
+    chars = np.where(own == ord(SPACE), np.uint64(ord(HIDDEN)), own.astype(np.uint64))
+    chars[own == ord(" ")] = ord(SPACE)
+    scores, ids, used, h = {}, {}, {}, None
     for k in range(1, min(n, v.longest) + 1):
-        h = chars if k == 1 else h[:, :-1] * _BASE + chars[:, k - 1:]
+        h = chars if k == 1 else h[:-1] * _BASE + chars[k - 1:]
         scores[k], ids[k] = v.find(k, h)
+        used[k] = (scores[k] > NONE).any(axis=1).tolist()
     spelled = scores[1] == NONE
-    scores[1] = np.where(spelled, v.spell, scores[1])
-    ids[1] = np.where(spelled, -1 - own.astype(np.int64), ids[1])
+    scores[1][spelled] = v.spell
+    ids[1][spelled] = -1 - own[spelled].astype(np.int64)
     best, second = np.full((n + 1, u), NONE), np.full((n + 1, u), 2 * NONE)
     back = np.ones((n + 1, u), dtype=np.int64)
     best[0] = 0
     for e in range(1, n + 1):
         for k in range(1, min(e, v.longest) + 1):
-            s = scores[k][:, e - k]
-            if k > 1 and not (s > NONE).any():
+            if k > 1 and not used[k][e - k]:
                 continue
+            s = scores[k][e - k]
             one = best[e - k] + s
-            second[e] = np.maximum(np.maximum(second[e], second[e - k] + s), np.minimum(best[e], one))
-            back[e] = np.where(one >= best[e], k, back[e])
-            best[e] = np.maximum(best[e], one)
+            np.maximum(second[e], second[e - k] + s, out=second[e])
+            np.maximum(second[e], np.minimum(best[e], one), out=second[e])
+            back[e][one >= best[e]] = k
+            np.maximum(best[e], one, out=best[e])
     rows, at, found = np.arange(u), np.full(u, n), []
     while len(rows):
         k = back[at, rows]
         got = np.zeros(len(rows), dtype=np.int64)
         for size in np.unique(k).tolist():
             mine = k == size
-            got[mine] = ids[size][rows[mine], at[mine] - size]
+            got[mine] = ids[size][at[mine] - size, rows[mine]]
         found.append((rows, got))
         at = at - k
         rows, at = rows[at > 0], at[at > 0]
@@ -193,25 +212,54 @@ def _same_length(units: list[str], v: Vocabulary):
     return best[n], best[n] - second[n], piece[order], np.bincount(row, minlength=u)
 
 
+class _Places(dict):
+    """Places of units; one that isn't there yet gets the next place."""
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = at = len(self)
+        return at
+
+
 class Segmenter:
     """Segments batches of texts."""
 
     def __init__(self, v: Vocabulary, n: int):
         self.v, self.n = v, n
+        self._short = lru_cache(KEPT_LATTICES)(lambda unit: arcs_of(unit, v))
+        self._forget()
+
+    def _forget(self):
+        self.place, self.known = _Places(), self._spelled_units([])
+
+    def _arcs(self, unit: str) -> list[Arc]:
+        return self._short(unit) if len(unit) <= TOGETHER else arcs_of(unit, self.v)
+
+    def _learn(self, texts: list[str]) -> list[np.ndarray]:
+        """Places of the units of each text, with the new ones of them segmented."""
+        if len(self.place) > KEPT_UNITS:
+            self._forget()
+        before, rows = len(self.place), []
+        for t in texts:
+            found = _UNITS.findall(" " + t) if t else []
+            rows.append(np.fromiter(map(self.place.__getitem__, found), np.int64, len(found)))
+        score, loss, first, size, ids = self._spelled_units(list(self.place)[before:])
+        self.known = tuple(np.concatenate(x) for x in zip(self.known, (score, loss, first + len(self.known[4]), size, ids)))
+        return rows
 
     def _units(self, units: list[str]):
         """For all units: score, loss, first place and number of ids, and the ids."""
-        by_length: dict[int, list[int]] = {}
-        for i, unit in enumerate(units):
-            by_length.setdefault(len(unit), []).append(i)
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        order = np.argsort(lengths, kind="stable")
+        groups = np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if units else []
         score, loss = np.zeros(len(units)), np.zeros(len(units))
         first, size = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
         parts, total = [], 0
-        for length, members in by_length.items():
-            if length <= TOGETHER:
-                s, d, ids, n = _same_length([units[i] for i in members], self.v)
+        for members in groups:
+            same = [units[i] for i in members.tolist()]
+            if (length := len(same[0])) <= TOGETHER:
+                s, d, ids, n = _same_length(same, self.v)
             else:
-                got = [n_best(length, arcs_of(units[i], self.v), 2) for i in members]
+                got = [n_best(length, arcs_of(unit, self.v), 2) for unit in same]
                 s = np.array([g[0][0] for g in got])
                 d = np.array([g[0][0] - g[1][0] if len(g) > 1 else -NONE for g in got])
                 ids = np.array([x for g in got for x in g[0][1]])
@@ -222,15 +270,21 @@ class Segmenter:
             total += len(ids)
         return score, loss, first, size, np.concatenate([*parts, np.zeros(0, np.int64)])
 
+    def _spelled_units(self, units: list[str]):
+        """``_units`` with spelled characters as byte pieces."""
+        score, loss, first, size, ids = self._units(units)
+        pieces, bad = np.ones(len(ids), np.int64), np.flatnonzero(ids < 0)
+        pieces[bad] = [len(chr(-1 - i).encode("utf-8")) for i in ids[bad].tolist()]
+        place = np.concatenate([[0], np.cumsum(pieces)])
+        return score, loss, place[first], place[first + size] - place[first], self._spelled(ids).astype(np.int32)
+
     def paths(self, texts: list[str]):
         """Per text: score and ids of each of the N best segmentations, best first, and
         whether decoding each of them gives the text."""
-        place: dict[str, int] = {}
-        rows = [[place.setdefault(x, len(place)) for x in _UNITS.findall(" " + t)] if t else [] for t in texts]
-        units = list(place)
-        score, loss, first, size, ids = self._units(units)
-        for text, row in zip(texts, rows):
-            at = np.array(row, dtype=np.int64)
+        rows = self._learn(texts)
+        units = list(self.place)
+        score, loss, first, size, ids = self.known
+        for text, at in zip(texts, rows):
             if not len(at):
                 yield [(0.0, np.zeros(0, np.int32))], True
                 continue
@@ -242,26 +296,24 @@ class Segmenter:
             few = np.argsort(near, kind="stable")[:self.n - 1] if len(at) <= 64 else self._smallest(near)
             few = np.sort(few[near[few] < -NONE / 2])
             if not len(few):
-                only = self._spelled(mine).astype(np.int32)
-                yield [(total, only)], decode(only.tolist(), self.v) == text
+                yield [(total, mine)], decode(mine.tolist(), self.v) == text
                 continue
             arcs, length, cuts = [], 0, []
             for i in few.tolist():
-                unit = units[row[i]]
-                arcs += [Arc(a.begin + length, a.end + length, a.id, a.score) for a in arcs_of(unit, self.v)]
+                unit = units[at[i]]
+                arcs += [Arc(a.begin + length, a.end + length, a.id, a.score) for a in self._arcs(unit)]
                 length += len(unit)
                 cuts.append(length)
             rest = total - float(score[at[few]].sum())
             # The best ids between those units, which all paths share.
             shared = np.split(mine, np.column_stack([ends[few] - n[few], ends[few]]).ravel())[::2]
-            shared = [self._spelled(x) for x in shared]
             found, same = [], True
             for s, path in n_best(length, arcs, self.n):
                 whole = [shared[0]]
                 for i, own, behind in zip(few.tolist(), self._cut(path, cuts), shared[1:]):
                     # Bytes of a path are those of its units: with one whole path decoded,
                     # the others are by the units where they differ.
-                    same = same and b"".join([self.v.raw[x] for x in own]) == units[row[i]].encode()
+                    same = same and b"".join([self.v.raw[x] for x in own]) == units[at[i]].encode()
                     whole += [own, behind]
                 found.append((rest + s, np.concatenate(whole, dtype=np.int32, casting="same_kind")))
             yield found, same and decode(found[0][1].tolist(), self.v) == text

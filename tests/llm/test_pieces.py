@@ -138,3 +138,36 @@ def test_query_gives_all_paths(spark, tmp_path):
     # The digest changes with any of the N.
     cut = P.digest(P.encode(docs.filter("doc_id = 1"), 3)).first()
     assert cut.ids_sha256 == out[1].ids_sha256 and cut.n_best_sha256 != out[1].n_best_sha256
+
+
+def test_units_are_segmented_once(v, monkeypatch):
+    """A segmenter keeps the units of its last batches, a bounded number, with the same results."""
+    texts = ["the quick brown fox", "the lazy dog  jumps", "", "the quick dog", "a ▁ mark " + "x" * 60, "the quick brown fox"]
+    want = [next(iter(P.Segmenter(v, 4).paths([t]))) for t in texts]
+    done, group = [], P._same_length
+    monkeypatch.setattr(P, "_same_length", lambda units, v: done.extend(units) or group(units, v))
+
+    def same(got, want):
+        return all(s == r and np.array_equal(i, j) for (s, i), (r, j) in zip(got[0], want[0], strict=True)) and got[1] == want[1]
+
+    kept = P.Segmenter(v, 4)
+    assert all(same(got, w) for t, w in zip(texts, want) for got in kept.paths([t]))
+    assert len(done) == len(set(done)) == len({u for t in texts if t for u in P._UNITS.findall(" " + t) if len(u) <= P.TOGETHER})
+    monkeypatch.setattr(P, "KEPT_UNITS", 3)
+    little = P.Segmenter(v, 4)
+    assert all(same(got, w) for t, w in zip(texts, want) for got in little.paths([t]))
+    assert len(little.place) <= 8
+
+
+def test_find_equals_the_table(v):
+    """Hashes of pieces, of strings one character off, and of none."""
+    for n in (1, 2, 5, v.longest, 200):
+        h = np.array([[0, 1 << 63, (1 << 64) - 1]], dtype=np.uint64)
+        if n in v.table:
+            known, ids, scores = v.table[n]
+            s, i = v.find(n, known)
+            assert np.array_equal(s, scores) and np.array_equal(i, ids)
+            h = np.concatenate([known + np.uint64(1), h[0]])[None]
+            h = h[~np.isin(h, known)]
+        s, i = v.find(n, h)
+        assert (s == P.NONE).all() and not i.any() and s.shape == h.shape

@@ -37,9 +37,8 @@ def _text(template: str):
 
 
 def _both(report: rp.Report) -> DataFrame:
-    rows = report.rows.select(F.col("metadata")["report"].alias("report"), *_OUT, F.lit(None).cast("string").alias("reason"))
-    bad = report.bad_rows.select(F.col("key").alias("report"), F.col("payload").alias("tool_output"), "reason")
-    return rows.unionByName(bad, allowMissingColumns=True)
+    output = F.when(F.col("reason").isNull(), F.col("tool_output")).otherwise(F.col("payload"))
+    return report.both.select(F.col("metadata")["report"].alias("report"), *_OUT[:-1], output.alias("tool_output"), "reason")
 
 
 def _sql(rows: str, bad: str) -> str:

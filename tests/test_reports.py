@@ -153,3 +153,25 @@ def test_many_entries_in_one_text(spark):
     near = "FAILED a.py::t - m\nPASSED x\n" + "-" * 1970 + 'File "a.py", line 9'
     got = [r.line_number for t in (far, near) for r in rp.parse_test_text(spark.createDataFrame([(t,)], "value string")).rows.collect()]
     assert got == [1, 9]
+
+
+def test_reports_are_parsed_once_and_behind_the_shuffle(spark):
+    """``both`` parses a report once, and no parsing moves into the few tasks before the shuffle."""
+    texts = [("1.xml", '<testsuite><testcase name="a" file="t.py" line="2"><failure message="m">x</failure></testcase></testsuite>'),
+             ("2.xml", "no"), ("3.json", '{"tests":[{"nodeid":"d","outcome":"failed"}, 7]}'), ("4.json", "["), ("5.log", "FAILED t.py::e - boom"),
+             ("6.log", None)]
+    got = rp.parse_test_reports(spark.createDataFrame(texts, "path string, value string").repartition(4, "path", "value"))
+    rows = [(r.metadata["report"], r.message, None, None) for r in got.rows.collect()]
+    found = [(r.key, None, r.reason, r.payload) for r in got.bad_rows.collect()]
+    both = [(r.metadata and r.metadata["report"], r.message, r.reason, r.payload) for r in got.both.collect()]
+    assert len(rows) == 3 and len(found) == 4 and sorted(both, key=str) == sorted(rows + found, key=str)
+    assert all(r.severity is r.tool_output is r.file_path is None for r in got.both.filter("reason IS NOT NULL").collect())
+    plan = got.both._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("from_xml(" in x for x in plan) == 1 and sum(x.count("parseJson") + x.count("parse_json") for x in plan) == 1
+    for frame in (got.rows, got.bad_rows, got.both):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        depth = [len(x) - len(x.lstrip(" :+-")) for x in plan]
+        for i, x in enumerate(plan):
+            if "RepartitionByExpression" in x:
+                below = [y for y, n in zip(plan[i + 1:], depth[i + 1:]) if n > depth[i]]
+                assert not any(w in y for y in below for w in ("from_xml", "arseJson", "parse_json", "regexp_extract_all"))

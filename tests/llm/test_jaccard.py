@@ -1,8 +1,11 @@
 """Components against all pairs; the parts of the search by themselves."""
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.llm import jaccard as J
@@ -100,3 +103,66 @@ def test_components_of_long_chains(spark):
     edges = [(k, k + 1) for k in range(1, 60)] + [(100, 101), (7, 3), (200, 200)]
     got = {r.node: r.root for r in J.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 1 for k in range(2, 61)}, 101: 100}
+
+
+def test_shared_passages_alone_make_no_group(spark, monkeypatch):
+    """Each text is two passages, each of them in two texts: all n-grams are shared, no sets link."""
+    rng = random.Random(5)
+    passages = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(60)]
+    rows = [(d, f"{p} {q}") for d, (p, q) in enumerate(zip(passages, passages[1:] + passages[:1]))]
+    rows += [(100 + d, rows[d][1] + " end") for d in range(3)]
+    sizes, components = [], J.components
+
+    def seen(edges):
+        found = components(edges)
+        sizes.append(max([r["count"] for r in found.groupBy("root").count().collect()], default=0))
+        return found
+
+    monkeypatch.setattr(J, "components", seen)
+    got = {r.id: r.component for r in J.linked_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d % 100 for d, _ in rows}
+    assert sizes == [1, 1]  # of candidate groups and of components, besides the root
+
+
+@pytest.mark.parametrize("slices", [8, 64])
+def test_counts_of_keys_equal_plain_counts(spark, slices):
+    rng = random.Random(slices)
+    rows = [(d, sorted(rng.sample(range(2000), rng.randrange(300)))) for d in range(50)] + [(50, []), (51, [1 << 62, 5 << 40])]
+    mixed = lambda k: int(J.W.mix(np.array([k], np.uint64)).view(np.int64)[0])
+    keys = [(d, [mixed(k) for k in x]) for d, x in rows]
+    times = Counter(k for _, x in keys for k in x)
+    df = spark.createDataFrame(keys, "s long, grams array<long>").repartition(3)
+
+    def shared(longs, sizes, _, found):
+        return pa.RecordBatch.from_arrays([*map(pa.array, (longs[0], sizes, found))], ["s", "n", "c"])
+
+    def levels(longs, sizes, grams, level):
+        return pa.RecordBatch.from_arrays([pa.array(longs[0].repeat(sizes)), pa.array(grams.view(np.int64)), pa.array(level.astype(np.int64))], ["s", "g", "v"])
+
+    got = {(r.s, r.n, r.c) for r in J.counted(df, slices, 4, False, shared, "s long, n long, c long").collect()}
+    assert got == {(s, len(x), sum(times[k] > 1 for k in x)) for s, x in keys}
+    got = sorted(tuple(r) for r in J.counted(df, slices, 4, True, levels, "s long, g long, v long").collect())
+    assert got == sorted((s, k, math.ceil(math.log2(times[k]))) for s, x in keys for k in x)
+
+
+def test_bounds_let_every_link_pass():
+    rng = np.random.default_rng(2)
+    base = [rng.integers(0, 1 << 63, m).astype(np.uint64) for m in (3, 40, 700, 3000)]
+    sets = [np.unique(np.concatenate([x[rng.random(len(x)) > p], rng.integers(0, 1 << 63, int(p * len(x))).astype(np.uint64)]))
+            for x in base for p in (0, 0.02, 0.05, 0.08, 0.1, 0.3) for _ in range(3)]
+    sets = [x for x in sets if len(x)]
+    n = np.array([len(x) for x in sets])
+    signs = J._signs(np.concatenate(sets), n)
+    passed = 0
+    for i, a in enumerate(sets):
+        may = J.may_link(n[i], n, signs[i], signs, 8, 10)
+        passed += may.sum()
+        for j, b in enumerate(sets):
+            o = len(np.intersect1d(a, b))
+            assert may[j] or o * 10 < 8 * (len(a) + len(b) - o)
+    assert passed < len(sets) ** 2 / 2
+    pairs = J.connected(n, signs, 8, 10)
+    root = list(range(len(n)))
+    for x, y in pairs:
+        root = [root[x] if r == root[y] else r for r in root]
+    assert all(root[i] == root[j] for i in range(len(n)) for j in np.flatnonzero(J.may_link(n[i], n, signs[i], signs, 8, 10)))
